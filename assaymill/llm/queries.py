@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from assaymill.llm import oracles
+from assaymill.llm.language_id import identify, train
 from assaymill.llm.near_dedup import near_duplicates
 
 
@@ -18,8 +20,20 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle_words=3, percent=85)
 
 
+def fold(held: int) -> Column:
+    """Whether crc32 of the id's text leaves ``held`` modulo 5; a row without an id is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == held, F.lit(False))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = train(docs.where(~fold(0) & F.col("doc_id").isNotNull()), F.col("doc_id"))
+    found = identify(docs.select("doc_id", "text", fold(0).alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_near_dedup,)}
+    return {f.__name__: f for f in (op7_near_dedup, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
