@@ -10,12 +10,24 @@ from pyspark.sql import functions as F
 from assaymill.llm import oracles
 from assaymill.llm.language_id import identify, train
 from assaymill.llm.near_dedup import near_duplicates
+from assaymill.llm.packing import pack
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer() -> str:
+    """Path of the vocabulary file; it is part of an installed package and never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), tokenizer())
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle_words=3, percent=85)
 
@@ -33,7 +45,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_near_dedup, op9_language_id)}
+    return {f.__name__: f for f in (op6_packing, op7_near_dedup, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
