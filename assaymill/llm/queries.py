@@ -11,12 +11,17 @@ from assaymill.llm import oracles
 from assaymill.llm.language_id import identify, train
 from assaymill.llm.near_dedup import near_duplicates
 from assaymill.llm.packing import pack
+from assaymill.llm.quality_rules import quality_rules
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir)).drop("distance")
+
+
 def tokenizer() -> str:
     """Path of the vocabulary file; it is part of an installed package and never copied."""
     import public_tokenizers
@@ -45,8 +50,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_packing, op7_near_dedup, op9_language_id)}
+    return {f.__name__: f for f in (op1_quality_rules, op6_packing, op7_near_dedup, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_near_dedup": oracles.OP7}
+    return {"op1_quality_rules": oracles.op1(), "op7_near_dedup": oracles.OP7}
