@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assaymill.llm import oracles
 from assaymill.llm.language_id import identify, train
 from assaymill.llm.near_dedup import near_duplicates
+from assaymill.llm.order_minhash import edit_fingerprints
 from assaymill.llm.packing import pack
 from assaymill.llm.quality_rules import quality_rules
 
@@ -22,6 +23,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("distance")
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprints(documents(spark, sf_dir))
+
+
 def tokenizer() -> str:
     """Path of the vocabulary file; it is part of an installed package and never copied."""
     import public_tokenizers
@@ -50,7 +55,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op6_packing, op7_near_dedup, op9_language_id)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_order_minhash, op6_packing, op7_near_dedup, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
