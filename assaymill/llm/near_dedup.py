@@ -27,6 +27,8 @@ from assaymill.llm._words import blocks, shingle_sets, words
 from assaymill.storage import lookup, materialize
 
 ROWS, BANDS, BATCH = 6, 24, 16
+#: All pairs of what is left are compared once they are so few for each row.
+FEW = 32
 K = ROWS * BANDS
 _rng = np.random.default_rng(7)
 _MULT = (_rng.integers(0, 2**31, K, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
@@ -84,8 +86,8 @@ def least_matches(similarity: float, miss: float) -> list[int]:
     return out
 
 
-def prune(batches: Iterator[pa.RecordBatch], least: list[int]) -> Iterator[pa.RecordBatch]:
-    """(a, b, sig_a, sig_b) to the pairs that no batch of hashes rules out."""
+def confirm(batches: Iterator[pa.RecordBatch], least: list[int], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, signatures, sets) to the pairs that no batch of hashes rules out and whose full sets overlap enough."""
     for batch in batches:
         n = batch.num_rows
         sig = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(n, K) for c in (2, 3)]
@@ -95,13 +97,20 @@ def prune(batches: Iterator[pa.RecordBatch], least: list[int]) -> Iterator[pa.Re
             matches = matches + (sig[0][alive, part] == sig[1][alive, part]).sum(1)
             stay = matches >= m
             alive, matches = alive[stay], matches[stay]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(alive)), batch.column(1).take(pa.array(alive))], names=["a", "b"])
+        linked = []
+        for i in alive.tolist():
+            x, y = (batch.column(c)[i].values.to_numpy() for c in (4, 5))
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * shared >= percent * (len(x) + len(y) - shared):
+                linked.append(i)
+        rows = pa.array(linked, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], names=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links to (node, root): the smallest node reachable. Labels spread over links and then jump to their own label's label."""
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("low", "node").alias("root")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = labels.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old"))
@@ -128,33 +137,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = materialize(groups.withColumn("node", F.col("k1")), "groups")
     band = [F.xxhash64(F.lit(i), F.expr(f"substring(signature, {4 * ROWS * i + 1}, {4 * ROWS})")) for i in range(BANDS)]
     members = linked.select(F.col("k1").alias("node"), F.explode(F.array(*band)).alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    members = materialize(members.join(sizes.select("bucket"), "bucket", "left_semi").distinct(), "buckets")
+    shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket", "low")
+    members = materialize(members.join(shared, "bucket").distinct(), "buckets")
+    nodes = linked.select("doc_id", "k1", "signature").join(groups.select("node", "doc_id"), "doc_id").where("k1 = node")
+    nodes = nodes.join(members.select("node").distinct(), "node").groupBy("node").agg(F.first("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
+    sets = texts.join(nodes.select("doc_id").distinct(), "doc_id").mapInArrow(lambda it: full_sets(it, shingle_words), "node long, shingles array<long>")
+    nodes = materialize(nodes.join(sets.dropDuplicates(["node"]), "node"), "nodes")
 
-    edges = tested = None
-    roots = members.select("node").distinct().withColumn("root", F.col("node"))
-    centres, largest = 1, members.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
     least = least_matches(percent / 100, miss)
-    while largest and centres:
+    roots = _joined(None, _confirmed(members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")), nodes, least, percent))
+    centres = 8
+    while roots is not None:
         placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-        placed = placed.join(open_, "bucket", "left_semi")
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64("node", F.lit(centres)), "node")
-        heads = placed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= centres)
+        open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high and size > 2")
+        open_ = materialize(open_.select("bucket", "size"), "open")
+        left = open_.agg(F.count("*").alias("n"), F.max("size").alias("largest"), F.sum("size").alias("rows"), F.sum(F.col("size") * F.col("size")).alias("pairs")).first()
+        if not left["n"]:
+            break
+        last = left["pairs"] <= FEW * left["rows"] or centres >= left["largest"]
+        placed = placed.join(open_, "bucket")
+        heads = placed
+        if not last:
+            order = Window.partitionBy("bucket").orderBy(F.xxhash64("node", F.lit(centres)), "node")
+            heads = placed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= centres)
         heads = heads.select("bucket", F.col("node").alias("head"), F.col("root").alias("head_root"))
-        pairs = placed.join(heads, "bucket").where(F.col("root") != F.col("head_root"))
-        pairs = pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        new = _confirmed(texts, linked, groups, pairs, least, shingle_words, percent)
-        if not new.isEmpty():
-            edges = new if edges is None else edges.union(new)
-            roots = components(edges)
-        centres = 0 if centres >= largest else centres * 8
-
-    if edges is not None:
+        pairs = placed.join(heads, "bucket").where(F.col("root") < F.col("head_root") if last else F.col("root") != F.col("head_root"))
+        roots = _joined(roots, _confirmed(pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")), nodes, least, percent))
+        if last:
+            break
+        centres *= 8
+
+    if roots is not None:
         lowest = groups.join(roots, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
         found = groups.join(roots, "node", "left").join(lowest, "root", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     else:
@@ -165,18 +178,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-def _confirmed(texts: DataFrame, linked: DataFrame, groups: DataFrame, pairs: DataFrame, least: list[int], shingle_words: int, percent: int) -> DataFrame:
-    """The pairs of nodes that the posterior bound leaves and whose full sets overlap enough."""
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    one = groups.join(involved, "node").select("node", "doc_id")
-    sig = linked.join(one, "doc_id").where("k1 = node").groupBy("node").agg(F.first("signature").alias("signature"))
-    both = pairs.join(sig.select(F.col("node").alias("a"), F.col("signature").alias("sig_a")), "a").join(sig.select(F.col("node").alias("b"), F.col("signature").alias("sig_b")), "b")
-    left = materialize(both.select("a", "b", "sig_a", "sig_b").mapInArrow(lambda it: prune(it, least), "a long, b long"), "survivors")
-    needed = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
-    ids = groups.join(needed, "node").select("doc_id").distinct()
-    sets = texts.join(ids, "doc_id").mapInArrow(lambda it: full_sets(it, shingle_words), "node long, shingles array<long>")
-    sets = materialize(sets.dropDuplicates(["node"]), "sets")
-    full = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
-    shared = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    union = F.size("set_a") + F.size("set_b") - shared
-    return materialize(full.where(100 * shared >= percent * union).select("a", "b"), "confirmed")
+def _confirmed(pairs: DataFrame, nodes: DataFrame, least: list[int], percent: int) -> DataFrame:
+    """The (a, b) pairs of nodes that the posterior bound leaves and whose full sets overlap enough."""
+    sides = [nodes.select(F.col("node").alias(x), F.col("signature").alias(f"sig_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab"]
+    both = pairs.distinct().join(sides[0], "a").join(sides[1], "b").select("a", "b", "sig_a", "sig_b", "set_a", "set_b")
+    return materialize(both.mapInArrow(lambda it: confirm(it, least, percent), "a long, b long"), "confirmed")
+
+
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """(node, root) after more links; None: no node is linked yet."""
+    if links.isEmpty():
+        return roots
+    if roots is None:
+        return components(links)
+    a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    ends = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a <> b")
+    if ends.isEmpty():
+        return roots
+    moved = components(ends)
+    onward = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return materialize(onward.union(moved.join(roots, "node", "left_anti")), "roots")
