@@ -4,8 +4,9 @@
    word shingles. Documents with one key are copies and are collapsed to a node.
 2. Bands of the signatures deal nodes into buckets. A bucket compares its members with a few
    centres, more of them each round, and only across components that are not joined yet: a group of
-   copies is settled by its first centre, while a bucket of unlike members ends with all its pairs
-   compared. No pair that shares a bucket is lost.
+   copies is settled by its first centres, while a bucket of unlike members ends with all pairs compared
+   that could be links. Shingles that occur in one set only bound what a pair can share; no pair that
+   shares a bucket and meets the bound is lost.
 3. A pair's signatures are compared batch by batch. It is dropped as soon as the posterior
    probability of the asked similarity (uniform prior) is under ``miss``.
 4. Survivors are confirmed on their full shingle sets; confirmed links make components.
@@ -147,10 +148,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = least_matches(percent / 100, miss)
     roots = _joined(None, _confirmed(members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")), nodes, least, percent))
     centres = 8
+    if roots is not None:
+        members = _viable(members, roots, nodes, percent)
     while roots is not None:
         placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high and size > 2")
-        open_ = materialize(open_.select("bucket", "size"), "open")
+        open_ = materialize(_open(placed), "open")
         left = open_.agg(F.count("*").alias("n"), F.max("size").alias("largest"), F.sum("size").alias("rows"), F.sum(F.col("size") * F.col("size")).alias("pairs")).first()
         if not left["n"]:
             break
@@ -158,10 +160,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         placed = placed.join(open_, "bucket")
         heads = placed
         if not last:
-            order = Window.partitionBy("bucket").orderBy(F.xxhash64("node", F.lit(centres)), "node")
+            order = Window.partitionBy("bucket").orderBy("alone", F.xxhash64("node"))
             heads = placed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= centres)
-        heads = heads.select("bucket", F.col("node").alias("head"), F.col("root").alias("head_root"))
-        pairs = placed.join(heads, "bucket").where(F.col("root") < F.col("head_root") if last else F.col("root") != F.col("head_root"))
+        heads = heads.select("bucket", F.col("node").alias("head"), F.col("root").alias("head_root"), F.col("n").alias("head_n"), F.col("alone").alias("head_alone"))
+        apart = F.col("root") < F.col("head_root") if last else F.col("root") != F.col("head_root")
+        most = F.least(F.col("n") - F.col("alone"), F.col("head_n") - F.col("head_alone"))
+        fewest = F.greatest(F.col("n") + F.col("head_alone"), F.col("head_n") + F.col("alone"))
+        pairs = placed.join(heads, "bucket").where(apart & (100 * most >= percent * fewest))
         roots = _joined(roots, _confirmed(pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")), nodes, least, percent))
         if last:
             break
@@ -178,6 +183,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
+def _open(placed: DataFrame) -> DataFrame:
+    """Buckets that still hold several components and were not compared in full by their first centre."""
+    open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
+    return open_.where("low < high and size > 2").select("bucket", "size")
+
+
+def _viable(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Members of open buckets with their set's size ``n`` and how many of its shingles stand ``alone``, in no other such set.
+
+    What stands alone is shared with nobody, so two sets share at most ``n - alone`` of either and unite
+    to at least ``n`` of one plus ``alone`` of the other. A member for which that rules out every link is left out.
+    """
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = materialize(placed.join(_open(placed).select("bucket"), "bucket").select("bucket", "node"), "members")
+    sets = nodes.join(placed.select("node").distinct(), "node").select("node", "shingles")
+    once = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    sized = sets.select("node", F.size("shingles").alias("n")).join(once.groupBy("node").agg(F.count("*").alias("alone")), "node", "left").fillna(0, ["alone"])
+    return materialize(placed.join(sized.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")), "node"), "viable")
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, least: list[int], percent: int) -> DataFrame:
     """The (a, b) pairs of nodes that the posterior bound leaves and whose full sets overlap enough."""
     sides = [nodes.select(F.col("node").alias(x), F.col("signature").alias(f"sig_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab"]
