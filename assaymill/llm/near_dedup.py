@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         members = _viable(members, roots, nodes, percent)
     while roots is not None:
         placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = materialize(_open(placed), "open")
+        open_ = materialize(_open(placed, 2), "open")
         left = open_.agg(F.count("*").alias("n"), F.max("size").alias("largest"), F.sum("size").alias("rows"), F.sum(F.col("size") * F.col("size")).alias("pairs")).first()
         if not left["n"]:
             break
@@ -183,10 +183,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-def _open(placed: DataFrame) -> DataFrame:
-    """Buckets that still hold several components and were not compared in full by their first centre."""
+def _open(placed: DataFrame, least: int) -> DataFrame:
+    """Buckets of at least ``least`` members that still hold several components."""
     open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
-    return open_.where("low < high and size > 2").select("bucket", "size")
+    return open_.where(F.expr("low < high") & (F.col("size") >= least)).select("bucket", "size")
 
 
 def _viable(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -196,7 +196,8 @@ def _viable(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int
     to at least ``n`` of one plus ``alone`` of the other. A member for which that rules out every link is left out.
     """
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = materialize(placed.join(_open(placed).select("bucket"), "bucket").select("bucket", "node"), "members")
+    placed = placed.join(_open(placed, 3).select("bucket"), "bucket")  # two were compared by the first centre
+    placed = materialize(placed.select("bucket", "node"), "members")
     sets = nodes.join(placed.select("node").distinct(), "node").select("node", "shingles")
     once = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
     sized = sets.select("node", F.size("shingles").alias("n")).join(once.groupBy("node").agg(F.count("*").alias("alone")), "node", "left").fillna(0, ["alone"])
