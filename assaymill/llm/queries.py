@@ -12,6 +12,7 @@ from assaymill.llm.language_id import identify, train
 from assaymill.llm.near_dedup import near_duplicates
 from assaymill.llm.order_minhash import edit_fingerprints
 from assaymill.llm.packing import pack
+from assaymill.llm.pseudonyms import pseudonymize
 from assaymill.llm.quality_rules import quality_rules
 
 
@@ -54,8 +55,17 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+#: Stands in for a secret that a deployment passes itself.
+DEMO_KEY = "assaymill demonstration key"
+
+
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), DEMO_KEY)
+    return out.select("doc_id", "text", F.size("pii_kinds").alias("n_pii"), F.array_join("pii_kinds", ",").alias("kinds"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_order_minhash, op6_packing, op7_near_dedup, op9_language_id)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_order_minhash, op6_packing, op7_near_dedup, op9_language_id, op10_pii_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:
