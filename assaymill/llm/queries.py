@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assaymill.llm import oracles
 from assaymill.llm.language_id import identify, train
+from assaymill.llm.mixing import mixture
 from assaymill.llm.near_dedup import near_duplicates
 from assaymill.llm.order_minhash import edit_fingerprints
 from assaymill.llm.packing import pack
@@ -48,6 +49,15 @@ def fold(held: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == held, F.lit(False))
 
 
+def weights(sources: list[str | None]) -> list[float]:
+    """3, 1, 2, repeating."""
+    return [(3.0, 1.0, 2.0)[i % 3] for i in range(len(sources))]
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(documents(spark, sf_dir), weights).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs.where(~fold(0) & F.col("doc_id").isNotNull()), F.col("doc_id"))
@@ -65,7 +75,7 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_order_minhash, op6_packing, op7_near_dedup, op9_language_id, op10_pii_pseudonyms)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_order_minhash, op6_packing, op7_near_dedup, op8_mixing, op9_language_id, op10_pii_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:
