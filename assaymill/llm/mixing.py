@@ -27,6 +27,8 @@ from assaymill.storage import materialize
 SPACES = " \t\n\x0b\x0c\r"
 BLOCK = 2000
 NEAR = 1e-9
+#: So many documents of a source, at most, are decided by trying all their choices.
+LANDING = 14
 _UNIT = "key string, src int, size long, rows long, p double"
 
 
@@ -56,19 +58,14 @@ def targets(sizes: list[int], weights: list[float], share: float, most: float) -
     return out
 
 
-def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Flight phase: probabilities after moves that keep their sum and the sum of ``size`` times them; two at most stay fractional.
-
-    Large documents fly first, so that those left for the landing are small.
-    """
+def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, least: int = 2) -> np.ndarray:
+    """Flight phase: probabilities after moves that keep their sum and the sum of ``size`` times them, until ``least`` or fewer are fractional."""
     p = p.copy()
-    order = rng.permutation(len(p))
-    order = order[np.argsort(size[order], kind="stable")]
-    waiting = [i for i in order.tolist() if NEAR < p[i] < 1 - NEAR]
+    waiting = [i for i in rng.permutation(len(p)).tolist() if NEAR < p[i] < 1 - NEAR]
     p[(p <= NEAR)] = 0
     p[(p >= 1 - NEAR)] = 1
     at: list[int] = []
-    while True:
+    while len(at) + len(waiting) > least:
         while len(at) < 3 and waiting:
             at.append(waiting.pop())
         if len(at) == 3:
@@ -91,17 +88,18 @@ def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray
             else:
                 stay.append(i)
         at = stay
+    return p
 
 
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The 0/1 choice for the fractional rest that brings its words closest to what its probabilities promise."""
+    """The 0/1 choice for the fractional rest (LANDING at most) that brings its words, then its count, closest to what its probabilities promise."""
     rest = np.flatnonzero((p > 0) & (p < 1))
     if not len(rest):
         return p
-    want = float(p[rest] @ size[rest])
-    choices = np.array([[(c >> j) & 1 for j in range(len(rest))] for c in range(2 ** len(rest))], float)
+    choices = ((np.arange(2 ** len(rest))[:, None] >> np.arange(len(rest))) & 1).astype(float)
+    words_off, rows_off = np.abs(choices @ size[rest] - p[rest] @ size[rest]), np.abs(choices.sum(1) - p[rest].sum())
     out = p.copy()
-    out[rest] = choices[np.argmin(np.abs(choices @ size[rest] - want))]
+    out[rest] = choices[np.lexsort((rows_off, np.round(words_off, 6)))[0]]
     return out
 
 
@@ -110,7 +108,7 @@ def _flight(level: int, last: bool, seed: int) -> Callable[[tuple, pd.DataFrame]
         units = units.sort_values(["key", "size"], na_position="last", ignore_index=True)
         rng = np.random.default_rng([seed, level, int(key[0]), int(key[1])])
         size = units["size"].to_numpy(np.float64)
-        p = fly(units["p"].to_numpy(np.float64), size, rng)
+        p = fly(units["p"].to_numpy(np.float64), size, rng, LANDING if last else 2)
         units["p"] = land(p, size) if last else p
         return units[["key", "src", "size", "rows", "p"]]
 
