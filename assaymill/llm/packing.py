@@ -17,12 +17,14 @@ shares is never gathered.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,7 +34,7 @@ from pyspark.sql.window import Window
 from assaymill.llm._words import blocks, words
 from assaymill.storage import materialize
 
-CACHED_WORDS = 600_000
+CACHED_WORDS = 2_000_000
 BROADCAST_ROWS = 200_000
 _caches: dict[str, WordCache] = {}
 _TOKENS = "doc_id long, ids binary, n_ids long, part int, rest int, nth long, windows_before long"
@@ -43,6 +45,7 @@ class WordCache:
     """Ids of words seen by this worker. The tokenizer never joins characters across white space, so a text's ids are its words' ids."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # every core has a task of its own already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -50,35 +53,35 @@ class WordCache:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.flat, self.start, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.used = 0
+        self.seen, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        """Encode new words, given with their ascending hashes."""
+        coded = [e.ids for at in range(0, len(texts), 20_000) for e in self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        at = np.searchsorted(self.seen, hashes)
+        self.place = np.insert(self.place, at, np.arange(len(self.size), len(self.size) + len(sizes)))
+        self.seen = np.insert(self.seen, at, hashes)
+        self.start = np.append(self.start, len(self.flat) + np.cumsum(sizes) - sizes)
+        self.size = np.append(self.size, sizes)
+        self.flat = np.append(self.flat, np.fromiter((x for c in coded for x in c), np.uint32, int(sizes.sum())))
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a block and the bounds of each text's."""
         w = words(data, offsets, lower=b"<|" not in data.tobytes())  # its special tokens are lower-case only
-        if len(self.place) > CACHED_WORDS:
+        if len(self.seen) > CACHED_WORDS:
             self.clear()
-        seen, first, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        place = np.array([self.place.get(h, -1) for h in seen.tolist()], np.int64)
-        new = np.flatnonzero(place < 0)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast([w.text(first[i]) for i in part], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-            flat = np.fromiter((x for c in coded for x in c), np.uint32, int(sizes.sum()))
-            n = len(self.place)
-            while n + len(part) > len(self.start):
-                self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
-            while self.used + len(flat) > len(self.flat):
-                self.flat = np.append(self.flat, np.zeros_like(self.flat))
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.size[n : n + len(part)] = sizes
-            self.start[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.used += len(flat)
-            place[part] = np.arange(n, n + len(part))
-            self.place.update(zip(seen[part].tolist(), place[part].tolist(), strict=True))
-        place = place[inverse]
+        code, distinct = pd.factorize(w.hashes())
+        where = np.zeros(len(distinct), np.int64)
+        where[code] = np.arange(len(code))
+        at = np.searchsorted(self.seen, distinct)
+        new = np.flatnonzero(self.seen[np.minimum(at, len(self.seen) - 1)] != distinct) if len(self.seen) else np.arange(len(distinct))
+        if len(new):
+            new = new[np.argsort(distinct[new])]
+            self.learn(distinct[new], [w.text(i) for i in where[new].tolist()])
+            at = np.searchsorted(self.seen, distinct)
+        place = self.place[at][code] if len(code) else np.zeros(0, np.int64)
         sizes = self.size[place]
         ends = np.zeros(len(sizes) + 1, np.int64)
         np.cumsum(sizes, out=ends[1:])
