@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaymill.llm import oracles
+from assaymill.llm import oracles, recurrent_lm
 from assaymill.llm.language_id import identify, train
 from assaymill.llm.mixing import mixture
 from assaymill.llm.near_dedup import near_duplicates
@@ -36,6 +36,13 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = recurrent_lm.train(docs.where(~fold(1)), F.col("doc_id"))
+    scored = recurrent_lm.log_likelihood(docs, model)
+    return scored.select("doc_id", fold(1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer())
 
@@ -75,7 +82,7 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_order_minhash, op6_packing, op7_near_dedup, op8_mixing, op9_language_id, op10_pii_pseudonyms)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_order_minhash, op5_lm_scoring, op6_packing, op7_near_dedup, op8_mixing, op9_language_id, op10_pii_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:
