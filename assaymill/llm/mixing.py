@@ -167,9 +167,9 @@ def mixture(docs: DataFrame, weights: Callable[[list[str | None]], list[float]],
 def mixed(docs: DataFrame, weights: Callable[[list[str | None]], list[float]], share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 8) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it; rows it does not take are left out."""
     plan = mixture(docs, weights, share, most, id_col, text_col, source_col, seed)
-    plan = plan.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("nth").alias("_nth"), F.col("copies").alias("_copies"))
-    keyed = docs.withColumns({"_k": F.col(id_col).cast("long"), "_s": F.col(source_col).cast("string"), "_n": words(F.col(text_col).cast("string"))})
-    keyed = keyed.withColumn("_row", F.row_number().over(Window.partitionBy("_k", "_s", "_n").orderBy(text_col)))
-    same = F.col("_k").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")) & (F.col("_row") == F.col("_nth"))
-    out = keyed.join(plan, same)
+    name = lambda i, s, n: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("")), n.cast("string"), F.coalesce(F.concat(F.lit("="), s), F.lit("")))
+    plan = plan.where("copies > 0").select(name(F.col("doc_id"), F.col("source"), F.col("size")).alias("_unit"), F.col("nth").alias("_nth"), F.col("copies").alias("_copies"))
+    keyed = docs.withColumn("_unit", name(F.col(id_col).cast("long"), F.col(source_col).cast("string"), words(F.col(text_col).cast("string"))))
+    keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_unit").orderBy(text_col)).cast("long"))
+    out = keyed.join(plan, ["_unit", "_nth"])
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
