@@ -90,11 +90,11 @@ def blocks(texts: pa.Array | pa.ChunkedArray, size: int = BLOCK_BYTES) -> Iterat
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
-    """Cut a block from ``blocks`` into words, A-Z in lower case if asked."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, letters: np.ndarray = _IS_WORD) -> Words:
+    """Cut a block from ``blocks`` into words, A-Z in lower case if asked. ``letters`` says which bytes belong to words."""
     n = len(data)
     inside = np.zeros(n + 2, bool)
-    inside[1:-1] = _IS_WORD[data]
+    inside[1:-1] = letters[data]
     begins = inside[1:-1] & ~inside[:-2]
     ends = inside[1:-1] & ~inside[2:]
     cut = offsets[1:-1]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaymill.llm import oracles, recurrent_lm
+from assaymill.llm import license_scan, oracles, quality_classifier, recurrent_lm
 from assaymill.llm.language_id import identify, train
 from assaymill.llm.mixing import mixture
 from assaymill.llm.near_dedup import near_duplicates
@@ -25,6 +25,16 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("distance")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_classifier.quality(docs, model, F.col("source"), F.col("lang"))
+
+
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprints(documents(spark, sf_dir))
 
@@ -82,7 +92,7 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_order_minhash, op5_lm_scoring, op6_packing, op7_near_dedup, op8_mixing, op9_language_id, op10_pii_pseudonyms)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_quality_classifier, op4_order_minhash, op5_lm_scoring, op6_packing, op7_near_dedup, op8_mixing, op9_language_id, op10_pii_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:
