@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables of so many narrow rows are broadcast whole, after a count.
+SMALL = 10_000
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a local one is set only where none is configured (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,11 +34,14 @@ def lookup(left: DataFrame, table: DataFrame, keys: list[str], rows: str) -> Dat
     """Left-join ``table`` (one row per key; column ``rows``: its rows in ``left``) where a key may hold a third of ``left``.
 
     Keys with over a thousandth of the rows are fewer than 1000, so their part of the table is
-    broadcast under a proven bound; the other keys are joined through a shuffle.
+    broadcast under a proven bound; the other keys are joined through a shuffle. A table of SMALL rows
+    at most is broadcast as it is.
     """
-    total = table.agg(F.sum(rows)).first()[0] or 0
-    least = max(1000, total // 1000)
+    total, size = table.agg(F.sum(rows), F.count("*")).first()
     value = [c for c in table.columns if c not in keys and c != rows]
+    if size <= SMALL:
+        return left.join(F.broadcast(table.select(*keys, *value)), keys, "left").select(*left.columns, *value)
+    least = max(1000, total // 1000)
     hot = table.where(F.col(rows) >= least).select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in value], F.lit(True).alias("_hot"))
     cold = table.where(F.col(rows) < least).select(*keys, *value, F.lit(True).alias("_cold"))
     out = left.join(F.broadcast(hot), keys, "left")
