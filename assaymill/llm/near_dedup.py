@@ -2,11 +2,12 @@
 
 1. One pass over the texts gives each document a MinHash signature and a 128-bit key of its set of
    word shingles. Documents with one key are copies and are collapsed to a node.
-2. Bands of the signatures deal nodes into buckets. A bucket compares its members with a few
-   centres, more of them each round, and only across components that are not joined yet: a group of
-   copies is settled by its first centres, while a bucket of unlike members ends with all pairs compared
-   that could be links. Shingles that occur in one set only bound what a pair can share; no pair that
-   shares a bucket and meets the bound is lost.
+2. Bands of the signatures deal nodes into buckets. A bucket compares its members with one centre,
+   later with CENTRES of them, and only across components that are not joined yet: a group of copies is
+   settled that way. Members of buckets that stay open after the first centre are
+   dealt anew by the rare shingles of their sets (prefix filtering, which is exact), and shingles that
+   occur in one set only bound what a pair can share. In the end all pairs that could be links and are
+   not joined yet are compared; no pair that shares a bucket is lost.
 3. A pair's signatures are compared batch by batch. It is dropped as soon as the posterior
    probability of the asked similarity (uniform prior) is under ``miss``.
 4. Survivors are confirmed on their full shingle sets; confirmed links make components.
@@ -24,51 +25,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assaymill.llm._words import blocks, shingle_sets, words
+from assaymill.llm._words import blocks, mix, shingle_sets, words
 from assaymill.storage import lookup, materialize
 
 ROWS, BANDS, BATCH = 6, 24, 16
-#: All pairs of what is left are compared once they are so few for each row.
-FEW = 32
+#: Members of an open bucket that all others are compared with before the rest.
+CENTRES = 8
 K = ROWS * BANDS
 _rng = np.random.default_rng(7)
 _MULT = (_rng.integers(0, 2**31, K, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
-_SIGNATURES = "doc_id long, n_shingles long, k1 long, k2 long, signature binary"
+_SIGNATURES = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
+#: Ids of documents in shared buckets are broadcast up to this number, after a count.
+BROADCAST_IDS = 2_000_000
+
+
+def minhash(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets are not empty, and their signatures."""
+    some = np.flatnonzero(np.diff(bounds))
+    sig = np.zeros((len(some), K), np.uint32)
+    if len(some):
+        low, high, starts = sets.astype(np.uint32), (sets >> np.uint64(32)).astype(np.uint32), bounds[:-1][some]
+        for k in range(K):
+            sig[:, k] = np.minimum.reduceat(low * _MULT[k] + high, starts)
+    return some, sig
 
 
 def signatures(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to the size, key and MinHash signature of the set of shingles; no key for an empty set."""
+    """(doc_id, text) to the size and key of the set of shingles and the hashes of its signature's bands; no key for an empty set."""
     for batch in batches:
         ids = batch.column(0)
         for a, b, data, offsets in blocks(batch.column(1)):
             sets, bounds = shingle_sets(words(data, offsets), shingle_words)
-            sizes = np.diff(bounds)
-            some = np.flatnonzero(sizes)
-            sig = np.zeros((len(some), K), np.uint32)
-            if len(some):
-                low, high, starts = sets.astype(np.uint32), (sets >> np.uint64(32)).astype(np.uint32), bounds[:-1][some]
-                for k in range(K):
-                    sig[:, k] = np.minimum.reduceat(low * _MULT[k] + high, starts)
+            some, sig = minhash(sets, bounds)
             keys = np.zeros((b - a, 2), np.uint64)
-            raw: list[bytes | None] = [None] * (b - a)
+            bands = np.zeros((len(some), BANDS), np.uint64)
             for i, d in enumerate(some):
                 digest = xxhash.xxh3_128_intdigest(sets[bounds[d] : bounds[d + 1]])
                 keys[d] = digest >> 64, digest & (2**64 - 1)
-                raw[d] = sig[i].tobytes()
-            empty = sizes == 0
+            for j in range(BANDS):
+                h = np.full(len(some), j, np.uint64)
+                for column in sig[:, j * ROWS : (j + 1) * ROWS].T:
+                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + column)
+                bands[:, j] = h
+            empty = np.diff(bounds) == 0
+            edges = np.zeros(b - a + 1, np.int32)
+            np.cumsum(~empty * BANDS, out=edges[1:])
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(a, b - a).cast(pa.int64()), pa.array(sizes), *(pa.array(keys[:, j].astype(np.int64), mask=empty) for j in (0, 1)), pa.array(raw, pa.binary())],
-                names=["doc_id", "n_shingles", "k1", "k2", "signature"],
+                [ids.slice(a, b - a).cast(pa.int64()), pa.array(np.diff(bounds)), *(pa.array(keys[:, j].astype(np.int64), mask=empty) for j in (0, 1)), pa.ListArray.from_arrays(edges, bands.ravel().astype(np.int64))],
+                names=["doc_id", "n_shingles", "k1", "k2", "bands"],
             )
 
 
 def full_sets(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to the key and the whole set of shingles."""
+    """(doc_id, text) to the key, the whole set of shingles and its signature; texts without words give none."""
     for batch in batches:
         for _, _, data, offsets in blocks(batch.column(1)):
             sets, bounds = shingle_sets(words(data, offsets), shingle_words)
-            keys = [xxhash.xxh3_128_intdigest(sets[p:q]) >> 64 for p, q in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).astype(np.int64)), pa.ListArray.from_arrays(bounds.astype(np.int32), sets.astype(np.int64))], names=["node", "shingles"])
+            some, sig = minhash(sets, bounds)
+            keys = [xxhash.xxh3_128_intdigest(sets[bounds[d] : bounds[d + 1]]) >> 64 for d in some]
+            edges = np.append(bounds[some], bounds[-1]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).astype(np.int64)), pa.ListArray.from_arrays(edges, sets.astype(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary())], names=["node", "shingles", "signature"])
 
 
 def least_matches(similarity: float, miss: float) -> list[int]:
@@ -108,6 +124,13 @@ def confirm(batches: Iterator[pa.RecordBatch], least: list[int], percent: int) -
         yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], names=["a", "b"])
 
 
+def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, signatures, sets) to the number of shingles that both sets have."""
+    for batch in batches:
+        shared = [len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True)) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64())], names=["a", "b", "shared"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links to (node, root): the smallest node reachable. Labels spread over links and then jump to their own label's label."""
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
@@ -136,41 +159,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = signed.where(F.col("doc_id").isNotNull() & F.col("k1").isNotNull())
     groups = linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     groups = materialize(groups.withColumn("node", F.col("k1")), "groups")
-    band = [F.xxhash64(F.lit(i), F.expr(f"substring(signature, {4 * ROWS * i + 1}, {4 * ROWS})")) for i in range(BANDS)]
-    members = linked.select(F.col("k1").alias("node"), F.explode(F.array(*band)).alias("bucket"))
+    members = linked.select(F.col("k1").alias("node"), F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket", "low")
     members = materialize(members.join(shared, "bucket").distinct(), "buckets")
-    nodes = linked.select("doc_id", "k1", "signature").join(groups.select("node", "doc_id"), "doc_id").where("k1 = node")
-    nodes = nodes.join(members.select("node").distinct(), "node").groupBy("node").agg(F.first("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
-    sets = texts.join(nodes.select("doc_id").distinct(), "doc_id").mapInArrow(lambda it: full_sets(it, shingle_words), "node long, shingles array<long>")
-    nodes = materialize(nodes.join(sets.dropDuplicates(["node"]), "node"), "nodes")
+    needed = materialize(groups.join(members.select("node").distinct(), "node").select("doc_id").distinct(), "needed")
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
+    found = texts.join(needed, "doc_id").mapInArrow(lambda it: full_sets(it, shingle_words), "node long, shingles array<long>, signature binary")
+    nodes = materialize(found.dropDuplicates(["node"]), "nodes")
 
     least = least_matches(percent / 100, miss)
     roots = _joined(None, _confirmed(members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")), nodes, least, percent))
-    centres = 8
     if roots is not None:
         members = _viable(members, roots, nodes, percent)
-    while roots is not None:
-        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = materialize(_open(placed, 2), "open")
-        left = open_.agg(F.count("*").alias("n"), F.max("size").alias("largest"), F.sum("size").alias("rows"), F.sum(F.col("size") * F.col("size")).alias("pairs")).first()
-        if not left["n"]:
-            break
-        last = left["pairs"] <= FEW * left["rows"] or centres >= left["largest"]
-        placed = placed.join(open_, "bucket")
-        heads = placed
-        if not last:
-            order = Window.partitionBy("bucket").orderBy("alone", F.xxhash64("node"))
-            heads = placed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= centres)
-        heads = heads.select("bucket", F.col("node").alias("head"), F.col("root").alias("head_root"), F.col("n").alias("head_n"), F.col("alone").alias("head_alone"))
-        apart = F.col("root") < F.col("head_root") if last else F.col("root") != F.col("head_root")
-        most = F.least(F.col("n") - F.col("alone"), F.col("head_n") - F.col("head_alone"))
-        fewest = F.greatest(F.col("n") + F.col("head_alone"), F.col("head_n") + F.col("alone"))
-        pairs = placed.join(heads, "bucket").where(apart & (100 * most >= percent * fewest))
-        roots = _joined(roots, _confirmed(pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")), nodes, least, percent))
-        if last:
-            break
-        centres *= 8
+        roots = _joined(roots, _confirmed(_centre_pairs(_placed(members, roots), percent), nodes, least, percent))
+        roots = _joined(roots, _confirmed(_other_pairs(_placed(members, roots), nodes, percent), nodes, least, percent))
 
     if roots is not None:
         lowest = groups.join(roots, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -183,32 +185,78 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-def _open(placed: DataFrame, least: int) -> DataFrame:
-    """Buckets of at least ``least`` members that still hold several components."""
+def _placed(members: DataFrame, roots: DataFrame, least: int = 2) -> DataFrame:
+    """Members with their ``root``, in buckets of at least ``least`` members that still hold several components."""
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
-    return open_.where(F.expr("low < high") & (F.col("size") >= least)).select("bucket", "size")
+    return placed.join(open_.where(F.expr("low < high") & (F.col("size") >= least)).select("bucket"), "bucket")
+
+
+def _heads(placed: DataFrame, n: int) -> DataFrame:
+    """The ``n`` members of each bucket with the fewest shingles of their own."""
+    order = Window.partitionBy("bucket").orderBy("alone", F.xxhash64("node"))
+    return placed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+
+
+def _centre_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """Members against the CENTRES of their bucket, where they are in other components and could be linked."""
+    heads = _heads(placed, CENTRES).select("bucket", F.col("node").alias("head"), F.col("root").alias("head_root"), F.col("n").alias("head_n"), F.col("alone").alias("head_alone"))
+    most = F.least(F.col("n") - F.col("alone"), F.col("head_n") - F.col("head_alone"))
+    fewest = F.greatest(F.col("n") + F.col("head_alone"), F.col("head_n") + F.col("alone"))
+    return _ordered(placed.join(heads, "bucket").where((F.col("root") != F.col("head_root")) & (100 * most >= percent * fewest)))
+
+
+def _other_pairs(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a bucket in different components that could be linked.
+
+    Each member's overlap with its bucket's first centre is measured. Two sets then share at most the
+    smaller of those overlaps, and outside the centre at most what either has there and not alone; and if
+    the bucket's shingle is the first they share, at most what follows it in either.
+    """
+    placed = materialize(placed, "open")
+    pivot = placed.join(_heads(placed, 1).select("bucket", F.col("node").alias("head")), "bucket")
+    measured = materialize(_sided(_ordered(pivot.select("node", "head")), nodes).mapInArrow(overlaps, "a long, b long, shared long"), "overlaps")
+    known = measured.select("a", "b", "shared").union(measured.where("a <> b").select("b", "a", "shared")).toDF("node", "head", "shared")
+    near = materialize(pivot.join(known, ["node", "head"]).select("bucket", "node", "root", "n", "nth", "shared", F.greatest(F.col("n") - F.col("shared") - F.col("alone"), F.lit(0)).alias("outside")), "measured")
+    other = near.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "n", "nth", "shared", "outside")])
+    most = F.least(F.least("shared", "other_shared") + F.least("outside", "other_outside"), F.least(F.col("n") - F.col("nth"), F.col("other_n") - F.col("other_nth")) + 1)
+    could = 100 * most >= percent * (F.col("n") + F.col("other_n") - most)
+    return _ordered(near.join(other, "bucket").where((F.col("root") < F.col("other_root")) & could).withColumnRenamed("other_node", "head"))
 
 
 def _viable(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Members of open buckets with their set's size ``n`` and how many of its shingles stand ``alone``, in no other such set.
+    """Members of open buckets in new buckets, one for each shingle of their prefix, with the set's size ``n`` and ``alone``.
 
-    What stands alone is shared with nobody, so two sets share at most ``n - alone`` of either and unite
-    to at least ``n`` of one plus ``alone`` of the other. A member for which that rules out every link is left out.
+    Shingles are ordered from the rarest among these members to the most frequent. Two sets that overlap
+    enough share one of the first n - ceil(percent of n) + 1 of both (prefix filtering), so the new
+    buckets lose no link, while rare shingles keep them small. ``alone`` counts the shingles that no other
+    of these sets has: two sets share at most ``n - alone`` of either, and unite to at least ``n`` of one
+    plus ``alone`` of the other. A member for which that rules out every link is left out.
     """
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = placed.join(_open(placed, 3).select("bucket"), "bucket")  # two were compared by the first centre
-    placed = materialize(placed.select("bucket", "node"), "members")
-    sets = nodes.join(placed.select("node").distinct(), "node").select("node", "shingles")
-    once = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
-    sized = sets.select("node", F.size("shingles").alias("n")).join(once.groupBy("node").agg(F.count("*").alias("alone")), "node", "left").fillna(0, ["alone"])
-    return materialize(placed.join(sized.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")), "node"), "viable")
+    placed = _placed(members, roots, 3)  # two were compared by the first centre
+    sets = nodes.join(placed.select("node").distinct(), "node").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("bucket"))
+    sets = materialize(sets, "open-sets")
+    often = sets.groupBy("bucket").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("node").orderBy("often", "bucket")
+    ranked = sets.join(often, "bucket").withColumns({"nth": F.row_number().over(order), "alone": F.count_if(F.col("often") == 1).over(Window.partitionBy("node"))})
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    kept = ranked.where((F.col("nth") <= prefix) & (F.col("often") > 1) & (100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")))
+    return materialize(kept.select("bucket", "node", "n", "nth", F.col("alone").cast("long").alias("alone")), "viable")
+
+
+def _sided(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct (a, b) pairs with both sides' signatures and sets."""
+    sides = [nodes.select(F.col("node").alias(x), F.col("signature").alias(f"sig_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab"]
+    return pairs.distinct().join(sides[0], "a").join(sides[1], "b").select("a", "b", "sig_a", "sig_b", "set_a", "set_b")
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, least: list[int], percent: int) -> DataFrame:
     """The (a, b) pairs of nodes that the posterior bound leaves and whose full sets overlap enough."""
-    sides = [nodes.select(F.col("node").alias(x), F.col("signature").alias(f"sig_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab"]
-    both = pairs.distinct().join(sides[0], "a").join(sides[1], "b").select("a", "b", "sig_a", "sig_b", "set_a", "set_b")
-    return materialize(both.mapInArrow(lambda it: confirm(it, least, percent), "a long, b long"), "confirmed")
+    return materialize(_sided(pairs, nodes).mapInArrow(lambda it: confirm(it, least, percent), "a long, b long"), "confirmed")
 
 
 def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
