@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 V = F.col
-ALL = Window.partitionBy()
 
 
 def confusion(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from assaymill.functions.expressions import average_rank
 
-SAMPLE, FEATURE = Window.partitionBy("sample_id"), Window.partitionBy("feature_id")
+
 V = F.col
 
 
@@ -31,7 +31,7 @@ def impute_replace_one(dense: DataFrame) -> DataFrame:
 
 def impute_multi_replace(dense: DataFrame) -> DataFrame:
     """Rows closed to 1; zeros become delta = 1/P squared, the others shrink by what the zeros got."""
-    total, p, zeros = F.sum("value").over(SAMPLE), F.count("*").over(SAMPLE), F.count_if(V("value") == 0).over(SAMPLE)
+    total, p, zeros = F.sum("value").over(Window.partitionBy("sample_id")), F.count("*").over(Window.partitionBy("sample_id")), F.count_if(V("value") == 0).over(Window.partitionBy("sample_id"))
     delta = 1 / (p * p)
     return dense.withColumns({"_t": total, "_d": delta, "_z": zeros}).select("sample_id", "feature_id", F.when(V("value") == 0, V("_d")).otherwise(F.try_divide(V("value"), V("_t")) * (1 - V("_z") * V("_d"))).alias("value"))
 
@@ -56,17 +56,17 @@ def clr(cells: DataFrame, n_features: int, plus_one: bool = True, subset: DataFr
     """
     log = F.ln(V("value") + 1) if plus_one else F.ln("value")
     if subset is None:
-        mean = F.sum("_log").over(SAMPLE) / n_features
+        mean = F.sum("_log").over(Window.partitionBy("sample_id")) / n_features
         return cells.withColumn("_log", log).select("sample_id", "feature_id", (V("_log") - mean).alias("value"))
     marked = cells.withColumn("_log", log).join(F.broadcast(subset.select("feature_id", F.lit(1).alias("_in"))), "feature_id", "left")
-    mean = F.sum(F.when(V("_in") == 1, V("_log")).otherwise(0.0)).over(SAMPLE) / n_features
+    mean = F.sum(F.when(V("_in") == 1, V("_log")).otherwise(0.0)).over(Window.partitionBy("sample_id")) / n_features
     return marked.select("sample_id", "feature_id", (V("_log") - mean).alias("value"))
 
 
 def robust_clr(cells: DataFrame) -> DataFrame:
     """CLR over the non-zero values of a sample; zeros stay 0."""
     log = F.when(V("value") > 0, F.ln("value"))
-    return cells.withColumn("_log", log).select("sample_id", "feature_id", F.coalesce(V("_log") - F.avg("_log").over(SAMPLE), F.lit(0.0)).alias("value"))
+    return cells.withColumn("_log", log).select("sample_id", "feature_id", F.coalesce(V("_log") - F.avg("_log").over(Window.partitionBy("sample_id")), F.lit(0.0)).alias("value"))
 
 
 def clr_scaled(cells: DataFrame, n_features: int, scale: DataFrame, gamma: float = 0.1, seed: int = 0) -> DataFrame:
@@ -88,18 +88,18 @@ def _length(var: DataFrame, fragment: float | None) -> DataFrame:
 
 def fpkm(cells: DataFrame, var: DataFrame, fragment: float | None = None) -> DataFrame:
     """Counts by effective length and sample total, times 1e9."""
-    out = cells.withColumn("_t", F.sum("value").over(SAMPLE)).join(_length(var, fragment), "feature_id")
+    out = cells.withColumn("_t", F.sum("value").over(Window.partitionBy("sample_id"))).join(_length(var, fragment), "feature_id")
     return out.select("sample_id", "feature_id", F.coalesce(F.try_divide(V("value"), V("_len") * V("_t")) * 1e9, F.lit(0.0)).alias("value"))
 
 
 def tpm(cells: DataFrame, var: DataFrame, fragment: float | None = None) -> DataFrame:
     """Counts by effective length, as a share of the sample's sum, times 1e6."""
     out = cells.join(_length(var, fragment), "feature_id").withColumn("_rate", F.try_divide("value", "_len"))
-    return out.select("sample_id", "feature_id", F.coalesce(F.try_divide(V("_rate"), F.sum("_rate").over(SAMPLE)) * 1e6, F.lit(0.0)).alias("value"))
+    return out.select("sample_id", "feature_id", F.coalesce(F.try_divide(V("_rate"), F.sum("_rate").over(Window.partitionBy("sample_id"))) * 1e6, F.lit(0.0)).alias("value"))
 
 
 def normalize_total_log1p(cells: DataFrame, target: float = 1e4) -> DataFrame:
-    return cells.select("sample_id", "feature_id", F.log1p(F.try_divide(V("value"), F.sum("value").over(SAMPLE)) * target).alias("value"))
+    return cells.select("sample_id", "feature_id", F.log1p(F.try_divide(V("value"), F.sum("value").over(Window.partitionBy("sample_id"))) * target).alias("value"))
 
 
 def apply_size_factors(cells: DataFrame, factors: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def apply_size_factors(cells: DataFrame, factors: DataFrame) -> DataFrame:
 
 def median_of_ratios(cells: DataFrame, n_samples: int) -> DataFrame:
     """(sample_id, factor): median over features without a zero of value to the feature's geometric mean."""
-    full = cells.where("value > 0").withColumns({"_n": F.count("*").over(FEATURE), "_mean": F.avg(F.ln("value")).over(FEATURE)}).where(V("_n") == n_samples)
+    full = cells.where("value > 0").withColumns({"_n": F.count("*").over(Window.partitionBy("feature_id")), "_mean": F.avg(F.ln("value")).over(Window.partitionBy("feature_id"))}).where(V("_n") == n_samples)
     return full.groupBy("sample_id").agg(F.exp(F.median(F.ln("value") - V("_mean"))).alias("factor"))
 
 
@@ -118,14 +118,14 @@ def tmm_factors(cells: DataFrame, trim_m: float = 0.3, trim_a: float = 0.05) ->
 
     The reference is the sample whose upper quartile share is closest to the mean one (then the least id).
     """
-    sized = cells.withColumn("total", F.sum("value").over(SAMPLE)).where("total > 0")
+    sized = cells.withColumn("total", F.sum("value").over(Window.partitionBy("sample_id"))).where("total > 0")
     upper = sized.where("value > 0").groupBy("sample_id").agg(F.percentile(V("value") / V("total"), 0.75).alias("_q"))
     ref = upper.withColumn("_far", F.abs(V("_q") - F.avg("_q").over(Window.partitionBy()))).orderBy("_far", "sample_id").limit(1).select(V("sample_id").alias("_ref"))
     of_ref = sized.join(F.broadcast(ref), V("sample_id") == V("_ref")).select("feature_id", V("value").alias("_rv"), V("total").alias("_rt"))
     pair = sized.where("value > 0").join(of_ref.where("_rv > 0"), "feature_id")
     x, y = V("value") / V("total"), V("_rv") / V("_rt")
     pair = pair.select("sample_id", F.log2(x / y).alias("m"), ((F.log2(x) + F.log2(y)) / 2).alias("a"), (1 / ((V("total") - V("value")) / V("total") / V("value") + (V("_rt") - V("_rv")) / V("_rt") / V("_rv"))).alias("w"))
-    n = F.count("*").over(SAMPLE)
+    n = F.count("*").over(Window.partitionBy("sample_id"))
     pair = pair.withColumns({"n": n, "rm": average_rank(V("m"), "sample_id"), "ra": average_rank(V("a"), "sample_id")})
     low_m, low_a = F.floor(V("n") * trim_m) + 1, F.floor(V("n") * trim_a) + 1
     kept = pair.where(V("rm").between(low_m, V("n") + 1 - low_m) & V("ra").between(low_a, V("n") + 1 - low_a))
@@ -174,7 +174,7 @@ def remove_batch(dense: DataFrame, obs: DataFrame, batch: str) -> DataFrame:
     """One-factor correction on log1p: batch means moved to their plain average; then back, clipped at 0 and cut to whole counts."""
     logged = dense.join(obs.select("sample_id", V(batch).alias("_batch")), "sample_id").withColumn("_log", F.log1p("value"))
     means = logged.groupBy("_batch", "feature_id").agg(F.avg("_log").alias("_mean"))
-    means = means.withColumn("_all", F.avg("_mean").over(FEATURE))
+    means = means.withColumn("_all", F.avg("_mean").over(Window.partitionBy("feature_id")))
     out = logged.join(means, ["_batch", "feature_id"])
     return out.select("sample_id", "feature_id", F.floor(F.greatest(F.expm1(V("_log") - V("_mean") + V("_all")), F.lit(0.0)) + 1e-9).cast("double").alias("value"))
 
