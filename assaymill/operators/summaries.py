@@ -95,7 +95,7 @@ def fraction_by_meta(fractions: DataFrame, obs: DataFrame, columns: Sequence[str
 
 def enrichment_summary(results: DataFrame, category: str, analysis: str, analyses: Sequence[str], p: Column, alpha: float = 0.05) -> DataFrame:
     """Significant rows per category and analysis, absent pairs as 0."""
-    return results.where(p < alpha).groupBy(category).pivot(analysis, list(analyses)).agg(F.count("*")).fillna(0)
+    return results.where(p < alpha).groupBy(category).pivot(analysis, list(analyses)).agg(F.count(F.lit(1))).fillna(0)
 
 
 def effect_summary(df: DataFrame, group: str, effect: str, significant: Column) -> DataFrame:
