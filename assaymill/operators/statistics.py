@@ -159,7 +159,7 @@ def central(pairs: DataFrame, value: str = "rho") -> DataFrame:
 
 
 def enrichment(ranked: DataFrame, sets: DataFrame, score: str = "score") -> tuple[DataFrame, DataFrame]:
-    """((set_name, es, at), leading edge (set_name, feature_id)): largest deviation of the running sum over features by falling score.
+    """((set_name, es, peak), leading edge (set_name, feature_id)): largest deviation of the running sum over features by falling score.
 
     Hits step by their share of the members' absolute scores, misses by an equal share.
     """
@@ -171,8 +171,8 @@ def enrichment(ranked: DataFrame, sets: DataFrame, score: str = "score") -> tupl
     grid = grid.withColumn("_walk", F.round(walk, 9))
     top = grid.groupBy("set_name").agg(F.max("_walk").alias("_hi"), F.min("_walk").alias("_lo"))
     top = top.withColumn("es", F.when(V("_hi") >= -V("_lo"), V("_hi")).otherwise(V("_lo")))
-    at = grid.join(top.select("set_name", "es"), "set_name").where("_walk = es").groupBy("set_name").agg(F.first("es").alias("es"), F.min("_pos").alias("at"))
-    edge = grid.where("_in = 1").join(at, "set_name").where(F.when(V("es") >= 0, V("_pos") <= V("at")).otherwise(V("_pos") > V("at")))
+    at = grid.join(top.select("set_name", "es"), "set_name").where("_walk = es").groupBy("set_name").agg(F.first("es").alias("es"), F.min("_pos").alias("peak"))
+    edge = grid.where("_in = 1").join(at, "set_name").where(F.when(V("es") >= 0, V("_pos") <= V("peak")).otherwise(V("_pos") > V("peak")))
     return at, edge.select("set_name", "feature_id")
 
 

@@ -262,19 +262,19 @@ ES = """walk AS (SELECT set_name, feature_id, i, pos, round(coalesce(sum(h) OVER
   SELECT s.set_name, f.feature_id, CASE WHEN t.feature_id IS NULL THEN 0 ELSE 1 END AS i, CASE WHEN t.feature_id IS NULL THEN 0.0 ELSE abs(f.score) END AS h, row_number() OVER (PARTITION BY s.set_name ORDER BY f.score DESC, f.feature_id) AS pos FROM (SELECT feature_id, length - 1900 AS score FROM var) f CROSS JOIN (SELECT DISTINCT set_name FROM sets) s LEFT JOIN sets t ON t.set_name = s.set_name AND t.feature_id = f.feature_id)
   WINDOW q AS (PARTITION BY set_name), o AS (PARTITION BY set_name ORDER BY pos ROWS UNBOUNDED PRECEDING)),
 tops AS (SELECT set_name, CASE WHEN max(w) >= -min(w) THEN max(w) ELSE min(w) END AS es FROM walk GROUP BY 1),
-ats AS (SELECT t.set_name, t.es, min(pos) AS "at" FROM tops t JOIN walk k ON k.set_name = t.set_name AND k.w = t.es GROUP BY 1, 2)"""
+ats AS (SELECT t.set_name, t.es, min(pos) AS peak FROM tops t JOIN walk k ON k.set_name = t.set_name AND k.w = t.es GROUP BY 1, 2)"""
 
 
 def _enrichment(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
     return st.enrichment(fx.var.select("feature_id", (V("length") - 1900).alias("score")), fx.sets)
 
 
-@query(f"SELECT set_name, {r('es')} AS es, "at"::INT AS "at" FROM ats", ES)
+@query(f"SELECT set_name, {r('es')} AS es, peak::INT AS peak FROM ats", ES)
 def enrichment_score(fx: Fixtures) -> DataFrame:
     return _enrichment(fx)[0]
 
 
-@query("SELECT k.set_name, k.feature_id FROM walk k JOIN ats a USING (set_name) WHERE i = 1 AND CASE WHEN es >= 0 THEN pos <= a."at" ELSE pos > a."at" END", ES)
+@query("SELECT k.set_name, k.feature_id FROM walk k JOIN ats a USING (set_name) WHERE i = 1 AND CASE WHEN es >= 0 THEN pos <= peak ELSE pos > peak END", ES)
 def leading_edge(fx: Fixtures) -> DataFrame:
     return _enrichment(fx)[1]
 
