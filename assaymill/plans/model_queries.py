@@ -703,3 +703,126 @@ def forest_holdout(fx: Fixtures) -> DataFrame:
     model = mo.Pipeline([scaler], mo.classifier("forest", numTrees=8, maxDepth=4), features)
     test = V("sample_id") % 4 == 0
     return model.fit(fx.dense.where(~test), fx.labels).predict(fx.dense.where(test)).join(fx.labels, "sample_id")
+
+# contrasts -------------------------------------------------------------------------------------
+
+from assaymill.operators import contrasts as co  # noqa: E402
+
+
+def _logs(fx: Fixtures) -> DataFrame:
+    return fx.dense.withColumn("value", F.log1p("value"))
+
+
+def _features(fx: Fixtures) -> list[str]:
+    return [x["feature_id"] for x in fx.var.select("feature_id").orderBy("feature_id").collect()]
+
+
+@query(f"SELECT a.feature_id, {r('log2(a.m1 + 1) - log2(a.m2 + 1)')} AS lfc_asia, {r('log2(b.m1 + 1) - log2(b.m2 + 1)')} AS lfc_europe FROM mom a JOIN mom b ON a.feature_id = b.feature_id AND a.label = 'ASIA' AND b.label = 'EUROPE'", MOMENTS)
+def ovr_consistency(fx: Fixtures) -> DataFrame:
+    lfc = st.ovr_lfc(_moments(fx))
+    one = lambda x: lfc.where(V("label") == x).drop("label")
+    return co.joined_results(one("ASIA"), one("EUROPE"), "feature_id", ("asia", "europe"))
+
+
+@query(f"SELECT feature_id, {r('a')} AS mean_a, {r('b')} AS mean_b, {r('a - b')} AS lfc FROM (SELECT feature_id, avg(ln(value + 1)) FILTER (WHERE label = 'ASIA') AS a, avg(ln(value + 1)) FILTER (WHERE label = 'EUROPE') AS b FROM dense JOIN obs USING (sample_id) GROUP BY 1)")
+def group_mean_logcpm(fx: Fixtures) -> DataFrame:
+    return co.group_means(_logs(fx), fx.obs, "label", "ASIA", "EUROPE")
+
+
+@query(f"SELECT feature_id, label, {r('m - (sum(m) OVER w - m) / (count(*) OVER w - 1)')} AS lfc FROM (SELECT feature_id, label, avg(ln(value + 1)) AS m FROM dense JOIN obs USING (sample_id) GROUP BY 1, 2) WINDOW w AS (PARTITION BY feature_id)")
+def ovr_contrast(fx: Fixtures) -> DataFrame:
+    return co.ovr_contrast(_logs(fx), fx.obs, "label")
+
+
+@query(f"""SELECT feature_id, batch AS label, {r('(sum(k) - count(*) * (count(*) + 1) / 2) / (count(*) * (any_value(n) - count(*)))')} AS auroc FROM (SELECT *, rank() OVER (PARTITION BY feature_id ORDER BY value) + (count(*) OVER (PARTITION BY feature_id, value) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY feature_id) AS n FROM dense JOIN obs USING (sample_id) WHERE label = 'ASIA') GROUP BY 1, 2""")
+def wilcoxon_two_group(fx: Fixtures) -> DataFrame:
+    asia = fx.obs.where("label = 'ASIA'")
+    return st.auroc(fx.dense.join(asia.select("sample_id"), "sample_id", "left_semi"), asia, "batch").select("feature_id", "label", "auroc")
+
+
+ROLES = "rol AS (SELECT d.*, label, CASE WHEN d.sample_id % 4 = 0 THEN 'test' ELSE 'train' END AS role FROM dense d JOIN obs USING (sample_id)), cmp AS (SELECT feature_id, label, avg(value) FILTER (WHERE role = 'test') AS t, avg(value) FILTER (WHERE role = 'train') AS n, avg(value) AS a FROM rol GROUP BY 1, 2 HAVING count(DISTINCT role) = 2)"
+
+
+def _roles(fx: Fixtures) -> DataFrame:
+    return fx.obs.withColumn("role", F.when(V("sample_id") % 4 == 0, "test").otherwise("train"))
+
+
+@query(f"SELECT feature_id, {r('avg(t - n)')} AS shift FROM cmp GROUP BY 1", ROLES)
+def split_shift(fx: Fixtures) -> DataFrame:
+    return co.split_shift(fx.dense, _roles(fx), "label", "role")
+
+
+@query(f"SELECT feature_id, label, {r('t - n')} AS vs_train, {r('t - a')} AS vs_all, {r('abs(t - n) - abs(t - a)')} AS gap FROM cmp", ROLES)
+def split_compare(fx: Fixtures) -> DataFrame:
+    return co.split_compare(fx.dense, _roles(fx), "label", "role")
+
+
+@query("SELECT p_brand, CASE WHEN bool_or(p_size > 48) AND bool_or(p_retailprice > 1000) THEN 'both' WHEN bool_or(p_size > 48) THEN 'first' ELSE 'second' END AS found FROM part WHERE p_size > 48 OR p_retailprice > 1000 GROUP BY 1")
+def enrichment_overlap(fx: Fixtures) -> DataFrame:
+    part = fx.read("part")
+    return co.set_overlap(part.where("p_size > 48"), part.where("p_retailprice > 1000"), "p_brand")
+
+
+@query("SELECT x, y, sum(n)::BIGINT AS n FROM (SELECT label AS x, other_label AS y, count(*) AS n FROM nn WHERE k = 1 AND label <> other_label GROUP BY 1, 2 UNION ALL SELECT other_label, label, count(*) FROM nn WHERE k = 1 AND label <> other_label GROUP BY 1, 2) GROUP BY 1, 2", NEAR)
+def tomek_matrix(fx: Fixtures) -> DataFrame:
+    return co.symmetric(sp.cross_links(_near(fx, 1))[1])
+
+
+@query(_metric_sql("task")[0], "both_tasks AS (SELECT 'model' AS task, truth, prediction FROM pred UNION ALL SELECT 'fold', truth, CASE WHEN fold = 0 THEN truth ELSE prediction END FROM pred)", _metric_sql("task")[1].replace("FROM pred", "FROM both_tasks"))
+def multitask_metrics(fx: Fixtures) -> DataFrame:
+    one = fx.pred.select(F.lit("model").alias("task"), "truth", "prediction")
+    two = fx.pred.select(F.lit("fold").alias("task"), "truth", F.when(V("fold") == 0, V("truth")).otherwise(V("prediction")).alias("prediction"))
+    return ev.metrics(ev.confusion(one.union(two), ["task"]), ["task"])
+
+
+@query(f"SELECT class, feature_id, {r('m')} AS importance, k::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY m DESC, feature_id) AS k FROM (SELECT class, feature_id, round(avg(abs(x)), 9) AS m FROM con GROUP BY 1, 2)) WHERE k <= 5", CONTRIB)
+def most_important(fx: Fixtures) -> DataFrame:
+    from assaymill.operators.summaries import top_n
+
+    m = _contrib(fx).groupBy("class", "feature_id").agg(F.round(F.avg(F.abs("contribution")), 9).alias("importance"))
+    return top_n(m, [F.desc("importance"), V("feature_id")], 5, ["class"])
+
+
+@query("SELECT p_type, p_brand, score, k::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY score DESC, p_brand) AS k FROM (SELECT r.*, f FROM rat r LEFT JOIN (SELECT p_brand, min(p_type) AS f FROM rat WHERE i <= 3 GROUP BY 1) USING (p_brand)) WHERE f IS NULL OR f >= p_type) WHERE k <= 3", "rat AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY score DESC, p_brand) AS i FROM (SELECT p_type, p_brand, round(sum(p_retailprice) / sum(p_size), 6) AS score FROM part WHERE p_brand <> 'Brand#1' GROUP BY 1, 2))")
+def disjoint_top_n_ratio(fx: Fixtures) -> DataFrame:
+    from assaymill.operators.summaries import disjoint_top_n
+
+    ratio = fx.read("part").where("p_brand <> 'Brand#1'").groupBy("p_type", "p_brand").agg(F.round(F.sum("p_retailprice") / F.sum("p_size"), 6).alias("score"))
+    return disjoint_top_n(ratio, "p_type", "p_type", "p_brand", "score", 3)
+
+
+@query(f"SELECT sample_id, feature_id, {r('value - b + a')} AS value FROM (SELECT d.*, avg(value) OVER (PARTITION BY batch, feature_id) AS b, avg(CASE WHEN batch = 'b0' THEN value END) OVER (PARTITION BY feature_id) AS a FROM dense d JOIN obs USING (sample_id))")
+def rbe_design(fx: Fixtures) -> DataFrame:
+    design = fx.obs.select("sample_id", F.explode(F.array(F.struct(F.lit("one").alias("term"), F.lit(1.0).alias("x")), F.struct(F.lit("b1").alias("term"), (V("batch") == "b1").cast("double").alias("x")))).alias("e")).select("sample_id", "e.term", "e.x")
+    return co.remove_design(fx.dense, design, ["b1"])
+
+
+@query()
+def quantile_batch(fx: Fixtures) -> DataFrame:
+    return co.quantile_batch(fx.dense, fx.obs, "batch", "b0")
+
+
+@query()
+def plage_scores(fx: Fixtures) -> DataFrame:
+    return co.plage(fx.dense, fx.sets)
+
+
+@query()
+def pca_scores(fx: Fixtures) -> DataFrame:
+    out = co.principal_components(fx.dense, _features(fx), 2)
+    return out.select("sample_id", V("scores")[0].alias("pc1"), V("scores")[1].alias("pc2"))
+
+
+@query()
+def kmeans_clusters(fx: Fixtures) -> DataFrame:
+    return co.clusters(fx.dense, _features(fx), 3)
+
+
+@query()
+def l1_coefficients(fx: Fixtures) -> DataFrame:
+    return co.l1_coefficients(fx.dense, fx.labels, _features(fx), 0.01)
+
+
+@query()
+def forest_importances(fx: Fixtures) -> DataFrame:
+    return co.forest_importances(fx.dense, fx.labels, _features(fx))
