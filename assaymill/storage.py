@@ -45,8 +45,8 @@ def lookup(left: DataFrame, table: DataFrame, keys: list[str], rows: str) -> Dat
     hot = table.where(F.col(rows) >= least).select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in value], F.lit(True).alias("_hot"))
     cold = table.where(F.col(rows) < least).select(*keys, *value, F.lit(True).alias("_cold"))
     out = left.join(F.broadcast(hot), keys, "left")
-    # Rows served by the broadcast, and rows without a key, go to the shuffle under keys of their own.
-    spread = F.when(F.col("_hot") | F.concat(*[F.col(k).cast("string") for k in keys]).isNull(), F.rand(7)).otherwise(F.lit(-1.0))
-    out = out.withColumn("_spread", spread).join(cold.withColumn("_spread", F.lit(-1.0)), [*keys, "_spread"], "left")
+    # Rows served by the broadcast, and rows without a key, go to the shuffle under a hash of all they hold.
+    spread = F.when(F.col("_hot") | F.concat(*[F.col(k).cast("string") for k in keys]).isNull(), F.xxhash64(*left.columns)).otherwise(F.lit(-1))
+    out = out.withColumn("_spread", spread.cast("long")).join(cold.withColumn("_spread", F.lit(-1).cast("long")), [*keys, "_spread"], "left")
     picked = [F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in value]
     return out.select(*left.columns, *picked)
