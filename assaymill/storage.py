@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 
 #: Tables of so many narrow rows are broadcast whole, after a count.
 SMALL = 10_000
+_local: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one is set only where none is configured (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a local one stands in only where none is configured (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="assaymill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="assaymill-"))
+        folder = _local[0]
     return folder.rstrip("/")
 
 

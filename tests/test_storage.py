@@ -14,11 +14,15 @@ def test_lookup_with_hot_keys_and_nulls(spark, monkeypatch):
     assert got == want and len(got) == 6000
 
 
-def test_materialize_uses_the_configured_folder(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        out = storage.materialize(spark.range(5), "five")
-        assert out.count() == 5 and len(list(tmp_path.iterdir())) == 1
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+def test_materialize_uses_the_configured_folder(spark, monkeypatch, tmp_path):
+    assert storage.scratch_dir(spark) == (spark.conf.get("spark.checkpoint.dir", None) or storage._local[0]).rstrip("/")
+    monkeypatch.setattr(storage, "scratch_dir", lambda _: f"file://{tmp_path}")
+    assert storage.materialize(spark.range(5), "five").count() == 5 and len(list(tmp_path.iterdir())) == 1
+
+
+def test_local_folder_without_a_configured_one(tmp_path):
+    class Unset:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+    assert storage.scratch_dir(Unset) == storage.scratch_dir(Unset) and storage.scratch_dir(Unset).startswith("file:///")
