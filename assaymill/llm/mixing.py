@@ -168,8 +168,8 @@ def mixed(docs: DataFrame, weights: Callable[[list[str | None]], list[float]], s
     """``docs`` with every row repeated as often as the mix takes it; rows it does not take are left out."""
     plan = mixture(docs, weights, share, most, id_col, text_col, source_col, seed)
     name = lambda i, s, n: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("")), n.cast("string"), F.coalesce(F.concat(F.lit("="), s), F.lit("")))
-    plan = plan.where("copies > 0").select(name(F.col("doc_id"), F.col("source"), F.col("size")).alias("_unit"), F.col("nth").alias("_nth"), F.col("copies").alias("_copies"))
-    keyed = docs.withColumn("_unit", name(F.col(id_col).cast("long"), F.col(source_col).cast("string"), words(F.col(text_col).cast("string"))))
-    keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_unit").orderBy(text_col)).cast("long"))
-    out = keyed.join(plan, ["_unit", "_nth"])
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    plan = plan.where("copies > 0").select(name(F.col("doc_id"), F.col("source"), F.col("size")).alias("__mix_unit"), F.col("nth").alias("__mix_nth"), F.col("copies").alias("__mix_copies"))
+    keyed = docs.withColumn("__mix_unit", name(F.col(id_col).cast("long"), F.col(source_col).cast("string"), words(F.col(text_col).cast("string"))))
+    keyed = keyed.withColumn("__mix_nth", F.row_number().over(Window.partitionBy("__mix_unit").orderBy(text_col)).cast("long"))
+    out = keyed.join(plan, ["__mix_unit", "__mix_nth"])
+    return out.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))).select(*docs.columns)

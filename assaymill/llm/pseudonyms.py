@@ -236,7 +236,7 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
 
     text = F.col(text_col)
     found = F.regexp_extract_all(text, F.lit(SCAN), F.lit(0))
-    out = docs.withColumn("_found", F.transform(found, lambda m: F.struct(m.alias("old"), replaced(m).alias("r"))))
-    mended = F.array_join(F.flatten(F.zip_with(F.split(text, SCAN, -1), "_found", lambda p, m: F.array(p, F.coalesce(m["r"]["new"], m["old"], F.lit(""))))), "")
-    kinds = F.filter(F.transform("_found", lambda m: m["r"]["kind"]), F.isnotnull)
-    return out.withColumns({text_col: F.when(F.size("_found") > 0, mended).otherwise(text), "pii_kinds": F.coalesce(kinds, F.array().cast("array<string>"))}).drop("_found")
+    out = docs.withColumn("__pii_found", F.transform(found, lambda m: F.struct(m.alias("old"), replaced(m).alias("r"))))
+    mended = F.array_join(F.flatten(F.zip_with(F.split(text, SCAN, -1), "__pii_found", lambda p, m: F.array(p, F.coalesce(m["r"]["new"], m["old"], F.lit(""))))), "")
+    kinds = F.filter(F.transform("__pii_found", lambda m: m["r"]["kind"]), F.isnotnull)
+    return out.withColumns({text_col: F.when(F.size("__pii_found") > 0, mended).otherwise(text), "pii_kinds": F.coalesce(kinds, F.array().cast("array<string>"))}).drop("__pii_found")

@@ -47,3 +47,10 @@ def test_empty_table_scans_and_packs_nothing(spark):
 def test_null_only_table(spark, name):
     docs = frame(spark, [(None,) * 12] * 3)
     assert len(OPERATORS[name](docs).collect()) == 3
+
+
+def test_clashing_columns_survive(spark):
+    names = ("_unit", "_nth", "_copies", "_found", "size", "copies", "kept")
+    docs = frame(spark).select("doc_id", "text", "lang", "source").withColumns({n: F.lit(n) for n in names})
+    for out in (mixing.mixed(docs, weights), pseudonyms.pseudonymize(docs, "k"), language_id.identify(docs, language_id.train(docs, F.col("doc_id")))):
+        assert all(r[n] == n for r in out.select(*names).collect() for n in names)
