@@ -117,3 +117,72 @@ def class_medoids(dense: DataFrame, labels: DataFrame) -> DataFrame:
     m = d.groupBy("label", "sample_id").agg(F.round(F.avg("distance"), 9).alias("mean_distance"))
     w = Window.partitionBy("label").orderBy("mean_distance", "sample_id")
     return m.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def class_scores(model, data: DataFrame, codes: DataFrame) -> DataFrame:
+    """(sample_id, class, score) from a probabilistic Spark ML model and ``label_encode``'s codes."""
+    from pyspark.ml.functions import vector_to_array
+
+    out = model.transform(data).select("sample_id", F.posexplode(vector_to_array("probability")).alias("code", "score"))
+    return out.join(F.broadcast(codes), "code").select("sample_id", V("value").alias("class"), "score")
+
+
+def alr_ensemble(train: DataFrame, test: DataFrame, labels: DataFrame, references: Mapping[str, float], features: Sequence[str], kind: str = "logistic", **params) -> DataFrame:
+    """(sample_id, class, score): one model per reference feature on its log ratios, soft vote by weight; absent references are skipped.
+
+    References are few (a list that the caller gives); each model trains on Spark.
+    """
+    from assaymill.operators.normalise import alr
+
+    codes = label_encode(labels, "label")
+    coded = labels.join(codes, V("label") == V("value")).select("sample_id", V("code").cast("double").alias("label"))
+    votes = []
+    for ref, weight in references.items():
+        if ref not in features:
+            continue
+        rest = [f for f in features if f != ref]
+        model = classifier(kind, **params).fit(vectors(alr(train, ref), rest).join(coded, "sample_id").select("features", "label"))
+        votes.append((class_scores(model, vectors(alr(test, ref), rest), codes), weight))
+    return soft_vote(votes)
+
+
+@dataclass
+class TwoStage:
+    """An outer model whose predicted label joins the inner model's features as one more cell of each sample."""
+
+    outer: Pipeline
+    inner: Pipeline
+
+    def _extended(self, cells: DataFrame) -> DataFrame:
+        told = self.outer.predict(cells).select("sample_id", F.concat(F.lit("outer="), V("prediction")).alias("feature_id"), F.lit(1.0).alias("value"))
+        return cells.select("sample_id", "feature_id", "value").unionByName(told)
+
+    def fit(self, cells: DataFrame, outer_labels: DataFrame, labels: DataFrame) -> TwoStage:
+        self.outer.fit(cells, outer_labels)
+        names = [f"outer={r['value']}" for r in self.outer.codes.collect()]
+        self.inner.features = [*self.inner.features, *names]
+        self.inner.fit(self._extended(cells), labels)
+        return self
+
+    def predict(self, cells: DataFrame) -> DataFrame:
+        return self.inner.predict(self._extended(cells))
+
+
+def per_task(make: Callable[[], Pipeline], cells: DataFrame, tasks: Mapping[str, DataFrame], test: DataFrame) -> DataFrame:
+    """(task, sample_id, prediction) of an independent model for each task's labels."""
+    out = None
+    for task, labels in tasks.items():
+        one = make().fit(cells, labels).predict(test).withColumn("task", F.lit(task))
+        out = one if out is None else out.unionByName(one)
+    return out.select("task", "sample_id", "prediction")
+
+
+def inclusion(groups: Sequence[str], score: Callable[[list[str]], float]) -> list[str]:
+    """Groups taken one after the other, each kept only if the score of those kept so far improves."""
+    kept: list[str] = []
+    best = float("-inf")
+    for g in groups:
+        s = score([*kept, g])
+        if s > best:
+            kept, best = [*kept, g], s
+    return kept

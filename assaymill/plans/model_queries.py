@@ -826,3 +826,37 @@ def l1_coefficients(fx: Fixtures) -> DataFrame:
 @query()
 def forest_importances(fx: Fixtures) -> DataFrame:
     return co.forest_importances(fx.dense, fx.labels, _features(fx))
+
+
+@query()
+def alr_ensemble_holdout(fx: Fixtures) -> DataFrame:
+    one = nm.impute_plus_one(fx.dense)
+    test = V("sample_id") % 4 == 0
+    return mo.alr_ensemble(one.where(~test), one.where(test), fx.labels, {"Brand#1": 1.0, "Brand#3": 2.0, "absent": 1.0}, _features(fx), maxIter=10)
+
+
+@query()
+def two_stage_holdout(fx: Fixtures) -> DataFrame:
+    f, test = _features(fx), V("sample_id") % 4 == 0
+    model = mo.TwoStage(mo.Pipeline([], mo.classifier("tree", maxDepth=3), f), mo.Pipeline([], mo.classifier("tree", maxDepth=4), f))
+    return model.fit(fx.dense.where(~test), fx.obs.select("sample_id", V("batch").alias("label")), fx.labels).predict(fx.dense.where(test))
+
+
+@query()
+def per_task_holdout(fx: Fixtures) -> DataFrame:
+    f, test = _features(fx), V("sample_id") % 4 == 0
+    tasks = {"region": fx.labels, "batch": fx.obs.select("sample_id", V("batch").alias("label"))}
+    return mo.per_task(lambda: mo.Pipeline([], mo.classifier("tree", maxDepth=3), f), fx.dense.where(~test), tasks, fx.dense.where(test))
+
+
+@query("SELECT term, k::INT AS rank FROM (SELECT term, row_number() OVER (ORDER BY n DESC, term) AS k FROM (SELECT parent AS term, count(*) AS n FROM edges WHERE parent <> 'all' GROUP BY 1)) WHERE k <= 3")
+def parent_terms(fx: Fixtures) -> DataFrame:
+    below = hi.closure(fx.edges)
+    children = hi.n_children(fx.edges).where("term <> 'all'").join(hi.levels(fx.edges), "term")
+    chosen = co.greedy_parents(children, below, 3)
+    return fx.spark.createDataFrame([(t, i + 1) for i, t in enumerate(chosen)], "term string, rank int")
+
+
+@query()
+def eliminated_features(fx: Fixtures) -> DataFrame:
+    return fx.spark.createDataFrame([(f,) for f in co.eliminate(fx.dense, fx.labels, _features(fx), 8)], "feature_id string")
