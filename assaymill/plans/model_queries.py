@@ -140,8 +140,8 @@ def auroc_ovr_p(fx: Fixtures) -> DataFrame:
     return st.auroc(fx.dense, fx.obs, "label").where("z is not null").withColumn("p", st.two_sided_p(V("z")))
 
 
-MOMENTS = "mom AS (SELECT c.feature_id, c.label, n1, n2, s1 / n1 AS m1, s2 / n2 AS m2, (q1 - s1 * s1 / n1) / (n1 - 1) AS v1, (q2 - s2 * s2 / n2) / (n2 - 1) AS v2 FROM (SELECT d.feature_id, o.label, sum(value) AS s1, sum(value * value) AS q1, count(*)::DOUBLE AS n1, sum(sum(value)) OVER w - sum(value) AS s2, sum(sum(value * value)) OVER w - sum(value * value) AS q2, (sum(count(*)) OVER w - count(*))::DOUBLE AS n2 FROM dense d JOIN obs o USING (sample_id) GROUP BY 1, 2 WINDOW w AS (PARTITION BY d.feature_id)) c WHERE s1 > 0)"
-WELCH = "wel AS (SELECT feature_id, label, (m1 - m2) / nullif(sqrt(v1 / n1 + v2 / n2), 0) AS t, (v1 / n1 + v2 / n2) ** 2 / nullif((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1), 0) AS df FROM mom)"
+MOMENTS = "mom AS (SELECT c.feature_id, c.label, n1, n2, s1 / n1 AS m1, s2 / n2 AS m2, (q1 - s1 * s1 / n1) / nullif(n1 - 1, 0) AS v1, (q2 - s2 * s2 / n2) / nullif(n2 - 1, 0) AS v2 FROM (SELECT d.feature_id, o.label, sum(value) AS s1, sum(value * value) AS q1, count(*)::DOUBLE AS n1, sum(sum(value)) OVER w - sum(value) AS s2, sum(sum(value * value)) OVER w - sum(value * value) AS q2, (sum(count(*)) OVER w - count(*))::DOUBLE AS n2 FROM dense d JOIN obs o USING (sample_id) GROUP BY 1, 2 WINDOW w AS (PARTITION BY d.feature_id)) c WHERE s1 > 0)"
+WELCH = "wel AS (SELECT feature_id, label, (m1 - m2) / nullif(sqrt(v1 / n1 + v2 / n2), 0) AS t, (v1 / n1 + v2 / n2) ** 2 / nullif((v1 / n1) ** 2 / nullif(n1 - 1, 0) + (v2 / n2) ** 2 / nullif(n2 - 1, 0), 0) AS df FROM mom)"
 
 
 def _moments(fx: Fixtures) -> DataFrame:
@@ -734,7 +734,7 @@ def ovr_contrast(fx: Fixtures) -> DataFrame:
     return co.ovr_contrast(_logs(fx), fx.obs, "label")
 
 
-@query(f"""SELECT feature_id, batch AS label, {r('(sum(k) - count(*) * (count(*) + 1) / 2) / (count(*) * (any_value(n) - count(*)))')} AS auroc FROM (SELECT *, rank() OVER (PARTITION BY feature_id ORDER BY value) + (count(*) OVER (PARTITION BY feature_id, value) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY feature_id) AS n FROM dense JOIN obs USING (sample_id) WHERE label = 'ASIA') GROUP BY 1, 2""")
+@query(f"""SELECT feature_id, batch AS label, {r('(sum(k) - count(*) * (count(*) + 1) / 2) / (count(*) * (any_value(n) - count(*)))')} AS auroc FROM (SELECT *, rank() OVER (PARTITION BY feature_id ORDER BY value) + (count(*) OVER (PARTITION BY feature_id, value) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY feature_id) AS n FROM dense JOIN obs USING (sample_id) WHERE label = 'ASIA') GROUP BY 1, 2 HAVING count(*) < any_value(n)""")
 def wilcoxon_two_group(fx: Fixtures) -> DataFrame:
     asia = fx.obs.where("label = 'ASIA'")
     return st.auroc(fx.dense.join(asia.select("sample_id"), "sample_id", "left_semi"), asia, "batch").select("feature_id", "label", "auroc")
