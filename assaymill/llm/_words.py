@@ -6,6 +6,7 @@ words are cut on the encoded bytes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 _rng = np.random.default_rng(20_240_117)
 _BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
 _BASE = int(_rng.integers(1, 2**63)) * 2 + 1
@@ -36,6 +37,16 @@ def _power(kind: str, n: int) -> np.ndarray:
     return have[:n]
 
 
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches as they come; then freed memory goes back to the system, for a worker lives on between tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = x ^ (x >> np.uint64(30))

@@ -18,8 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assaymill.llm._words import tidy
+
 UNKNOWN = "und"
-BITS, DIM, SIZES, BLOCK_CHARS = 16, 16, (2, 3, 4), 1_000_000
+BITS, DIM, SIZES, BLOCK_CHARS = 16, 16, (2, 3, 4), 500_000
 _letters: list[np.ndarray] = []
 
 
@@ -210,4 +212,4 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
             gone = [n == UNKNOWN or s < model.least for n, s in zip(names, scores, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(gone, pa.bool_())], names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lambda it: tidy(run(it)), schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assaymill.llm._words import blocks, mix, shingle_sets, words
+from assaymill.llm._words import blocks, mix, shingle_sets, tidy, words
 from assaymill.storage import lookup, materialize
 
 ROWS, BANDS, BATCH = 6, 24, 16
@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows share their id, so both are kept. Other columns of ``docs`` are not read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialize(texts.mapInArrow(lambda it: signatures(it, shingle_words), _SIGNATURES), "signatures")
+    signed = materialize(texts.mapInArrow(lambda it: tidy(signatures(it, shingle_words)), _SIGNATURES), "signatures")
     linked = signed.where(F.col("doc_id").isNotNull() & F.col("k1").isNotNull())
     groups = linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     groups = materialize(groups.withColumn("node", F.col("k1")), "groups")
@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(members.join(shared, "bucket").distinct(), "buckets")
     needed = materialize(groups.join(members.select("node").distinct(), "node").select("doc_id").distinct(), "needed")
     needed = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
-    found = texts.join(needed, "doc_id").mapInArrow(lambda it: full_sets(it, shingle_words), "node long, shingles array<long>, signature binary")
+    found = texts.join(needed, "doc_id").mapInArrow(lambda it: tidy(full_sets(it, shingle_words)), "node long, shingles array<long>, signature binary")
     nodes = materialize(found.dropDuplicates(["node"]), "nodes")
 
     least = least_matches(percent / 100, miss)
@@ -219,7 +219,7 @@ def _other_pairs(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     """
     placed = materialize(placed, "open")
     pivot = placed.join(_heads(placed, 1).select("bucket", F.col("node").alias("head")), "bucket")
-    measured = materialize(_sided(_ordered(pivot.select("node", "head")), nodes).mapInArrow(overlaps, "a long, b long, shared long"), "overlaps")
+    measured = materialize(_sided(_ordered(pivot.select("node", "head")), nodes).mapInArrow(lambda it: tidy(overlaps(it)), "a long, b long, shared long"), "overlaps")
     known = measured.select("a", "b", "shared").union(measured.where("a <> b").select("b", "a", "shared")).toDF("node", "head", "shared")
     near = materialize(pivot.join(known, ["node", "head"]).select("bucket", "node", "root", "n", "nth", "shared", F.greatest(F.col("n") - F.col("shared") - F.col("alone"), F.lit(0)).alias("outside")), "measured")
     other = near.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "n", "nth", "shared", "outside")])
@@ -256,7 +256,7 @@ def _sided(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, least: list[int], percent: int) -> DataFrame:
     """The (a, b) pairs of nodes that the posterior bound leaves and whose full sets overlap enough."""
-    return materialize(_sided(pairs, nodes).mapInArrow(lambda it: confirm(it, least, percent), "a long, b long"), "confirmed")
+    return materialize(_sided(pairs, nodes).mapInArrow(lambda it: tidy(confirm(it, least, percent)), "a long, b long"), "confirmed")
 
 
 def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:

@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assaymill.llm._words import blocks, words
+from assaymill.llm._words import blocks, tidy, words
 from assaymill.storage import materialize
 
-CACHED_WORDS = 2_000_000
+CACHED_WORDS = 1_500_000
 BROADCAST_ROWS = 200_000
 _caches: dict[str, WordCache] = {}
 _TOKENS = "doc_id long, ids binary, n_ids long, part int, rest int, nth long, windows_before long"
@@ -252,7 +252,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     width = WordCache(tokenizer).width
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tokens = materialize(texts.mapInArrow(lambda it: tokenize(it, tokenizer, end_id, window), _TOKENS), "tokens")
+    tokens = materialize(texts.mapInArrow(lambda it: tidy(tokenize(it, tokenizer, end_id, window)), _TOKENS), "tokens")
     rests = tokens.where("rest > 0").groupBy("rest", "part").agg(F.count("*").alias("n"))
     wholes = tokens.groupBy("part").agg(F.sum(F.floor(F.col("n_ids") / window)).alias("n")).select(F.lit(0).alias("rest"), "part", "n")
     before = F.sum("n").over(Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
@@ -275,4 +275,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     first = sized(counts.where("rest = 0").select("part", F.col("before").alias("window_first")))
     placed = tokens.join(first, "part").join(rank, ["part", "rest"], "left")
     placed = placed.select("doc_id", "ids", "n_ids", "rest", (F.col("nth") + F.coalesce("rest_before", F.lit(0))).alias("rank"), (F.col("windows_before") + F.col("window_first")).alias("first"))
-    return placed.mapInArrow(lambda it: pieces(it, rows, planned, window, width), _PIECES)
+    return placed.mapInArrow(lambda it: tidy(pieces(it, rows, planned, window, width)), _PIECES)
