@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from assaymill.llm._words import tidy
 
 UNKNOWN = "und"
+#: So many segments at least, however few the rows.
+SEGMENTS = 7_500
 BITS, DIM, SIZES, BLOCK_CHARS = 16, 16, (2, 3, 4), 500_000
 _letters: list[np.ndarray] = []
 
@@ -148,7 +150,7 @@ def fit(texts: list[str], labels: list[str], epochs: int, rejected: float) -> La
     rng = np.random.default_rng(9)
     aside = [i % 5 == 4 for i in range(len(texts))]
     learn = [i for i, a in enumerate(aside) if not a]
-    seg, y = segments([texts[i] for i in learn], [codes[i] for i in learn], rng, 6)
+    seg, y = segments([texts[i] for i in learn], [codes[i] for i in learn], rng, max(6, -(-SEGMENTS // max(1, len(learn)))))
     emb = rng.normal(0, 0.1, (2**BITS + 1, DIM)).astype(np.float32)
     emb[0] = 0
     w, b = rng.normal(0, 0.1, (DIM, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
