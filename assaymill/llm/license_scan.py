@@ -4,7 +4,7 @@ Words are runs of letters and digits, A-Z in lower case. An inverted index holds
 fingerprints of the templates with their places; the templates are the fixed query set, so the index
 is bounded and goes to every task. A text's own winnowed fingerprints look up (template, shift)
 candidates; hits close to each other are one candidate, whose words are aligned locally with the
-template's inside a band around the hits' shifts. Any run of K + WINDOW - 1 equal words is found.
+template's inside a band around the hits' shifts, two words wider. Any run of K + WINDOW - 1 equal words is found.
 """
 
 from __future__ import annotations
@@ -115,15 +115,19 @@ def matches(h: np.ndarray, index: Index, least: float) -> list[tuple[int, int, i
     out = []
     for t, found in hits.items():
         words_ = index.texts[t]
-        found.sort()
+        # Within one occurrence both places rise and the shift drifts little; a hit that fits no open one starts the next.
+        found.sort(key=lambda x: (x[1], -x[0]))
         groups: list[list[tuple[int, int]]] = []
         for shift, place in found:
-            if groups and shift - groups[-1][-1][0] <= BAND:
-                groups[-1].append((shift, place))
+            for group in reversed(groups[-4:]):
+                last_shift, last_place = group[-1]
+                if abs(shift - last_shift) <= BAND and place > last_place and place - shift > last_place - last_shift:
+                    group.append((shift, place))
+                    break
             else:
                 groups.append([(shift, place)])
         for group in groups:
-            equal, first, last = align(words_, h, group[0][0] - BAND, group[-1][0] + BAND)
+            equal, first, last = align(words_, h, min(x for x, _ in group) - 2, max(x for x, _ in group) + 2)
             if equal >= least * len(words_):
                 out.append((t, equal, first, last))
     best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
