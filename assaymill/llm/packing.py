@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 from assaymill.llm._words import blocks, tidy, words
 from assaymill.storage import materialize
 
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 400_000
 BROADCAST_ROWS = 200_000
 _caches: dict[str, WordCache] = {}
 _TOKENS = "doc_id long, ids binary, n_ids long, part int, rest int, nth long, windows_before long"
