@@ -30,7 +30,7 @@ P = 4
 FLOOR = (0.10, 0.30, 0.15, 0.10)
 BINS = 32
 STEPS = 6
-RAW_SHARE, CUT = 0.75, 0.975
+RAW_SHARE, CUT = 0.5, 0.975
 
 
 def chi_square(x: float, even: int) -> float:

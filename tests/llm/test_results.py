@@ -49,6 +49,19 @@ def test_robust_estimate_resists_outliers(spark):
     assert set(range(60)) <= flagged and len(flagged) < 70
 
 
+def test_robust_estimate_resists_a_third(spark):
+    rng = np.random.default_rng(0)
+    data = []
+    for cell in (1, 2, 3):
+        x = rng.normal(0, 200, (1500, 4)).round()
+        x[:500] = rng.normal(0, 20, (500, 4)).round()
+        x[:500, cell - 1] += 3000
+        data += [(i, cell, 0, True, *map(float, v)) for i, v in enumerate(x)]
+    out = quality_rules.robust_outliers(spark.createDataFrame(data, "doc_id long, gid long, lid long, use boolean, x0 double, x1 double, x2 double, x3 double"))
+    flagged = Counter((r["gid"], r["doc_id"] < 500) for r in out.where("outlier").collect())
+    assert all(flagged[c, True] == 500 and flagged[c, False] <= 5 for c in (1, 2, 3))
+
+
 def components(sets, percent):
     root = {i: i for i in sets}
 
