@@ -20,17 +20,19 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: A whole Gregorian cycle: 400 years from this day have 189 * 773 days.
 FIRST_DAY, DATE_RADIX = "1900-01-01", (189, 773)
-_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}"
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}"
 _AWS = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-_SECRET = r"(?i:password|passwd|secret|token|api_key|apikey)[ ]{0,3}[=:][ ]{0,3}[\"']?[A-Za-z0-9+/_-]{8,256}+"
-_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+_SECRET = r"(?i:password|passwd|secret|token|api_key|apikey)[ ]{0,3}[=:][ ]{0,3}[\"']?[A-Za-z0-9+/_-]{8,}+"
 _ISO = r"(?<![\d.-])\d{4}-\d{2}-\d{2}(?![\d-])"
 _DMY = r"(?<![\d/.-])\d{1,2}([/.])\d{1,2}[/.]\d{4}(?![\d/])"
 _IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _NANP = r"(?<![\w+])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
 _INTL = r"(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)"
-_CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"
+#: Runs of groups, whole; a group that begins a value of another kind ends the run.
+_OTHER = "|".join(x.replace("([/.])", "[/.]") for x in (_ISO, _DMY, _IP, _SSN, _NANP))
+_IBAN = rf"(?<![A-Za-z0-9])[A-Z]{{2}}\d{{2}}[A-Z0-9]{{0,30}}+(?![A-Za-z0-9])(?: (?!AKIA|{_OTHER})[A-Z0-9]{{1,34}}+(?![A-Za-z0-9@]| {{0,3}}[=:]|[.%+_-]\w))*+"
+_CARD = rf"(?<![\d.])\d(?:(?:[ -](?!{_OTHER}))?\d){{12,}}+"
 SCAN = "|".join(x.replace("([/.])", "[/.]") for x in (_EMAIL, _AWS, _SECRET, _IBAN, _ISO, _DMY, _IP, _SSN, _NANP, _INTL, _CARD))
 
 
@@ -123,6 +125,39 @@ def _iban(m: Column, key: Column) -> Column:
     return let(F.replace(m, F.lit(" "), F.lit("")), run)
 
 
+def _accounts(m: Column, key: Column) -> Column:
+    """struct(kinds, new): the cards and IBANs among the neighbouring groups of a run, longest first; null without any."""
+
+    def kind(x: Column) -> Column:
+        card = x.rlike(r"^\d{13,19}$") & ~x.rlike("^0*$")
+        return F.when(card, F.when(luhn_sum(x) % 10 == 0, "card")).when(x.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9]{8,30}$"), F.when(iban_rest(x) == 1, "iban"))
+
+    def run(p: Column) -> Column:
+        text = lambda i, k: F.array_join(F.slice(p, i, k), "")
+
+        def window(i: Column, k: Column) -> Column:
+            return let(F.regexp_replace(text(i, k), "[ -]", ""), lambda x: F.struct((-F.length(x)).alias("n"), i.alias("i"), k.alias("k"), kind(x).alias("kind")))
+
+        def pick(taken: Column, w: Column) -> Column:
+            return F.when(F.exists(taken, lambda c: (w["i"] < c["i"] + c["k"]) & (c["i"] < w["i"] + w["k"])), taken).otherwise(F.array_append(taken, w))
+
+        def put(taken: Column) -> Column:
+            def piece(x: Column, at: Column) -> Column:
+                inside = F.filter(taken, lambda c: (c["i"] <= at + 1) & (at + 1 < c["i"] + c["k"]))
+                changed = lambda c: let(text(c["i"], c["k"]), lambda s: F.when(c["kind"] == "card", _card(s, key)).otherwise(_iban(s, key)))
+                return let(F.get(inside, F.lit(0)), lambda c: F.when(c.isNull(), x).when(c["i"] == at + 1, changed(c)).otherwise(F.lit("")))
+
+            kinds = F.transform(F.array_sort(F.transform(taken, lambda c: F.struct(c["i"], c["kind"].alias("kind")))), lambda c: c["kind"])
+            return F.when(F.size(taken) > 0, F.struct(kinds.alias("kinds"), F.array_join(F.transform(p, piece), "").alias("new")))
+
+        n = F.size(p)
+        windows = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(34), n - i + 1)), lambda k: window(i, k))))
+        valid = F.array_sort(F.filter(windows, lambda w: w["kind"].isNotNull()))
+        return let(F.aggregate(valid, F.array().cast("array<struct<n:int,i:int,k:int,kind:string>>"), pick), put)
+
+    return let(F.regexp_extract_all(m, F.lit("[A-Z0-9]+[ -]?"), F.lit(0)), run)
+
+
 def _phone(m: Column, key: Column) -> Column:
     def north_american(d: Column) -> Column:
         area, exchange, line = (_number(F.substr(d, F.lit(i), F.lit(n))) for i, n in ((1, 3), (4, 3), (7, 4)))
@@ -207,15 +242,15 @@ def _secret(m: Column, key: Column) -> Column:
 
     def run(v: Column) -> Column:
         h = _keyed(key, "secret", v)
-        return F.when(v.rlike("[0-9]"), F.concat(F.left(m, F.length(m) - F.length(v)), F.left(F.repeat(h, 4), F.length(v))))
+        return F.when(v.rlike("[0-9]"), F.concat(F.left(m, F.length(m) - F.length(v)), F.left(F.repeat(h, F.ceil(F.length(v) / 64).cast("int")), F.length(v))))
 
     return let(value, run)
 
 
 #: In order: the first kind whose pattern and rule a candidate meets names and replaces it.
 KINDS: tuple[tuple[str, str, Callable[[Column, Column], Column]], ...] = (
-    ("email", _EMAIL, _email), ("key", _AWS, _aws), ("secret", _SECRET, _secret), ("iban", _IBAN, _iban), ("date", f"{_ISO}|{_DMY}", _date),
-    ("ip", _IP, _ip), ("ssn", _SSN, _ssn), ("card", _CARD, _card), ("phone", f"{_NANP}|{_INTL}", _phone),
+    ("email", _EMAIL, _email), ("key", _AWS, _aws), ("secret", _SECRET, _secret), ("iban", _IBAN, _accounts), ("date", f"{_ISO}|{_DMY}", _date),
+    ("ip", _IP, _ip), ("ssn", _SSN, _ssn), ("card", r"\d(?:[ -]?\d){12,}+", _accounts), ("phone", f"{_NANP}|{_INTL}", _phone),
 )
 
 
@@ -229,14 +264,14 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     secret = F.lit(key)
 
     def named(kind: str) -> Callable[[Column], Column]:
-        return lambda new: F.when(new.isNotNull(), F.struct(F.lit(kind).alias("kind"), new.alias("new")))
+        return lambda new: F.when(new.isNotNull(), F.struct(F.array(F.lit(kind)).alias("kinds"), new.alias("new")))
 
     def replaced(m: Column) -> Column:
-        return F.coalesce(*[F.when(m.rlike(_whole(pattern)), let(change(m, secret), named(kind))) for kind, pattern, change in KINDS])
+        return F.coalesce(*[F.when(m.rlike(_whole(pattern)), change(m, secret) if change is _accounts else let(change(m, secret), named(kind))) for kind, pattern, change in KINDS])
 
     text = F.col(text_col)
     found = F.regexp_extract_all(text, F.lit(SCAN), F.lit(0))
     out = docs.withColumn("__pii_found", F.transform(found, lambda m: F.struct(m.alias("old"), replaced(m).alias("r"))))
     mended = F.array_join(F.flatten(F.zip_with(F.split(text, SCAN, -1), "__pii_found", lambda p, m: F.array(p, F.coalesce(m["r"]["new"], m["old"], F.lit(""))))), "")
-    kinds = F.filter(F.transform("__pii_found", lambda m: m["r"]["kind"]), F.isnotnull)
+    kinds = F.flatten(F.filter(F.transform("__pii_found", lambda m: m["r"]["kinds"]), F.isnotnull))
     return out.withColumns({text_col: F.when(F.size("__pii_found") > 0, mended).otherwise(text), "pii_kinds": F.coalesce(kinds, F.array().cast("array<string>"))}).drop("__pii_found")

@@ -337,6 +337,21 @@ def test_feistel_is_a_permutation(spark):
     assert len(set(out)) == 189 * 7 and all(0 <= a < 189 and 0 <= b < 7 for a, b in out)
 
 
+def test_pseudonyms_beside_other_groups(spark):
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    secret, local = "a1" * 200, "x" * 70
+    cases = [
+        (f"{card} 12/27", ["card"]), ("4111111111111111 123", ["card"]), (f"12/27 {card}", ["card"]), ("4111111111111111 5 items", ["card"]),
+        (f"{iban} BIC", ["iban"]), (f"{iban} {card} end", ["iban", "card"]), (f"{card} 5500000000000004", ["card", "card"]), (f"{card} 2027-01-31", ["card", "date"]),
+        (f"{iban} GB82 WEST 1234 5698 7654 32", ["iban", "iban"]), (f"token={secret}", ["secret"]), (f"to {local}@example.com", ["email"]),
+    ]
+    got = {r["doc_id"]: r for r in pseudonyms.pseudonymize(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string"), "k").collect()}
+    clear = (card, card.replace(" ", ""), iban, "5500000000000004", "WEST 1234 5698", "2027-01-31", "a1a1", "xxxx")
+    for i, (text, kinds) in enumerate(cases):
+        assert got[i]["pii_kinds"] == kinds and not any(c in got[i]["text"] for c in clear), got[i]
+    assert got[0]["text"].endswith(" 12/27") and got[2]["text"].startswith("12/27 ") and got[4]["text"].endswith(" BIC")
+
+
 def test_license_scan(spark):
     mit = dict(license_scan.TEMPLATES)["MIT-text"]
     changed = mit.replace("free of charge", "at no cost").replace("publish, ", "")
