@@ -13,28 +13,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 BLOCK_BYTES = 1_000_000
-_rng = np.random.default_rng(20_240_117)
-_BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
-_BASE = int(_rng.integers(1, 2**63)) * 2 + 1
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Which of eight bytes, first byte lowest, belong to a word with so many left.
+_MASK = np.array([2 ** (8 * i) - 1 for i in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+LONG = 256
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[list(SPACES)] = False
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    """Powers 0..n-1 of the base, or of its inverse, modulo 2**64."""
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        base = np.uint64(_BASE if kind == "base" else pow(_BASE, -1, 2**64))
-        steps = np.full(max(n, BLOCK_BYTES), base, dtype=np.uint64)
-        steps[0] = 1
-        have = _powers[kind] = np.multiply.accumulate(steps)
-    return have[:n]
 
 
 def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,6 +48,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as one number; zeros follow the last."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, np.uint64, padded, strides=(1,))
+
+
+def same_words(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from each ``a_start`` are those from each ``b_start``; ``a`` and ``b`` come from ``eights``."""
+    mask = _MASK[np.minimum(size, 8)]
+    same = ((a[a_start] ^ b[b_start]) & mask) == 0
+    more, at = np.flatnonzero(same & (size > 8)), 8
+    while len(more):
+        same[more] = ((a[a_start[more] + at] ^ b[b_start[more] + at]) & _MASK[np.minimum(size[more] - at, 8)]) == 0
+        at += 8
+        more = more[same[more] & (size[more] > at)]
+    return same
+
+
 @dataclass
 class Words:
     """Words of a block of texts; ``bounds[d]:bounds[d + 1]`` are those of text d."""
@@ -70,14 +79,31 @@ class Words:
         return len(self.start)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes, equal wherever the word occurs."""
-        n = len(self.data)
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * _power("base", n), out=total[1:])
-        h = (total[self.end] - total[self.start]) * _power("inverse", n)[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64))
+        """A 64-bit hash of each word's bytes, equal wherever the word occurs.
+
+        Eight bytes at a time go through a bijection that is not linear, so words of up to eight bytes and one length
+        never meet, and no pattern of longer ones makes them meet more often than chance.
+        """
+        size = self.end - self.start
+        h = mix(size.astype(np.uint64) * _GOLD + _GOLD)
+        if not len(h):
+            return h
+        eight = eights(self.data)
+        some = np.flatnonzero(size <= LONG)
+        every = len(some) == len(size)
+        start, left, acc = (self.start, size, h) if every else (self.start[some], size[some], h[some])
+        acc = mix((acc ^ (eight[start] & _MASK[np.minimum(left, 8)])) * _GOLD)
+        more, at = np.flatnonzero(left > 8), 8
+        while len(more):
+            acc[more] = mix((acc[more] ^ (eight[start[more] + at] & _MASK[np.minimum(left[more] - at, 8)])) * _GOLD)
+            at += 8
+            more = more[left[more] > at]
+        if every:
+            return acc
+        h[some] = acc
+        for i in np.flatnonzero(size > LONG).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.end[i]])
+        return h
 
     def text(self, i: int) -> str:
         return self.data[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")
@@ -130,12 +156,12 @@ def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     at = where[full]
     acc = np.zeros(len(at), np.uint64)
     for j in range(k):
-        acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + h[at + j])
+        acc = mix(acc * _GOLD + h[at + j])
     s[full] = acc
     for d in np.flatnonzero(~long & (sizes > 0)):
         acc = np.full(1, sizes[d], np.uint64)
         for x in h[w.bounds[d] : w.bounds[d + 1]]:
-            acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + np.uint64(x))
+            acc = mix(acc * _GOLD + np.uint64(x))
         s[out[d]] = acc[0]
     keep = np.ones(len(s), bool)
     for a, b in zip(out[:-1].tolist(), out[1:].tolist()):

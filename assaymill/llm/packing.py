@@ -5,8 +5,8 @@ which need no plan, and a remainder shorter than the window. Only the histogram
 than ``window`` rows, whatever the input) goes to the driver, where
 
 1. pairs and triples of lengths that fill the window exactly are enumerated,
-2. their repeat counts are solved against the histogram by non-negative least squares and rounded
-   down to what the histogram holds,
+2. their repeat counts are solved against the histogram by non-negative least squares and rounded,
+   first down, then up as far as the histogram holds them,
 3. the residual is packed greedily, largest first; a gap that no remaining length fits is filled by
    cutting one, so only the last sequence is padded.
 
@@ -17,10 +17,12 @@ shares is never gathered.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
 from bisect import bisect_right, insort
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,18 +33,80 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assaymill.llm._words import blocks, tidy, words
+from assaymill.llm._words import SPACES, Words, blocks, eights, same_words, tidy, words
 from assaymill.storage import materialize
 
-CACHED_WORDS = 400_000
-BROADCAST_ROWS = 200_000
-_caches: dict[str, WordCache] = {}
+#: Pieces in one of the two tables of a worker.
+CACHED = 150_000
+#: Cells of (partition, remainder) that are broadcast.
+BROADCAST_CELLS = 2_000_000
+# How a lower-casing word tokenizer cuts texts.
+WORD_NORMALIZER = '{"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\\\s+"}, "content": " "}, {"type": "Lowercase"}]}'
+WORD_PATTERN = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+_DIGIT, _ODD = 2, 4
+#: A digit that such a tokenizer never joins with its neighbours.
+MARK = "1"
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[33:127] = 3
+_KIND[97:123] = 1
+_KIND[48:58] = _DIGIT
+_KIND[39] = _ODD
+_KIND[list(SPACES)] = 0
+_encoders: dict[str, Encoder] = {}
 _TOKENS = "doc_id long, ids binary, n_ids long, part int, rest int, nth long, windows_before long"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class WordCache:
-    """Ids of words seen by this worker. The tokenizer never joins characters across white space, so a text's ids are its words' ids."""
+class Table:
+    """Ids of encoded pieces by hash, with the pieces' bytes, so that a hash alone never decides."""
+
+    def __init__(self) -> None:
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.raw, self.at, self.bytes = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, hashes: np.ndarray, w: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slot of each distinct hash (-1: absent), and whether the bytes there are those of the words ``which``."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1), np.ones(len(hashes), bool)
+        place = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        slot = np.where(self.keys[place] == hashes, self.slot[place], -1)
+        some = np.flatnonzero(slot >= 0)
+        size, same = (w.end - w.start)[which[some]], np.ones(len(hashes), bool)
+        fits = self.bytes[slot[some]] == size
+        fits[fits] = same_words(eights(w.data), w.start[which[some]][fits], eights(self.raw), self.at[slot[some]][fits], size[fits])
+        same[some] = fits
+        return slot, same
+
+    def add(self, hashes: np.ndarray, w: Words, which: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New pieces: the words ``which``, with their ids on end and the number of each."""
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.keys, hashes[order])
+        self.slot = np.insert(self.slot, at, len(self.size) + order)
+        self.keys = np.insert(self.keys, at, hashes[order])
+        size = (w.end - w.start)[which]
+        self.at = np.append(self.at, len(self.raw) + np.cumsum(size) - size)
+        self.bytes = np.append(self.bytes, size)
+        self.raw = np.append(self.raw, w.data[runs(w.start[which], size)])
+        self.start = np.append(self.start, len(self.flat) + np.cumsum(sizes) - sizes)
+        self.size = np.append(self.size, sizes)
+        self.flat = np.append(self.flat, ids)
+
+
+def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, ``size`` of them, one run after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Encoder:
+    """Ids of texts by a tokenizer file.
+
+    A tokenizer with WORD_PATTERN encodes letter runs, digits and runs of other signs on their own, so their ids
+    are kept in two tables: the older one is dropped when the younger is full, and pieces in use move over. Words with
+    other bytes than printable ASCII, or with an apostrophe, are pieces as a whole. Texts that hold a special token,
+    and all texts of other tokenizers, are encoded as they are.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # every core has a task of its own already
@@ -50,53 +114,128 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 2**16 else 4
-        self.clear()
-
-    def clear(self) -> None:
-        self.seen, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        """Encode new words, given with their ascending hashes."""
-        coded = [e.ids for at in range(0, len(texts), 20_000) for e in self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        at = np.searchsorted(self.seen, hashes)
-        self.place = np.insert(self.place, at, np.arange(len(self.size), len(self.size) + len(sizes)))
-        self.seen = np.insert(self.seen, at, hashes)
-        self.start = np.append(self.start, len(self.flat) + np.cumsum(sizes) - sizes)
-        self.size = np.append(self.size, sizes)
-        self.flat = np.append(self.flat, np.fromiter((x for c in coded for x in c), np.uint32, int(sizes.sum())))
+        known = json.loads(self.tokenizer.to_str())
+        self.by_piece = known["normalizer"] == json.loads(WORD_NORMALIZER) and json.dumps(WORD_PATTERN) in json.dumps(known["pre_tokenizer"])
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
+        self.young, self.old = Table(), Table()
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each text has."""
+        coded = [np.array(e.ids, np.uint32) for at in range(0, len(texts), 4000) for e in self.tokenizer.encode_batch_fast(texts[at : at + 4000], add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *coded]), np.fromiter(map(len, coded), np.int64, len(coded))
+
+    def encode_pieces(self, w: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` of the pieces ``which``, many at a time: one between two digits ends where the next digit stands."""
+        marked = np.concatenate([[0], np.cumsum(w.data == ord(MARK))])
+        marked = marked[w.end[which]] > marked[w.start[which]]
+        joined, alone = np.flatnonzero(~marked), np.flatnonzero(marked)
+        begin, n = w.start[which[joined]], (w.end - w.start)[which[joined]]
+        at = np.append(0, np.cumsum(n + 3))
+        line = np.full(at[-1], ord(" "), np.uint8)
+        line[at[1:] - 2] = ord(MARK)
+        line[runs(at[:-1], n)] = w.data[runs(begin, n)]
+        edges = np.append(at[:-1:500], at[-1]).tolist()
+        flat, _ = self.encode([line[p:q].tobytes().decode("utf-8", "replace") for p, q in zip(edges[:-1], edges[1:], strict=True)])
+        ends = np.flatnonzero(flat == self.mark)
+        more, n = self.encode([w.text(i) for i in which[alone].tolist()])
+        order, start, size = np.append(joined, alone), np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+        start[order] = np.concatenate([np.append(0, ends + 1)[: len(ends)], len(flat) + np.cumsum(n) - n])
+        size[order] = np.concatenate([np.diff(np.append(-1, ends)) - 1, n])
+        return np.append(flat, more)[runs(start, size)], size
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a block and the bounds of each text's."""
-        w = words(data, offsets, lower=b"<|" not in data.tobytes())  # its special tokens are lower-case only
-        if len(self.seen) > CACHED_WORDS:
-            self.clear()
+        n = len(offsets) - 1
+        raw = data.tobytes()
+        whole = np.full(n, not self.by_piece)
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0 and not whole.all():
+                whole[np.searchsorted(offsets, at, "right") - 1] = True
+                at = raw.find(token, at + 1)
+        ids, sizes = [np.zeros(0, np.uint32)], np.zeros(n, np.int64)
+        at = 0
+        while at < n:
+            to = at + 1
+            while to < n and whole[to] == whole[at]:
+                to += 1
+            part = raw[offsets[at] : offsets[to]]
+            if whole[at]:
+                got, sizes[at:to] = self.encode([part[p - offsets[at] : q - offsets[at]].decode("utf-8", "replace") for p, q in zip(offsets[at:to], offsets[at + 1 : to + 1], strict=True)])
+            else:
+                got, bounds = self.pieced(split(words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])))
+                sizes[at:to] = np.diff(bounds)
+            ids.append(got)
+            at = to
+        bounds = np.zeros(n + 1, np.int64)
+        np.cumsum(sizes, out=bounds[1:])
+        return np.concatenate(ids), bounds
+
+    def pieced(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts cut into pieces."""
+        if not len(w):
+            return np.zeros(0, np.uint32), np.zeros(len(w.bounds), np.int64)
         code, distinct = pd.factorize(w.hashes())
-        where = np.zeros(len(distinct), np.int64)
-        where[code] = np.arange(len(code))
-        at = np.searchsorted(self.seen, distinct)
-        new = np.flatnonzero(self.seen[np.minimum(at, len(self.seen) - 1)] != distinct) if len(self.seen) else np.arange(len(distinct))
-        if len(new):
-            new = new[np.argsort(distinct[new])]
-            self.learn(distinct[new], [w.text(i) for i in where[new].tolist()])
-            at = np.searchsorted(self.seen, distinct)
-        place = self.place[at][code] if len(code) else np.zeros(0, np.int64)
-        sizes = self.size[place]
+        which = np.zeros(len(distinct), np.int64)
+        which[code] = np.arange(len(code))
+        slot, same = self.young.find(distinct, w, which)
+        for source in (self.old, None):
+            new = np.flatnonzero(slot < 0)
+            if source is not None:
+                had, right = source.find(distinct[new], w, which[new])
+                found = (had >= 0) & right
+                new, had = new[found], had[found]
+                sizes = source.size[had]
+                ids = source.flat[runs(source.start[had], sizes)]
+            else:
+                ids, sizes = self.encode_pieces(w, which[new])
+            self.young.add(distinct[new], w, which[new], ids, sizes)
+            slot[new] = len(self.young.size) - len(new) + np.arange(len(new))
+        # A piece whose hash is another piece's is encoded by itself.
+        rep, size, eight = which[code], w.end - w.start, eights(w.data)
+        right = same[code] & (size == size[rep])
+        right[right] = same_words(eight, w.start[right], eight, w.start[rep][right], size[right])
+        other = np.flatnonzero(~right)
+        flat, start, sizes = self.young.flat, self.young.start[slot][code], self.young.size[slot][code]
+        if len(other):
+            more, n = self.encode([w.text(i) for i in other.tolist()])
+            start[other], sizes[other] = len(flat) + np.cumsum(n) - n, n
+            flat = np.append(flat, more)
         ends = np.zeros(len(sizes) + 1, np.int64)
         np.cumsum(sizes, out=ends[1:])
-        return self.flat[np.repeat(self.start[place] - ends[:-1], sizes) + np.arange(ends[-1])], ends[w.bounds]
+        if len(self.young.size) > CACHED:
+            self.young, self.old = Table(), self.young
+        return flat[runs(start, sizes)], ends[w.bounds]
+
+
+def split(w: Words) -> Words:
+    """Words of printable ASCII without an apostrophe cut into letter runs, digits and runs of other signs."""
+    kind = _KIND[w.data]
+    begins = np.zeros(len(kind), bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    begins &= kind != 0
+    odd = np.zeros(len(kind) + 1, np.int32)
+    np.cumsum(kind == _ODD, out=odd[1:])
+    whole = np.flatnonzero(odd[w.end] > odd[w.start])
+    begins[runs(w.start[whole], (w.end - w.start)[whole])] = False
+    begins[w.start] = True
+    start = np.flatnonzero(begins)
+    first = np.searchsorted(start, w.start)
+    end = np.append(start[1:], len(kind))
+    end[np.append(first[1:], len(start))[: len(first)] - 1] = w.end
+    return Words(w.data, start, end, np.append(first, len(start))[w.bounds])
 
 
 def tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int, window: int) -> Iterator[pa.RecordBatch]:
-    if path not in _caches:
-        _caches[path] = WordCache(path)
-    cache = _caches[path]
-    kind = np.uint16 if cache.width == 2 else np.uint32
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    encoder = _encoders[path]
+    kind = np.uint16 if encoder.width == 2 else np.uint32
     part, nth, whole = TaskContext.get().partitionId(), Counter(), 0
     for batch in batches:
         for a, b, data, offsets in blocks(batch.column(1)):
-            ids, bounds = cache.ids(data, offsets)
+            ids, bounds = encoder.ids(data, offsets)
             out = np.insert(ids, bounds[1:], end_id).astype(kind)
             bounds = bounds + np.arange(len(bounds))
             sizes = np.diff(bounds)
@@ -106,26 +245,32 @@ def tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int, window:
                 before.append(whole)
                 nth[r] += 1
                 whole += n
-            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer((bounds * cache.width).astype(np.int64).tobytes()), pa.py_buffer(out.tobytes())]).cast(pa.binary())
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer((bounds * encoder.width).astype(np.int64).tobytes()), pa.py_buffer(out.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), raw, pa.array(sizes), pa.array([part] * (b - a), pa.int32()), pa.array(rest.astype(np.int32)), pa.array(seen, pa.int64()), pa.array(before, pa.int64())], names=["doc_id", "ids", "n_ids", "part", "rest", "nth", "windows_before"])
 
 
-def combinations(histogram: dict[int, int], window: int, common: int = 32) -> np.ndarray:
-    """Rows of up to three lengths (0: none) that fill the window: all pairs, and triples with one of the ``common`` most frequent."""
+def combinations(histogram: dict[int, int], window: int, most: int = 60_000) -> np.ndarray:
+    """Rows of up to three lengths (0: none) that fill the window: all pairs, and triples around the most frequent lengths until there are ``most``."""
     present = np.zeros(window + 1, bool)
     present[[n for n in histogram if histogram[n]]] = True
     a = np.flatnonzero(present)
     pairs = a[(a * 2 <= window) & present[window - a]]
-    out = [np.stack([pairs, window - pairs, np.zeros_like(pairs)], 1)]
-    for c in sorted(histogram, key=lambda n: (-histogram[n], n))[:common]:
+    out, total = [np.stack([pairs, window - pairs, np.zeros_like(pairs)], 1)], len(pairs)
+    for c in sorted(histogram, key=lambda n: (-histogram[n], n)):
         x = a[(a * 2 <= window - c) & (a < window - c)]
         x = x[present[window - c - x]]
         out.append(np.sort(np.stack([x, window - c - x, np.full_like(x, c)], 1), 1))
+        total += len(x)
+        if total >= most:
+            break
     return np.unique(np.concatenate(out), axis=0)
 
 
-def repeats(combos: np.ndarray, histogram: dict[int, int], window: int, steps: int = 400) -> np.ndarray:
-    """Non-negative repeat counts that bring the combinations' lengths closest to the histogram (accelerated projected gradient)."""
+def repeats(combos: np.ndarray, histogram: dict[int, int], window: int, steps: int = 3000, close: float = 1e-3) -> np.ndarray:
+    """Non-negative repeat counts that bring the combinations' lengths closest to the histogram (accelerated projected gradient).
+
+    It ends when 25 steps lower the squared distance by less than ``close`` of it.
+    """
     want = np.zeros(window + 1)
     for n, c in histogram.items():
         want[n] = c
@@ -134,14 +279,19 @@ def repeats(combos: np.ndarray, histogram: dict[int, int], window: int, steps: i
         return x
     use = np.bincount(combos.ravel(), minlength=window + 1)
     use[0] = 0
-    rate, t = 1.0 / (3.0 * max(1, use.max())), 1.0
-    for _ in range(steps):
+    rate, t, last_off = 1.0 / (3.0 * max(1, use.max())), 1.0, np.inf
+    for i in range(steps):
         have = sum(np.bincount(combos[:, j], y, window + 1) for j in range(3))
         gap = want - have
         gap[0] = 0
         step = np.maximum(0, y + rate * gap[combos].sum(1))
         t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         x, y = step, step + (last - 1) / t * (step - x)
+        if i % 25 == 24:
+            off = float(gap @ gap)
+            if last_off - off <= close * off:
+                break
+            last_off = off
     return x
 
 
@@ -183,21 +333,25 @@ class Pool:
         return self.lengths[i - 1] if i else 0
 
 
-def plan(histogram: dict[int, int], window: int) -> tuple[list[tuple[int, ...]], int]:
+def plan(histogram: dict[int, int], window: int) -> tuple[np.ndarray, int]:
     """((remainder, low rank, high rank, start, length, first sequence, offset) rows, number of sequences)."""
-    pool, rows, sequences = Pool(histogram), [], 0
+    pool, rows, sequences = Pool(histogram), array("q"), 0
 
     def emit(intervals: list[tuple[int, int, int, int]], length: int, offset: int) -> None:
         at = sequences
         for r, low, high, start in intervals:
-            rows.append((r, low, high, start, length, at, offset))
+            rows.extend((r, low, high, start, length, at, offset))
             at += high - low
 
     combos = combinations(histogram, window)
-    times = np.floor(repeats(combos, histogram, window) + 1e-6).astype(np.int64)
-    for i in np.argsort(-times, kind="stable"):
+    times = repeats(combos, histogram, window)
+    whole = np.floor(times)
+    # Whole repeats first, then one more of each combination, the largest fractions first; each as far as the histogram holds it.
+    rounds = [(i, int(whole[i])) for i in np.argsort(-whole, kind="stable").tolist() if whole[i]]
+    rounds += [(i, 1) for i in np.argsort(whole - times, kind="stable").tolist() if times[i] > whole[i]]
+    for i, some in rounds:
         need = Counter(n for n in combos[i].tolist() if n)
-        n = min([int(times[i]), *(pool.count.get(k, 0) // m for k, m in need.items())])
+        n = min([some, *(pool.count.get(k, 0) // m for k, m in need.items())])
         if n > 0:
             offset = 0
             for k in need.elements():
@@ -222,25 +376,52 @@ def plan(histogram: dict[int, int], window: int) -> tuple[list[tuple[int, ...]],
             emit(taken, gap, offset)
             pool.put(cut - gap, [(r, low, high, start + gap) for r, low, high, start in taken])
         sequences += n
-    return rows, sequences
-
-
-def pieces(batches: Iterator[pa.RecordBatch], rows: dict[int, tuple[list[int], list[list[tuple[int, ...]]]]], planned: int, window: int, width: int) -> Iterator[pa.RecordBatch]:
+    return np.array(rows, np.int64).reshape(-1, 7), sequences
+
+
+class Plan:
+    """The plan's rows by remainder, start of the piece and rank."""
+
+    def __init__(self, rows: np.ndarray, planned: int, window: int):
+        self.planned, self.window = planned, window
+        self.shift = 63 - (window * window).bit_length()
+        if len(rows) and int(rows[:, 2].max()).bit_length() > self.shift:
+            raise ValueError(f"too many rows of one length for a window of {window}")
+        keys = self.key(rows[:, 0], rows[:, 3], rows[:, 1])
+        order = np.argsort(keys)
+        self.keys, self.low, self.length, self.sequence, self.offset = keys[order], *(rows[order, j] for j in (1, 4, 5, 6))
+
+    def key(self, rest: np.ndarray, start: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        return ((rest * self.window + start) << self.shift) + rank
+
+    def pieces(self, n: np.ndarray, rest: np.ndarray, rank: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, start, length, sequence, offset) of the pieces of rows of ``n`` ids."""
+        whole = n // self.window
+        row, nth = np.repeat(np.arange(len(n)), whole), runs(np.zeros(len(n), np.int64), whole)
+        out = [(row, nth * self.window, np.full(len(row), self.window), self.planned + first[row] + nth, np.zeros(len(row), np.int64))]
+        row, start = np.flatnonzero(rest), np.zeros(np.count_nonzero(rest), np.int64)
+        while len(row):
+            at = np.searchsorted(self.keys, self.key(rest[row], start, rank[row]), "right") - 1
+            out.append((row, n[row] - rest[row] + start, self.length[at], self.sequence[at] + rank[row] - self.low[at], self.offset[at]))
+            start = start + self.length[at]
+            more = start < rest[row]
+            row, start = row[more], start[more]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def pieces(batches: Iterator[pa.RecordBatch], plan: Plan, width: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, ids, n_ids, rest, rank, first whole window) to one row per piece."""
     for batch in batches:
-        out: list[tuple[int, ...]] = []
-        ids, *more = (c.to_pylist() for c in batch.columns[1:])
-        doc = batch.column(0).to_pylist()
-        for i, (n, rest, rank, first) in enumerate(zip(*more, strict=True)):
-            found = [(k * window, window, planned + first + k, 0) for k in range(n // window)]
-            if rest:
-                breaks, lists = rows[rest]
-                base = n - rest
-                found += [(base + start, length, seq + rank - low, offset) for low, start, length, seq, offset in lists[bisect_right(breaks, rank) - 1]]
-            wide = np.frombuffer(ids[i], np.uint16 if width == 2 else np.uint32).astype("<u4").tobytes()
-            out += [(doc[i], s, m, zlib.crc32(wide[4 * s : 4 * (s + m)]), n, q, o) for s, m, q, o in found]
-        columns = list(zip(*out, strict=True)) or [()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        n, rest, rank, first = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[2:])
+        row, start, length, sequence, offset = plan.pieces(n, rest, rank, first)
+        order = np.argsort(row, kind="stable")
+        row, start, length, sequence, offset = (x[order] for x in (row, start, length, sequence, offset))
+        check, last, wide = np.zeros(len(row), np.int64), -1, b""
+        for i, (r, s, m) in enumerate(zip(row.tolist(), start.tolist(), length.tolist(), strict=True)):
+            if r != last:
+                wide, last = memoryview(np.frombuffer(batch.column(1)[r].as_buffer(), np.uint16 if width == 2 else np.uint32).astype("<u4").tobytes()), r
+            check[i] = zlib.crc32(wide[4 * s : 4 * (s + m)])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *map(pa.array, (start, length, check, n[row], sequence, offset))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1) -> DataFrame:
@@ -250,29 +431,21 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     that id alone. Every row is packed, repeated rows and rows without an id too. An empty table gives
     no piece. Other columns are not read.
     """
-    width = WordCache(tokenizer).width
+    width = Encoder(tokenizer).width
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tokens = materialize(texts.mapInArrow(lambda it: tidy(tokenize(it, tokenizer, end_id, window)), _TOKENS), "tokens")
-    rests = tokens.where("rest > 0").groupBy("rest", "part").agg(F.count("*").alias("n"))
-    wholes = tokens.groupBy("part").agg(F.sum(F.floor(F.col("n_ids") / window)).alias("n")).select(F.lit(0).alias("rest"), "part", "n")
-    before = F.sum("n").over(Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    counts = materialize(rests.unionByName(wholes).withColumn("before", F.coalesce(before, F.lit(0))), "counts")
+    rests = tokens.where("rest > 0").groupBy("part", "rest").agg(F.count("*").alias("n"))
+    wholes = tokens.groupBy("part").agg(F.sum(F.floor(F.col("n_ids") / window)).alias("n")).select("part", F.lit(0).alias("rest"), "n")
+    counts = materialize(rests.unionByName(wholes), "counts")
     histogram = {r["rest"]: r["n"] for r in counts.where("rest > 0").groupBy("rest").agg(F.sum("n").alias("n")).collect()}
-    found, planned = plan(histogram, window)
-
-    cuts: dict[int, set[int]] = defaultdict(set)
-    for r, low, high, *_ in found:
-        cuts[r] |= {low, high}
-    rows = {r: (sorted(c), [[] for _ in c]) for r, c in cuts.items()}
-    for r, low, high, start, length, seq, offset in found:
-        breaks, lists = rows[r]
-        for k in range(bisect_right(breaks, low) - 1, bisect_right(breaks, high - 1)):
-            lists[k].append((low, start, length, seq, offset))
-
-    within = counts.count() <= BROADCAST_ROWS
-    sized = F.broadcast if within else (lambda df: df)
-    rank = sized(counts.where("rest > 0").select("part", "rest", F.col("before").alias("rest_before")))
-    first = sized(counts.where("rest = 0").select("part", F.col("before").alias("window_first")))
-    placed = tokens.join(first, "part").join(rank, ["part", "rest"], "left")
-    placed = placed.select("doc_id", "ids", "n_ids", "rest", (F.col("nth") + F.coalesce("rest_before", F.lit(0))).alias("rank"), (F.col("windows_before") + F.col("window_first")).alias("first"))
-    return placed.mapInArrow(lambda it: tidy(pieces(it, rows, planned, window, width)), _PIECES)
+    found = Plan(*plan(histogram, window), window)
+
+    # One row per partition: what earlier partitions have of each remainder, and of whole windows at place 0.
+    grid = counts.where("rest = 0").select("part", F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("rest"))
+    earlier = F.sum("n").over(Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    grid = grid.join(counts, ["part", "rest"], "left").select("part", "rest", F.coalesce(earlier, F.lit(0)).alias("before"))
+    before = materialize(grid.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("rest", "before")))["before"].alias("before")), "before")
+    if before.count() * window <= BROADCAST_CELLS:
+        before = F.broadcast(before)
+    placed = tokens.join(before, "part").select("doc_id", "ids", "n_ids", "rest", (F.col("nth") + F.get("before", "rest")).alias("rank"), (F.col("windows_before") + F.get("before", F.lit(0))).alias("first"))
+    return placed.mapInArrow(lambda it: tidy(pieces(it, found, width)), _PIECES)
