@@ -28,10 +28,12 @@ from pyspark.sql.window import Window
 from assaymill.llm._words import blocks, mix, shingle_sets, tidy, words
 from assaymill.storage import lookup, materialize
 
-ROWS, BANDS, BATCH = 6, 24, 16
+#: Hashes of a signature, and how many of them are compared at a time.
+K, BATCH = 144, 16
 #: Members of an open bucket that all others are compared with before the rest.
 CENTRES = 8
-K = ROWS * BANDS
+#: Members of one block of a bucket: larger buckets compare block with block, each pair of blocks apart.
+BLOCK = 512
 _rng = np.random.default_rng(7)
 _MULT = (_rng.integers(0, 2**31, K, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
 _SIGNATURES = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
@@ -39,6 +41,11 @@ _SIGNATURES = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>
 BROADCAST_IDS = 2_000_000
 
 
+def band_rows(similarity: float, miss: float = 2e-5) -> int:
+    """The most hashes a band may have so that a pair of this similarity shares none of the K // rows bands with probability ``miss`` at most."""
+    return max([1, *(r for r in range(1, K + 1) if (1 - similarity**r) ** (K // r) <= miss)])
+
+
 def minhash(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which sets are not empty, and their signatures."""
     some = np.flatnonzero(np.diff(bounds))
@@ -50,26 +57,27 @@ def minhash(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return some, sig
 
 
-def signatures(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
+def signatures(batches: Iterator[pa.RecordBatch], shingle_words: int, rows: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to the size and key of the set of shingles and the hashes of its signature's bands; no key for an empty set."""
+    count = K // rows
     for batch in batches:
         ids = batch.column(0)
         for a, b, data, offsets in blocks(batch.column(1)):
             sets, bounds = shingle_sets(words(data, offsets), shingle_words)
             some, sig = minhash(sets, bounds)
             keys = np.zeros((b - a, 2), np.uint64)
-            bands = np.zeros((len(some), BANDS), np.uint64)
+            bands = np.zeros((len(some), count), np.uint64)
             for i, d in enumerate(some):
                 digest = xxhash.xxh3_128_intdigest(sets[bounds[d] : bounds[d + 1]])
                 keys[d] = digest >> 64, digest & (2**64 - 1)
-            for j in range(BANDS):
+            for j in range(count):
                 h = np.full(len(some), j, np.uint64)
-                for column in sig[:, j * ROWS : (j + 1) * ROWS].T:
+                for column in sig[:, j * rows : (j + 1) * rows].T:
                     h = mix(h * np.uint64(0x9E3779B97F4A7C15) + column)
                 bands[:, j] = h
             empty = np.diff(bounds) == 0
             edges = np.zeros(b - a + 1, np.int32)
-            np.cumsum(~empty * BANDS, out=edges[1:])
+            np.cumsum(~empty * count, out=edges[1:])
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(a, b - a).cast(pa.int64()), pa.array(np.diff(bounds)), *(pa.array(keys[:, j].astype(np.int64), mask=empty) for j in (0, 1)), pa.ListArray.from_arrays(edges, bands.ravel().astype(np.int64))],
                 names=["doc_id", "n_shingles", "k1", "k2", "bands"],
@@ -77,14 +85,17 @@ def signatures(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterato
 
 
 def full_sets(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to the key, the whole set of shingles and its signature; texts without words give none."""
+    """(text, node, k1, k2) to the node, the whole set of shingles and its signature; rows whose set has another key give none."""
     for batch in batches:
-        for _, _, data, offsets in blocks(batch.column(1)):
+        node, k1, k2 = (batch.column(c).to_numpy() for c in (1, 2, 3))
+        for a, _, data, offsets in blocks(batch.column(0)):
             sets, bounds = shingle_sets(words(data, offsets), shingle_words)
             some, sig = minhash(sets, bounds)
-            keys = [xxhash.xxh3_128_intdigest(sets[bounds[d] : bounds[d + 1]]) >> 64 for d in some]
+            keys = [xxhash.xxh3_128_intdigest(sets[bounds[d] : bounds[d + 1]]) for d in some]
+            own = np.array([k >> 64 == int(k1[a + d]) % 2**64 and k % 2**64 == int(k2[a + d]) % 2**64 for k, d in zip(keys, some, strict=True)], bool)
             edges = np.append(bounds[some], bounds[-1]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).astype(np.int64)), pa.ListArray.from_arrays(edges, sets.astype(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary())], names=["node", "shingles", "signature"])
+            shingles = pa.ListArray.from_arrays(edges, sets.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(node[a + some]), shingles, pa.array([x.tobytes() for x in sig], pa.binary())], names=["node", "shingles", "signature"]).filter(pa.array(own))
 
 
 def least_matches(similarity: float, miss: float) -> list[int]:
@@ -134,16 +145,19 @@ def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links to (node, root): the smallest node reachable. Labels spread over links and then jump to their own label's label."""
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("low", "node").alias("root")), "labels")
+    first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"), F.count("*").alias("links"))
+    labels = materialize(first.select("node", F.least("low", "node").alias("root"), "links"), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        step = step.join(jump, "root", "left").select("node", F.least("root", F.coalesce("further", "root")).alias("root"), "old")
+        # A node with a third of all links is looked up without gathering them.
+        near = lookup(both, labels.withColumnRenamed("node", "b"), ["b"], "links").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        step = labels.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old"), "links")
+        sizes = labels.groupBy("root").agg(F.count("*").alias("nodes"))
+        jump = sizes.join(labels.select(F.col("node").alias("root"), F.col("root").alias("further")), "root")
+        step = lookup(step, jump, ["root"], "nodes").select("node", F.least("root", F.coalesce("further", "root")).alias("root"), "old", "links")
         step = materialize(step, "labels")
         if step.where(F.col("root") != F.col("old")).isEmpty():
             return step.select("node", "root")
-        labels = step.select("node", "root")
+        labels = step.select("node", "root", "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
@@ -155,16 +169,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows share their id, so both are kept. Other columns of ``docs`` are not read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialize(texts.mapInArrow(lambda it: tidy(signatures(it, shingle_words)), _SIGNATURES), "signatures")
+    rows = band_rows(percent / 100)
+    signed = materialize(texts.mapInArrow(lambda it: tidy(signatures(it, shingle_words, rows)), _SIGNATURES), "signatures")
     linked = signed.where(F.col("doc_id").isNotNull() & F.col("k1").isNotNull())
-    groups = linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    groups = materialize(groups.withColumn("node", F.col("k1")), "groups")
-    members = linked.select(F.col("k1").alias("node"), F.explode("bands").alias("bucket"))
+    groups = linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    groups = materialize(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
+    members = groups.select("node", F.explode("bands").alias("bucket"))
+    groups = groups.drop("bands")
     shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket", "low")
     members = materialize(members.join(shared, "bucket").distinct(), "buckets")
-    needed = materialize(groups.join(members.select("node").distinct(), "node").select("doc_id").distinct(), "needed")
+    needed = materialize(groups.join(members.select("node").distinct(), "node").select("doc_id", "node", "k1", "k2"), "needed")
     needed = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
-    found = texts.join(needed, "doc_id").mapInArrow(lambda it: tidy(full_sets(it, shingle_words)), "node long, shingles array<long>, signature binary")
+    found = texts.join(needed, "doc_id").select("text", "node", "k1", "k2").mapInArrow(lambda it: tidy(full_sets(it, shingle_words)), "node long, shingles array<long>, signature binary")
     nodes = materialize(found.dropDuplicates(["node"]), "nodes")
 
     least = least_matches(percent / 100, miss)
@@ -215,17 +231,25 @@ def _other_pairs(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
 
     Each member's overlap with its bucket's first centre is measured. Two sets then share at most the
     smaller of those overlaps, and outside the centre at most what either has there and not alone; and if
-    the bucket's shingle is the first they share, at most what follows it in either.
+    the bucket's shingle is the first they share, at most what follows it in either. A large bucket is
+    dealt to blocks, and each pair of blocks is a key of its own.
     """
     placed = materialize(placed, "open")
     pivot = placed.join(_heads(placed, 1).select("bucket", F.col("node").alias("head")), "bucket")
     measured = materialize(_sided(_ordered(pivot.select("node", "head")), nodes).mapInArrow(lambda it: tidy(overlaps(it)), "a long, b long, shared long"), "overlaps")
     known = measured.select("a", "b", "shared").union(measured.where("a <> b").select("b", "a", "shared")).toDF("node", "head", "shared")
     near = materialize(pivot.join(known, ["node", "head"]).select("bucket", "node", "root", "n", "nth", "shared", F.greatest(F.col("n") - F.col("shared") - F.col("alone"), F.lit(0)).alias("outside")), "measured")
-    other = near.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "n", "nth", "shared", "outside")])
+    blocks_of = near.groupBy("bucket").agg(F.count("*").alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK))
+    near = lookup(near, blocks_of, ["bucket"], "rows").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    near = near.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pair = [F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")]
+    near = near.select(*pair, "own", "bucket", "node", "root", "n", "nth", "shared", "outside")
+    other = near.select("bucket", "low", "high", *[F.col(c).alias(f"other_{c}") for c in ("own", "node", "root", "n", "nth", "shared", "outside")])
     most = F.least(F.least("shared", "other_shared") + F.least("outside", "other_outside"), F.least(F.col("n") - F.col("nth"), F.col("other_n") - F.col("other_nth")) + 1)
     could = 100 * most >= percent * (F.col("n") + F.col("other_n") - most)
-    return _ordered(near.join(other, "bucket").where((F.col("root") < F.col("other_root")) & could).withColumnRenamed("other_node", "head"))
+    once = F.when(F.col("low") < F.col("high"), F.col("root") != F.col("other_root")).otherwise(F.col("root") < F.col("other_root"))
+    met = (F.col("own") == F.col("low")) & (F.col("other_own") == F.col("high"))
+    return _ordered(near.join(other, ["bucket", "low", "high"]).where(met & once & could).withColumnRenamed("other_node", "head"))
 
 
 def _viable(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
