@@ -6,10 +6,10 @@ classes by its last two bytes. The output softmax is factored: a class, then a w
 an open class the word's probability comes from the counts of the whole corpus, so they matter for
 each rare word and grow with the input.
 
-Training. ``share`` of the training documents, dealt to groups of bounded size, so more data make more
+Training. All training documents, whole, dealt to groups of bounded size, so more data make more
 groups. Each group runs truncated backpropagation from the common parameters, the state carried from
-window to window and reset between documents; the groups' parameters are averaged in Spark, in rounds.
-The output biases start from the counts.
+window to window and reset between documents; the groups' parameters are averaged in Spark, in rounds
+that each see another share of the documents. The output biases start from the counts.
 
 Scoring. One pass over all texts, in batches of documents in step, the state carried across windows
 to the document's end. Counts of the COMMON most frequent words (a fixed bound) are broadcast; rarer
@@ -18,7 +18,7 @@ words meet their counts in a join.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,11 +31,12 @@ from pyspark.sql import functions as F
 from assaymill.llm._words import Words, blocks, tidy, words
 from assaymill.storage import materialize
 
-CLASS, CLASSES, SUFFIXES, HIDDEN = 32, 64, 64, 16
+CLASS, CLASSES, SUFFIXES, HIDDEN = 64, 32, 32, 16
 HEAD = CLASS * CLASSES
 INPUTS, OUTPUTS = HEAD + SUFFIXES, CLASSES + SUFFIXES
 COMMON = 262_144
-WINDOW, STREAMS, GROUP_DOCS, ROUNDS, RATE = 32, 32, 512, 2, 0.01
+#: A group has STEPS steps of WINDOW tokens in each of STREAMS streams, or fewer streams where it is small.
+WINDOW, STREAMS, STEPS, GROUP_DOCS, ROUNDS, RATE = 32, 256, 64, 2048, 2, 0.02
 SHAPES = {"x": (INPUTS, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, OUTPUTS), "bc": (OUTPUTS,), "wv": (CLASSES, HIDDEN, CLASS), "bv": (CLASSES, CLASS)}
 
 
@@ -121,25 +122,30 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
 
 
-def log_probabilities(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log probability of each target's class, and of the word within it for words of the network."""
-    kind = np.where(target < HEAD, target // CLASS, CLASSES + target - HEAD)
-    z = h @ p["wc"] + p["bc"]
-    top = z.max(1)
-    out = z[np.arange(len(z)), kind] - top
-    z -= top[:, None]
-    np.exp(z, out=z)
-    out -= np.log(z.sum(1))
+def by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Class of each target, and for each closed class the rows that have it."""
+    kind = np.where(target < HEAD, target // CLASS, CLASSES + target - HEAD).astype(np.uint8)
     order = np.argsort(kind, kind="stable")
     edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in np.flatnonzero(np.diff(edges)).tolist():
-        rows = order[edges[c] : edges[c + 1]]
-        v = h[rows] @ p["wv"][c] + p["bv"][c]
-        top = v.max(1)
-        picked = v[np.arange(len(rows)), target[rows] - c * CLASS] - top
-        v -= top[:, None]
-        np.exp(v, out=v)
-        out[rows] += picked - np.log(v.sum(1))
+    return kind, order, [(c, order[edges[c] : edges[c + 1]]) for c in np.flatnonzero(np.diff(edges)).tolist()]
+
+
+def exponentials(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits, less their largest where they could overflow, and exponentials; states lie within -1..1."""
+    z = h @ w + b
+    if float((np.abs(w).sum(0) + np.abs(b)).max()) > 80:
+        z -= z.max(1, keepdims=True)
+    return z, np.exp(z)
+
+
+def log_probabilities(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log probability of each target's class, and of the word within it for words of the network."""
+    kind, _, own = by_class(target)
+    z, e = exponentials(h, p["wc"], p["bc"])
+    out = z[np.arange(len(z)), kind] - np.log(e.sum(1))
+    for c, rows in own:
+        z, e = exponentials(h[rows], p["wv"][c], p["bv"][c])
+        out[rows] += z[np.arange(len(rows)), target[rows] - c * CLASS] - np.log(e.sum(1))
     return out
 
 
@@ -150,7 +156,7 @@ def step(p: dict[str, np.ndarray], xw: np.ndarray, h: np.ndarray) -> np.ndarray:
     return n + zr[:, :HIDDEN] * (h - n)
 
 
-def score(p: dict[str, np.ndarray], texts: list[np.ndarray], lanes: int = 512, window: int = 64) -> np.ndarray:
+def score(p: dict[str, np.ndarray], texts: list[np.ndarray], lanes: int = 512, window: int = 16) -> np.ndarray:
     """Natural log-likelihood of whole sequences by the network; open-class words count with their class alone."""
     out = np.zeros(len(texts))
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
@@ -196,29 +202,24 @@ def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
         h = n + z * (h - n)
         states.append(h)
     hs, y = np.concatenate(states), targets.ravel()
-    rows = np.arange(len(y))
     scale = np.float32(1 / len(y))
     grad = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
-    kind = np.where(y < HEAD, y // CLASS, CLASSES + y - HEAD)
-    z = hs @ p["wc"] + p["bc"]
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    loss = -float(np.log(np.maximum(z[rows, kind], 1e-12)).mean())
-    z[rows, kind] -= 1
-    z *= scale
-    grad["wc"], grad["bc"] = hs.T @ z, z.sum(0)
-    dh = z @ p["wc"].T
-    for c in np.unique(kind[y < HEAD]).tolist():
-        own = np.flatnonzero(kind == c)
-        v = hs[own] @ p["wv"][c] + p["bv"][c]
-        v -= v.max(1, keepdims=True)
-        np.exp(v, out=v)
-        v /= v.sum(1, keepdims=True)
-        v[np.arange(len(own)), y[own] - c * CLASS] -= 1
-        v *= scale
-        grad["wv"][c], grad["bv"][c] = hs[own].T @ v, v.sum(0)
-        dh[own] += v @ p["wv"][c].T
+    kind, _, classes = by_class(y)
+    _, e = exponentials(hs, p["wc"], p["bc"])
+    total = e.sum(1)
+    rows = np.arange(len(y))
+    loss = -float(np.log(np.maximum(e[rows, kind] / total, 1e-12)).mean())
+    e *= (scale / total)[:, None]
+    e[rows, kind] -= scale
+    grad["wc"], grad["bc"] = hs.T @ e, e.sum(0)
+    dh = e @ p["wc"].T
+    for c, own in classes:
+        mine = hs[own]
+        _, e = exponentials(mine, p["wv"][c], p["bv"][c])
+        e *= (scale / e.sum(1))[:, None]
+        e[np.arange(len(own)), y[own] - c * CLASS] -= scale
+        grad["wv"][c], grad["bv"][c] = mine.T @ e, e.sum(0)
+        dh[own] += e @ p["wv"][c].T
     dh = dh.reshape(span, lanes, HIDDEN)
     carry = np.zeros((lanes, HIDDEN), np.float32)
     xs = np.zeros((span, lanes, 3 * HIDDEN), np.float32)
@@ -232,36 +233,39 @@ def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
         back = np.concatenate([dz, dr, dn * r], 1)
         grad["u"] += keep[t].T @ back
         carry = (d * z + back @ p["u"].T) * (inputs[t] != 0)[:, None]
-    np.add.at(grad["x"], inputs.ravel(), xs.reshape(-1, 3 * HIDDEN))
+    seen = inputs.ravel()
+    order = np.argsort(seen, kind="stable")
+    first = np.flatnonzero(np.diff(seen[order], prepend=-1))
+    grad["x"][seen[order[first]]] = np.add.reduceat(xs.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
     return grad, h, loss
 
 
 def fit(p: dict[str, np.ndarray], texts: list[np.ndarray], seed: int) -> tuple[dict[str, np.ndarray], int]:
-    """Parameters after one pass over the texts, in STREAMS parallel streams, and the number of tokens seen."""
+    """Parameters after one pass over all tokens of the texts, in parallel streams, and the number of tokens."""
     p = {k: v.copy() for k, v in p.items()}
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(texts))
-    tokens = np.concatenate([texts[i] for i in order]) if len(texts) else np.zeros(0, np.int32)
-    span = len(tokens) // STREAMS
-    if span < 2:
+    tokens = np.concatenate([np.zeros(0, np.int32), *[texts[i] for i in rng.permutation(len(texts))]])
+    lanes = min(STREAMS, max(8, len(tokens) // (WINDOW * STEPS)))
+    span = -(-len(tokens) // lanes)
+    if not span:
         return p, 0
-    streams = tokens[: span * STREAMS].reshape(STREAMS, span).T
-    first = np.zeros((1, STREAMS), np.int32)
-    inputs = np.concatenate([first, streams[:-1]])
-    h = np.zeros((STREAMS, HIDDEN), np.float32)
+    # Ends of texts fill up the last stream.
+    streams = np.append(tokens, np.zeros(span * lanes - len(tokens), np.int32)).reshape(lanes, span).T
+    inputs = np.concatenate([np.zeros((1, lanes), np.int32), streams[:-1]])
+    h = np.zeros((lanes, HIDDEN), np.float32)
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     steps = -(-span // WINDOW)
     for i in range(steps):
         part = slice(i * WINDOW, (i + 1) * WINDOW)
         grad, h, _ = gradients(p, inputs[part], streams[part], h)
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
         rate = RATE * min(1.0, (i + 1) / 20) * (1 - 0.9 * i / steps)
         for k, g in grad.items():
             g *= np.float32(min(1.0, 1.0 / (norm + 1e-9)))
             m[k] += np.float32(0.1) * (g - m[k])
             v[k] += np.float32(0.01) * (g * g - v[k])
-            p[k] -= np.float32(rate) * (m[k] / np.float32(1 - 0.9 ** (i + 1))) / (np.sqrt(v[k] / np.float32(1 - 0.99 ** (i + 1))) + np.float32(1e-6))
-    return p, span * STREAMS
+            p[k] -= np.float32(rate / (1 - 0.9 ** (i + 1))) * m[k] / (np.sqrt(v[k] * np.float32(1 / (1 - 0.99 ** (i + 1)))) + np.float32(1e-6))
+    return p, len(tokens)
 
 
 def pack(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -281,12 +285,13 @@ def vocabulary_of(counts: DataFrame) -> Vocabulary:
     """The COMMON most frequent words at most (all of a count or none) and totals, from (word, kind, n)."""
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == 0, F.col("n"))).alias("ends")).first()
     real = counts.where("word <> 0")
-    heights = sorted(((r["n"], r["count"]) for r in real.groupBy("n").count().collect()), reverse=True)
+    # Numbers of words by count: single counts, then eighths of an octave, so the driver gets a fixed number of rows.
+    level = F.when(F.col("n") < 64, F.col("n")).otherwise(F.floor(16 + 8 * F.log2("n"))).cast("long")
     least, taken = None, 0
-    for n, k in heights:
-        if taken + k > COMMON:
+    for r in sorted(real.groupBy(level.alias("level")).agg(F.min("n").alias("n"), F.count("*").alias("k")).collect(), key=lambda r: -r["level"]):
+        if taken + r["k"] > COMMON:
             break
-        least, taken = n, taken + k
+        least, taken = r["n"], taken + r["k"]
     frequent = real.where(F.col("n") >= least).select("word", "kind", "n").toArrow() if least is not None else None
     by_kind = {r["kind"]: (r["n"], r["v"]) for r in real.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     open_tokens, open_words = (np.array([by_kind.get(k, (0, 0))[j] for k in range(SUFFIXES)], np.float64) for j in (0, 1))
@@ -311,20 +316,34 @@ class Model:
     counts: DataFrame
 
 
-def _lesson(shared: Broadcast) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """One group's training from the shared parameters; its new parameters are weighted by its tokens."""
+def lessons(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    """(group, text) rows, a group's one after the other, to (i, total, seen): the sum of the groups' trained parameters, weighted by their tokens."""
+    flat, vocabulary = shared.value
+    total, seen = np.zeros(len(flat)), 0
+    group, texts = None, []
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        flat, vocabulary = shared.value
-        rows = rows.sort_values(["h", "text"])
-        new, seen = fit(unpack(flat), sequences(pa.array(rows["text"], pa.string()), vocabulary), int(key[0]))
-        return pd.DataFrame({"i": np.arange(len(flat)), "total": pack(new).astype(np.float64) * seen, "seen": float(seen)})
+    def learn() -> None:
+        nonlocal total, seen
+        if texts:
+            new, n = fit(unpack(flat), sequences(pa.chunked_array(texts), vocabulary), group)
+            total, seen = total + pack(new).astype(np.float64) * n, seen + n
+            texts.clear()
 
-    return run
-
-
-def train(docs: DataFrame, key: Column, text_col: str = "text", share: float = 0.04, least_docs: int = 1500) -> Model:
-    """Count the words of all rows of ``docs`` and train on ``share`` of them (at least about ``least_docs``), chosen by hash of ``key``."""
+    for batch in batches:
+        groups = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(groups)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a < b and int(groups[a]) != group:
+                learn()
+                group = int(groups[a])
+            texts.append(batch.column(1).slice(a, b - a))
+    learn()
+    if seen:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(total), pa.array(np.full(len(flat), float(seen)))], names=["i", "total", "seen"])
+
+
+def train(docs: DataFrame, key: Column, text_col: str = "text") -> Model:
+    """Count the words of all rows of ``docs`` and train on all of them; ``key`` decides by hash which group a row belongs to."""
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.xxhash64(key, F.lit("train")).alias("h"))
     raw = texts.select("text").mapInArrow(lambda it: tidy(count_words(it)), "word long, kind int, n long")
     counts = materialize(raw.groupBy("word").agg(F.min("kind").alias("kind"), F.sum("n").alias("n")), "counts")
@@ -332,14 +351,16 @@ def train(docs: DataFrame, key: Column, text_col: str = "text", share: float = 0
     p = start_parameters(vocabulary)
     if not vocabulary.ends:
         return Model(vocabulary, p, counts)
-    part = min(1.0, max(share, least_docs / vocabulary.ends))
-    groups = max(1, round(vocabulary.ends * part / ROUNDS / GROUP_DOCS))
-    chosen = texts.where(F.pmod("h", F.lit(1_000_000)) < int(part * 1_000_000))
-    chosen = materialize(chosen.withColumns({"round": F.pmod(F.shiftright("h", 20), F.lit(ROUNDS)), "group": F.pmod(F.shiftright("h", 28), F.lit(groups))}), "lessons")
+    spark = docs.sparkSession
+    groups = max(1, round(vocabulary.ends / ROUNDS / GROUP_DOCS))
+    tasks = min(groups, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Rows of one key meet in a group, so equal keys (rows without an id) are spread by their text.
+    dealt = texts.withColumn("d", F.xxhash64("h", "text")).select(F.pmod(F.shiftright("d", 20), F.lit(ROUNDS)).alias("round"), F.pmod(F.shiftright("d", 28), F.lit(groups)).alias("group"), "h", "text")
     size = sum(int(np.prod(s)) for s in SHAPES.values())
     for turn in range(ROUNDS):
-        shared = docs.sparkSession.sparkContext.broadcast((pack(p), vocabulary))
-        sums = chosen.where(F.col("round") == turn).groupBy("group").applyInPandas(_lesson(shared), "i long, total double, seen double")
+        shared = spark.sparkContext.broadcast((pack(p), vocabulary))
+        mine = dealt.where(F.col("round") == turn).repartition(tasks, "group").sortWithinPartitions("group", "h", "text").select("group", "text")
+        sums = mine.mapInArrow(lambda it: tidy(lessons(it, shared)), "i long, total double, seen double")
         mean = sums.groupBy("i").agg(F.sum("total").alias("total"), F.sum("seen").alias("seen")).where("seen > 0").select("i", (F.col("total") / F.col("seen")).alias("mean")).toArrow()
         if mean.num_rows:
             flat = np.zeros(size, np.float32)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assaymill.llm import language_id, license_scan, mixing, near_dedup, order_minhash, packing, pseudonyms, quality_classifier, quality_rules, recurrent_lm
+from assaymill.llm import _words, language_id, license_scan, mixing, near_dedup, order_minhash, packing, pseudonyms, quality_classifier, quality_rules, recurrent_lm
 from assaymill.llm.queries import tokenizer, weights
 from tests.llm.data import frame, rows
 
@@ -160,7 +160,7 @@ def test_likeness_follows_edits_and_order(spark):
 def test_lm_counts_and_likelihood(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     train = docs.where("doc_id % 5 <> 1")
-    model = recurrent_lm.train(train, F.col("doc_id"), least_docs=200)
+    model = recurrent_lm.train(train, F.col("doc_id"))
     got = {r["doc_id"]: r for r in recurrent_lm.log_likelihood(docs, model).collect()}
     text = {r["doc_id"]: WORD.findall((r["text"] or "").translate(LOWER)) + ["\n"] for r in docs.collect()}
     c = Counter(x for i, t in text.items() if i % 5 != 1 for x in t)
@@ -170,6 +170,56 @@ def test_lm_counts_and_likelihood(spark):
         assert got[i]["base_score"] == pytest.approx(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t), rel=1e-9)
     held = [r for i, r in got.items() if i % 5 == 1]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    for i in sorted(text, key=lambda i: len(text[i]))[:: len(text) // 5]:
+        assert got[i]["score"] == pytest.approx(slow_score(model, text[i], c), rel=1e-4)
+
+
+def slow_score(model, tokens, c):
+    """log10 probability of one document, one token and one number at a time."""
+    p, m = model.parameters, recurrent_lm
+    kinds = {}
+    for x in c:
+        if x != "\n":
+            kinds[x] = open_class(x)
+    best = sorted((x for x in c if x != "\n"), key=lambda x: (-c[x], word_hash(x)))[: m.HEAD - 1]
+    net = {x: i + 1 for i, x in enumerate(best)} | {"\n": 0}
+    opened = defaultdict(lambda: [0, 0])
+    for x, k in kinds.items():
+        if x not in net:
+            opened[k][0] += c[x]
+            opened[k][1] += 1
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    h, last, total = np.zeros(m.HIDDEN), 0, 0.0
+    for x in tokens:
+        xw, g = p["x"][last].astype(float), h @ p["u"].astype(float)
+        z, r = sigmoid(xw[: m.HIDDEN] + g[: m.HIDDEN]), sigmoid(xw[m.HIDDEN : 2 * m.HIDDEN] + g[m.HIDDEN : 2 * m.HIDDEN])
+        n = np.tanh(xw[2 * m.HIDDEN :] + r * g[2 * m.HIDDEN :])
+        h = (1 - z) * n + z * h
+        logits = h @ p["wc"] + p["bc"]
+        if x in net:
+            kind, inner = divmod(net[x], m.CLASS)
+            v = h @ p["wv"][kind] + p["bv"][kind]
+            total += (v[inner] - np.log(np.exp(v).sum())) / np.log(10)
+            last = net[x]
+        else:
+            k = open_class(x)
+            kind, last = m.CLASSES + k, m.HEAD + k
+            total += math.log10((c[x] + 0.5) / (opened[k][0] + 0.5 * (opened[k][1] + 1)))
+        total += (logits[kind] - np.log(np.exp(logits).sum())) / np.log(10)
+    return total
+
+
+def as_word(x):
+    data = np.frombuffer(x.encode(), np.uint8)
+    return _words.Words(data, np.array([0]), np.array([len(data)]), np.array([0, 1]))
+
+
+def open_class(x):
+    return int(recurrent_lm.suffix(as_word(x))[0])
+
+
+def word_hash(x):
+    return int(as_word(x).hashes()[0])
 
 
 def test_lm_gradient_and_normalisation():
