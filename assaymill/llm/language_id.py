@@ -120,14 +120,16 @@ def train(docs: DataFrame, key: Column, text_col: str = "text", label_col: str =
 
     Rows with a null label or text take no part. Without any labelled row the model knows no language.
     """
-    pairs = docs.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("lang"), (F.pmod(F.xxhash64(key), F.lit(1_000_000)) / 1_000_000).alias("u"))
+    pairs = docs.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("lang"), F.xxhash64(key).alias("h"))
     pairs = pairs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = {r["lang"]: r["count"] for r in pairs.groupBy("lang").count().collect()}
     if not counts:
         return LanguageModel([], np.zeros((0, 0), np.float32), None, np.zeros(0))
     each = max(1, rows // len(counts))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, max(2.0, 1.2 * each) / n))])
-    sample = sorted(pairs.where(F.col("u") < share[F.col("lang")]).collect(), key=lambda r: (r["u"], r["lang"], r["text"]))
+    chosen = pairs.where(F.pmod("h", F.lit(1_000_000)) / 1_000_000 < share[F.col("lang")])
+    # Rows of one key and language are one row of the sample, however often they repeat.
+    sample = sorted(chosen.groupBy("h", "lang").agg(F.min("text").alias("text")).collect(), key=lambda r: (r["h"], r["lang"]))
     return fit([r["text"] for r in sample], [r["lang"] for r in sample], epochs, rejected)
 
 

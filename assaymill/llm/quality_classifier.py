@@ -5,7 +5,8 @@ labelled rows and calibrated on a part set aside; its calibrated log-odds less t
 document's evidence. Sites form two levels, host and path. A host's share of good documents is
 shrunk towards the global share, a path's towards its host's, by Beta priors whose strength comes
 from the spread between sites (moments); so sparse sites follow the level above. A document's
-posterior adds its evidence to the log-odds of its path, itself left out. Sites are summed by
+posterior adds its evidence to the log-odds of its path; it is itself left out of its path, its host and
+the global share. Sites are summed by
 grouped aggregation, and looked up so that a host with a third of the rows stays spread.
 """
 
@@ -97,7 +98,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 12) -> QualityModel:
     held = np.flatnonzero(aside)
     raw, target = m.raw(pa.array([texts[i] for i in held], pa.string())), y[held]
     a, b = 1.0, 0.0
-    for _ in range(300):  # Platt scaling, drawn slightly to the uncalibrated scale
+    for _ in range(300 if len(held) else 0):  # Platt scaling, drawn slightly to the uncalibrated scale
         p = _logistic(a * raw + b)
         a -= 0.5 * (((p - target) * raw).mean() / (1 + (raw**2).mean()) + 1e-3 * (a - 1))
         b -= 0.5 * (p - target).mean()
@@ -107,12 +108,16 @@ def fit(texts: list[str], labels: list[int], epochs: int = 12) -> QualityModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
-    """Fit on at most about ``rows`` labelled rows, chosen by hash of the id; null texts and labels take no part."""
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")
+    """Fit on at most about ``rows`` labelled ids, chosen by hash; null texts and labels take no part.
+
+    Of several labels of an id the least counts, of several texts the first by code points. With one label
+    only, or none, there is no evidence; with fewer than five rows none is left to calibrate on.
+    """
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
     n = known.count()
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rows / max(n, 1))))
-    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id").collect()
-    sample.sort(key=lambda r: (r["doc_id"], r["text"], r["y"]))
+    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id")
+    sample = sorted(sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).collect(), key=lambda r: r["doc_id"])
     return fit([r["text"] for r in sample], [r["y"] for r in sample])
 
 
@@ -149,10 +154,14 @@ def quality(docs: DataFrame, model: QualityModel, host: Column, path: Column, id
     total = hosts.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     mean = min(1 - 1e-6, max(1e-6, total["good"] / total["n"])) if total["n"] else 0.5
     of_host, of_path = _strength(hosts, mean), _strength(paths, mean)
-    hosts = hosts.withColumn("p_host", (F.col("good") + of_host * mean) / (F.col("n") + of_host))
-    paths = lookup(paths, hosts.select("host", "p_host", "paths"), ["host"], "paths").withColumnRenamed("n", "path_rows")
-    out = lookup(scored, paths.select("path", "good", F.col("path_rows").alias("others"), "p_host", "path_rows"), ["path"], "path_rows")
-    share = (F.col("good") - F.col("p_text") + of_path * F.col("p_host")) / (F.col("others") - 1 + of_path)
-    out = out.withColumn("p_path", F.least(F.greatest(share, F.lit(1e-6)), F.lit(1 - 1e-6)))
+    hosts = hosts.select("host", F.col("good").alias("host_good"), F.col("n").alias("host_rows"), "paths")
+    paths = lookup(paths, hosts, ["host"], "paths").withColumnRenamed("n", "rows")
+    out = lookup(scored, paths.select("path", "good", F.col("rows").alias("path_rows"), "host_good", "host_rows", "rows"), ["path"], "rows")
+    bounded = lambda x: F.least(F.greatest(x, F.lit(1e-6)), F.lit(1 - 1e-6))
+    rest = total["n"] or 0
+    others = (F.lit(float(total["good"] or 0)) - F.col("p_text")) / (rest - 1) if rest > 1 else F.lit(mean)
+    out = out.withColumn("p_all", bounded(others))
+    out = out.withColumn("p_host", bounded((F.col("host_good") - F.col("p_text") + of_host * F.col("p_all")) / (F.col("host_rows") - 1 + of_host)))
+    out = out.withColumn("p_path", bounded((F.col("good") - F.col("p_text") + of_path * F.col("p_host")) / (F.col("path_rows") - 1 + of_path)))
     posterior = 1 / (1 + F.exp(-(F.col("evidence") + F.ln(F.col("p_path") / (1 - F.col("p_path"))))))
     return out.withColumn("p_quality", posterior).select("doc_id", "evidence", "p_text", "p_host", "p_path", "p_quality", (F.col("p_quality") >= least).alias("kept"))

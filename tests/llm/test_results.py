@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -460,6 +461,45 @@ def test_sparse_sites_shrink(spark):
     data = [(i, "w", "big", "p") for i in range(200)] + [(500, "w", "small", "q")]
     out = quality_classifier.quality(spark.createDataFrame(data, "doc_id long, text string, host string, path string"), quality_classifier.fit(["a b", "c d", "e f"], [1, 0, 1]), F.col("host"), F.col("path")).collect()
     assert len(out) == 201 and abs(out[0]["p_path"] - next(r for r in out if r["doc_id"] == 500)["p_path"]) < 0.1
+    assert all(0 < r["p_quality"] < 1 and math.isfinite(r["evidence"]) for r in out)
+
+
+def test_posteriors_follow_the_definition(spark):
+    rng = np.random.default_rng(6)
+    model = quality_classifier.fit([f"good fine {i}" if i % 3 else f"bad junk {i}" for i in range(60)], [int(i % 3 > 0) for i in range(60)])
+    rows_ = []
+    for i in range(400):
+        host = [None, "h1", "h2", "h2"][i % 4]
+        rows_.append((i, str(rng.choice(["good fine", "bad junk", "good", "other", ""])), host, None if i % 7 == 0 else f"p{int(rng.integers(0, 9)) if host == 'h2' else 0}"))
+    got = {r["doc_id"]: r for r in quality_classifier.quality(spark.createDataFrame(rows_, "doc_id long, text string, host string, path string"), model, F.col("host"), F.col("path")).collect()}
+    p = {i: 1 / (1 + math.exp(-(got[i]["evidence"] + model.prior))) for i, *_ in rows_}
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for i, _, h, q in rows_:
+        hosts[h].append(i)
+        paths[h, q].append(i)
+    mean = sum(p.values()) / len(p)
+
+    def strength(groups):
+        n = [len(g) for g in groups.values()]
+        chance = mean * (1 - mean)
+        ss = sum(len(g) * (sum(p[i] for i in g) / len(g) - mean) ** 2 for g in groups.values())
+        between = (ss - (len(n) - 1) * chance) / (sum(n) - sum(x * x for x in n) / sum(n))
+        return min(1e6, max(1.0, chance / between - 1)) if between > 1e-9 else 1e6
+
+    of_host, of_path = strength(hosts), strength(paths)
+    for i, _, h, q in rows_:
+        every = (sum(p.values()) - p[i]) / (len(p) - 1)
+        host = (sum(p[j] for j in hosts[h]) - p[i] + of_host * every) / (len(hosts[h]) - 1 + of_host)
+        path = (sum(p[j] for j in paths[h, q]) - p[i] + of_path * host) / (len(paths[h, q]) - 1 + of_path)
+        assert (got[i]["p_text"], got[i]["p_host"], got[i]["p_path"]) == pytest.approx((p[i], host, path), rel=1e-9)
+        assert got[i]["p_quality"] == pytest.approx(1 / (1 + math.exp(-(got[i]["evidence"] + math.log(path / (1 - path))))), rel=1e-9)
+        assert got[i]["kept"] == (got[i]["p_quality"] >= 0.5)
+
+
+@pytest.mark.parametrize("n", range(5))
+def test_few_labels_leave_no_nan(n):
+    model = quality_classifier.fit(["a b", "c d", "a c", "b"][:n], [1, 0, 1, 0][:n])
+    assert np.isfinite(model.evidence(pa.array(["a b", "", None]))).all()
 
 
 def test_pipeline_stages(spark):
