@@ -176,8 +176,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = materialize(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
     members = groups.select("node", F.explode("bands").alias("bucket"))
     groups = groups.drop("bands")
-    shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket", "low")
-    members = materialize(members.join(shared, "bucket").distinct(), "buckets")
+    shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low < high").select("bucket", "low", "size")
+    members = materialize(lookup(members, materialize(shared, "shared"), ["bucket"], "size").where("low is not null"), "buckets")
     needed = materialize(groups.join(members.select("node").distinct(), "node").select("doc_id", "node", "k1", "k2"), "needed")
     needed = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
     found = texts.join(needed, "doc_id").select("text", "node", "k1", "k2").mapInArrow(lambda it: tidy(full_sets(it, shingle_words)), "node long, shingles array<long>, signature binary")
@@ -203,15 +203,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _placed(members: DataFrame, roots: DataFrame, least: int = 2) -> DataFrame:
     """Members with their ``root``, in buckets of at least ``least`` members that still hold several components."""
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = materialize(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
-    return placed.join(open_.where(F.expr("low < high") & (F.col("size") >= least)).select("bucket"), "bucket")
+    open_ = materialize(open_.where(F.expr("low < high") & (F.col("size") >= least)).select("bucket", F.lit(True).alias("open"), "size"), "open-buckets")
+    return lookup(placed, open_, ["bucket"], "size").where("open").drop("open")
 
 
 def _heads(placed: DataFrame, n: int) -> DataFrame:
-    """The ``n`` members of each bucket with the fewest shingles of their own."""
+    """``placed`` with ``heads``: the ``n`` members of the row's bucket with the fewest shingles of their own."""
     order = Window.partitionBy("bucket").orderBy("alone", F.xxhash64("node"))
-    return placed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    first = placed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    heads = first.groupBy("bucket").agg(F.collect_list(F.struct(F.col("node").alias("head"), F.col("root").alias("head_root"), F.col("n").alias("head_n"), F.col("alone").alias("head_alone"))).alias("heads"))
+    sized = placed.groupBy("bucket").agg(F.count("*").alias("size"))
+    return lookup(placed, materialize(heads.join(sized, "bucket"), "heads"), ["bucket"], "size")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -220,10 +224,10 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def _centre_pairs(placed: DataFrame, percent: int) -> DataFrame:
     """Members against the CENTRES of their bucket, where they are in other components and could be linked."""
-    heads = _heads(placed, CENTRES).select("bucket", F.col("node").alias("head"), F.col("root").alias("head_root"), F.col("n").alias("head_n"), F.col("alone").alias("head_alone"))
+    met = _heads(placed, CENTRES).select("node", "root", "n", "alone", F.inline("heads"))
     most = F.least(F.col("n") - F.col("alone"), F.col("head_n") - F.col("head_alone"))
     fewest = F.greatest(F.col("n") + F.col("head_alone"), F.col("head_n") + F.col("alone"))
-    return _ordered(placed.join(heads, "bucket").where((F.col("root") != F.col("head_root")) & (100 * most >= percent * fewest)))
+    return _ordered(met.where((F.col("root") != F.col("head_root")) & (100 * most >= percent * fewest)))
 
 
 def _other_pairs(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -235,7 +239,7 @@ def _other_pairs(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     dealt to blocks, and each pair of blocks is a key of its own.
     """
     placed = materialize(placed, "open")
-    pivot = placed.join(_heads(placed, 1).select("bucket", F.col("node").alias("head")), "bucket")
+    pivot = _heads(placed, 1).withColumn("head", F.col("heads")[0]["head"]).drop("heads")
     measured = materialize(_sided(_ordered(pivot.select("node", "head")), nodes).mapInArrow(lambda it: tidy(overlaps(it)), "a long, b long, shared long"), "overlaps")
     known = measured.select("a", "b", "shared").union(measured.where("a <> b").select("b", "a", "shared")).toDF("node", "head", "shared")
     near = materialize(pivot.join(known, ["node", "head"]).select("bucket", "node", "root", "n", "nth", "shared", F.greatest(F.col("n") - F.col("shared") - F.col("alone"), F.lit(0)).alias("outside")), "measured")
