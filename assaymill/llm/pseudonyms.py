@@ -12,6 +12,7 @@ by digits of a keyed digest in their own alphabet, which links equal values as w
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 #: A whole Gregorian cycle: 400 years from this day have 189 * 773 days.
-FIRST_DAY, DATE_RADIX = "1900-01-01", (189, 773)
+FIRST_DAY, DATE_RADIX = "1800-01-01", (189, 773)
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}"
 _AWS = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
 _SECRET = r"(?i:password|passwd|secret|token|api_key|apikey)[ ]{0,3}[=:][ ]{0,3}[\"']?[A-Za-z0-9+/_-]{8,}+"
@@ -160,10 +161,16 @@ def _accounts(m: Column, key: Column) -> Column:
 
 def _phone(m: Column, key: Column) -> Column:
     def north_american(d: Column) -> Column:
+        """Numbers with a valid area and exchange are permuted among themselves, and so are the others."""
         area, exchange, line = (_number(F.substr(d, F.lit(i), F.lit(n))) for i, n in ((1, 3), (4, 3), (7, 4)))
         out = feistel(key, "phone", (area - 200) * 100 + F.floor(line / 100), (exchange - 200) * 100 + line % 100, F.lit(80_000), F.lit(80_000))
         new = let(out, lambda p: F.concat(_pad(F.floor(p["a"] / 100) + 200, 3), _pad(F.floor(p["b"] / 100) + 200, 3), _pad(p["a"] % 100, 2), _pad(p["b"] % 100, 2)))
-        return F.when((area >= 200) & (exchange >= 200), new).otherwise(permuted_digits(key, "phone", d))
+        # The 360,000 other pairs of area and exchange: all exchanges of areas under 200, then exchanges under 200.
+        index = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
+        low = lambda i: F.concat(_pad(F.floor(i / 1000), 3), _pad(i % 1000, 3))
+        high = lambda i: F.concat(_pad(F.floor((i - 200_000) / 200) + 200, 3), _pad((i - 200_000) % 200, 3))
+        other = let(feistel(key, "phone-other", index, line, F.lit(360_000), F.lit(10_000)), lambda p: F.concat(F.when(p["a"] < 200_000, low(p["a"])).otherwise(high(p["a"])), _pad(p["b"], 4)))
+        return F.when((area >= 200) & (exchange >= 200), new).otherwise(other)
 
     def abroad(d: Column) -> Column:
         return F.concat(F.left(d, F.lit(2)), permuted_digits(key, "phone", F.substr(d, F.lit(3))))
@@ -238,11 +245,13 @@ def _aws(m: Column, key: Column) -> Column:
 
 
 def _secret(m: Column, key: Column) -> Column:
+    """Values with a digit, of mixed case or with a sign inside, and all that stand in quotes or right after ``=``."""
     value = F.regexp_extract(m, r"[=:][ ]{0,3}[\"']?([A-Za-z0-9+/_-]+)$", 1)
 
     def run(v: Column) -> Column:
         h = _keyed(key, "secret", v)
-        return F.when(v.rlike("[0-9]"), F.concat(F.left(m, F.length(m) - F.length(v)), F.left(F.repeat(h, F.ceil(F.length(v) / 64).cast("int")), F.length(v))))
+        bound = F.left(m, F.length(m) - F.length(v)).rlike("[=\"']$")
+        return F.when(v.rlike("[0-9]|[a-z][A-Z]|[A-Za-z][+/_-][A-Za-z]") | bound, F.concat(F.left(m, F.length(m) - F.length(v)), F.left(F.repeat(h, F.ceil(F.length(v) / 64).cast("int")), F.length(v))))
 
     return let(value, run)
 
@@ -258,10 +267,13 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """``docs`` with personal data in ``text_col`` replaced by pseudonyms, and ``pii_kinds``: the kinds replaced, in text order.
 
     Null stays null, empty stays empty, and candidates that fail validation stay as they are: repeated
-    rows get equal pseudonyms. Dates outside the 400 years from 1900 stay. Every row and column is kept;
-    a column named ``pii_kinds`` is replaced.
+    rows get equal pseudonyms. Dates outside the 400 years from 1800 stay. Every row and column is kept;
+    a column named ``pii_kinds`` is replaced. A digest of ``key`` is read by a scalar subquery, so that no
+    plan, log or user interface shows it.
     """
-    secret = F.lit(key)
+    digest = hashlib.sha256(f"pseudonyms|{key}".encode()).hexdigest()
+    docs = docs.withColumn("__pii_key", docs.sparkSession.createDataFrame([(digest,)], "key string").scalar())
+    secret = F.col("__pii_key")
 
     def named(kind: str) -> Callable[[Column], Column]:
         return lambda new: F.when(new.isNotNull(), F.struct(F.array(F.lit(kind)).alias("kinds"), new.alias("new")))
@@ -274,4 +286,4 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     out = docs.withColumn("__pii_found", F.transform(found, lambda m: F.struct(m.alias("old"), replaced(m).alias("r"))))
     mended = F.array_join(F.flatten(F.zip_with(F.split(text, SCAN, -1), "__pii_found", lambda p, m: F.array(p, F.coalesce(m["r"]["new"], m["old"], F.lit(""))))), "")
     kinds = F.flatten(F.filter(F.transform("__pii_found", lambda m: m["r"]["kinds"]), F.isnotnull))
-    return out.withColumns({text_col: F.when(F.size("__pii_found") > 0, mended).otherwise(text), "pii_kinds": F.coalesce(kinds, F.array().cast("array<string>"))}).drop("__pii_found")
+    return out.withColumns({text_col: F.when(F.size("__pii_found") > 0, mended).otherwise(text), "pii_kinds": F.coalesce(kinds, F.array().cast("array<string>"))}).drop("__pii_found", "__pii_key")
