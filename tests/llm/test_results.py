@@ -458,18 +458,78 @@ def test_pseudonyms_beside_other_groups(spark):
     assert got[0]["text"].endswith(" 12/27") and got[2]["text"].startswith("12/27 ") and got[4]["text"].endswith(" BIC")
 
 
-def test_license_scan(spark):
-    mit = dict(license_scan.TEMPLATES)["MIT-text"]
-    changed = mit.replace("free of charge", "at no cost").replace("publish, ", "")
-    data = [(1, "Some words.\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "x " * 50 + changed + " tail"), (3, "the MIT of license and under version 2.0"), (4, None), (5, ""), (6, "é " * 9 + "RELEASED UNDER THE MIT LICENSE! RELEASED UNDER THE MIT LICENSE!")]
-    out = license_scan.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()
-    found = sorted((r["doc_id"], r["license"]) for r in out)
-    assert found == [(1, "Apache-2.0"), (2, "MIT-text"), (6, "MIT"), (6, "MIT")]
+def licenses(spark, texts, **more):
+    data = list(enumerate(texts))
+    out = license_scan.scan(spark.createDataFrame(data, "doc_id long, text string"), **more).collect()
     for r in out:
-        text = dict(data)[r["doc_id"]]
-        assert text[r["start_char"] : r["end_char"]] == r["span"] and 0.8 <= r["coverage"] <= 1
-    long = next(r for r in out if r["doc_id"] == 2)
-    assert 0.9 < long["coverage"] < 1 and long["span"].startswith("Permission is hereby") and long["span"].endswith("do so")
+        assert texts[r["doc_id"]][r["start_char"] : r["end_char"]] == r["span"] and 0.8 <= r["coverage"] <= 1
+    return sorted(out, key=lambda r: (r["doc_id"], r["start_char"]))
+
+
+def test_license_scan(spark):
+    grant = license_scan._MIT_GRANT
+    changed = grant.replace("free of charge", "at no cost").replace("publish, ", "")
+    texts = ["Some words.\nLicensed under the Apache License, Version 2.0.\nmore", "x " * 50 + changed + " tail", "the MIT of license and under version 2.0", None, "", "é " * 9 + "RELEASED UNDER THE MIT LICENSE! RELEASED UNDER THE MIT LICENSE!"]
+    out = licenses(spark, texts)
+    assert [(r["doc_id"], r["license"]) for r in out] == [(0, "Apache-2.0"), (1, "MIT"), (5, "MIT"), (5, "MIT")]
+    assert 0.9 < out[1]["coverage"] < 1 and out[1]["span"].startswith("Permission is hereby") and out[1]["span"].endswith("do so")
+
+
+def test_every_template_is_found_as_itself(spark):
+    texts = [f"before it {t.text.upper() if i % 2 else t.text} and after" for i, t in enumerate(license_scan.TEMPLATES)]
+    out = licenses(spark, texts)
+    assert [(r["doc_id"], r["license"], r["coverage"]) for r in out] == [(i, t.name, 1.0) for i, t in enumerate(license_scan.TEMPLATES)]
+
+
+def test_near_misses_of_licenses(spark):
+    gpl = "This work is licensed under the GNU General Public License, version "
+    out = licenses(spark, ["Licensed under CC BY 4.0.", gpl + "2.", gpl + "1.", "This work is licensed under a Creative Commons Attribution 3.0 International License."])
+    assert [(r["doc_id"], r["license"]) for r in out] == [(0, "CC-BY-4.0"), (1, "GPL-2.0")]
+
+
+def test_licenses_with_words_put_in(spark):
+    """However many words up to the gap stand inside, and not beyond it."""
+    w = (license_scan._MIT_GRANT + license_scan._MIT_REST).split()
+    texts = [" ".join([*w[:80], *(f"foreign{j}" for j in range(n)), *w[80:]]) for n in (5, 12, 40, 90, 120)] + [" ".join(w[:60] + w[75:]), " ".join(["a"] * 9 + w + w)]
+    out = licenses(spark, texts)
+    whole = [(r["doc_id"], r["matched_words"]) for r in out if r["template_words"] == len(re.findall("[A-Za-z0-9]+", " ".join(w)))]
+    assert [i for i, _ in whole] == [0, 1, 2, 3, 5, 6, 6] and all(n >= len(w) - 16 for _, n in whole)
+
+
+def test_alignments_count_what_brute_force_counts():
+    rng = np.random.default_rng(4)
+
+    def common(a, b):
+        last = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(max(new[-1], last[j + 1], last[j] + (x == y)))
+            last = new
+        return last[-1]
+
+    for _ in range(300):
+        a, b = rng.integers(0, 4, int(rng.integers(0, 12))), rng.integers(0, 4, int(rng.integers(0, 12)))
+        assert license_scan.banded(a, b, -12, 12) == common(a.tolist(), b.tolist())
+    index = license_scan.Index.of([license_scan.Template("t", " ".join(f"w{i}" for i in range(90)))])
+    a = index.texts[0]
+    for _ in range(150):
+        copy = [x for x in a.tolist() if rng.random() > 0.04]
+        for j in sorted(rng.integers(0, len(copy), int(rng.integers(0, 4))).tolist(), reverse=True):
+            copy[j:j] = rng.integers(1, 2**62, int(rng.integers(1, 30))).tolist()
+        text = np.array([*rng.integers(1, 2**62, 50).tolist(), *copy, *rng.integers(1, 2**62, 50).tolist()], np.uint64)
+        ((_, equal, first, last),) = license_scan.matches(text, index, 0.5)
+        best = common(a.tolist(), text.tolist())
+        assert best - 2 * (license_scan.K + license_scan.WINDOW - 2) <= equal <= best and equal <= common(a.tolist(), text[first:last].tolist())
+
+
+def test_templates_from_a_folder(spark, tmp_path):
+    (tmp_path / "House-1.0.txt").write_text("you may use this work as long as the house stands and the roof holds")
+    found = license_scan.read_templates(spark, str(tmp_path))
+    out = licenses(spark, ["so: You may use this work as long as the house stands, and the roof holds!"], templates=found)
+    assert [r["license"] for r in out] == ["House-1.0"]
+    with pytest.raises(ValueError):
+        license_scan.read_templates(spark, str(tmp_path), most_bytes=10)
 
 
 def test_quality_classifier_held_out(spark):
