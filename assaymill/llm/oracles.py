@@ -72,8 +72,12 @@ def op1() -> str:
         ctes.append(f"b{s} AS (SELECT *, floor({q.BINS} * ln(d2 + 1e-6)) AS bin FROM d{s})")
         ctes.append(f"c{s} AS (SELECT cell, bin, sum(count(*)) OVER (PARTITION BY cell ORDER BY bin) - count(*) AS before, sum(count(*)) OVER (PARTITION BY cell) AS total FROM b{s} GROUP BY cell, bin)")
         ctes.append(f"h{s} AS (SELECT b.* FROM b{s} b JOIN c{s} c ON b.cell = c.cell AND b.bin = c.bin WHERE before < {q.RAW_SHARE} * total)")
-        estimate(f"e{s + 1}", f"h{s}", q.consistency(q.RAW_SHARE) if s == q.STEPS - 1 else 1.0)
-    distance("dr", "u", f"e{q.STEPS}")
+        estimate(f"e{s + 1}", f"h{s}", q.consistency(q.RAW_SHARE))
+    value = ", ".join([*(f"m{i}" for i in p), *(f"l{i}{j}" for i, j in low)])
+    root = " + ".join(f"ln(l{i}{i})" for i in p)
+    ctes.append("steps AS (" + " UNION ALL ".join(f"SELECT *, round({root}, 6) AS root, {s} AS step FROM e{s + 1}" for s in range(q.STEPS)) + ")")
+    ctes.append(f"em AS (SELECT cell, {value} FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY root, step) AS best FROM steps) WHERE best = 1)")
+    distance("dr", "u", "em")
     ctes.append(f"good AS (SELECT * FROM dr WHERE d2 <= {q.chi_square_quantile(q.CUT, q.P)!r})")
     estimate("ef", "good", q.consistency(q.CUT))
     distance("df", "v", "ef")

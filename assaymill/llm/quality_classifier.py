@@ -56,8 +56,9 @@ class QualityModel:
     def raw(self, texts: pa.Array) -> np.ndarray:
         out = []
         for bucket, bounds, stats in features(texts):
-            sums = np.concatenate([[0.0], np.cumsum(self.weights[bucket])])
-            bag = (sums[bounds[1:]] - sums[bounds[:-1]]) / np.sqrt(np.maximum(np.diff(bounds), 1))
+            # Each text is summed by itself, so its evidence does not depend on the texts beside it.
+            n = np.diff(bounds)
+            bag = np.add.reduceat(np.append(self.weights[bucket], 0.0), bounds[:-1]) * (n > 0) / np.sqrt(np.maximum(n, 1))
             out.append(bag + ((stats - self.center) / self.spread).clip(-5, 5) @ self.linear + self.bias)
         return np.concatenate(out) if out else np.zeros(0)
 
@@ -128,7 +129,7 @@ def _strength(sites: DataFrame, mean: float) -> float:
         return 10.0
     chance = mean * (1 - mean)
     between = (r["ss"] - (r["k"] - 1) * chance) / max(r["n"] - r["nn"] / r["n"], 1e-9)
-    return float(min(1e6, max(1.0, chance / between - 1))) if between > 1e-9 else 1e6
+    return float(f"{min(1e6, max(1.0, chance / between - 1)):.6g}") if between > 1e-9 else 1e6
 
 
 def quality(docs: DataFrame, model: QualityModel, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -148,10 +149,13 @@ def quality(docs: DataFrame, model: QualityModel, host: Column, path: Column, id
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), site.alias("host"), F.xxhash64(host, host.isNull(), path, path.isNull()).alias("path"), F.col(text_col).cast("string").alias("text"))
     scored = rows.mapInArrow(run, schema)
     odds = float(model.prior)
-    scored = materialize(scored.withColumn("p_text", 1 / (1 + F.exp(-(F.col("evidence") + odds)))), "evidence")
-    paths = materialize(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p_text").alias("good")), "paths")
+    scored = materialize(scored.withColumn("p_text", F.round(1 / (1 + F.exp(-(F.col("evidence") + odds))), 9)), "evidence")
+    paths = materialize(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.round(F.col("p_text") * 1e9).cast("long")).alias("good")), "paths")
+    # Shares are summed as whole billionths: exact in any order, so reruns agree.
     hosts = materialize(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.count("*").alias("paths")), "hosts")
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
+    paths, hosts = (x.withColumn("good", F.col("good") / 1e9) for x in (paths, hosts))
+    total = hosts.agg(F.sum("n").alias("n"), F.sum(F.round(F.col("good") * 1e9).cast("long")).alias("good")).first()
+    total = {"n": total["n"], "good": (total["good"] or 0) / 1e9}
     mean = min(1 - 1e-6, max(1e-6, total["good"] / total["n"])) if total["n"] else 0.5
     of_host, of_path = _strength(hosts, mean), _strength(paths, mean)
     hosts = hosts.select("host", F.col("good").alias("host_good"), F.col("n").alias("host_rows"), "paths")

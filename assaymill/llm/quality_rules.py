@@ -2,8 +2,9 @@
 
 The counts of a text become a vector of four transformed statistics. Per cell (language and source)
 the location and scatter of the half of the rows that lie closest together are estimated by
-concentration steps from the coordinatewise median and MAD, then reweighted once; a row whose
-squared Mahalanobis distance exceeds the chi-square ``quantile`` is rejected.
+STEPS concentration steps from the coordinatewise median and MAD; of a cell's steps the one with the
+least determinant of the scatter counts. It is reweighted once, and a row whose squared Mahalanobis
+distance exceeds the chi-square ``quantile`` is rejected.
 
 A concentration step is one aggregation: rows fall into narrow bins of the logarithm of their
 distance, counts and moments are summed per cell and bin, and the cell keeps whole bins until its
@@ -13,6 +14,7 @@ Statistics are whole multiples of 1/1024, which makes the sums exact in any orde
 
 from __future__ import annotations
 
+from functools import reduce
 from math import exp
 
 from pyspark.sql import Column, DataFrame
@@ -158,13 +160,20 @@ def robust_outliers(rows: DataFrame, quantile: float = 0.9999, min_rows: int = 5
     estimate = middle.join(spread, "cell").withColumns({f"l{i}{j}": F.sqrt((F.col(f"d{i}") * 1.4826) ** 2 + (FLOOR[i] * SCALE) ** 2) if i == j else F.lit(0.0) for i in range(P) for j in range(i + 1)})
     estimate = materialize(estimate.drop(*[f"d{i}" for i in range(P)]), "estimate")
     names = ["n", *[f"s{i}" for i in range(P)], *[f"ss{i}{j}" for i in range(P) for j in range(i + 1)]]
+    steps = []
     for step in range(STEPS):
         bins = _distance(inner, estimate, sizes).withColumn("bin", F.floor(BINS * F.ln(F.col("d2") + 1e-6)))
         bins = _moments(bins, "cell", "bin")
         w = Window.partitionBy("cell")
         bins = bins.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)})
         kept = bins.where(F.col("upto") - F.col("n") < RAW_SHARE * F.col("all")).groupBy("cell").agg(*[F.sum(c).alias(c) for c in names])
-        estimate = materialize(_root(kept, consistency(RAW_SHARE) if step == STEPS - 1 else 1.0), "estimate")
+        estimate = materialize(_root(kept, consistency(RAW_SHARE)), "estimate")
+        # The determinant of the scatter is the squared product of its root's diagonal; equal ones go to the earlier step.
+        root = sum(F.ln(f"l{i}{i}") for i in range(P))
+        steps.append(estimate.withColumn("rank", F.struct(F.round(root, 6).alias("root"), F.lit(step).alias("step"))))
+    value = [c for c in estimate.columns if c != "cell"]
+    least = reduce(DataFrame.union, steps).groupBy("cell").agg(F.min_by(F.struct(*value), "rank").alias("e"))
+    estimate = materialize(least.select("cell", "e.*"), "estimate")
     good = _distance(inner, estimate, sizes).where(F.col("d2") <= chi_square_quantile(CUT, P))
     estimate = materialize(_root(_moments(good, "cell"), consistency(CUT)), "estimate")
     return _distance(rows, estimate, sizes).withColumn("outlier", F.coalesce(F.col("d2") > chi_square_quantile(quantile, P), F.lit(False)))

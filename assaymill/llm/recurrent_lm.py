@@ -37,6 +37,8 @@ INPUTS, OUTPUTS = HEAD + SUFFIXES, CLASSES + SUFFIXES
 COMMON = 262_144
 #: A group has STEPS steps of WINDOW tokens in each of STREAMS streams, or fewer streams where it is small.
 WINDOW, STREAMS, STEPS, GROUP_DOCS, ROUNDS, RATE = 32, 256, 64, 2048, 2, 0.02
+#: A round has a task for every four groups, up to this number.
+MOST_TASKS = 20_000
 SHAPES = {"x": (INPUTS, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, OUTPUTS), "bc": (OUTPUTS,), "wv": (CLASSES, HIDDEN, CLASS), "bv": (CLASSES, CLASS)}
 
 
@@ -353,7 +355,7 @@ def train(docs: DataFrame, key: Column, text_col: str = "text") -> Model:
         return Model(vocabulary, p, counts)
     spark = docs.sparkSession
     groups = max(1, round(vocabulary.ends / ROUNDS / GROUP_DOCS))
-    tasks = min(groups, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = min(groups, max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-groups // 4))))
     # Rows of one key meet in a group, so equal keys (rows without an id) are spread by their text.
     dealt = texts.withColumn("d", F.xxhash64("h", "text")).select(F.pmod(F.shiftright("d", 20), F.lit(ROUNDS)).alias("round"), F.pmod(F.shiftright("d", 28), F.lit(groups)).alias("group"), "h", "text")
     size = sum(int(np.prod(s)) for s in SHAPES.values())

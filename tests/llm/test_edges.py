@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing column names, for every operator."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,7 +24,9 @@ OPERATORS = {
     "mixing": lambda d: mixing.mixture(d, weights),
     "language": lambda d: language_id.identify(d, language_id.train(d, F.col("doc_id"))),
     "pii": lambda d: pseudonyms.pseudonymize(d, "k"),
+    "packing": lambda d: packing.pack(d, tokenizer()).where("start = 0"),
 }
+NOTICE = "Released under the MIT License."
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -49,6 +53,36 @@ def test_null_only_table(spark, name):
     assert len(OPERATORS[name](docs).collect()) == 3
 
 
+def test_license_rows_of_odd_tables(spark):
+    odd = [(i, f"x {NOTICE} y" if t else t, *rest) for i, t, *rest in rows()]
+    found = license_scan.scan(frame(spark, odd)).collect()
+    assert Counter(r["doc_id"] for r in found) == Counter(i for i, t, *_ in odd if t) and {r["license"] for r in found} == {"MIT"}
+    assert license_scan.scan(frame(spark, [(None,) * 12] * 3)).collect() == []
+    assert [r["doc_id"] for r in license_scan.scan(frame(spark, [(None, NOTICE, *[None] * 10)] * 2)).collect()] == [None, None]
+
+
+def test_ties_are_settled_alike(spark):
+    """Equal spans, equal posteriors, equal values: the same whatever the order of rows."""
+    data = [(i, f"{NOTICE} ip 10.0.0.{i % 3} Licensed under CC BY 4.0. {NOTICE}", "en", "a", 1, *[None] * 7) for i in range(30)]
+    for f in (license_scan.scan, lambda d: pseudonyms.pseudonymize(d, "k").select("doc_id", "text", "pii_kinds"), lambda d: classifier(d), lambda d: packing.pack(d.coalesce(1).orderBy("doc_id"), tokenizer())):
+        a, b = (sorted(map(repr, f(frame(spark, x).coalesce(1)).collect())) for x in (data, data[::-1]))
+        assert a == b
+    texts = {r["text"].split(" ip ")[1].split()[0] for r in pseudonyms.pseudonymize(frame(spark, data), "k").collect()}
+    assert len(texts) == 3
+
+
+def test_a_very_long_text(spark):
+    """Two million words in one row, beside a short one."""
+    long = "alpha beta, gamma 12 " * 500_000 + NOTICE
+    docs = spark.createDataFrame([(1, long, "en", "a"), (2, "short one", "en", "a")], "doc_id long, text string, lang string, source string")
+    assert [(r["doc_id"], r["start_char"]) for r in license_scan.scan(docs).collect()] == [(1, len(long) - len(NOTICE))]
+    assert sum(r["length"] for r in packing.pack(docs, tokenizer()).where("doc_id = 1").collect()) > 2_000_000
+    near = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs).collect()}
+    assert near[1]["n_shingles"] > 4 and near[1]["kept"] and near[2]["kept"]
+    scored = {r["doc_id"]: r for r in recurrent_lm.log_likelihood(docs, recurrent_lm.train(docs, F.col("doc_id"))).collect()}
+    assert scored[1]["n_tokens"] == 2_000_006
+
+
 def test_clashing_columns_survive(spark):
     names = ("_unit", "_nth", "_copies", "_found", "size", "copies", "kept")
     docs = frame(spark).select("doc_id", "text", "lang", "source").withColumns({n: F.lit(n) for n in names})
