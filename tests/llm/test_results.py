@@ -122,29 +122,30 @@ def numbered(text, k=3):
     return out
 
 
-def hashed(spark, items):
+def hashed(spark, items, schema):
     """Spark's 64-bit hash of each tuple of columns."""
     if not items:
         return []
-    kinds = {str: "string", int: "long", tuple: "array<string>", list: "array<long>"}
-    fields = ", ".join(f"c{j} {'int' if j and isinstance(x, int) else kinds[type(x)]}" for j, x in enumerate(items[0]))
-    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(items)], f"i int, {fields}")
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(items)], f"i int, {schema}")
     return [r["h"] for r in rows.withColumn("h", F.xxhash64(*[c for c in rows.columns if c != "i"])).orderBy("i").collect()]
 
 
-def slow_signature(spark, text, circles=8, angles=8, span=2):
+def slow_signature(spark, text, circles=4, angles=16, span=2):
     """The definition read slowly, k-mer by k-mer, on Spark's hash function."""
     mers = numbered(text)
-    base = hashed(spark, [(g,) for g, _ in mers])
-    again = dict(zip([i for i, (_, n) in enumerate(mers) if n], hashed(spark, [(h, n) for h, (_, n) in zip(base, mers) if n])))
+    names = WORD.findall(text)
+    of_word = dict(zip(names, hashed(spark, [(x,) for x in names], "a string")))
+    base = hashed(spark, [tuple(of_word[x] for x in g) + (None,) * (3 - len(g)) for g, _ in mers], "a long, b long, c long")
+    again = dict(zip([i for i, (_, n) in enumerate(mers) if n], hashed(spark, [(h, n) for h, (_, n) in zip(base, mers) if n], "a long, b int")))
     ids = [again.get(i, h) for i, h in enumerate(base)]
     picked = []
     for c in range(1, circles + 1):
-        around = sorted(((h % 2**64) >> 32, i) for i, h in enumerate(hashed(spark, [(h, c) for h in ids])))
+        around = sorted((h, i) for i, h in enumerate(hashed(spark, [(h, c) for h in ids], "a long, b int")))
         for j in range(angles):
-            turned = [x for x in around if x[0] >= j * 2**32 // angles] + [x for x in around if x[0] < j * 2**32 // angles]
+            angle = -(2**63) + j * 2**64 // angles
+            turned = [x for x in around if x[0] >= angle] + [x for x in around if x[0] < angle]
             picked.append([ids[i] for i in sorted(i for _, i in turned[:span])])
-    return [h % 2**16 for h in hashed(spark, [(x,) for x in picked])] if ids else [0] * (circles * angles)
+    return [h % 2**16 for h in hashed(spark, [(x,) for x in picked], "a array<long>")] if ids else [0] * (circles * angles)
 
 
 def test_signatures_follow_the_definition(spark):
