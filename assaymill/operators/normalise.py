@@ -17,7 +17,7 @@ V = F.col
 
 def densify(cells: DataFrame, samples: DataFrame, features: DataFrame) -> DataFrame:
     """All samples by the given features, absent cells as 0: for operators whose result is dense by definition."""
-    grid = samples.select("sample_id").crossJoin(F.broadcast(features.select("feature_id")))
+    grid = samples.select("sample_id").crossJoin(features.select("feature_id"))
     return grid.join(cells, ["sample_id", "feature_id"], "left").select("sample_id", "feature_id", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
@@ -49,18 +49,21 @@ def impute_feature_median(dense: DataFrame) -> DataFrame:
     return dense.join(mid, "feature_id", "left").select("sample_id", "feature_id", F.when(V("value") == 0, F.coalesce("_mid", F.lit(0.0))).otherwise(V("value")).alias("value"))
 
 
-def clr(cells: DataFrame, n_features: int, plus_one: bool = True, subset: DataFrame | None = None) -> DataFrame:
-    """Log less the sample's mean log, over all features or a subset of them.
+def clr(cells: DataFrame, samples: DataFrame, features: DataFrame, plus_one: bool = True, subset: DataFrame | None = None) -> DataFrame:
+    """Log less the sample's mean log, over all features or a subset of them, for all samples by features.
 
-    After plus-one an absent cell's log is 0, so the mean needs only present cells and the feature count.
+    After plus-one an absent cell's log is 0 and its result is minus the mean, for which only present cells and the
+    number of features are summed. Without plus-one a cell that is absent or not above 0 has no logarithm: null.
     """
-    log = F.ln(V("value") + 1) if plus_one else F.ln("value")
-    if subset is None:
-        mean = F.sum("_log").over(Window.partitionBy("sample_id")) / n_features
-        return cells.withColumn("_log", log).select("sample_id", "feature_id", (V("_log") - mean).alias("value"))
-    marked = cells.withColumn("_log", log).join(F.broadcast(subset.select("feature_id", F.lit(1).alias("_in"))), "feature_id", "left")
-    mean = F.sum(F.when(V("_in") == 1, V("_log")).otherwise(0.0)).over(Window.partitionBy("sample_id")) / n_features
-    return marked.select("sample_id", "feature_id", (V("_log") - mean).alias("value"))
+    log = F.ln(V("value") + 1) if plus_one else F.ln(F.when(V("value") > 0, V("value")))
+    counted = cells.withColumn("_log", log)
+    over = features if subset is None else subset
+    if subset is not None:
+        counted = counted.join(subset.select("feature_id"), "feature_id", "left_semi")
+    n = over.agg(F.count_distinct("feature_id").alias("_p"))
+    mean = counted.groupBy("sample_id").agg(F.sum("_log").alias("_sum")).join(n).select("sample_id", (V("_sum") / V("_p")).alias("_mean"))
+    out = densify(cells, samples, features).join(mean, "sample_id", "left")
+    return out.select("sample_id", "feature_id", (log - F.coalesce("_mean", F.lit(0.0))).alias("value"))
 
 
 def robust_clr(cells: DataFrame) -> DataFrame:
@@ -69,10 +72,16 @@ def robust_clr(cells: DataFrame) -> DataFrame:
     return cells.withColumn("_log", log).select("sample_id", "feature_id", F.coalesce(V("_log") - F.avg("_log").over(Window.partitionBy("sample_id")), F.lit(0.0)).alias("value"))
 
 
-def clr_scaled(cells: DataFrame, n_features: int, scale: DataFrame, gamma: float = 0.1, seed: int = 0) -> DataFrame:
+def normal_draw(seed: int, key: Column) -> Column:
+    """One draw from N(0, 1) per key, from md5 of the seed and the key (Box and Muller), so that reruns and other engines agree."""
+    part = lambda name: F.conv(F.left(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(name), key.cast("string"))), F.lit(8)), 16, 10).cast("double")
+    return F.sqrt(-2 * F.ln((part("a") + 1) / 4294967297.0)) * F.cos(2 * F.pi() * part("b") / 4294967296.0)
+
+
+def clr_scaled(cells: DataFrame, samples: DataFrame, features: DataFrame, scale: DataFrame, gamma: float = 0.1, seed: int = 0) -> DataFrame:
     """log2 CLR plus one draw per sample from N(log2 scale, gamma); ``scale`` has (sample_id, scale)."""
-    shift = scale.select("sample_id", (F.randn(seed) * max(gamma, 0.1) + F.log2("scale")).alias("_shift"))
-    base = clr(cells, n_features).join(shift, "sample_id")
+    shift = scale.select("sample_id", (normal_draw(seed, V("sample_id")) * max(gamma, 0.1) + F.log2("scale")).alias("_shift"))
+    base = clr(cells, samples, features).join(shift, "sample_id")
     return base.select("sample_id", "feature_id", (V("value") / F.ln(F.lit(2.0)) + V("_shift")).alias("value"))
 
 
@@ -120,7 +129,8 @@ def tmm_factors(cells: DataFrame, trim_m: float = 0.3, trim_a: float = 0.05) ->
     """
     sized = cells.withColumn("total", F.sum("value").over(Window.partitionBy("sample_id"))).where("total > 0")
     upper = sized.where("value > 0").groupBy("sample_id").agg(F.percentile(V("value") / V("total"), 0.75).alias("_q"))
-    ref = upper.withColumn("_far", F.abs(V("_q") - F.avg("_q").over(Window.partitionBy()))).orderBy("_far", "sample_id").limit(1).select(V("sample_id").alias("_ref"))
+    far = upper.join(upper.agg(F.avg("_q").alias("_usual"))).withColumn("_far", F.abs(V("_q") - V("_usual")))
+    ref = far.orderBy("_far", "sample_id").limit(1).select(V("sample_id").alias("_ref"))
     of_ref = sized.join(F.broadcast(ref), V("sample_id") == V("_ref")).select("feature_id", V("value").alias("_rv"), V("total").alias("_rt"))
     pair = sized.where("value > 0").join(of_ref.where("_rv > 0"), "feature_id")
     x, y = V("value") / V("total"), V("_rv") / V("_rt")
@@ -135,11 +145,12 @@ def tmm_factors(cells: DataFrame, trim_m: float = 0.3, trim_a: float = 0.05) ->
     return out.crossJoin(F.broadcast(mean)).select("sample_id", "total", (V("f") / V("_g")).alias("factor"))
 
 
-def logcpm(cells: DataFrame, factors: DataFrame, prior: float = 2.0) -> DataFrame:
-    """log2 counts per million of the effective library size, with a prior scaled to it."""
+def logcpm(cells: DataFrame, factors: DataFrame, features: DataFrame, prior: float = 2.0) -> DataFrame:
+    """log2 counts per million of the effective library size, with a prior scaled to it, for all samples of ``factors`` by features."""
     lib = factors.select("sample_id", (V("total") * V("factor")).alias("_lib"))
-    lib = lib.withColumn("_prior", prior * V("_lib") / F.avg("_lib").over(Window.partitionBy()))
-    return cells.join(lib, "sample_id").select("sample_id", "feature_id", F.log2((V("value") + V("_prior")) / (V("_lib") + 2 * V("_prior")) * 1e6).alias("value"))
+    mean = lib.agg(F.avg("_lib").alias("_usual"))
+    lib = lib.join(mean).withColumn("_prior", prior * V("_lib") / V("_usual"))
+    return densify(cells, factors, features).join(lib, "sample_id").select("sample_id", "feature_id", F.log2((V("value") + V("_prior")) / (V("_lib") + 2 * V("_prior")) * 1e6).alias("value"))
 
 
 def fit_scaler(dense: DataFrame, how: str = "standard") -> DataFrame:

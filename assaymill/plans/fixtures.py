@@ -9,17 +9,18 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # The market segments, in order.
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 SQL = """
-cells AS (SELECT l_suppkey AS sample_id, p_brand AS feature_id, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity >= 45 GROUP BY 1, 2),
-obs AS (SELECT s_suppkey AS sample_id, r_name AS label, n_name AS nation, CASE WHEN s_suppkey % 2 = 0 THEN 'b0' ELSE 'b1' END AS batch FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+cells AS (SELECT o_custkey AS sample_id, p_brand AS feature_id, sum(l_quantity) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+obs AS (SELECT c_custkey AS sample_id, r_name AS label, n_name AS nation, CASE WHEN c_mktsegment < 'G' THEN 'b0' ELSE 'b1' END AS batch FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 var AS (SELECT p_brand AS feature_id, sum(p_size)::DOUBLE AS length, min(p_type) AS biotype FROM part GROUP BY 1),
 dense AS (SELECT o.sample_id, v.feature_id, coalesce(c.value, 0.0) AS value FROM obs o CROSS JOIN var v LEFT JOIN cells c ON c.sample_id = o.sample_id AND c.feature_id = v.feature_id),
 sizes AS (SELECT (SELECT count(*) FROM obs) AS n, (SELECT count(*) FROM var) AS p),
-sets AS (SELECT DISTINCT p_type AS set_name, p_brand AS feature_id FROM part WHERE p_size <= 1 AND p_partkey % 2 = 0),
+sets AS (SELECT set_name, feature_id FROM (SELECT p_type AS set_name, p_brand AS feature_id, sum(p_size) AS size, avg(sum(p_size)) OVER (PARTITION BY p_type) AS usual FROM part GROUP BY 1, 2) WHERE size > usual),
 edges AS (SELECT 'all' AS parent, r_name AS child FROM region UNION SELECT r_name, n_name FROM region JOIN nation ON n_regionkey = r_regionkey),
 pred AS (SELECT c_custkey AS sample_id, c_mktsegment AS truth, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment ELSE ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'][c_nationkey % 5 + 1] END AS prediction,
   'm' || (c_nationkey % 4)::VARCHAR AS model, (c_custkey % 5)::INT AS fold FROM customer),
@@ -39,13 +40,13 @@ class Fixtures:
 
     @cached_property
     def cells(self) -> DataFrame:
-        sold = self.read("lineitem").where("l_returnflag = 'R' AND l_quantity >= 45").join(self.read("part"), F.col("l_partkey") == F.col("p_partkey"))
-        return sold.groupBy(F.col("l_suppkey").alias("sample_id"), F.col("p_brand").alias("feature_id")).agg(F.sum("l_quantity").alias("value"))
+        sold = self.read("lineitem").join(self.read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(self.read("part"), F.col("l_partkey") == F.col("p_partkey"))
+        return sold.groupBy(F.col("o_custkey").alias("sample_id"), F.col("p_brand").alias("feature_id")).agg(F.sum("l_quantity").alias("value"))
 
     @cached_property
     def obs(self) -> DataFrame:
-        s = self.read("supplier").join(self.read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(self.read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        return s.select(F.col("s_suppkey").alias("sample_id"), F.col("r_name").alias("label"), F.col("n_name").alias("nation"), F.when(F.col("s_suppkey") % 2 == 0, "b0").otherwise("b1").alias("batch"))
+        c = self.read("customer").join(self.read("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(self.read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        return c.select(F.col("c_custkey").alias("sample_id"), F.col("r_name").alias("label"), F.col("n_name").alias("nation"), F.when(F.col("c_mktsegment") < "G", "b0").otherwise("b1").alias("batch"))
 
     @cached_property
     def labels(self) -> DataFrame:
@@ -71,7 +72,10 @@ class Fixtures:
 
     @cached_property
     def sets(self) -> DataFrame:
-        return self.read("part").where("p_size <= 1 AND p_partkey % 2 = 0").select(F.col("p_type").alias("set_name"), F.col("p_brand").alias("feature_id")).distinct()
+        """Per type the brands whose parts are larger in sum than those of the type's usual brand."""
+        sizes = self.read("part").groupBy(F.col("p_type").alias("set_name"), F.col("p_brand").alias("feature_id")).agg(F.sum("p_size").alias("size"))
+        usual = F.avg("size").over(Window.partitionBy("set_name"))
+        return sizes.withColumn("usual", usual).where("size > usual").select("set_name", "feature_id")
 
     @cached_property
     def edges(self) -> DataFrame:

@@ -34,14 +34,23 @@ def wide_to_long(fx: Fixtures) -> DataFrame:
     return src.wide_to_long(wide, "feature_id", regions).select("sample_id", "feature_id", "value")
 
 
-@query("SELECT feature_id, " + ", ".join(f"coalesce(max(value) FILTER (WHERE sample_id = {i}), 0.0) AS s{i}" for i in range(3)) + " FROM cells WHERE sample_id < 3 GROUP BY 1")
+REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+BULK = "bulk AS (SELECT label AS sample_id, feature_id, sum(value) AS value FROM cells JOIN obs USING (sample_id) GROUP BY 1, 2)"
+
+
+def _bulk(fx: Fixtures) -> DataFrame:
+    return src.pseudobulk(fx.cells, fx.obs, V("label")).withColumnRenamed("group_id", "sample_id")
+
+
+@query("SELECT feature_id, " + ", ".join(f"coalesce(max(value) FILTER (WHERE sample_id = '{x}'), 0.0) AS s{i}" for i, x in enumerate(REGIONS)) + " FROM bulk GROUP BY 1", BULK)
 def long_to_wide(fx: Fixtures) -> DataFrame:
-    return src.long_to_wide(fx.cells.where("sample_id < 3"), [0, 1, 2]).toDF("feature_id", "s0", "s1", "s2")
+    return src.long_to_wide(_bulk(fx), REGIONS).toDF("feature_id", *[f"s{i}" for i in range(5)])
 
 
-@query("SELECT feature_id, max(value) FILTER (WHERE batch = 'b0' AND sample_id = 0) AS b0_0, max(value) FILTER (WHERE batch = 'b1' AND sample_id = 1) AS b1_1 FROM cells JOIN obs USING (sample_id) GROUP BY 1")
+@query("SELECT feature_id, " + ", ".join(f"max(value) FILTER (WHERE sample_id = '{x}') AS \"region_{x}\"" for x in REGIONS) + " FROM bulk GROUP BY 1", BULK)
 def wide_export(fx: Fixtures) -> DataFrame:
-    return src.wide_export(fx.cells, fx.obs, "batch", "feature_id", ["b0_0", "b1_1"])
+    projects = fx.obs.select(V("label").alias("sample_id"), F.lit("region").alias("project")).distinct()
+    return src.wide_export(_bulk(fx), projects, "project", "feature_id", [f"region_{x}" for x in REGIONS])
 
 
 @query("""SELECT case_key, CASE WHEN b AND c THEN 'BC' WHEN b THEN 'B' WHEN c THEN 'C' ELSE 'none' END AS available, n_files FROM (
@@ -195,22 +204,29 @@ def relabel(fx: Fixtures) -> DataFrame:
     return pr.relabel(fx.obs, "label", {"ASIA": "a", "EUROPE": "e"}, over).select("sample_id", "label")
 
 
-@query("SELECT feature_id FROM cells WHERE sample_id < 5 INTERSECT SELECT feature_id FROM cells WHERE sample_id BETWEEN 5 AND 9")
-def common_features(fx: Fixtures) -> DataFrame:
-    return pr.common_features(fx.cells.where("sample_id < 5"), fx.cells.where("sample_id BETWEEN 5 AND 9"))
+def _parted(fx: Fixtures) -> dict[str, DataFrame]:
+    """The cells of the two batches; the second lacks the features of one type's set."""
+    tagged = fx.cells.join(fx.obs.select("sample_id", "batch"), "sample_id")
+    lacking = fx.sets.where("set_name = 'ECONOMY'").select("feature_id")
+    return {"x": tagged.where("batch = 'b0'").drop("batch"), "y": tagged.where("batch = 'b1'").drop("batch").join(lacking, "feature_id", "left_anti")}
+
 
+TWO = "two AS (SELECT c.*, CASE WHEN batch = 'b0' THEN 'x' ELSE 'y' END AS source FROM cells c JOIN obs USING (sample_id) WHERE batch = 'b0' OR feature_id NOT IN (SELECT feature_id FROM sets WHERE set_name = 'ECONOMY'))"
 
-TWO = "two AS (SELECT *, CASE WHEN sample_id < 3 THEN 'x' ELSE 'y' END AS source FROM cells WHERE sample_id < 6)"
+
+@query("SELECT feature_id FROM two WHERE source = 'x' INTERSECT SELECT feature_id FROM two WHERE source = 'y'", TWO)
+def common_features(fx: Fixtures) -> DataFrame:
+    return pr.common_features(*_parted(fx).values())
 
 
 @query("SELECT sample_id, feature_id, value, source FROM two", TWO)
 def concat_outer(fx: Fixtures) -> DataFrame:
-    return pr.concat_cells({"x": fx.cells.where("sample_id < 3"), "y": fx.cells.where("sample_id BETWEEN 3 AND 5")})
+    return pr.concat_cells(_parted(fx)).select("sample_id", "feature_id", "value", "source")
 
 
 @query("SELECT sample_id, feature_id, value, source FROM two WHERE feature_id IN (SELECT feature_id FROM two GROUP BY 1 HAVING count(DISTINCT source) = 2)", TWO)
 def concat_inner(fx: Fixtures) -> DataFrame:
-    return pr.concat_cells({"x": fx.cells.where("sample_id < 3"), "y": fx.cells.where("sample_id BETWEEN 3 AND 5")}, "inner").select("sample_id", "feature_id", "value", "source")
+    return pr.concat_cells(_parted(fx), "inner").select("sample_id", "feature_id", "value", "source")
 
 
 RANGES = "rng AS (SELECT feature_id, unnest([45.0, 130.0]) AS lo, unnest([60.0, 200.0]) AS hi FROM var)"
@@ -264,14 +280,14 @@ def impute_feature_median(fx: Fixtures) -> DataFrame:
 CLR = "clr AS (SELECT sample_id, feature_id, ln(value + 1) - sum(ln(value + 1)) OVER (PARTITION BY sample_id) / (SELECT p FROM sizes) AS x FROM dense)"
 
 
-@query(VALUE + "clr WHERE (sample_id, feature_id) IN (SELECT sample_id, feature_id FROM cells)", CLR)
+@query(VALUE + "clr", CLR)
 def clr(fx: Fixtures) -> DataFrame:
-    return nm.clr(fx.cells, fx.p)
+    return nm.clr(fx.cells, fx.obs, fx.var)
 
 
-@query(VALUE + "(SELECT *, ln(value + 1) - sum(CASE WHEN feature_id IN (SELECT feature_id FROM list) THEN ln(value + 1) ELSE 0 END) OVER (PARTITION BY sample_id) / 2 AS x FROM cells)", LIST)
+@query(VALUE + "(SELECT *, ln(value + 1) - sum(CASE WHEN feature_id IN (SELECT feature_id FROM list) THEN ln(value + 1) ELSE 0 END) OVER (PARTITION BY sample_id) / 3 AS x FROM dense)", LIST)
 def clr_subset(fx: Fixtures) -> DataFrame:
-    return nm.clr(fx.cells, 2, subset=feature_list(fx))
+    return nm.clr(fx.cells, fx.obs, fx.var, subset=feature_list(fx))
 
 
 @query(VALUE + "(SELECT *, CASE WHEN value > 0 THEN ln(CASE WHEN value > 0 THEN value END) - avg(ln(CASE WHEN value > 0 THEN value END)) OVER (PARTITION BY sample_id) ELSE 0 END AS x FROM dense)")
@@ -279,9 +295,9 @@ def robust_clr(fx: Fixtures) -> DataFrame:
     return nm.robust_clr(fx.dense)
 
 
-@query()
+@query(VALUE + "(SELECT sample_id, feature_id, x / ln(2) + log2(2.0) + 0.1 * sqrt(-2 * ln(u)) * cos(2 * pi() * v) AS x FROM clr JOIN (SELECT sample_id, (('0x' || left(md5('0|a|' || sample_id), 8))::BIGINT + 1) / 4294967297.0::DOUBLE AS u, ('0x' || left(md5('0|b|' || sample_id), 8))::BIGINT / 4294967296.0::DOUBLE AS v FROM obs) USING (sample_id))", CLR)
 def clr_scaled(fx: Fixtures) -> DataFrame:
-    return nm.clr_scaled(fx.cells, fx.p, fx.obs.select("sample_id", F.lit(2.0).alias("scale")))
+    return nm.clr_scaled(fx.cells, fx.obs, fx.var, fx.obs.select("sample_id", F.lit(2.0).alias("scale")))
 
 
 @query(VALUE + "(SELECT d.sample_id, d.feature_id, ln(d.value + 1) - ln(f.value + 1) AS x FROM dense d JOIN dense f ON f.sample_id = d.sample_id AND f.feature_id = 'Brand#3' WHERE d.feature_id <> 'Brand#3')")
@@ -316,9 +332,9 @@ def tmm_factors(fx: Fixtures) -> DataFrame:
     return nm.tmm_factors(fx.cells)
 
 
-@query(VALUE + "(SELECT sample_id, feature_id, log2((value + pri) / (lib + 2 * pri) * 1e6) AS x FROM cells JOIN (SELECT sample_id, total * factor AS lib, 2.0 * total * factor / avg(total * factor) OVER () AS pri FROM fac) USING (sample_id))", *TMM)
+@query(VALUE + "(SELECT sample_id, feature_id, log2((value + pri) / (lib + 2 * pri) * 1e6) AS x FROM dense JOIN (SELECT sample_id, total * factor AS lib, 2.0 * total * factor / avg(total * factor) OVER () AS pri FROM fac) USING (sample_id))", *TMM)
 def tmm_logcpm(fx: Fixtures) -> DataFrame:
-    return nm.logcpm(fx.cells, nm.tmm_factors(fx.cells))
+    return nm.logcpm(fx.cells, nm.tmm_factors(fx.cells), fx.var)
 
 
 @query(VALUE + "(SELECT *, ln(1 + value / sum(value) OVER (PARTITION BY sample_id) * 1e4) AS x FROM cells)")

@@ -108,9 +108,9 @@ def mean_z_score(fx: Fixtures) -> DataFrame:
     return hi.mean_z_score(fx.dense, fx.sets)
 
 
-@query("SELECT set_name, feature_id FROM (SELECT *, count(*) OVER (PARTITION BY set_name) AS n FROM (SELECT DISTINCT p_type AS set_name, p_brand AS feature_id FROM part WHERE p_size % 5 NOT IN (0, 1) AND p_size <= 4)) WHERE n BETWEEN 5 AND 20")
+@query("SELECT set_name, feature_id FROM (SELECT *, count(*) OVER (PARTITION BY set_name) AS n FROM (SELECT DISTINCT p_type || '-' || p_size AS set_name, p_brand AS feature_id FROM part WHERE p_size % 5 NOT IN (0, 1))) WHERE n BETWEEN 5 AND 20")
 def build_gene_sets(fx: Fixtures) -> DataFrame:
-    df = fx.read("part").where("p_size <= 4").select(V("p_type").alias("set_name"), V("p_brand").alias("feature_id"), F.concat(F.lit("E"), (V("p_size") % 5).cast("string")).alias("code"))
+    df = fx.read("part").select(F.concat_ws("-", "p_type", V("p_size").cast("string")).alias("set_name"), V("p_brand").alias("feature_id"), F.concat(F.lit("E"), (V("p_size") % 5).cast("string")).alias("code"))
     return hi.build_gene_sets(df, ["E0", "E1"], 5, 20)
 
 

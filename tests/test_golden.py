@@ -1,6 +1,7 @@
 """Small published values and operators without a registered query."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,9 +28,32 @@ def values(df, key="feature_id"):
     return {r[key]: r["value"] for r in df.collect()}
 
 
+def grid(spark, samples, features):
+    return spark.createDataFrame([(x,) for x in samples], "sample_id string"), spark.createDataFrame([(x, 1000.0) for x in features], "feature_id string, length double")
+
+
 def test_clr(spark):
-    out = values(nm.clr(cells(spark, {"s": {"a": 0, "b": 1, "c": 3}}), 3))
-    assert [out[k] for k in "abc"] == pytest.approx([-math.log(2), 0, math.log(2)])
+    for data in ({"a": 0, "b": 1, "c": 3}, {"b": 1, "c": 3}):  # a zero may be absent
+        out = values(nm.clr(cells(spark, {"s": data}), *grid(spark, ["s"], "abc")))
+        assert [out[k] for k in "abc"] == pytest.approx([-math.log(2), 0, math.log(2)])
+
+
+def test_rows_are_independent(spark):
+    """A transform of one sample is that sample's part of the transform of all."""
+    rng = random.Random(2)
+    data = {f"s{i}": {f: rng.randrange(1, 50) for f in "abcdef" if rng.random() < 0.6 or f == "a"} for i in range(6)} | {"none": {}}
+    samples, features = grid(spark, data, "abcdef")
+    transforms = {
+        "clr": lambda c, s: nm.clr(c, s, features), "clr_subset": lambda c, s: nm.clr(c, s, features, subset=features.where("feature_id < 'd'")), "scaled": lambda c, s: nm.clr_scaled(c, s, features, s.withColumn("scale", F.lit(3.0))),
+        "robust": lambda c, s: nm.robust_clr(nm.densify(c, s, features)), "alr": lambda c, s: nm.alr(nm.impute_plus_one(nm.densify(c, s, features)), "a"), "fpkm": lambda c, s: nm.fpkm(c, features), "tpm": lambda c, s: nm.tpm(c, features),
+        "log": lambda c, s: nm.normalize_total_log1p(c), "ranks": lambda c, s: nm.into_ranks(nm.densify(c, s, features)), "multi": lambda c, s: nm.impute_multi_replace(nm.densify(c, s, features)),
+    }
+    every = cells(spark, data)
+    for name, f in transforms.items():
+        whole = {(r["sample_id"], r["feature_id"]): r["value"] for r in f(every, samples).collect()}
+        for one in ("s0", "s4", "none"):
+            alone = {(r["sample_id"], r["feature_id"]): r["value"] for r in f(every.where(F.col("sample_id") == one), samples.where(F.col("sample_id") == one)).collect()}
+            assert alone == pytest.approx({k: v for k, v in whole.items() if k[0] == one}), (name, one)
 
 
 def test_tpm_and_fpkm(spark):
