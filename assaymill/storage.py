@@ -15,9 +15,11 @@ _local: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one stands in only where none is configured (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a local one stands in where none is configured and all runs on one machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _local:
             _local.append("file://" + tempfile.mkdtemp(prefix="assaymill-"))
         folder = _local[0]
@@ -32,9 +34,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lookup(left: DataFrame, table: DataFrame, keys: list[str], rows: str) -> DataFrame:
+def lookup(left: DataFrame, table: DataFrame, keys: list[str], rows: str, inner: bool = False) -> DataFrame:
     """Left-join ``table`` (one row per key; column ``rows``: its rows in ``left``) where a key may hold a third of ``left``.
 
+    ``inner`` drops rows of ``left`` that the table lacks.
+
     Keys with over a thousandth of the rows are fewer than 1000, so their part of the table is
     broadcast under a proven bound; the other keys are joined through a shuffle. A table of SMALL rows
     at most is broadcast as it is.
@@ -42,8 +46,12 @@ def lookup(left: DataFrame, table: DataFrame, keys: list[str], rows: str) -> Dat
     total, size = table.agg(F.sum(rows), F.count("*")).first()
     value = [c for c in table.columns if c not in keys and c != rows]
     if size <= SMALL:
-        return left.join(F.broadcast(table.select(*keys, *value)), keys, "left").select(*left.columns, *value)
+        return left.join(F.broadcast(table.select(*keys, *value)), keys, "inner" if inner else "left").select(*left.columns, *value)
     least = max(1000, total // 1000)
+    if inner:
+        often, seldom = (table.where(c).select(*keys, *value) for c in (F.col(rows) >= least, F.col(rows) < least))
+        rest = left.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(seldom, keys)
+        return left.join(F.broadcast(often), keys).unionByName(rest).select(*left.columns, *value)
     hot = table.where(F.col(rows) >= least).select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in value], F.lit(True).alias("_hot"))
     cold = table.where(F.col(rows) < least).select(*keys, *value, F.lit(True).alias("_cold"))
     out = left.join(F.broadcast(hot), keys, "left")

@@ -1,5 +1,8 @@
 """Lookups under skew and tables in the shared folder."""
 
+from types import SimpleNamespace
+
+import pytest
 from pyspark.sql import functions as F
 
 from assaymill import storage
@@ -20,9 +23,19 @@ def test_materialize_uses_the_configured_folder(spark, monkeypatch, tmp_path):
     assert storage.materialize(spark.range(5), "five").count() == 5 and len(list(tmp_path.iterdir())) == 1
 
 
-def test_local_folder_without_a_configured_one(tmp_path):
-    class Unset:
-        class conf:  # noqa: N801
-            get = staticmethod(lambda key, default: default)
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_inner_lookup(spark, monkeypatch, small):
+    monkeypatch.setattr(storage, "SMALL", small)
+    left = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(1)).when(F.col("id") % 100 == 1, None).otherwise(F.col("id") % 900).cast("long").alias("k"), "id")
+    table = left.where("k is not null and k % 7 <> 0").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    got = sorted((r["id"], r["k"], r["top"]) for r in storage.lookup(left, table, ["k"], "n", inner=True).collect())
+    assert got == sorted((r["id"], r["k"], r["top"]) for r in left.join(table, "k").collect())
+
+
+def test_local_folder_without_a_configured_one():
+    def session(master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: master if key == "spark.master" else default))
 
-    assert storage.scratch_dir(Unset) == storage.scratch_dir(Unset) and storage.scratch_dir(Unset).startswith("file:///")
+    assert storage.scratch_dir(session("local[4]")) == storage.scratch_dir(session("local[4]")) and storage.scratch_dir(session("local[4]")).startswith("file:///")
+    with pytest.raises(ValueError):
+        storage.scratch_dir(session("spark://host:7077"))
