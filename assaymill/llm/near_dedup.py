@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = groups.select("node", F.explode("bands").alias("bucket"))
     groups = groups.drop("bands")
     shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low < high").select("bucket", "low", "size")
-    members = materialize(lookup(members, materialize(shared, "shared"), ["bucket"], "size").where("low is not null"), "buckets")
+    members = materialize(lookup(members, materialize(shared, "shared"), ["bucket"], "size", inner=True), "buckets")
     needed = materialize(groups.join(members.select("node").distinct(), "node").select("doc_id", "node", "k1", "k2"), "needed")
     needed = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
     found = texts.join(needed, "doc_id").select("text", "node", "k1", "k2").mapInArrow(lambda it: tidy(full_sets(it, shingle_words)), "node long, shingles array<long>, signature binary")
@@ -205,8 +205,8 @@ def _placed(members: DataFrame, roots: DataFrame, least: int = 2) -> DataFrame:
     """Members with their ``root``, in buckets of at least ``least`` members that still hold several components."""
     placed = materialize(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
-    open_ = materialize(open_.where(F.expr("low < high") & (F.col("size") >= least)).select("bucket", F.lit(True).alias("open"), "size"), "open-buckets")
-    return lookup(placed, open_, ["bucket"], "size").where("open").drop("open")
+    open_ = materialize(open_.where(F.expr("low < high") & (F.col("size") >= least)).select("bucket", "size"), "open-buckets")
+    return lookup(placed, open_, ["bucket"], "size", inner=True)
 
 
 def _heads(placed: DataFrame, n: int) -> DataFrame:
