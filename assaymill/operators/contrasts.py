@@ -104,9 +104,11 @@ def _nb_cdf(mean: float, size: float, top: int) -> np.ndarray:
     return np.minimum(np.cumsum(np.exp(log)), 1.0)
 
 
-def quantile_batch(dense: DataFrame, obs: DataFrame, batch: str, reference: str) -> DataFrame:
+def quantile_batch(dense: DataFrame, obs: DataFrame, batch: str, reference: str | None = None) -> DataFrame:
     """Counts mapped from their batch's negative binomial to the reference batch's, feature by feature; whole numbers stay whole.
 
+    Without a reference all batches are mapped to their mean: the mean of the batches' means, with their mean dispersion.
+
     Features without a count in some batch pass unchanged.
     """
     tagged = dense.join(obs.select("sample_id", V(batch).alias("batch")), "sample_id")
@@ -115,10 +117,10 @@ def quantile_batch(dense: DataFrame, obs: DataFrame, batch: str, reference: str)
         g = pdf.groupby("batch")["value"]
         mean, var = g.mean(), g.var(ddof=1).fillna(0)
         out = pdf["value"].round()
-        if (mean > 0).all() and reference in mean.index:
+        if (mean > 0).all() and (reference is None or reference in mean.index):
             size = {b: mean[b] ** 2 / max(var[b] - mean[b], mean[b] * 1e-2) for b in mean.index}
             top = int(max(pdf["value"].max() * 3, 20))
-            goal = _nb_cdf(mean[reference], size[reference], top)
+            goal = _nb_cdf(mean.mean(), 1 / np.mean([1 / s for s in size.values()]), top) if reference is None else _nb_cdf(mean[reference], size[reference], top)
             for b in mean.index:
                 if b != reference:
                     own = _nb_cdf(mean[b], size[b], top)
@@ -219,3 +221,12 @@ def bootstrap_batches(df: DataFrame, batches: int, size: float, seed: int = 0) -
     """Samples with replacement, each a share (possibly over 1) of the rows."""
     for i in range(batches):
         yield df.sample(withReplacement=True, fraction=size, seed=seed + i)
+
+
+def type_ratios(cells: DataFrame, obs: DataFrame, label: str, group: str, value: str) -> DataFrame:
+    """(label, feature_id, inside, outside, ratio, difference): mean of a group's samples beside the other samples of their label; absent cells are 0."""
+    tagged = obs.select("sample_id", V(label).alias("label"), F.coalesce(V(group) == value, F.lit(False)).alias("_in"))
+    sizes = tagged.groupBy("label").agg(F.count_if("_in").alias("_ni"), F.count_if(~V("_in")).alias("_no"))
+    sums = cells.join(tagged, "sample_id").groupBy("label", "feature_id").agg(F.sum(F.when(V("_in"), V("value")).otherwise(0.0)).alias("_si"), F.sum(F.when(V("_in"), 0.0).otherwise(V("value"))).alias("_so"))
+    out = sums.join(sizes, "label").select("label", "feature_id", F.try_divide("_si", "_ni").alias("inside"), F.try_divide("_so", "_no").alias("outside"))
+    return out.withColumns({"ratio": F.try_divide("inside", "outside"), "difference": V("inside") - V("outside")})

@@ -21,11 +21,18 @@ def label_encode(df: DataFrame, column: str) -> DataFrame:
 
 
 def vectors(cells: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(sample_id, features): dense vectors in the order of a feature list."""
-    from pyspark.ml.functions import array_to_vector
+    """(sample_id, features): sparse vectors in the order of a feature list, which the caller holds and which goes to every task."""
+    from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    wide = cells.groupBy("sample_id").pivot("feature_id", list(features)).agg(F.first("value")).fillna(0.0)
-    return wide.select("sample_id", array_to_vector(F.array(*[V(f"`{f}`").cast("double") for f in features])).alias("features"))
+    spark = cells.sparkSession
+    places = spark.createDataFrame([(f, i) for i, f in enumerate(features)], f"feature_id {dict(cells.dtypes)['feature_id']}, _i int")
+    filled = cells.join(F.broadcast(places), "feature_id").groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("_i", V("value").cast("double").alias("_v")))).alias("_m"))
+    # A sample without any of the features has only zeros.
+    filled = cells.select("sample_id").distinct().join(filled, "sample_id", "left").withColumn("_m", F.coalesce("_m", F.create_map().cast("map<int,double>")))
+
+    n = len(features)
+    sparse = F.udf(lambda m: SparseVector(n, {i: v for i, v in m.items() if v}), VectorUDT())
+    return filled.select("sample_id", sparse("_m").alias("features"))
 
 
 def classifier(kind: str, seed: int = 0, **params):
@@ -186,3 +193,10 @@ def inclusion(groups: Sequence[str], score: Callable[[list[str]], float]) -> lis
         if s > best:
             kept, best = [*kept, g], s
     return kept
+
+
+def masked(ranges: DataFrame, how: str = "binary") -> tuple[Callable[[DataFrame], object], Callable[[DataFrame, object], DataFrame]]:
+    """A step for ``Pipeline``: values outside their feature's ranges become 0, so the model sees the ranges alone."""
+    from assaymill.operators.prepare import in_ranges
+
+    return (lambda cells: None), (lambda cells, _: in_ranges(cells, ranges, how))

@@ -239,3 +239,12 @@ def technical_effect(dense: DataFrame, obs: DataFrame, group: str, batch: str, s
 def agg(name: str) -> Callable[[Column | str], Column]:
     """Aggregates by name."""
     return {"mean": F.avg, "sum": F.sum, "median": F.median, "std": F.stddev_samp, "var": F.var_samp}[name]
+
+
+def encode_pairs(cells: DataFrame, samples: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(sample_id, x, y, value) of all samples by the given feature pairs (x, y): 1 where x is above y, absent cells as 0, else 0."""
+    x = pairs.join(cells.select(V("feature_id").alias("x"), "sample_id", V("value").alias("_x")), "x")
+    y = pairs.join(cells.select(V("feature_id").alias("y"), "sample_id", V("value").alias("_y")), "y")
+    met = x.join(y, ["sample_id", "x", "y"], "full").where(F.coalesce("_x", F.lit(0.0)) > F.coalesce("_y", F.lit(0.0)))
+    grid = samples.select("sample_id").crossJoin(pairs.select("x", "y"))
+    return grid.join(met.select("sample_id", "x", "y", F.lit(1).alias("_one")), ["sample_id", "x", "y"], "left").select("sample_id", "x", "y", F.coalesce("_one", F.lit(0)).alias("value"))

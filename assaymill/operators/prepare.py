@@ -150,3 +150,9 @@ def in_ranges(cells: DataFrame, ranges: DataFrame, how: str = "binary") -> DataF
         stat = inside.groupBy("feature_id", "lo").agg((F.avg("value") if how == "mean" else F.median("value")).alias("_stat"))
         new = inside.join(stat, ["feature_id", "lo"]).groupBy("sample_id", "feature_id").agg(F.min("_stat").alias("_new"))
     return cells.join(new, ["sample_id", "feature_id"], "left").select("sample_id", "feature_id", F.coalesce("_new", F.lit(0.0)).alias("value"))
+
+
+def mask_negative(cells: DataFrame, contributions: DataFrame) -> DataFrame:
+    """Cells whose contribution (sample_id, feature_id, contribution) is below 0 become 0; cells without one stay."""
+    out = cells.join(contributions.select("sample_id", "feature_id", F.col("contribution").alias("_c")), ["sample_id", "feature_id"], "left")
+    return out.select("sample_id", "feature_id", F.when(F.col("_c") < 0, 0.0).otherwise(F.col("value")).alias("value"))

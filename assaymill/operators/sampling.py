@@ -8,15 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assaymill.functions.expressions import hash_order
+from assaymill.functions.expressions import hash_order, hash_rank
 
 V = F.col
 
 
 def hash_split(df: DataFrame, key: str, parts: Mapping[str, float], seed: int = 0) -> DataFrame:
     """(key, role): parts in order, each a share of the rows; the last takes the rest."""
-    w = Window.partitionBy()
-    out = df.select(key).withColumns({"_r": F.row_number().over(w.orderBy(hash_order(key, seed), key)), "_n": F.count("*").over(w)})
+    out = hash_rank(df.select(key), key, seed)
     names, upto, role = list(parts), 0.0, F.lit(None).cast("string")
     for name in names[:-1]:
         upto += parts[name]
@@ -25,8 +24,7 @@ def hash_split(df: DataFrame, key: str, parts: Mapping[str, float], seed: int =
 
 
 def stratified_kfold(df: DataFrame, key: str, label: str, k: int, seed: int = 0) -> DataFrame:
-    w = Window.partitionBy(label).orderBy(hash_order(key, seed), key)
-    return df.select(key, label, ((F.row_number().over(w) - 1) % k).alias("fold"))
+    return hash_rank(df.select(key, label), key, seed, [label]).select(key, label, ((V("_r") - 1) % k).cast("int").alias("fold"))
 
 
 def kfold(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
@@ -62,14 +60,12 @@ def group_kfold(df: DataFrame, group: str, label: str, k: int) -> DataFrame:
 def sample_by_class(df: DataFrame, key: str, label: str, sizes: Mapping[str, int] | int, seed: int = 0) -> DataFrame:
     """First so many of each class in hash order, at most what it has."""
     n = F.lit(sizes) if isinstance(sizes, int) else F.coalesce(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])[V(label)], F.lit(0))
-    w = Window.partitionBy(label).orderBy(hash_order(key, seed), key)
-    return df.withColumn("_r", F.row_number().over(w)).where(V("_r") <= n).drop("_r")
+    return hash_rank(df, key, seed, [label]).where(V("_r") <= n).drop("_r", "_n")
 
 
 def preserving_sample(df: DataFrame, key: str, label: str, fraction: float, seed: int = 0) -> DataFrame:
     """A fraction of every class, at least one row of each."""
-    w = Window.partitionBy(label)
-    out = df.withColumns({"_r": F.row_number().over(w.orderBy(hash_order(key, seed), key)), "_n": F.count("*").over(w)})
+    out = hash_rank(df, key, seed, [label])
     return out.where(V("_r") <= F.greatest(F.lit(1), F.bround(V("_n") * fraction))).drop("_r", "_n")
 
 
@@ -117,24 +113,22 @@ def sampling_strategy(df: DataFrame, label: str, strategy: str) -> DataFrame:
 
 def random_oversample(df: DataFrame, key: str, label: str, seed: int = 0) -> DataFrame:
     """Every row, and repeats in hash order until each class has as many as the largest; ``copy`` numbers them."""
-    w = Window.partitionBy(label)
-    out = df.withColumns({"_r": F.row_number().over(w.orderBy(hash_order(key, seed), key)), "_n": F.count("*").over(w)})
+    out = hash_rank(df, key, seed, [label])
     out = out.crossJoin(F.broadcast(df.groupBy(label).count().agg(F.max("count").alias("_hi"))))
     copies = F.floor((V("_hi") - V("_r")) / V("_n")) + 1
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long")))).drop("_r", "_n", "_hi")
 
 
 def random_undersample(df: DataFrame, key: str, label: str, seed: int = 0) -> DataFrame:
-    w = Window.partitionBy(label).orderBy(hash_order(key, seed), key)
     least = df.groupBy(label).count().agg(F.min("count").alias("_lo"))
-    return df.withColumn("_r", F.row_number().over(w)).crossJoin(F.broadcast(least)).where(V("_r") <= V("_lo")).drop("_r", "_lo")
+    return hash_rank(df, key, seed, [label]).crossJoin(F.broadcast(least)).where(V("_r") <= V("_lo")).drop("_r", "_n", "_lo")
 
 
 def neighbours(dense: DataFrame, obs: DataFrame, label: str, k: int, within: bool = False) -> DataFrame:
     """(sample_id, label, other, other_label, distance, rank): the exact k nearest by Euclidean distance.
 
-    Distances come from products over shared features and the samples' norms; ties go to the smaller id. All pairs
-    are compared, as the exact operator asks: it is meant for the samples of a study, not for a corpus.
+    ``dense`` has every feature of every sample. Ties go to the smaller id. All pairs are compared, as the exact
+    operator asks: it is meant for the samples of a study; ``near_candidates`` proposes pairs among many.
     """
     a = dense.select("feature_id", V("sample_id").alias("sample_id"), V("value").alias("_a"))
     b = dense.select("feature_id", V("sample_id").alias("other"), V("value").alias("_b"))
@@ -176,3 +170,39 @@ def smote(dense: DataFrame, near: DataFrame, seed: int = 0) -> DataFrame:
     a = dense.join(pick, "sample_id")
     b = dense.select(V("sample_id").alias("other"), "feature_id", V("value").alias("_b"))
     return a.join(b, ["other", "feature_id"]).select("sample_id", "other", "feature_id", (V("value") + V("_w") * (V("_b") - V("value"))).alias("value"))
+
+
+def near_candidates(cells: DataFrame, tables: int = 12, width: float = 4.0, seed: int = 0) -> DataFrame:
+    """(sample_id, other): pairs that fall into one bucket of random projections in any of ``tables`` tables, each pair once.
+
+    A table's bucket is two projections cut at ``width``; a feature's weight in a projection is a normal draw from md5, so
+    sparse cells are summed as they are and an absent cell counts as 0. Close pairs meet with high probability; what they
+    miss is the price of not comparing all pairs.
+    """
+    from assaymill.operators.normalise import normal_draw
+
+    axes = F.explode(F.sequence(F.lit(0), F.lit(2 * tables - 1)))
+    weights = cells.select("feature_id").distinct().withColumn("axis", axes)
+    weights = weights.withColumn("w", normal_draw(seed, F.concat_ws("#", "axis", "feature_id")))
+    at = cells.join(weights, "feature_id").groupBy("sample_id", "axis").agg(F.floor(F.sum(V("value") * V("w")) / width).alias("slot"))
+    buckets = at.groupBy("sample_id", F.floor(V("axis") / 2).alias("table")).agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("axis", "slot")))).alias("bucket"))
+    a = buckets.select("table", "bucket", "sample_id")
+    return a.join(a.withColumnRenamed("sample_id", "other"), ["table", "bucket"]).where("sample_id < other").select("sample_id", "other").distinct()
+
+
+def poisson_batches(df: DataFrame, key: str, batches: int, size: float, seed: int = 0) -> DataFrame:
+    """``df`` with ``batch`` and ``copy``: bootstrap batches, each a share ``size`` (possibly over 1) of the rows in the mean.
+
+    A row's number of copies in a batch is a Poisson draw from md5 of the seed, the batch and the key.
+    """
+    from math import exp, factorial
+
+    most = int(size + 12 * max(size, 1) ** 0.5)
+    below, total = [], 0.0
+    for i in range(most):
+        total += exp(-size) * size**i / factorial(i)
+        below.append(round(total, 12))
+    each = df.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
+    u = F.conv(F.left(F.md5(F.concat_ws("|", F.lit(str(seed)), "batch", V(key).cast("string"))), F.lit(8)), 16, 10).cast("double") / 4294967296.0
+    copies = F.size(F.filter(F.lit(below), lambda t: t <= u))
+    return each.withColumn("_k", copies).where("_k > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), V("_k")))).drop("_k")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -138,3 +138,31 @@ def range_best(ginis: DataFrame, n: int) -> DataFrame:
 
 def rank_by(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.rank().over(Window.partitionBy().orderBy(*order)))
+
+
+def top_l1(coefs: DataFrame, n: int, per_class: bool = False) -> DataFrame:
+    """The n features of largest mean absolute coefficient (class, feature_id, coef), or the n of each class."""
+    if per_class:
+        w = Window.partitionBy("class").orderBy(F.desc(F.abs("coef")), "feature_id")
+        return coefs.where("coef <> 0").withColumn("rank", F.row_number().over(w)).where(V("rank") <= n).select("class", "feature_id", "coef")
+    return coefs.groupBy("feature_id").agg(F.avg(F.abs("coef")).alias("score")).where("score > 0").orderBy(F.desc("score"), "feature_id").limit(n)
+
+
+def nonzero_importance(importances: DataFrame) -> DataFrame:
+    """Features (feature_id, importance) that a model used at all."""
+    return importances.where("importance > 0")
+
+
+def chain_selectors(cells: DataFrame, selectors: Sequence[tuple[Callable[[DataFrame], DataFrame], int | None]]) -> DataFrame:
+    """Features that selectors leave, each narrowing what the last one kept.
+
+    A selector takes cells and returns features, best first by ``score`` where it has that column; with a number only
+    the first so many of them go on.
+    """
+    kept = cells.select("feature_id").distinct()
+    for select, n in selectors:
+        found = select(cells.join(kept, "feature_id", "left_semi"))
+        if n is not None:
+            found = found.orderBy(*([F.desc("score")] if "score" in found.columns else []), "feature_id").limit(n)
+        kept = found.select("feature_id")
+    return kept

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assaymill.functions.expressions import average_rank
+from assaymill.functions.expressions import average_rank, value_ranks
+from assaymill.storage import lookup
 
 V = F.col
 
@@ -119,9 +120,11 @@ def friedman(results: DataFrame, block: str, treatment: str, value: str) -> Data
 
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     """(h): Kruskal-Wallis with tie correction."""
-    r = df.withColumns({"_r": average_rank(V(value)), "_t": F.count("*").over(Window.partitionBy(value))})
-    ties = r.agg(F.sum(V("_t") * V("_t") - 1).alias("_ties"), F.count("*").alias("_n"))
-    sums = r.groupBy(group).agg((F.sum("_r") * F.sum("_r") / F.count("*")).alias("_q")).agg(F.sum("_q").alias("_q"))
+    ranks = value_ranks(df, value)
+    ties = ranks.agg(F.sum(V("n") * (V("n") * V("n") - 1)).alias("_ties"), F.sum("n").alias("_n"))
+    cells = df.where(V(value).isNotNull()).groupBy(group, V(value).cast("double").alias("value")).agg(F.count("*").alias("_k"))
+    r = cells.join(ranks, "value").select(group, (V("rank") * V("_k")).alias("_r"), "_k")
+    sums = r.groupBy(group).agg((F.sum("_r") * F.sum("_r") / F.sum("_k")).alias("_q")).agg(F.sum("_q").alias("_q"))
     n = V("_n")
     return sums.crossJoin(ties).select(((12 / (n * (n + 1)) * V("_q") - 3 * (n + 1)) / (1 - V("_ties") / (n * n * n - n))).alias("h"))
 
@@ -137,7 +140,12 @@ def chi_square(df: DataFrame, group: str, member: str, family: str) -> DataFrame
 
 def correlations(df: DataFrame, a: str, b: str) -> DataFrame:
     """(pearson, spearman) of two columns."""
-    r = df.where(V(a).isNotNull() & V(b).isNotNull()).select(V(a).alias("_a"), V(b).alias("_b"), average_rank(V(a)).alias("_ra"), average_rank(V(b)).alias("_rb"))
+    r = df.where(V(a).isNotNull() & V(b).isNotNull()).groupBy(V(a).cast("double").alias("_a"), V(b).cast("double").alias("_b")).agg(F.count("*").alias("_k"))
+    rows = r.withColumn("_i", F.explode(F.array_repeat(F.lit(1), V("_k").cast("int"))))
+    for c in ("_a", "_b"):
+        ranks = value_ranks(rows, c)
+        rows = lookup(rows, ranks.select(V("value").alias(c), V("rank").alias(f"_r{c}"), V("n").alias("_n")), [c], "_n")
+    r = rows.withColumnsRenamed({"_r_a": "_ra", "_r_b": "_rb"})
     return r.agg(F.corr("_a", "_b").alias("pearson"), F.corr("_ra", "_rb").alias("spearman"))
 
 

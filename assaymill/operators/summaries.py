@@ -272,3 +272,47 @@ def topn_overlap(a: DataFrame, b: DataFrame, kind: str, item: str, score: str, n
     order = [F.desc(score), V(item)]
     both = top_n(a, order, n, [kind]).select(kind, item).join(top_n(b, order, n, [kind]).select(kind, item), [kind, item])
     return a.select(kind).distinct().join(both.groupBy(kind).agg(F.count("*").alias("_c")), kind, "left").select(kind, (F.coalesce("_c", F.lit(0)) / n).alias("overlap"))
+
+
+def set_metadata(sets: DataFrame, order: str) -> DataFrame:
+    """(set_name, size, source): distinct members of each set, and the source that comes first by ``order``."""
+    return sets.groupBy("set_name").agg(F.count_distinct("feature_id").alias("size"), F.min_by("source", order).alias("source"))
+
+
+def trial_table(trials: DataFrame, params: Sequence[str]) -> DataFrame:
+    """One row per trial (n, objective, param, value): its parameters side by side."""
+    return trials.groupBy("n").pivot("param", list(params)).agg(F.first("value")).join(trials.groupBy("n").agg(F.max("objective").alias("objective")), "n")
+
+
+def curve_steps(points: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Points of curves with ``step``, their number from 1 along the curve."""
+    return points.withColumn("step", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def average_curves(points: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Mean and variance over folds of the points that have one place (keys and ``step``) in their curves."""
+    return points.groupBy(*keys, "step").agg(F.avg(value).alias("mean"), F.var_samp(value).alias("var"), F.count("*").alias("n"))
+
+
+def z_columns(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Columns of a summary table less their mean, by their sample deviation; columns without spread become 0."""
+    stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"_s_{c}") for c in columns])
+    return df.crossJoin(F.broadcast(stats)).select(key, *[F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")), F.lit(0.0)).alias(c) for c in columns])
+
+
+#: Aggregates that may be asked for by name.
+AGGREGATES = {"mean": F.avg, "sum": F.sum, "median": F.median, "std": F.stddev_samp, "var": F.var_samp, "min": F.min, "max": F.max, "count": F.count}
+
+
+def aggregate_by_name(df: DataFrame, by: Sequence[str], value: str, names: Sequence[str]) -> DataFrame:
+    """``by`` and one column for each named aggregate of ``value``; a name that is unknown is an error."""
+    unknown = [n for n in names if n not in AGGREGATES]
+    if unknown:
+        raise ValueError(f"unknown aggregates {unknown}; known are {sorted(AGGREGATES)}")
+    return df.groupBy(*by).agg(*[AGGREGATES[n](value).alias(n) for n in names])
+
+
+def outlier_table(flags: DataFrame, splits: DataFrame, obs: DataFrame, label: str) -> DataFrame:
+    """(split, role, label, outliers, n): flagged samples per part of each split and label."""
+    each = splits.join(obs.select("sample_id", F.col(label).alias("label")), "sample_id").join(flags.select("sample_id", F.lit(1).alias("_o")), "sample_id", "left")
+    return each.groupBy("split", "role", "label").agg(F.count("_o").alias("outliers"), F.count("*").alias("n"))

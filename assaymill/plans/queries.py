@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
-from assaymill.plans import matrix_queries, model_queries  # noqa: F401
+from assaymill.plans import matrix_queries, model_queries, more_queries  # noqa: F401
 from assaymill.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -1,5 +1,6 @@
 """Small published values and operators without a registered query."""
 
+import hashlib
 import math
 import random
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assaymill.functions.expressions import bucket_biotype, bucket_project
+from assaymill.operators import contrasts as co
 from assaymill.operators import evaluation as ev
 from assaymill.operators import hierarchy as hi
 from assaymill.operators import models as mo
@@ -180,3 +182,57 @@ def test_spec_pipeline(spark):
 def test_hypergeometric(spark):
     p = spark.range(1).select(st.hypergeometric_tail(F.lit(2), F.lit(3), F.lit(4), F.lit(10)).alias("p")).first()["p"]
     assert p == pytest.approx((6 * 6 + 4) / 120)
+
+
+def test_ranks_by_parts_equal_plain_ranks(spark):
+    from assaymill.functions.expressions import hash_rank, value_ranks
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["x", "y", None]), float(rng.randrange(300)) if rng.random() < 0.9 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id int, label string, v double")
+    values = sorted(v for *_, v in rows if v is not None)
+    got = {r["value"]: (r["rank"], r["n"]) for r in value_ranks(df, "v").collect()}
+    assert got == {v: (sum(x < v for x in values) + (values.count(v) + 1) / 2, values.count(v)) for v in set(values)}
+    key = lambda i: hashlib.md5(f"7|{i}".encode()).hexdigest()
+    for by in ([], ["label"]):
+        groups = {}
+        for i, label, _ in rows:
+            groups.setdefault(label if by else 0, []).append(i)
+        want = {i: (k + 1, len(ids)) for ids in groups.values() for k, i in enumerate(sorted(ids, key=key))}
+        assert {r["id"]: (r["_r"], r["_n"]) for r in hash_rank(df, "id", 7, by).collect()} == want
+
+
+def test_near_candidates_recall(spark):
+    """Of the truly nearest pairs at least nine in ten are proposed, and far from all pairs."""
+    rng = random.Random(5)
+    rows = []
+    for c in range(30):
+        centre = [rng.uniform(0, 100) for _ in range(12)]
+        for i in range(8):
+            rows += [(f"s{c}-{i}", f"f{j}", x + rng.gauss(0, 1)) for j, x in enumerate(centre)]
+    dense = spark.createDataFrame(rows, "sample_id string, feature_id string, value double")
+    obs = dense.select("sample_id", F.lit("l").alias("label")).distinct()
+    nearest = {tuple(sorted((r["sample_id"], r["other"]))) for r in sp.neighbours(dense, obs, "label", 1).collect()}
+    found = {(r["sample_id"], r["other"]) for r in sp.near_candidates(dense, tables=12, width=20.0).collect()}
+    assert len(nearest & found) >= 0.9 * len(nearest) and len(found) < 240 * 239 / 2 / 3
+
+
+def test_batches_of_one_kind_stay_as_they_are(spark):
+    rows = [(f"{b}{i}", "g", float(v)) for b in "ab" for i, v in enumerate([1, 2, 2, 3, 5, 8, 9, 4])]
+    obs = spark.createDataFrame([(s, s[0]) for s, *_ in rows], "sample_id string, batch string")
+    dense = spark.createDataFrame(rows, "sample_id string, feature_id string, value double")
+    for reference in ("a", None):
+        out = {r["sample_id"]: r["value"] for r in co.quantile_batch(dense, obs, "batch", reference).collect()}
+        assert out == {s: v for s, _, v in rows}
+
+
+def test_association_cutoff_and_inclusion():
+    assert co.rho_cutoff(100, 1) == pytest.approx(math.tanh(1.959964 / math.sqrt(97)), abs=1e-6)
+    assert co.rho_cutoff(100, 1000) > co.rho_cutoff(100, 1) > co.rho_cutoff(1000, 1)
+    score = lambda kept: sum({"a": 3, "b": -1, "c": 2}[g] for g in kept)
+    assert mo.inclusion(["a", "b", "c"], score) == ["a", "c"]
+
+
+def test_named_aggregates_reject_unknown_names(spark):
+    with pytest.raises(ValueError):
+        sm.aggregate_by_name(spark.range(3), [], "id", ["mean", "mood"])
