@@ -133,18 +133,27 @@ def quantile_batch(dense: DataFrame, obs: DataFrame, batch: str, reference: str
 
 
 def plage(dense: DataFrame, sets: DataFrame) -> DataFrame:
-    """(sample_id, set_name, score): first right singular vector of each set's standardised members, its sign that of their mean."""
-    w = Window.partitionBy("feature_id")
-    z = dense.withColumn("_z", F.coalesce(F.try_divide(V("value") - F.avg("value").over(w), F.stddev_samp("value").over(w)), F.lit(0.0))).join(sets, "feature_id")
-    kind = dict(dense.dtypes)["sample_id"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot_table(index="feature_id", columns="sample_id", values="_z", aggfunc="first").fillna(0.0)
-        v = np.linalg.svd(m.to_numpy(), full_matrices=False)[2][0]
-        v = v if v @ m.to_numpy().mean(0) >= 0 else -v
-        return pd.DataFrame({"sample_id": m.columns, "set_name": pdf["set_name"].iloc[0], "score": v})
+    """(sample_id, set_name, score): first right singular vector of each set's standardised members, its sign that of their mean.
 
-    return z.select("sample_id", "feature_id", "set_name", "_z").groupBy("set_name").applyInPandas(run, f"sample_id {kind}, set_name string, score double")
+    A set's member-by-member products are sums over samples; only that square, of its members, is one task's. The scores
+    are the samples' products with its leading eigenvector, again sums. Sets without spread have no score.
+    """
+    w = Window.partitionBy("feature_id")
+    z = dense.withColumn("_z", F.coalesce(F.try_divide(V("value") - F.avg("value").over(w), F.stddev_samp("value").over(w)), F.lit(0.0))).select("sample_id", "feature_id", "_z")
+    a = z.join(sets, "feature_id")
+    pairs = a.join(a.select("sample_id", "set_name", V("feature_id").alias("other"), V("_z").alias("_y")), ["sample_id", "set_name"])
+    square = pairs.groupBy("set_name", "feature_id", "other").agg(F.sum(V("_z") * V("_y")).alias("product"))
+    kind = dict(dense.dtypes)["feature_id"]
+
+    def leading(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = pdf.pivot_table(index="feature_id", columns="other", values="product").fillna(0.0)
+        value, vector = np.linalg.eigh(g.to_numpy())
+        u = vector[:, -1] if vector[:, -1].sum() >= 0 else -vector[:, -1]
+        rows = pd.DataFrame({"set_name": pdf["set_name"].iloc[0], "feature_id": g.index, "u": u / np.sqrt(max(value[-1], 1e-300))})
+        return rows if value[-1] > 1e-12 else rows.iloc[:0]
+
+    loads = square.groupBy("set_name").applyInPandas(leading, f"set_name string, feature_id {kind}, u double")
+    return z.join(loads, "feature_id").groupBy("sample_id", "set_name").agg(F.sum(V("_z") * V("u")).alias("score"))
 
 
 def greedy_parents(children: DataFrame, below: DataFrame, n: int) -> list[str]:

@@ -44,10 +44,10 @@ def closure(edges: DataFrame) -> DataFrame:
         known, frontier = known.unionByName(new), new
 
 
-def levels(edges: DataFrame) -> DataFrame:
-    """(term, level): least depth below a root; roots have 0."""
+def levels(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(term, level): least depth below a root; roots have 0. ``known`` is the closure, where there is one already."""
     root = roots(edges)
-    below = closure(edges).join(root.select(V("term").alias("ancestor")), "ancestor").groupBy(V("descendant").alias("term")).agg(F.min("depth").alias("level"))
+    below = (closure(edges) if known is None else known).join(root.select(V("term").alias("ancestor")), "ancestor").groupBy(V("descendant").alias("term")).agg(F.min("depth").alias("level"))
     return root.select("term", F.lit(0).alias("level")).unionByName(below)
 
 
@@ -72,8 +72,9 @@ def subset(edges: DataFrame, terms: DataFrame) -> DataFrame:
 
 def aggregate_to_level(values: DataFrame, edges: DataFrame, level: int, how: str = "sum") -> DataFrame:
     """(sample_id, term, value): each term down to a level with itself and all below it."""
-    upper = levels(edges).where(V("level") <= level).select("term")
-    pairs = closure(edges).select(V("ancestor").alias("term"), V("descendant").alias("member")).union(upper.select("term", V("term").alias("member")))
+    known = closure(edges)
+    upper = levels(edges, known).where(V("level") <= level).select("term")
+    pairs = known.select(V("ancestor").alias("term"), V("descendant").alias("member")).union(upper.select("term", V("term").alias("member")))
     pairs = pairs.join(upper, "term", "left_semi")
     out = values.withColumnRenamed("term", "member").join(pairs, "member").groupBy("sample_id", "term")
     return out.agg((F.sum("value") if how == "sum" else F.avg("value")).alias("value"))
@@ -81,8 +82,9 @@ def aggregate_to_level(values: DataFrame, edges: DataFrame, level: int, how: str
 
 def top_level_map(edges: DataFrame, level: int) -> DataFrame:
     """(term, top): ancestors at the level."""
-    tops = levels(edges).where(V("level") == level).select(V("term").alias("ancestor"))
-    return closure(edges).join(tops, "ancestor").select(V("descendant").alias("term"), V("ancestor").alias("top"))
+    known = closure(edges)
+    tops = levels(edges, known).where(V("level") == level).select(V("term").alias("ancestor"))
+    return known.join(tops, "ancestor").select(V("descendant").alias("term"), V("ancestor").alias("top"))
 
 
 def parent_vote(items: DataFrame, item: str, terms: str, parents: DataFrame, priority: DataFrame) -> DataFrame:
@@ -104,7 +106,7 @@ def root_family(edges: DataFrame) -> DataFrame:
 def rank_set_score(dense: DataFrame, sets: DataFrame) -> DataFrame:
     """Running-sum score per sample and set: largest excess of the members' rank-weighted steps over the others'."""
     ranked = dense.withColumn("_rank", average_rank(V("value"), "sample_id"))
-    grid = ranked.crossJoin(F.broadcast(sets.select("set_name").distinct())).join(F.broadcast(sets.withColumn("_in", F.lit(1))), ["set_name", "feature_id"], "left")
+    grid = ranked.crossJoin(sets.select("set_name").distinct()).join(sets.withColumn("_in", F.lit(1)), ["set_name", "feature_id"], "left")
     w = Window.partitionBy("sample_id", "set_name")
     grid = grid.withColumns({"_hit": F.when(V("_in") == 1, V("_rank")).otherwise(0.0), "_miss": F.when(V("_in") == 1, 0.0).otherwise(1.0)})
     o = w.orderBy(F.desc("_rank"), "feature_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -127,7 +129,7 @@ def build_gene_sets(df: DataFrame, exclude: list[str], low: int, high: int) -> D
 def pair_classifier(cells: DataFrame, pairs: DataFrame, intercept: float, positive: str, negative: str) -> DataFrame:
     """Score, probability and class from (a, b, coef): the intercept plus the coefficients of pairs with a above b; absent genes are 0."""
     samples = cells.select("sample_id").distinct()
-    grid = samples.crossJoin(F.broadcast(pairs))
+    grid = samples.crossJoin(pairs)
     a, b = cells.select("sample_id", V("feature_id").alias("a"), V("value").alias("_a")), cells.select("sample_id", V("feature_id").alias("b"), V("value").alias("_b"))
     both = grid.join(a, ["sample_id", "a"], "left").join(b, ["sample_id", "b"], "left")
     over = F.coalesce("_a", F.lit(0.0)) > F.coalesce("_b", F.lit(0.0))

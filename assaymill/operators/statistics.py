@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import cache
 from math import erfc, lgamma, sqrt
 
@@ -171,7 +171,7 @@ def enrichment(ranked: DataFrame, sets: DataFrame, score: str = "score") -> tupl
 
     Hits step by their share of the members' absolute scores, misses by an equal share.
     """
-    grid = ranked.crossJoin(F.broadcast(sets.select("set_name").distinct())).join(F.broadcast(sets.withColumn("_in", F.lit(1))), ["set_name", "feature_id"], "left")
+    grid = ranked.crossJoin(sets.select("set_name").distinct()).join(sets.withColumn("_in", F.lit(1)), ["set_name", "feature_id"], "left")
     w = Window.partitionBy("set_name")
     grid = grid.withColumns({"_h": F.when(V("_in") == 1, F.abs(score)).otherwise(0.0), "_m": F.when(V("_in") == 1, 0.0).otherwise(1.0), "_pos": F.row_number().over(w.orderBy(F.desc(score), "feature_id"))})
     o = w.orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -185,27 +185,22 @@ def enrichment(ranked: DataFrame, sets: DataFrame, score: str = "score") -> tupl
 
 
 def permutation_p(ranked: DataFrame, sets: DataFrame, rounds: int = 100, seed: int = 0) -> DataFrame:
-    """(set_name, p): share of shuffled rankings whose score is as extreme, per set in its own task."""
-    table = ranked.select("feature_id", "score").toPandas().sort_values(["score", "feature_id"], ascending=[False, True])
-    order, weight = table["feature_id"].tolist(), np.abs(table["score"].to_numpy())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for name, members in zip(pdf["set_name"], pdf["members"], strict=True):
-                rng = np.random.default_rng(seed)
-                inside = np.isin(order, list(members))
-
-                def score(x: np.ndarray) -> float:
-                    h, m = np.where(x, weight, 0.0), np.where(x, 0.0, 1.0)
-                    walk = np.cumsum(h) / max(h.sum(), 1e-12) - np.cumsum(m) / max(m.sum(), 1.0)
-                    return float(walk[np.abs(walk).argmax()])
-
-                seen = abs(score(inside))
-                out.append((name, (1 + sum(abs(score(rng.permutation(inside))) >= seen for _ in range(rounds))) / (rounds + 1)))
-            yield pd.DataFrame(out, columns=["set_name", "p"])
-
-    return sets.groupBy("set_name").agg(F.collect_list("feature_id").alias("members")).mapInPandas(run, "set_name string, p double")
+    """(set_name, p): share of random sets of equal size whose enrichment score is as extreme.
+
+    A round's random set are the features that come first by md5 of seed, round, set and feature, so every set and round
+    is a window of its own, as large as the number of features.
+    """
+    seen = enrichment(ranked, sets)[0].select("set_name", F.abs("es").alias("_seen"))
+    sizes = sets.join(ranked.select("feature_id"), "feature_id", "left_semi").groupBy("set_name").agg(F.count_distinct("feature_id").alias("_size"))
+    grid = sizes.withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).join(ranked.select("feature_id", "score"))
+    w = Window.partitionBy("set_name", "_round")
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), "_round", "set_name", "feature_id"))
+    grid = grid.withColumn("_in", F.row_number().over(w.orderBy(draw, "feature_id")) <= V("_size"))
+    grid = grid.withColumns({"_h": F.when(V("_in"), F.abs("score")).otherwise(0.0), "_m": F.when(V("_in"), 0.0).otherwise(1.0)})
+    o = w.orderBy(F.desc("score"), "feature_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    walk = F.coalesce(F.try_divide(F.sum("_h").over(o), F.sum("_h").over(w)), F.lit(0.0)) - F.coalesce(F.try_divide(F.sum("_m").over(o), F.sum("_m").over(w)), F.lit(0.0))
+    drawn = grid.withColumn("_walk", F.round(walk, 9)).groupBy("set_name", "_round").agg(F.max(F.abs("_walk")).alias("_es"))
+    return drawn.join(seen, "set_name").groupBy("set_name").agg(((1 + F.count_if(V("_es") >= V("_seen"))) / (F.count("*") + 1)).alias("p"))
 
 
 def over_representation(chosen: DataFrame, universe: DataFrame, sets: DataFrame) -> DataFrame:

@@ -279,7 +279,14 @@ def leading_edge(fx: Fixtures) -> DataFrame:
     return _enrichment(fx)[1]
 
 
-@query()
+DRAWS = """siz AS (SELECT set_name, count(*) AS size FROM sets GROUP BY 1),
+drw AS (SELECT set_name, k, f.feature_id, score, row_number() OVER (PARTITION BY set_name, k ORDER BY md5('0|' || k || '|' || set_name || '|' || f.feature_id), f.feature_id) <= size AS i FROM siz CROSS JOIN (SELECT unnest(range(1, 101)) AS k) CROSS JOIN (SELECT feature_id, length - 1900 AS score FROM var) f),
+hit AS (SELECT *, CASE WHEN i THEN abs(score) ELSE 0.0 END AS h, CASE WHEN i THEN 0.0 ELSE 1.0 END AS m FROM drw),
+des AS (SELECT set_name, k, max(abs(w)) AS es FROM (SELECT set_name, k, round(coalesce(sum(h) OVER o / nullif(sum(h) OVER q, 0), 0) - coalesce(sum(m) OVER o / nullif(sum(m) OVER q, 0), 0), 9) AS w FROM hit
+  WINDOW q AS (PARTITION BY set_name, k), o AS (PARTITION BY set_name, k ORDER BY score DESC, feature_id ROWS UNBOUNDED PRECEDING)) GROUP BY 1, 2)"""
+
+
+@query(f"SELECT set_name, {r('(1 + count(*) FILTER (WHERE d.es >= abs(t.es))) / (count(*) + 1)')} AS p FROM des d JOIN tops t USING (set_name) GROUP BY 1", ES, DRAWS)
 def enrichment_p(fx: Fixtures) -> DataFrame:
     return st.permutation_p(fx.var.select("feature_id", (V("length") - 1900).alias("score")), fx.sets)
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,3 +237,16 @@ def test_association_cutoff_and_inclusion():
 def test_named_aggregates_reject_unknown_names(spark):
     with pytest.raises(ValueError):
         sm.aggregate_by_name(spark.range(3), [], "id", ["mean", "mood"])
+
+
+def test_plage_is_the_leading_singular_vector(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (5, 9)) + np.outer(rng.normal(0, 2, 5), rng.normal(0, 1, 9))
+    dense = spark.createDataFrame([(f"s{j}", f"f{i}", float(x[i, j])) for i in range(5) for j in range(9)], "sample_id string, feature_id string, value double")
+    sets = spark.createDataFrame([("a", f"f{i}") for i in range(4)] + [("b", "f4")], "set_name string, feature_id string")
+    got = {(r["set_name"], r["sample_id"]): r["score"] for r in co.plage(dense, sets).collect()}
+    z = (x - x.mean(1, keepdims=True)) / x.std(1, ddof=1, keepdims=True)
+    for name, rows in (("a", z[:4]), ("b", z[4:])):
+        v = np.linalg.svd(rows, full_matrices=False)[2][0]
+        v = v if v @ rows.mean(0) >= 0 else -v
+        assert [got[name, f"s{j}"] for j in range(9)] == pytest.approx(v.tolist(), abs=1e-9)
