@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from assaymill.storage import materialize
+
 V = F.col
 
 
@@ -79,13 +81,12 @@ def redundant_features(pairs: DataFrame, presence: DataFrame, value: str, least:
     """Features that a threshold graph links to one seen in more samples (n_cells; then the first by name): one per component stays."""
     links = pairs.where(V(value) >= least).select("x", "y")
     both = links.union(links.select("y", "x")).toDF("a", "b")
-    labels = both.groupBy("a").agg(F.min("b").alias("l")).select(V("a").alias("feature_id"), F.least("a", "l").alias("root"))
-    while True:
-        from assaymill.storage import materialize
-
-        labels = materialize(labels, "labels")
+    labels = materialize(both.groupBy("a").agg(F.min("b").alias("l")).select(V("a").alias("feature_id"), F.least("a", "l").alias("root")), "labels")
+    while True:  # labels spread over links, then jump to their own label's label
         near = both.join(labels.withColumnRenamed("feature_id", "b"), "b").groupBy(V("a").alias("feature_id")).agg(F.min("root").alias("_n"))
-        new = materialize(labels.join(near, "feature_id").select("feature_id", F.least("root", "_n").alias("root"), V("root").alias("_old")), "labels")
+        step = labels.join(near, "feature_id").select("feature_id", F.least("root", "_n").alias("root"), V("root").alias("_old"))
+        jump = labels.select(V("feature_id").alias("root"), V("root").alias("_further"))
+        new = materialize(step.join(jump, "root", "left").select("feature_id", F.least("root", F.coalesce("_further", "root")).alias("root"), "_old"), "labels")
         if new.where("root <> _old").isEmpty():
             break
         labels = new.select("feature_id", "root")

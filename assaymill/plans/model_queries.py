@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,14 +130,20 @@ def pair_classifier(fx: Fixtures) -> DataFrame:
 # tests -----------------------------------------------------------------------------------------
 
 
-@query(f"""SELECT feature_id, label, {r('a')} AS auroc, {r('(a - 0.5) / nullif(sqrt((n + 1 - ties / (n * (n - 1))) / (12 * p * (n - p))), 0)')} AS z FROM (
+AUROC = """auc AS (SELECT feature_id, label, a, (a - 0.5) / nullif(sqrt((n + 1 - ties / (n * (n - 1))) / (12 * p * (n - p))), 0) AS z FROM (
   SELECT feature_id, label, any_value(n)::DOUBLE AS n, count(*)::DOUBLE AS p, any_value(ties)::DOUBLE AS ties, (sum(k) - count(*) * (count(*) + 1) / 2) / (count(*) * (any_value(n) - count(*))) AS a FROM (
-    SELECT *, sum(t * t - 1) OVER (PARTITION BY feature_id) AS ties FROM (SELECT *, rank() OVER (PARTITION BY feature_id ORDER BY value) + (count(*) OVER (PARTITION BY feature_id, value) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY feature_id, value) AS t, count(*) OVER (PARTITION BY feature_id) AS n FROM dense JOIN obs USING (sample_id))) GROUP BY 1, 2)""")
+    SELECT *, sum(t * t - 1) OVER (PARTITION BY feature_id) AS ties FROM (SELECT *, rank() OVER (PARTITION BY feature_id ORDER BY value) + (count(*) OVER (PARTITION BY feature_id, value) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY feature_id, value) AS t, count(*) OVER (PARTITION BY feature_id) AS n FROM dense JOIN obs USING (sample_id))) GROUP BY 1, 2))"""
+
+
+@query(f"SELECT feature_id, label, {r('a')} AS auroc, {r('z')} AS z FROM auc", AUROC)
 def auroc_ovr(fx: Fixtures) -> DataFrame:
     return st.auroc(fx.dense, fx.obs, "label")
 
 
-@query()
+_FIT = reduce(lambda inner, c: f"({c} + t * {inner})", st.ERFC[-2::-1], str(st.ERFC[-1]))
+
+
+@query(f"SELECT feature_id, label, {r('a')} AS auroc, {r('z')} AS z, {r(f't * exp({_FIT} - z * z / 2)')} AS p FROM (SELECT *, 1 / (1 + abs(z) / sqrt(2.0) / 2) AS t FROM auc WHERE z IS NOT NULL)", AUROC)
 def auroc_ovr_p(fx: Fixtures) -> DataFrame:
     return st.auroc(fx.dense, fx.obs, "label").where("z is not null").withColumn("p", st.two_sided_p(V("z")))
 
@@ -299,7 +307,10 @@ def ora_counts(fx: Fixtures) -> DataFrame:
     return st.over_representation(fx.var.where("length > 1900"), fx.var, fx.sets)
 
 
-@query()
+CHOOSE = "ora AS (SELECT set_name, count(c.feature_id) AS hits, (SELECT count(*) FROM cho) AS drawn, count(*) AS good, (SELECT p FROM sizes) AS total FROM sets s LEFT JOIN cho c USING (feature_id) GROUP BY 1), lch AS (SELECT *, unnest(range(hits, least(good, drawn) + 1)) AS i FROM ora)"
+
+
+@query(f"SELECT set_name, hits, drawn, good, total, {r('sum(exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + lgamma(total - good + 1) - lgamma(drawn - i + 1) - lgamma(total - good - drawn + i + 1) - lgamma(total + 1) + lgamma(drawn + 1) + lgamma(total - drawn + 1)))')} AS p FROM lch WHERE drawn - i <= total - good GROUP BY ALL", CHOSEN, CHOOSE)
 def ora_p(fx: Fixtures) -> DataFrame:
     n = st.over_representation(fx.var.where("length > 1900"), fx.var, fx.sets)
     return n.withColumn("p", st.hypergeometric_tail(V("hits"), V("drawn"), V("good"), V("total")))
@@ -349,7 +360,12 @@ def mad_outliers_all(fx: Fixtures) -> DataFrame:
     return se.mad_outliers(fx.read("part"), "p_partkey", ["p_size", "p_retailprice"], 1.7, False)
 
 
-@query()
+LINKED = """lnk AS (SELECT x AS a, y AS b FROM prop WHERE rho >= 0.1 UNION SELECT y, x FROM prop WHERE rho >= 0.1),
+rch AS (SELECT a, a AS b FROM lnk UNION SELECT r.a, l.b FROM rch r JOIN lnk l ON l.a = r.b),
+cmp AS (SELECT a AS feature_id, min(b) AS root FROM rch GROUP BY 1)"""
+
+
+@query("SELECT feature_id FROM (SELECT feature_id, row_number() OVER (PARTITION BY root ORDER BY n DESC, feature_id) AS k FROM cmp JOIN (SELECT feature_id, count(*) AS n FROM cells GROUP BY 1) USING (feature_id)) WHERE k > 1", LOGS, LINKED)
 def redundant_features(fx: Fixtures) -> DataFrame:
     presence = fx.cells.groupBy("feature_id").agg(F.count("*").alias("n_cells"))
     return se.redundant_features(_proportions(fx), presence, "rho", 0.1)

@@ -250,3 +250,14 @@ def test_plage_is_the_leading_singular_vector(spark):
         v = np.linalg.svd(rows, full_matrices=False)[2][0]
         v = v if v @ rows.mean(0) >= 0 else -v
         assert [got[name, f"s{j}"] for j in range(9)] == pytest.approx(v.tolist(), abs=1e-9)
+
+
+def test_tails(spark):
+    zs = [0.0, 0.3, -1.0, 2.5, 5.0, -9.0, 20.0]
+    got = [r["p"] for r in spark.createDataFrame([(i, z) for i, z in enumerate(zs)], "i int, z double").withColumn("p", st.two_sided_p(F.col("z"))).orderBy("i").collect()]
+    assert got == pytest.approx([math.erfc(abs(z) / math.sqrt(2)) for z in zs], rel=2e-7)
+    cases = [(0, 5, 5, 20), (3, 5, 6, 20), (5, 5, 5, 20), (6, 5, 9, 20), (2, 18, 4, 20), (40, 100, 300, 1000), (0, 0, 3, 10)]
+    exact = lambda h, d, g, t: sum(math.comb(g, i) * math.comb(t - g, d - i) for i in range(h, min(d, g) + 1)) / math.comb(t, d)
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, h long, d long, g long, t long")
+    got = [r["p"] for r in df.withColumn("p", st.hypergeometric_tail(*map(F.col, "hdgt"))).orderBy("i").collect()]
+    assert got == pytest.approx([exact(*c) for c in cases], abs=1e-9)
