@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from assaymill.storage import materialize
+
 # The market segments, in order.
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
@@ -41,7 +43,8 @@ class Fixtures:
     @cached_property
     def cells(self) -> DataFrame:
         sold = self.read("lineitem").join(self.read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(self.read("part"), F.col("l_partkey") == F.col("p_partkey"))
-        return sold.groupBy(F.col("o_custkey").alias("sample_id"), F.col("p_brand").alias("feature_id")).agg(F.sum("l_quantity").alias("value"))
+        cells = sold.groupBy(F.col("o_custkey").alias("sample_id"), F.col("p_brand").alias("feature_id")).agg(F.sum("l_quantity").alias("value"))
+        return materialize(cells, "cells")  # most queries read them several times
 
     @cached_property
     def obs(self) -> DataFrame:
