@@ -272,7 +272,7 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     plan, log or user interface shows it.
     """
     digest = hashlib.sha256(f"pseudonyms|{key}".encode()).hexdigest()
-    docs = docs.withColumn("__pii_key", docs.sparkSession.createDataFrame([(digest,)], "key string").scalar())
+    docs = docs.withColumn("__pii_key", docs.sparkSession.sql("SELECT * FROM VALUES (:digest) AS t(key)", {"digest": digest}).scalar())
     secret = F.col("__pii_key")
 
     def named(kind: str) -> Callable[[Column], Column]:
