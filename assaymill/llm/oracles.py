@@ -86,3 +86,39 @@ def op1() -> str:
         + ",\n".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in ctes)
         + f"\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(d2 > {q.chi_square_quantile(0.9999, q.P)!r}, false) AS kept FROM df"
     )
+
+
+#: CRC-32 of a text's ASCII characters, bit by bit.
+CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({}, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, b: list_reduce(list_concat([xor(crc, b)], list_transform(range(8), lambda i: i::BIGINT)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+OP12 = rf"""
+WITH own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, sha256(coalesce(role, '')) || sha256(coalesce(text, '')) AS k,
+    len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {CRC32.format("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM own)),
+taken AS (SELECT i.conv_id, o.n AS d, o.k, o.words FROM ids i JOIN own o ON o.conv_id = i.base AND o.n <= i.h),
+seqs AS (
+  SELECT conv_id, d, k, words FROM taken
+  UNION ALL
+  SELECT o.conv_id, o.n - i.h + (SELECT count(*) FROM taken t WHERE t.conv_id = o.conv_id), o.k, o.words FROM own o JOIN ids i USING (conv_id) WHERE o.n > i.h
+), paths AS (
+  SELECT conv_id, 0 AS d, '' AS p, 0 AS words FROM ids
+  UNION ALL
+  SELECT conv_id, d, sha256(string_agg(k, ',') OVER (PARTITION BY conv_id ORDER BY d)), words FROM seqs
+), sized AS (SELECT *, max(d) OVER (PARTITION BY conv_id) AS len FROM paths),
+nodes AS (
+  SELECT d, p, min(conv_id) AS name, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len = d), '')) AS ends_sha256
+  FROM sized GROUP BY d, p
+), linked AS (
+  SELECT n.*, a.p AS above, b.name AS parent FROM nodes n LEFT JOIN paths a ON a.conv_id = n.name AND a.d = n.d - 1 LEFT JOIN nodes b ON b.d = a.d AND b.p = a.p
+), counted AS (SELECT l.*, (SELECT count(*) FROM linked c WHERE c.d = l.d + 1 AND c.above = l.p) AS n_children FROM linked l),
+below AS (
+  SELECT a.d, a.p, sum((c.n_children = 0)::BIGINT) AS n_leaves, sum((c.n_convs - 1) * c.words) AS saved_tokens
+  FROM counted c JOIN paths a ON a.conv_id = c.name AND a.d <= c.d GROUP BY 1, 2
+)
+SELECT c.name AS conv_id, c.d AS depth, c.parent AS parent_conv_id, c.n_convs, c.n_children, b.n_leaves::BIGINT AS n_leaves, b.saved_tokens::BIGINT AS saved_tokens, c.ends_sha256
+FROM counted c JOIN below b ON b.d = c.d AND b.p = c.p
+"""

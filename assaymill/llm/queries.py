@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaymill.llm import license_scan, oracles, quality_classifier, recurrent_lm
+from assaymill.llm import byte_bpe, license_scan, oracles, periodic_runs, quality_classifier, recurrent_lm
+from assaymill.llm.conversation_trie import shared_trie
 from assaymill.llm.language_id import identify, train
 from assaymill.llm.mixing import mixture
 from assaymill.llm.near_dedup import near_duplicates
@@ -91,9 +92,23 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.size("pii_kinds").alias("n_pii"), F.array_join("pii_kinds", ",").alias("kinds"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_quality_classifier, op4_order_minhash, op5_lm_scoring, op6_packing, op7_near_dedup, op8_mixing, op9_language_id, op10_pii_pseudonyms)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_quality_classifier, op4_order_minhash, op5_lm_scoring, op6_packing, op7_near_dedup, op8_mixing, op9_language_id, op10_pii_pseudonyms, op11_bpe, op12_conversation_trie, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": oracles.op1(), "op7_near_dedup": oracles.OP7}
+    return {"op1_quality_rules": oracles.op1(), "op7_near_dedup": oracles.OP7, "op12_conversation_trie": oracles.OP12}

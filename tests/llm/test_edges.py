@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from assaymill.llm import language_id, license_scan, mixing, near_dedup, order_minhash, packing, pseudonyms, quality_classifier, quality_rules, recurrent_lm
+from assaymill.llm import byte_bpe, language_id, license_scan, mixing, near_dedup, order_minhash, packing, periodic_runs, pseudonyms, quality_classifier, quality_rules, recurrent_lm
 from assaymill.llm.queries import tokenizer, weights
 from tests.llm.data import frame, rows
 
@@ -24,6 +24,8 @@ OPERATORS = {
     "mixing": lambda d: mixing.mixture(d, weights),
     "language": lambda d: language_id.identify(d, language_id.train(d, F.col("doc_id"))),
     "pii": lambda d: pseudonyms.pseudonymize(d, "k"),
+    "bpe": lambda d: byte_bpe.encode(d, tokenizer().replace("word_bpe_49k", "byte_bpe_50k")),
+    "runs": lambda d: periodic_runs.periodic_runs(d),
     "packing": lambda d: packing.pack(d, tokenizer()).where("start = 0"),
 }
 NOTICE = "Released under the MIT License."
