@@ -32,8 +32,7 @@ def impute_replace_one(dense: DataFrame) -> DataFrame:
 def impute_multi_replace(dense: DataFrame) -> DataFrame:
     """Rows closed to 1; zeros become delta = 1/P squared, the others shrink by what the zeros got."""
     total, p, zeros = F.sum("value").over(Window.partitionBy("sample_id")), F.count("*").over(Window.partitionBy("sample_id")), F.count_if(V("value") == 0).over(Window.partitionBy("sample_id"))
-    delta = 1 / (p * p)
-    return dense.withColumns({"_t": total, "_d": delta, "_z": zeros}).select("sample_id", "feature_id", F.when(V("value") == 0, V("_d")).otherwise(F.try_divide(V("value"), V("_t")) * (1 - V("_z") * V("_d"))).alias("value"))
+    return dense.withColumns({"_t": total, "_pp": p * p, "_z": zeros}).select("sample_id", "feature_id", F.when(V("value") == 0, 1 / V("_pp")).otherwise(F.try_divide(V("value"), V("_t")) * (1 - V("_z") / V("_pp"))).alias("value"))
 
 
 def impute_labelled_median(dense: DataFrame, obs: DataFrame, label: str) -> DataFrame:

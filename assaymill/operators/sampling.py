@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assaymill.functions.expressions import hash_order, hash_rank
+from assaymill.functions.ordering import ordered, same
+from assaymill.operators.nearest import nearest, probes_for, space_of
+from assaymill.storage import materialize
 
 V = F.col
 
@@ -124,21 +127,13 @@ def random_undersample(df: DataFrame, key: str, label: str, seed: int = 0) -> Da
     return hash_rank(df, key, seed, [label]).crossJoin(F.broadcast(least)).where(V("_r") <= V("_lo")).drop("_r", "_n", "_lo")
 
 
-def neighbours(dense: DataFrame, obs: DataFrame, label: str, k: int, within: bool = False) -> DataFrame:
-    """(sample_id, label, other, other_label, distance, rank): the exact k nearest by Euclidean distance.
+def neighbours(cells: DataFrame, obs: DataFrame, label: str, k: int, within: bool = False) -> DataFrame:
+    """(sample_id, label, other, other_label, distance, rank): the exact k nearest by Euclidean distance, of the same label if ``within``.
 
-    ``dense`` has every feature of every sample. Ties go to the smaller id. All pairs are compared, as the exact
-    operator asks: it is meant for the samples of a study; ``near_candidates`` proposes pairs among many.
+    Absent cells are 0. Ties go to the smaller id.
     """
-    a = dense.select("feature_id", V("sample_id").alias("sample_id"), V("value").alias("_a"))
-    b = dense.select("feature_id", V("sample_id").alias("other"), V("value").alias("_b"))
-    tags = obs.select("sample_id", V(label).alias("label"))
-    d = a.join(b, "feature_id").where("sample_id <> other").groupBy("sample_id", "other").agg(F.round(F.sqrt(F.sum((V("_a") - V("_b")) * (V("_a") - V("_b")))), 9).alias("distance"))
-    d = d.join(tags, "sample_id").join(tags.toDF("other", "other_label"), "other")
-    if within:
-        d = d.where("label = other_label")
-    w = Window.partitionBy("sample_id").orderBy("distance", "other")
-    return d.withColumn("rank", F.row_number().over(w)).where(V("rank") <= k).select("sample_id", "label", "other", "other_label", "distance", "rank")
+    samples = obs.select("sample_id", V(label).alias("tag"))
+    return nearest(cells, samples, cells, samples, k, same_tag=within).withColumnsRenamed({"tag": "label", "other_tag": "other_label"})
 
 
 def tomek_links(nearest: DataFrame) -> DataFrame:
@@ -172,22 +167,133 @@ def smote(dense: DataFrame, near: DataFrame, seed: int = 0) -> DataFrame:
     return a.join(b, ["other", "feature_id"]).select("sample_id", "other", "feature_id", (V("value") + V("_w") * (V("_b") - V("value"))).alias("value"))
 
 
-def near_candidates(cells: DataFrame, tables: int = 12, width: float = 4.0, seed: int = 0) -> DataFrame:
-    """(sample_id, other): pairs that fall into one bucket of random projections in any of ``tables`` tables, each pair once.
+def near_miss(cells: DataFrame, obs: DataFrame, label: str, k: int = 3, version: int = 1) -> DataFrame:
+    """(sample_id, label, score): every class cut to the size of the smallest, whose samples all stay (score null).
 
-    A table's bucket is two projections cut at ``width``; a feature's weight in a projection is a normal draw from md5, so
-    sparse cells are summed as they are and an absent cell counts as 0. Close pairs meet with high probability; what they
-    miss is the price of not comparing all pairs.
+    Version 1 keeps the samples of least mean distance to their k nearest of the smallest class, version 2 to their k farthest. Version 3 keeps
+    those of greatest mean distance to their k nearest, among the samples that are one of the k nearest of their class to any of the smallest class; where
+    these are too few, the others follow in the same order.
     """
-    from assaymill.operators.normalise import normal_draw
-
-    axes = F.explode(F.sequence(F.lit(0), F.lit(2 * tables - 1)))
-    weights = cells.select("feature_id").distinct().withColumn("axis", axes)
-    weights = weights.withColumn("w", normal_draw(seed, F.concat_ws("#", "axis", "feature_id")))
-    at = cells.join(weights, "feature_id").groupBy("sample_id", "axis").agg(F.floor(F.sum(V("value") * V("w")) / width).alias("slot"))
-    buckets = at.groupBy("sample_id", F.floor(V("axis") / 2).alias("table")).agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("axis", "slot")))).alias("bucket"))
-    a = buckets.select("table", "bucket", "sample_id")
-    return a.join(a.withColumnRenamed("sample_id", "other"), ["table", "bucket"]).where("sample_id < other").select("sample_id", "other").distinct()
+    tagged = obs.select("sample_id", V(label).alias("tag"))
+    sizes = tagged.groupBy("tag").agg(F.count("*").alias("_n"))
+    least = sizes.orderBy("_n", "tag").first()
+    if least is None:
+        return tagged.select("sample_id", V("tag").alias("label"), F.lit(None).cast("double").alias("score"))
+    small = tagged.where(V("tag").eqNullSafe(F.lit(least["tag"])))
+    large = tagged.where(~V("tag").eqNullSafe(F.lit(least["tag"])))
+    part = lambda s: cells.join(s.select("sample_id"), "sample_id", "left_semi")
+    far = nearest(part(large), large, part(small), small, k, farthest=version == 2).groupBy("sample_id").agg(F.round(F.avg("distance"), 9).alias("score"))
+    ranked = large.join(far, "sample_id", "left")
+    order = [V("score"), V("sample_id")]
+    if version == 3:
+        asked = small.select(V("sample_id").alias("_from")).crossJoin(large.select("tag").distinct())
+        name = F.concat_ws("|", V("_from").cast("string"), "tag")
+        as_text = large.withColumn("sample_id", V("sample_id").cast("string"))
+        points = part(small).withColumnRenamed("sample_id", "_from").join(asked, "_from").select(name.alias("sample_id"), "feature_id", "value")
+        met = nearest(points, asked.select(name.alias("sample_id"), "tag"), part(large).withColumn("sample_id", V("sample_id").cast("string")), as_text, k, same_tag=True)
+        ranked = ranked.join(met.select(V("other").alias("_met")).distinct(), V("sample_id").cast("string") == V("_met"), "left")
+        order = [V("_met").isNull(), F.desc("score"), V("sample_id")]
+    kept = ordered(ranked, order, ["tag"]).where(V("_nth") <= least["_n"]).select("sample_id", V("tag").alias("label"), "score")
+    return kept.unionByName(small.select("sample_id", V("tag").alias("label"), F.lit(None).cast("double").alias("score")))
+
+
+def quotas(weights: DataFrame, key: str, by: str, weight: str, total: str) -> DataFrame:
+    """``weights`` with ``quota``: ``total`` (one number per group) shared in whole numbers by weight, by largest remainder (then by key); sums are exact."""
+    sums = weights.groupBy(by).agg(F.sum(weight).alias("_w"))
+    w = same(weights, sums, [by])
+    share = F.coalesce(F.try_divide(V(weight) * V(total), V("_w")), F.lit(0.0))
+    w = w.withColumns({"_down": F.floor(F.round(share, 9)), "_rest": F.round(share - F.floor(F.round(share, 9)), 9)})
+    placed = ordered(w, [F.desc("_rest"), V(key)], [by])
+    given = placed.groupBy(by).agg(F.sum("_down").alias("_given"))
+    out = same(placed, given, [by])
+    more = F.when((V("_w") > 0) & (V("_nth") <= V(total) - V("_given")), 1).otherwise(0)
+    return out.withColumn("quota", (V("_down") + more).cast("long")).select(*weights.columns, "quota")
+
+
+def difficulty(near: DataFrame) -> DataFrame:
+    """(sample_id, label, other_class, k): of a sample's neighbours (``neighbours``), how many belong to another class."""
+    return near.groupBy("sample_id", "label").agg(F.count_if(V("label") != V("other_label")).alias("other_class"), F.count("*").alias("k"))
+
+
+def between(cells: DataFrame, picks: DataFrame) -> DataFrame:
+    """(sample_id, copy, other, feature_id, value): points a share ``w`` of the way from sample to other; ``picks`` is (sample_id, copy, other, w). Cells where both are 0 stay absent."""
+    a = cells.join(picks, "sample_id").select("sample_id", "copy", "other", "feature_id", (V("value") * (1 - V("w"))).alias("value"))
+    b = cells.withColumnRenamed("sample_id", "other").join(picks, "other").select("sample_id", "copy", "other", "feature_id", (V("value") * V("w")).alias("value"))
+    return a.unionByName(b).groupBy("sample_id", "copy", "other", "feature_id").agg(F.sum("value").alias("value"))
+
+
+def picks_of(near: DataFrame, copies: DataFrame, seed: int = 0) -> DataFrame:
+    """(sample_id, copy, other, w): for each of a sample's ``copies`` (sample_id, quota) a neighbour and a weight, both from md5."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), V("sample_id").cast("string"), V("copy").cast("string")))
+    number = lambda at: F.conv(F.substring("_h", at, 8), 16, 10).cast("double") / 4294967296.0
+    near = near.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("rank", "other"))).alias("_near"))  # k of them
+    each = copies.where("quota > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), V("quota")))).select("sample_id", "copy").withColumn("_h", h)
+    each = each.join(near, "sample_id")
+    return each.select("sample_id", "copy", F.get("_near", F.floor(number(1) * F.size("_near")).cast("int"))["other"].alias("other"), number(9).alias("w"))
+
+
+def adasyn(cells: DataFrame, obs: DataFrame, label: str, k: int = 5, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """((sample_id, label, other_class, quota), new points as ``between``): each class filled up to the largest, most where neighbours are of other classes.
+
+    A sample's share of its class's new points is the share of other classes among its k neighbours; a class without any such neighbour gets none. Each
+    point lies between the sample and one of its k nearest of its own class.
+    """
+    samples = obs.select("sample_id", V(label).alias("label"))
+    sizes = samples.groupBy("label").agg(F.count("*").alias("_n"))
+    goal = sizes.withColumn("_total", F.max("_n").over(Window.partitionBy()) - V("_n"))
+    hard = same(difficulty(neighbours(cells, obs, label, k)), goal.select("label", "_total"), ["label"])
+    given = materialize(quotas(hard, "sample_id", "label", "other_class", "_total").select("sample_id", "label", "other_class", "quota"), "quotas")
+    return given, between(cells, picks_of(neighbours(cells, obs, label, k, within=True), given, seed))
+
+
+def borderline_smote(cells: DataFrame, obs: DataFrame, label: str, k: int = 5, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """((sample_id, label, other_class, quota), new points): each class filled up to the largest, from its samples in danger alone: those with half or more, but not all, of their k neighbours in other classes."""
+    samples = obs.select("sample_id", V(label).alias("label"))
+    sizes = samples.groupBy("label").agg(F.count("*").alias("_n"))
+    goal = sizes.withColumn("_total", F.max("_n").over(Window.partitionBy()) - V("_n"))
+    hard = difficulty(neighbours(cells, obs, label, k)).withColumn("_danger", ((2 * V("other_class") >= V("k")) & (V("other_class") < V("k"))).cast("int"))
+    shared = quotas(same(hard, goal.select("label", "_total"), ["label"]), "sample_id", "label", "_danger", "_total")
+    given = materialize(shared.select("sample_id", "label", "other_class", "quota"), "quotas")
+    return given, between(cells, picks_of(neighbours(cells, obs, label, k, within=True), given, seed))
+
+
+def smote_even(cells: DataFrame, obs: DataFrame, label: str, k: int = 5, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(cells, samples (sample_id string, label)) of all samples and of new points that fill each class up to the largest, each sample taking its turn; new points are named after sample and copy."""
+    samples = obs.select("sample_id", V(label).alias("label"))
+    sizes = samples.groupBy("label").agg(F.count("*").alias("_n"))
+    goal = sizes.withColumn("_total", F.max("_n").over(Window.partitionBy()) - V("_n"))
+    given = quotas(same(samples.withColumn("_one", F.lit(1)), goal.select("label", "_total"), ["label"]), "sample_id", "label", "_one", "_total")
+    given = materialize(given.select("sample_id", "label", "quota"), "quotas")
+    picks = materialize(picks_of(neighbours(cells, obs, label, k, within=True), given, seed), "picks")
+    name = F.concat_ws("+", V("sample_id").cast("string"), V("copy").cast("string"))
+    made = picks.join(given.select("sample_id", "label"), "sample_id").select(name.alias("sample_id"), "label")
+    new = between(cells, picks)
+    every = cells.select(V("sample_id").cast("string").alias("sample_id"), "feature_id", V("value").cast("double").alias("value")).unionByName(new.select(name.alias("sample_id"), "feature_id", "value"))
+    return every, samples.select(V("sample_id").cast("string").alias("sample_id"), "label").unionByName(made)
+
+
+def smote_enn(cells: DataFrame, obs: DataFrame, label: str, k: int = 5, edit: int = 3, seed: int = 0) -> DataFrame:
+    """(sample_id, label) of old and new samples after ``smote_even`` that ``edit`` neighbours do not outvote."""
+    every, samples = smote_even(cells, obs, label, k, seed)
+    return samples.join(enn_remove(neighbours(every, samples, "label", edit)), "sample_id", "left_anti")
+
+
+def smote_tomek(cells: DataFrame, obs: DataFrame, label: str, k: int = 5, seed: int = 0) -> DataFrame:
+    """(sample_id, label) of old and new samples after ``smote_even`` that are on no Tomek link."""
+    every, samples = smote_even(cells, obs, label, k, seed)
+    links = tomek_links(neighbours(every, samples, "label", 1))
+    return samples.join(links.select("sample_id").union(links.select("other")), "sample_id", "left_anti")
+
+
+def near_candidates(cells: DataFrame, samples: DataFrame, k: int = 5, recall: float = 0.95) -> DataFrame:
+    """(sample_id, other): pairs of which one is among the other's k nearest in the cells it looks into, each pair once.
+
+    How many cells that are is read from the data, so that on a bounded sample ``recall`` of all true neighbours are found.
+    """
+    tagged = samples.select("sample_id", F.lit("").alias("tag"))
+    space = space_of(cells, tagged)
+    near = nearest(cells, tagged, cells, tagged, k, space=space, probes=probes_for(cells, tagged, k, recall, space))
+    return near.select(F.least("sample_id", "other").alias("sample_id"), F.greatest("sample_id", "other").alias("other")).distinct()
 
 
 def poisson_batches(df: DataFrame, key: str, batches: int, size: float, seed: int = 0) -> DataFrame:

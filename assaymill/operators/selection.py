@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from assaymill.functions.ordering import ordered
 from assaymill.storage import materialize
 
 V = F.col
@@ -138,7 +139,8 @@ def range_best(ginis: DataFrame, n: int) -> DataFrame:
 
 
 def rank_by(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.rank().over(Window.partitionBy().orderBy(*order)))
+    """Rank from 1 by ``order``, ties alike."""
+    return ordered(df, order).select(*df.columns, V("_rank").cast("int").alias(name))
 
 
 def top_l1(coefs: DataFrame, n: int, per_class: bool = False) -> DataFrame:

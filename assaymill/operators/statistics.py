@@ -11,25 +11,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assaymill.functions.expressions import average_rank, value_ranks
+from assaymill.functions.ordering import carried, ordered, same
+from assaymill.functions.tails import ln_chi2_upper, ln_f_upper, ln_t_two_sided, with_p
 from assaymill.storage import lookup
 
 V = F.col
 
 
-def auroc(dense: DataFrame, obs: DataFrame, label: str) -> DataFrame:
+def auroc(cells: DataFrame, obs: DataFrame, label: str, features: DataFrame | None = None) -> DataFrame:
     """(feature_id, label, auroc, z) of each class against the rest, with tie correction.
 
-    Ranks are shared by all classes, so one order per feature serves them.
+    Only cells that are not 0 are ranked, by distinct value: a feature's zeros, stored or absent, are one block of ties between its negative
+    and its positive values, whose size follows from ``obs``. Features without cells have an area of one half if ``features`` lists
+    them. Ranks are shared by all classes.
     """
-    w = Window.partitionBy("feature_id")
-    ranked = dense.withColumns({"_r": average_rank(V("value"), "feature_id"), "_t": F.count("*").over(Window.partitionBy("feature_id", "value")), "_n": F.count("*").over(w)})
-    ranked = ranked.join(obs.select("sample_id", V(label).alias("label")), "sample_id")
-    # each value group of t rows adds t^2 - 1 per row, t^3 - t in all
-    ties = ranked.groupBy("feature_id").agg(F.sum(V("_t") * V("_t") - 1).alias("_ties"))
-    s = ranked.groupBy("feature_id", "label").agg(F.sum("_r").alias("_rs"), F.count("*").alias("_p"), F.first("_n").alias("_n")).join(ties, "feature_id")
-    s = s.withColumn("_q", V("_n") - V("_p"))
-    a = (V("_rs") - V("_p") * (V("_p") + 1) / 2) / (V("_p") * V("_q"))
-    sd = F.sqrt((V("_n") + 1 - V("_ties") / (V("_n") * (V("_n") - 1))) / (12 * V("_p") * V("_q")))
+    tags = obs.select("sample_id", V(label).alias("label"))
+    sizes = tags.groupBy("label").agg(F.count("*").alias("_p"))
+    sizes = sizes.withColumn("_n", F.sum("_p").over(Window.partitionBy()))
+    listed = (cells if features is None else features).select("feature_id").distinct()
+    counts = cells.where("value <> 0").join(tags, "sample_id").groupBy("feature_id", "value", "label").agg(F.count("*").alias("_c"))
+    ties = counts.groupBy("feature_id", "value").agg(F.sum("_c").alias("_t"))
+    upto = F.sum("_t").over(Window.partitionBy("feature_id").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # places among the cells that are not 0; positive values stand behind the block of zeros as well
+    ranks = ties.select("feature_id", "value", (upto - (V("_t") - 1) / 2).alias("_r"))
+    blocks = ties.groupBy("feature_id").agg(F.sum("_t").alias("_cells"), F.sum(F.when(V("value") < 0, V("_t")).otherwise(0)).alias("_below"), F.sum(V("_t") * (V("_t") * V("_t") - 1)).alias("_ties"))
+    placed = counts.join(ranks, ["feature_id", "value"]).groupBy("feature_id", "label")
+    placed = placed.agg(F.sum(V("_r") * V("_c")).alias("_rs"), F.sum("_c").alias("_k"), F.sum(F.when(V("value") > 0, V("_c")).otherwise(0)).alias("_up"))
+    grid = listed.crossJoin(sizes)
+    s = grid.join(placed.withColumnRenamed("label", "_l"), (grid["feature_id"] == placed["feature_id"]) & grid["label"].eqNullSafe(V("_l")), "left").drop(placed["feature_id"], "_l")
+    s = s.join(blocks, "feature_id", "left").fillna(0, ["_rs", "_k", "_up", "_cells", "_below", "_ties"])
+    s = s.withColumns({"_q": V("_n") - V("_p"), "_zeros": V("_n") - V("_cells")})
+    ties_all = V("_ties") + V("_zeros") * (V("_zeros") * V("_zeros") - 1)
+    sums = V("_rs") + V("_up") * V("_zeros") + (V("_p") - V("_k")) * (V("_below") + (V("_zeros") + 1) / 2)
+    a = (sums - V("_p") * (V("_p") + 1) / 2) / (V("_p") * V("_q"))
+    sd = F.sqrt(F.greatest((V("_n") + 1 - ties_all / (V("_n") * (V("_n") - 1))) / (12 * V("_p") * V("_q")), F.lit(0.0)))
     return s.where("_q > 0").select("feature_id", "label", a.alias("auroc"), F.try_divide(a - 0.5, sd).alias("z"))
 
 
@@ -99,14 +114,27 @@ def pairwise_wilcoxon(df: DataFrame, value: str, group: str) -> DataFrame:
 
 
 def adjust(df: DataFrame, p: str, key: str, by: Sequence[str] = ()) -> DataFrame:
-    """Columns bh, bonferroni and holm; rows of equal p are ordered by ``key``."""
-    w = Window.partitionBy(*by)
-    up, n = w.orderBy(p, key), F.count("*").over(w)
-    out = df.withColumns({"_k": F.row_number().over(up), "_n": n})
-    out = out.withColumns({"_bh": V(p) * V("_n") / V("_k"), "_holm": V(p) * (V("_n") - V("_k") + 1)})
-    rest = up.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    done = up.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return out.withColumns({"bh": F.least(F.min("_bh").over(rest), F.lit(1.0)), "bonferroni": F.least(V(p) * V("_n"), F.lit(1.0)), "holm": F.least(F.max("_holm").over(done), F.lit(1.0))}).drop("_k", "_n", "_bh", "_holm")
+    """Columns bh, bonferroni and holm; rows of equal p are ordered by ``key``, rows without p have none and do not count.
+
+    Rows are ordered in range parts, which carry the least and the largest value to each other.
+    """
+    rows = ordered(df.where(V(p).isNotNull()), [p, key], by)
+    rows = rows.withColumns({"_bh": V(p) * V("_rows") / V("_nth"), "_holm": V(p) * (V("_rows") - V("_nth") + 1)})
+    parts = rows.groupBy(*by, "_part").agg(F.min("_bh").alias("_low"), F.max("_holm").alias("_high"))
+    parts = parts.select(*by, "_part", carried(F.min("_low"), by, later=True).alias("_later"), carried(F.max("_high"), by).alias("_earlier"))
+    here = Window.partitionBy(*by, "_part").orderBy("_nth")
+    rest, done = here.rowsBetween(Window.currentRow, Window.unboundedFollowing), here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = same(rows, parts, [*by, "_part"]).withColumns({"bh": F.least(F.min("_bh").over(rest), "_later", F.lit(1.0)), "bonferroni": F.least(V(p) * V("_rows"), F.lit(1.0)), "holm": F.least(F.greatest(F.max("_holm").over(done), "_earlier"), F.lit(1.0))})
+    return out.select(*df.columns, "bh", "bonferroni", "holm").unionByName(df.where(V(p).isNull()), allowMissingColumns=True)
+
+
+def ovr_welch_p(moments: DataFrame) -> DataFrame:
+    """(feature_id, label, t, df, p, log10_p, bh, bonferroni, holm): Welch's test of each class against the rest, adjusted over the features of a class.
+
+    A feature without spread in either group has no t and no p.
+    """
+    t = ovr_welch_t(moments).withColumns(with_p(ln_t_two_sided(V("t"), V("df"))))
+    return adjust(t, "p", "feature_id", ["label"])
 
 
 def lfc_filter(df: DataFrame, effect: str, key: str, least: float, test: Column, n: int = 2000) -> DataFrame:
@@ -122,24 +150,34 @@ def friedman(results: DataFrame, block: str, treatment: str, value: str) -> Data
     return out.select("n_blocks", "k", "chi2", F.try_divide((V("n_blocks") - 1) * V("chi2"), V("n_blocks") * (V("k") - 1) - V("chi2")).alias("f"))
 
 
+def friedman_p(test: DataFrame) -> DataFrame:
+    """``friedman`` with p of the chi-square form and p_f, log10_p_f of the F form; null where all blocks agree in every rank."""
+    one = with_p(ln_chi2_upper(V("chi2"), V("k") - 1.0))
+    two = with_p(ln_f_upper(V("f"), V("k") - 1.0, (V("k") - 1.0) * (V("n_blocks") - 1.0)))
+    return test.withColumns({**one, "p_f": two["p"], "log10_p_f": two["log10_p"]})
+
+
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
-    """(h): Kruskal-Wallis with tie correction."""
+    """(h, df, p, log10_p): Kruskal-Wallis with tie correction."""
     ranks = value_ranks(df, value)
     ties = ranks.agg(F.sum(V("n") * (V("n") * V("n") - 1)).alias("_ties"), F.sum("n").alias("_n"))
     cells = df.where(V(value).isNotNull()).groupBy(group, V(value).cast("double").alias("value")).agg(F.count("*").alias("_k"))
     r = cells.join(ranks, "value").select(group, (V("rank") * V("_k")).alias("_r"), "_k")
-    sums = r.groupBy(group).agg((F.sum("_r") * F.sum("_r") / F.sum("_k")).alias("_q")).agg(F.sum("_q").alias("_q"))
+    sums = r.groupBy(group).agg((F.sum("_r") * F.sum("_r") / F.sum("_k")).alias("_q")).agg(F.sum("_q").alias("_q"), F.count("*").alias("_k"))
     n = V("_n")
-    return sums.crossJoin(ties).select(((12 / (n * (n + 1)) * V("_q") - 3 * (n + 1)) / (1 - V("_ties") / (n * n * n - n))).alias("h"))
+    out = sums.crossJoin(ties).select(F.try_divide(12 / (n * (n + 1)) * V("_q") - 3 * (n + 1), 1 - V("_ties") / (n * n * n - n)).alias("h"), (V("_k") - 1).alias("df"))
+    return out.withColumns(with_p(ln_chi2_upper(V("h"), V("df").cast("double"))))
 
 
 def chi_square(df: DataFrame, group: str, member: str, family: str) -> DataFrame:
-    """Per family: chi-square of group by membership."""
+    """(family, chi2, df, p, log10_p) of group by membership; a family with one group or one membership has no p."""
     n = df.groupBy(family, group, member).agg(F.count("*").alias("_o"))
     grid = n.select(family, group).distinct().join(n.select(family, member).distinct(), family).join(n, [family, group, member], "left").fillna(0, ["_o"])
     s = lambda *by: F.sum("_o").over(Window.partitionBy(family, *by))
     e = s(group) * s(member) / s()
-    return grid.withColumn("_e", e).groupBy(family).agg(F.sum((V("_o") - V("_e")) * (V("_o") - V("_e")) / V("_e")).alias("chi2"))
+    free = (F.count_distinct(group) - 1) * (F.count_distinct(member) - 1)
+    out = grid.withColumn("_e", e).groupBy(family).agg(F.sum((V("_o") - V("_e")) * (V("_o") - V("_e")) / V("_e")).alias("chi2"), free.alias("df"))
+    return out.withColumns(with_p(F.when(V("df") > 0, ln_chi2_upper(V("chi2"), V("df").cast("double")))))
 
 
 def correlations(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -153,17 +191,6 @@ def correlations(df: DataFrame, a: str, b: str) -> DataFrame:
     return r.agg(F.corr("_a", "_b").alias("pearson"), F.corr("_ra", "_rb").alias("spearman"))
 
 
-def proportionality(logs: DataFrame) -> DataFrame:
-    """(x, y, phi, rho, corr) for pairs of features of dense log-ratio data; phi divides by the variance of x.
-
-    Pairs meet inside a sample, so the join's width is the number of features of one sample.
-    """
-    a = logs.select("sample_id", V("feature_id").alias("x"), V("value").alias("_a"))
-    b = logs.select("sample_id", V("feature_id").alias("y"), V("value").alias("_b"))
-    p = a.join(b, "sample_id").where("x < y").groupBy("x", "y").agg(F.var_samp("_a").alias("_va"), F.var_samp("_b").alias("_vb"), F.covar_samp("_a", "_b").alias("_c"))
-    return p.select("x", "y", F.try_divide(V("_va") + V("_vb") - 2 * V("_c"), V("_va")).alias("phi"), F.try_divide(2 * V("_c"), V("_va") + V("_vb")).alias("rho"), F.try_divide(V("_c"), F.sqrt(V("_va") * V("_vb"))).alias("corr"))
-
-
 def central(pairs: DataFrame, value: str = "rho") -> DataFrame:
     """Median association of every feature with the others."""
     both = pairs.select(V("x").alias("feature_id"), value).union(pairs.select("y", value))

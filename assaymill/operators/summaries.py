@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from assaymill.functions.ordering import ordered, running_sum, tile
+
 V = F.col
 
 
@@ -184,7 +186,8 @@ def half_half(a: DataFrame, b: DataFrame, score: str, item: str, n: int) -> Data
 
 
 def ratio_bins(df: DataFrame, value: str, key: str, bins: int = 10) -> DataFrame:
-    return df.withColumn("bin", F.ntile(bins).over(Window.partitionBy().orderBy(value, key)))
+    """``df`` with ``bin``, one of so many bins of equal size by rising value."""
+    return ordered(df, [value, key]).select(*df.columns, tile(bins).alias("bin"))
 
 
 def noisy_features(df: DataFrame, label: str, item: str, ratio: str, q: float, how: str) -> DataFrame:
@@ -206,9 +209,8 @@ def pareto_front(df: DataFrame, x: str, y: str, key: str, by: Sequence[str] = ()
 
 def cumulative_effect(df: DataFrame, value: str, key: str) -> DataFrame:
     """Decile by falling value, with the running share of the total."""
-    w = Window.partitionBy().orderBy(F.desc(value), key)
-    run = F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.select(key, F.ntile(10).over(w).alias("decile"), F.try_divide(run, F.sum(value).over(Window.partitionBy())).alias("cumulative"))
+    rows = running_sum(df, value, [F.desc(value), key])
+    return rows.select(key, tile(10).alias("decile"), F.try_divide("_upto", "_total").alias("cumulative"))
 
 
 def argmax_class(scores: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaymill.operators import evaluation as ev
+from assaymill.operators import gram as gr
 from assaymill.operators import hierarchy as hi
 from assaymill.operators import models as mo
 from assaymill.operators import normalise as nm
@@ -137,7 +138,7 @@ AUROC = """auc AS (SELECT feature_id, label, a, (a - 0.5) / nullif(sqrt((n + 1 -
 
 @query(f"SELECT feature_id, label, {r('a')} AS auroc, {r('z')} AS z FROM auc", AUROC)
 def auroc_ovr(fx: Fixtures) -> DataFrame:
-    return st.auroc(fx.dense, fx.obs, "label")
+    return st.auroc(fx.cells, fx.obs, "label", fx.var)
 
 
 _FIT = reduce(lambda inner, c: f"({c} + t * {inner})", st.ERFC[-2::-1], str(st.ERFC[-1]))
@@ -145,7 +146,7 @@ _FIT = reduce(lambda inner, c: f"({c} + t * {inner})", st.ERFC[-2::-1], str(st.E
 
 @query(f"SELECT feature_id, label, {r('a')} AS auroc, {r('z')} AS z, {r(f't * exp({_FIT} - z * z / 2)')} AS p FROM (SELECT *, 1 / (1 + abs(z) / sqrt(2.0) / 2) AS t FROM auc WHERE z IS NOT NULL)", AUROC)
 def auroc_ovr_p(fx: Fixtures) -> DataFrame:
-    return st.auroc(fx.dense, fx.obs, "label").where("z is not null").withColumn("p", st.two_sided_p(V("z")))
+    return st.auroc(fx.cells, fx.obs, "label", fx.var).where("z is not null").withColumn("p", st.two_sided_p(V("z")))
 
 
 MOMENTS = "mom AS (SELECT c.feature_id, c.label, n1, n2, s1 / n1 AS m1, s2 / n2 AS m2, (q1 - s1 * s1 / n1) / nullif(n1 - 1, 0) AS v1, (q2 - s2 * s2 / n2) / nullif(n2 - 1, 0) AS v2 FROM (SELECT d.feature_id, o.label, sum(value) AS s1, sum(value * value) AS q1, count(*)::DOUBLE AS n1, sum(sum(value)) OVER w - sum(value) AS s2, sum(sum(value * value)) OVER w - sum(value * value) AS q2, (sum(count(*)) OVER w - count(*))::DOUBLE AS n2 FROM dense d JOIN obs o USING (sample_id) GROUP BY 1, 2 WINDOW w AS (PARTITION BY d.feature_id)) c WHERE s1 > 0)"
@@ -221,12 +222,12 @@ def friedman_stat(fx: Fixtures) -> DataFrame:
 
 @query(f"SELECT {r('(12.0 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n))')} AS h FROM (SELECT sum(s * s / c) AS q, sum(c)::DOUBLE AS n, sum(ties)::DOUBLE AS ties FROM (SELECT c_mktsegment, sum(k)::DOUBLE AS s, count(*) AS c, sum(t * t - 1) AS ties FROM (SELECT *, rank() OVER (ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY c_nationkey) AS t FROM customer) GROUP BY 1))")
 def kruskal_stat(fx: Fixtures) -> DataFrame:
-    return st.kruskal(fx.read("customer"), "c_nationkey", "c_mktsegment")
+    return st.kruskal(fx.read("customer"), "c_nationkey", "c_mktsegment").select("h")
 
 
 @query(f"SELECT p_type, {r('sum((o - e) ** 2 / e)')} AS chi2 FROM (SELECT p_type, o, sum(o) OVER (PARTITION BY p_type, p_brand) * sum(o) OVER (PARTITION BY p_type, m) / sum(o) OVER (PARTITION BY p_type) AS e FROM (SELECT g.p_type, g.p_brand, m.m, count(p_partkey)::DOUBLE AS o FROM (SELECT DISTINCT p_type, p_brand FROM part) g JOIN (SELECT DISTINCT p_type, p_size > 25 AS m FROM part) m USING (p_type) LEFT JOIN part p ON p.p_type = g.p_type AND p.p_brand = g.p_brand AND (p.p_size > 25) = m.m GROUP BY 1, 2, 3)) GROUP BY 1")
 def chisq_family(fx: Fixtures) -> DataFrame:
-    return st.chi_square(fx.read("part").withColumn("m", V("p_size") > 25), "p_brand", "m", "p_type")
+    return st.chi_square(fx.read("part").withColumn("m", V("p_size") > 25), "p_brand", "m", "p_type").select("p_type", "chi2")
 
 
 @query(f"SELECT {r('corr(p_size, p_retailprice)')} AS pearson FROM part")
@@ -243,7 +244,7 @@ LOGS = "logs AS (SELECT sample_id, feature_id, ln(value + 1) AS value FROM dense
 
 
 def _proportions(fx: Fixtures) -> DataFrame:
-    return st.proportionality(fx.dense.withColumn("value", F.log1p("value")))
+    return gr.proportionality(fx.cells.withColumn("value", F.log1p("value")), fx.n, fx.var)
 
 
 @query(f"SELECT x, y, {r('phi')} AS phi FROM prop", LOGS)
@@ -477,7 +478,7 @@ NEAR = "dst AS (SELECT a.sample_id, b.sample_id AS other, round(sqrt(sum((a.valu
 
 
 def _near(fx: Fixtures, k: int, within: bool = False) -> DataFrame:
-    return sp.neighbours(fx.dense, fx.obs, "label", k, within)
+    return sp.neighbours(fx.cells, fx.obs, "label", k, within)
 
 
 @query("SELECT a.sample_id, a.other FROM nn a JOIN nn b ON b.sample_id = a.other AND b.other = a.sample_id WHERE a.k = 1 AND b.k = 1 AND a.sample_id < a.other AND a.label <> a.other_label", NEAR)
@@ -760,7 +761,7 @@ def ovr_contrast(fx: Fixtures) -> DataFrame:
 @query(f"""SELECT feature_id, batch AS label, {r('(sum(k) - count(*) * (count(*) + 1) / 2) / (count(*) * (any_value(n) - count(*)))')} AS auroc FROM (SELECT *, rank() OVER (PARTITION BY feature_id ORDER BY value) + (count(*) OVER (PARTITION BY feature_id, value) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY feature_id) AS n FROM dense JOIN obs USING (sample_id) WHERE label = 'ASIA') GROUP BY 1, 2 HAVING count(*) < any_value(n)""")
 def wilcoxon_two_group(fx: Fixtures) -> DataFrame:
     asia = fx.obs.where("label = 'ASIA'")
-    return st.auroc(fx.dense.join(asia.select("sample_id"), "sample_id", "left_semi"), asia, "batch").select("feature_id", "label", "auroc")
+    return st.auroc(fx.cells, asia, "batch", fx.var).select("feature_id", "label", "auroc")
 
 
 ROLES = "rol AS (SELECT d.*, label, CASE WHEN d.sample_id % 4 = 0 THEN 'test' ELSE 'train' END AS role FROM dense d JOIN obs USING (sample_id)), cmp AS (SELECT feature_id, label, avg(value) FILTER (WHERE role = 'test') AS t, avg(value) FILTER (WHERE role = 'train') AS n, avg(value) AS a FROM rol GROUP BY 1, 2 HAVING count(DISTINCT role) = 2)"
@@ -830,10 +831,39 @@ def plage_scores(fx: Fixtures) -> DataFrame:
     return co.plage(fx.dense, fx.sets)
 
 
-@query()
+def _components_sql(k: int, squarings: int = 22) -> str:
+    """CTEs e1, e2, ... (x, y, c: the component's weights times each other) and l1, l2, ...: powers of the covariances by squaring, each component taken off for the next."""
+    ctes = ["cov AS MATERIALIZED (SELECT a.feature_id AS x, b.feature_id AS y, covar_samp(a.value, b.value) AS c FROM dense a JOIN dense b USING (sample_id) GROUP BY 1, 2)"]
+    for i in range(1, k + 1):
+        base = "cov" if i == 1 else f"d{i}"
+        last = base
+        for j in range(squarings + 1):
+            raw = last if j == 0 else f"(SELECT a.x, b.y, sum(a.c * b.c) AS c FROM {last} a JOIN {last} b ON a.y = b.x GROUP BY 1, 2)"
+            ctes.append(f"p{i}_{j} AS MATERIALIZED (SELECT x, y, c / sum(CASE WHEN x = y THEN c END) OVER () AS c FROM {raw})")
+            last = f"p{i}_{j}"
+        ctes.append(f"l{i} AS MATERIALIZED (SELECT sum(a.c * b.c) AS l FROM {last} a JOIN cov b USING (x, y))")
+        ctes.append(f"w{i} AS MATERIALIZED (SELECT x, c / sqrt((SELECT max(c) FROM {last} WHERE x = y)) AS w FROM {last} WHERE y = (SELECT x FROM {last} WHERE x = y ORDER BY c DESC, x LIMIT 1))")
+        ctes.append(f"d{i + 1} AS MATERIALIZED (SELECT x, y, c - (SELECT l FROM l{i}) * p.c AS c FROM {base} JOIN {last} p USING (x, y))".replace("c - (", f"{base}.c - (", 1))
+    return ", ".join(ctes)
+
+
+def _components(fx: Fixtures) -> gr.Components:
+    return gr.Components(fx.cells, fx.var, fx.n, 2)
+
+
+@query("SELECT sample_id, " + ", ".join(r(f"sum((value - m) * w{i}.w)") + f" AS pc{i}" for i in (1, 2)) + " FROM dense JOIN (SELECT feature_id, avg(value) AS m FROM dense GROUP BY 1) USING (feature_id) JOIN w1 ON w1.x = feature_id JOIN w2 ON w2.x = feature_id GROUP BY 1", _components_sql(2))
 def pca_scores(fx: Fixtures) -> DataFrame:
-    out = co.principal_components(fx.dense, _features(fx), 2)
-    return out.select("sample_id", V("scores")[0].alias("pc1"), V("scores")[1].alias("pc2"))
+    return _components(fx).scores(fx.cells, fx.obs).groupBy("sample_id").agg(*[F.max(F.when(V("component") == i, V("score"))).alias(f"pc{i}") for i in (1, 2)])
+
+
+@query(f"SELECT i::INT AS component, {r('l')} AS variance, {r('l / (SELECT sum(c) FROM cov WHERE x = y)')} AS share FROM (SELECT 1 AS i, l FROM l1 UNION ALL SELECT 2, l FROM l2)", _components_sql(2))
+def pca_variance(fx: Fixtures) -> DataFrame:
+    return _components(fx).variances
+
+
+@query(f"SELECT x AS feature_id, i::INT AS component, {r('w')} AS weight FROM (SELECT x, 1 AS i, w FROM w1 UNION ALL SELECT x, 2, w FROM w2)", _components_sql(2))
+def pca_loadings(fx: Fixtures) -> DataFrame:
+    return _components(fx).loadings
 
 
 @query()

@@ -245,7 +245,7 @@ def poisson_batches(fx: Fixtures) -> DataFrame:
 
 @query()
 def near_candidates(fx: Fixtures) -> DataFrame:
-    return sp.near_candidates(nm.into_ranks(fx.dense), tables=8, width=25.0)
+    return sp.near_candidates(nm.into_ranks(fx.dense), fx.obs)
 
 
 @query()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from assaymill.functions.expressions import bucket_biotype, bucket_project
 from assaymill.operators import contrasts as co
 from assaymill.operators import evaluation as ev
+from assaymill.operators import gram as gr
 from assaymill.operators import hierarchy as hi
 from assaymill.operators import models as mo
 from assaymill.operators import normalise as nm
@@ -90,7 +91,7 @@ def test_bh(spark):
 
 def test_proportionality(spark):
     rows = {"0": {f"f{i}": math.log(x) for i, x in enumerate([8, 1, 2, 3])}, "1": {f"f{i}": math.log(x) for i, x in enumerate([4, 5, 6, 7])}}
-    out = {(r["x"], r["y"]): r for r in st.proportionality(cells(spark, rows)).collect()}
+    out = {(r["x"], r["y"]): r for r in gr.proportionality(cells(spark, rows)).collect()}
     assert out["f0", "f1"]["phi"] == pytest.approx(11.035206, abs=1e-5) and out["f1", "f2"]["phi"] == pytest.approx(0.100739, abs=1e-5)
     assert out["f0", "f1"]["corr"] == pytest.approx(-1) and out["f1", "f2"]["corr"] == pytest.approx(1)
 
@@ -214,7 +215,7 @@ def test_near_candidates_recall(spark):
     dense = spark.createDataFrame(rows, "sample_id string, feature_id string, value double")
     obs = dense.select("sample_id", F.lit("l").alias("label")).distinct()
     nearest = {tuple(sorted((r["sample_id"], r["other"]))) for r in sp.neighbours(dense, obs, "label", 1).collect()}
-    found = {(r["sample_id"], r["other"]) for r in sp.near_candidates(dense, tables=12, width=20.0).collect()}
+    found = {(r["sample_id"], r["other"]) for r in sp.near_candidates(dense, obs, 1).collect()}
     assert len(nearest & found) >= 0.9 * len(nearest) and len(found) < 240 * 239 / 2 / 3
 
 
