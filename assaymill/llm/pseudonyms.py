@@ -34,6 +34,21 @@ _INTL = r"(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)"
 _OTHER = "|".join(x.replace("([/.])", "[/.]") for x in (_ISO, _DMY, _IP, _SSN, _NANP))
 _IBAN = rf"(?<![A-Za-z0-9])[A-Z]{{2}}\d{{2}}[A-Z0-9]{{0,30}}+(?![A-Za-z0-9])(?: (?!AKIA|{_OTHER})[A-Z0-9]{{1,34}}+(?![A-Za-z0-9@]| {{0,3}}[=:]|[.%+_-]\w))*+"
 _CARD = rf"(?<![\d.])\d(?:(?:[ -](?!{_OTHER}))?\d){{12,}}+"
+# Which digits cards begin with and how many they have, by issuer, and how printed cards are grouped.
+ISSUERS = (
+    r"4\d{12}(?:\d{3}){0,2}",
+    r"5[1-5]\d{14}",
+    r"(?:222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}",
+    r"3[47]\d{13}",
+    r"3(?:0[0-59]|[689]\d)\d{11}",
+    r"(?:6011|64[4-9]\d|65\d\d)\d{12}(?:\d{3})?",
+    r"35(?:2[89]|[3-8]\d)\d{12}(?:\d{3})?",
+    r"62\d{14,17}",
+    r"(?:5018|5020|5038|5[678]\d\d|6304|6759|676[1-3])\d{9,15}",
+)
+PRINTED = r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{5}|\d{4}([ -])\d{6}\3\d{4}"
+#: A run with more groups of digits than so many beside its accounts is a list of numbers, in which four may look like a card.
+LOOSE = 3
 SCAN = "|".join(x.replace("([/.])", "[/.]") for x in (_EMAIL, _AWS, _SECRET, _IBAN, _ISO, _DMY, _IP, _SSN, _NANP, _INTL, _CARD))
 
 
@@ -108,8 +123,11 @@ def iban_rest(x: Column) -> Column:
 
 
 def _card(m: Column, key: Column) -> Column:
+    """What tells the issuer stays: the first digit of a card that begins with 4, else the first four."""
+
     def run(d: Column) -> Column:
-        body = F.concat(F.left(d, F.lit(1)), permuted_digits(key, "card", F.substr(d, F.lit(2), F.length(d) - 2)))
+        issuer = F.when(d.startswith("4"), 1).otherwise(4)
+        body = F.concat(F.left(d, issuer), permuted_digits(key, "card", F.substr(d, issuer + 1, F.length(d) - issuer - 1)))
         full = let(body, lambda b: F.concat(b, ((10 - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
         return F.when((luhn_sum(d) % 10 == 0) & ~d.rlike("^0*$"), refill(m, full))
 
@@ -127,17 +145,20 @@ def _iban(m: Column, key: Column) -> Column:
 
 
 def _accounts(m: Column, key: Column) -> Column:
-    """struct(kinds, new): the cards and IBANs among the neighbouring groups of a run, longest first; null without any."""
+    """struct(kinds, new): the cards and IBANs among the neighbouring groups of a run, longest first; null without any.
+
+    A card has an issuer's digits in an issuer's number, stands undivided or as cards are printed, and passes Luhn's check. Divided ones do not count in a list of numbers (LOOSE).
+    """
 
-    def kind(x: Column) -> Column:
-        card = x.rlike(r"^\d{13,19}$") & ~x.rlike("^0*$")
-        return F.when(card, F.when(luhn_sum(x) % 10 == 0, "card")).when(x.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9]{8,30}$"), F.when(iban_rest(x) == 1, "iban"))
+    def kind(x: Column, shown: Column) -> Column:
+        card = x.rlike(_whole("|".join(ISSUERS))) & F.regexp_replace(shown, "[ -]$", "").rlike(_whole(PRINTED))
+        return F.when(x.rlike(r"^\d+$"), F.when(card, F.when(luhn_sum(x) % 10 == 0, "card"))).when(x.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9]{8,30}$"), F.when(iban_rest(x) == 1, "iban"))
 
     def run(p: Column) -> Column:
         text = lambda i, k: F.array_join(F.slice(p, i, k), "")
 
         def window(i: Column, k: Column) -> Column:
-            return let(F.regexp_replace(text(i, k), "[ -]", ""), lambda x: F.struct((-F.length(x)).alias("n"), i.alias("i"), k.alias("k"), kind(x).alias("kind")))
+            return let(text(i, k), lambda t: let(F.regexp_replace(t, "[ -]", ""), lambda x: F.struct((-F.length(x)).alias("n"), i.alias("i"), k.alias("k"), kind(x, t).alias("kind"))))
 
         def pick(taken: Column, w: Column) -> Column:
             return F.when(F.exists(taken, lambda c: (w["i"] < c["i"] + c["k"]) & (c["i"] < w["i"] + w["k"])), taken).otherwise(F.array_append(taken, w))
@@ -154,7 +175,13 @@ def _accounts(m: Column, key: Column) -> Column:
         n = F.size(p)
         windows = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(34), n - i + 1)), lambda k: window(i, k))))
         valid = F.array_sort(F.filter(windows, lambda w: w["kind"].isNotNull()))
-        return let(F.aggregate(valid, F.array().cast("array<struct<n:int,i:int,k:int,kind:string>>"), pick), put)
+        digits = F.size(F.filter(p, lambda g: g.rlike(r"^\d+[ -]?$")))
+
+        def weighed(taken: Column) -> Column:
+            cards = F.aggregate(taken, F.lit(0), lambda n, c: n + F.when(c["kind"] == "card", c["k"]).otherwise(0))
+            return F.when(digits - cards > LOOSE, F.filter(taken, lambda c: (c["kind"] == "iban") | (c["k"] == 1))).otherwise(taken)
+
+        return let(let(F.aggregate(valid, F.array().cast("array<struct<n:int,i:int,k:int,kind:string>>"), pick), weighed), put)
 
     return let(F.regexp_extract_all(m, F.lit("[A-Z0-9]+[ -]?"), F.lit(0)), run)
 
@@ -267,7 +294,8 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """``docs`` with personal data in ``text_col`` replaced by pseudonyms, and ``pii_kinds``: the kinds replaced, in text order.
 
     Null stays null, empty stays empty, and candidates that fail validation stay as they are: repeated
-    rows get equal pseudonyms. Dates outside the 400 years from 1800 stay. Every row and column is kept;
+    rows, and equal values anywhere, get equal pseudonyms. Cards need an issuer's prefix and length, and the shape of a printed card, so tables and lists of
+    plain numbers stay. A text is one value, scanned whole: it and what it turns into must fit a task's memory. Dates outside the 400 years from 1800 stay. Every row and column is kept;
     a column named ``pii_kinds`` is replaced. A digest of ``key`` is read by a scalar subquery, so that no
     plan, log or user interface shows it.
     """
