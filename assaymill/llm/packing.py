@@ -4,9 +4,10 @@ Each document is tokenised once and its ids are written to the shared folder. It
 which need no plan, and a remainder shorter than the window. Only the histogram of remainders (fewer
 than ``window`` rows, whatever the input) goes to the driver, where
 
-1. pairs and triples of lengths that fill the window exactly are enumerated,
-2. their repeat counts are solved against the histogram by non-negative least squares and rounded,
-   first down, then up as far as the histogram holds them,
+1. all pairs and triples of lengths that fill the window exactly, and all multiples of two lengths, are enumerated (some 370,000 at
+   2048 with all lengths present; the number grows with the square of the window, not with the input),
+2. their repeat counts are solved against the histogram by non-negative least squares, to its optimality conditions, and rounded,
+   first down, then up as far as the histogram holds them; what is left is solved again, until no combination fits,
 3. the residual is packed greedily, largest first; a gap that no remaining length fits is filled by
    cutting one, so only the last sequence is padded.
 
@@ -36,6 +37,8 @@ from pyspark.sql.window import Window
 from assaymill.llm._words import SPACES, Words, blocks, eights, same_words, tidy, words
 from assaymill.storage import materialize
 
+#: Pieces of a combination that repeats two lengths.
+PIECES = 32
 #: Pieces in one of the two tables of a worker.
 CACHED = 150_000
 #: Cells of (partition, remainder) that are broadcast.
@@ -249,49 +252,61 @@ def tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int, window:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), raw, pa.array(sizes), pa.array([part] * (b - a), pa.int32()), pa.array(rest.astype(np.int32)), pa.array(seen, pa.int64()), pa.array(before, pa.int64())], names=["doc_id", "ids", "n_ids", "part", "rest", "nth", "windows_before"])
 
 
-def combinations(histogram: dict[int, int], window: int, most: int = 60_000) -> np.ndarray:
-    """Rows of up to three lengths (0: none) that fill the window: all pairs, and triples around the most frequent lengths until there are ``most``."""
-    present = np.zeros(window + 1, bool)
-    present[[n for n in histogram if histogram[n]]] = True
+def combinations(present: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, times): rows of up to three of the lengths ``present`` (marks by length; 0: none) and how often each, that fill the window.
+
+    All pairs and triples, and of two lengths all multiples of up to PIECES pieces.
+    """
     a = np.flatnonzero(present)
-    pairs = a[(a * 2 <= window) & present[window - a]]
-    out, total = [np.stack([pairs, window - pairs, np.zeros_like(pairs)], 1)], len(pairs)
-    for c in sorted(histogram, key=lambda n: (-histogram[n], n)):
-        x = a[(a * 2 <= window - c) & (a < window - c)]
-        x = x[present[window - c - x]]
-        out.append(np.sort(np.stack([x, window - c - x, np.full_like(x, c)], 1), 1))
-        total += len(x)
-        if total >= most:
-            break
-    return np.unique(np.concatenate(out), axis=0)
-
-
-def repeats(combos: np.ndarray, histogram: dict[int, int], window: int, steps: int = 3000, close: float = 1e-3) -> np.ndarray:
-    """Non-negative repeat counts that bring the combinations' lengths closest to the histogram (accelerated projected gradient).
-
-    It ends when 25 steps lower the squared distance by less than ``close`` of it.
+    a = a[a > 0]
+    half = a[2 * a <= window]
+    pairs = half[present[window - half]]
+    out = [np.stack([np.zeros_like(pairs), pairs, window - pairs], 1)]
+    for x in half[3 * half <= window].tolist():
+        y = half[(half >= x) & (2 * half <= window - x)]
+        y = y[present[window - x - y]]
+        out.append(np.stack([np.full_like(y, x), y, window - x - y], 1))
+    lengths = np.concatenate(out)
+    times = (lengths > 0).astype(np.int64)
+    more, often = [lengths], [times]
+    for n in range(1, PIECES + 1):
+        for m in range(PIECES - n + 1):
+            if n + m < 3 or (n, m) in ((1, 2), (2, 1)):
+                continue  # a pair or a triple
+            x = a[(n * a <= window - m) if m else (n * a == window)]
+            x = x[(window - n * x) % m == 0] if m else x
+            y = (window - n * x) // m if m else np.zeros_like(x)
+            fits = (y > x) & present[y] if m else np.ones(len(x), bool)
+            more.append(np.stack([x, y, np.zeros_like(x)], 1)[fits])
+            often.append(np.broadcast_to([n, m, 0], (int(fits.sum()), 3)))
+    return np.concatenate(more).astype(np.int32), np.concatenate(often)
+
+
+def repeats(combos: np.ndarray, often: np.ndarray, want: np.ndarray, close: float = 1e-2, steps: int = 400) -> np.ndarray:
+    """Non-negative repeat counts that bring the combinations' lengths closest to ``want``, a count for each length.
+
+    Accelerated projected gradient, each combination with a step of its own, begun anew where it overshoots, until the optimality
+    conditions hold to ``close`` repeats: no step up is left, and none down but at 0. The steps are bounded; what rounding
+    leaves is solved again.
     """
-    want = np.zeros(window + 1)
-    for n, c in histogram.items():
-        want[n] = c
     x = y = np.zeros(len(combos))
     if not len(combos):
         return x
-    use = np.bincount(combos.ravel(), minlength=window + 1)
-    use[0] = 0
-    rate, t, last_off = 1.0 / (3.0 * max(1, use.max())), 1.0, np.inf
+    columns = [(np.ascontiguousarray(combos[:, j]), often[:, j].astype(float)) for j in range(3)]
+    laid = lambda v: sum(np.bincount(c, v * k, len(want)) for c, k in columns)
+    seen = lambda g: sum(g[c] * k for c, k in columns)
+    rate, t = 1.0 / np.maximum(seen(laid(np.ones(len(combos)))), 1.0), 1.0  # bounds the curvature, as nothing is negative
     for i in range(steps):
-        have = sum(np.bincount(combos[:, j], y, window + 1) for j in range(3))
-        gap = want - have
+        gap = want - laid(y)
         gap[0] = 0
-        step = np.maximum(0, y + rate * gap[combos].sum(1))
+        move = np.maximum(rate * seen(gap), -y)
+        if i % 20 == 0 and np.abs(move).max() <= close * rate.min():
+            return y
+        step = y + move
+        if (y - step) @ (step - x) > 0:
+            t = 1.0
         t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        x, y = step, step + (last - 1) / t * (step - x)
-        if i % 25 == 24:
-            off = float(gap @ gap)
-            if last_off - off <= close * off:
-                break
-            last_off = off
+        x, y = step, np.maximum(0, step + (last - 1) / t * (step - x))
     return x
 
 
@@ -343,21 +358,37 @@ def plan(histogram: dict[int, int], window: int) -> tuple[np.ndarray, int]:
             rows.extend((r, low, high, start, length, at, offset))
             at += high - low
 
-    combos = combinations(histogram, window)
-    times = repeats(combos, histogram, window)
-    whole = np.floor(times)
-    # Whole repeats first, then one more of each combination, the largest fractions first; each as far as the histogram holds it.
-    rounds = [(i, int(whole[i])) for i in np.argsort(-whole, kind="stable").tolist() if whole[i]]
-    rounds += [(i, 1) for i in np.argsort(whole - times, kind="stable").tolist() if times[i] > whole[i]]
-    for i, some in rounds:
-        need = Counter(n for n in combos[i].tolist() if n)
-        n = min([some, *(pool.count.get(k, 0) // m for k, m in need.items())])
+    def repeat(i: int, most: int) -> int:
+        """Lay a combination into as many sequences as the pool holds, at most so many."""
+        nonlocal sequences
+        need: Counter = Counter()
+        for k, m in zip(combos[i].tolist(), often[i].tolist(), strict=True):
+            if m:
+                need[k] += m
+        n = min([most, *(pool.count.get(k, 0) // m for k, m in need.items())])
         if n > 0:
             offset = 0
             for k in need.elements():
                 emit(pool.take(k, n), k, offset)
                 offset += k
             sequences += n
+        return max(n, 0)
+
+    want, placed = np.zeros(window + 1), 1
+    want[list(pool.count)] = list(pool.count.values())
+    combos, often = combinations(want > 0, window)
+    while placed and len(combos):
+        times = repeats(combos, often, want)
+        # Whole repeats first, then one more of each combination, the largest fractions first; each as far as the histogram holds it.
+        whole = np.floor(times + 1e-9)
+        some = np.flatnonzero(whole > 0)
+        placed = sum(repeat(i, int(whole[i])) for i in some[np.argsort(-whole[some], kind="stable")].tolist())
+        some = np.flatnonzero(times > whole)
+        placed += sum(repeat(i, 1) for i in some[np.argsort((whole - times)[some], kind="stable")].tolist())
+        want[:] = 0
+        want[list(pool.count)] = list(pool.count.values())
+        left = (want[combos] >= often).all(1)  # what the histogram still holds once
+        combos, often = combos[left], often[left]
     while pool.lengths:
         used: Counter = Counter()
         gap, cut = window, 0
