@@ -14,6 +14,7 @@ a template's ``needs`` (a version, a restriction) must be among the words of the
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -243,11 +244,13 @@ def matches(h: np.ndarray, index: Index, least: float, gap: int = GAP) -> list[t
             equal, first, last = aligned(a, h, chain)
             if equal >= least * len(a) and np.isin(index.needs[t], h[first:last]).all():
                 found.append((t, equal, first, last))
+    # Spans that are taken do not overlap, so only the two beside a new one can.
     taken: list[tuple[int, int, int, int]] = []
     for row in sorted(found, key=lambda r: (len(index.texts[r[0]]) - 2 * r[1], r[2], r[0])):
-        if all(row[3] <= r[2] or r[3] <= row[2] for r in taken):
-            taken.append(row)
-    return sorted(taken, key=lambda r: (r[2], r[0]))
+        i = bisect_right(taken, row[2], key=lambda r: r[2])
+        if (i == 0 or taken[i - 1][3] <= row[2]) and (i == len(taken) or row[3] <= taken[i][2]):
+            taken.insert(i, row)
+    return taken
 
 
 def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, least: float = 0.8, gap: int = GAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,14 +273,15 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, least: floa
                 # Texts without any template fingerprint are passed over at once.
                 all_grams = grams(h)
                 near = np.flatnonzero(np.isin(all_grams, index.gram)) if len(all_grams) else np.zeros(0, np.int64)
+                points = np.append(0, np.cumsum((data & 0xC0) != 0x80)) if len(near) else np.zeros(0, np.int64)  # code points before each byte
                 for d in np.unique(np.searchsorted(w.bounds, near, "right") - 1).tolist():
                     p, q = int(w.bounds[d]), int(w.bounds[d + 1])
                     for t, equal, first, last in matches(h[p:q], index, least, gap):
                         s, e = int(w.start[p + first]), int(w.end[p + last - 1])
-                        before = data[offsets[d] : s].tobytes().decode("utf-8", "replace")
+                        begin = int(points[s] - points[offsets[d]])
                         span = data[s:e].tobytes().decode("utf-8", "replace")
                         n = len(index.texts[t])
-                        rows.append((ids[a + d].as_py(), index.names[t], equal, n, equal / n, len(before), len(before) + len(span), span))
+                        rows.append((ids[a + d].as_py(), index.names[t], equal, n, equal / n, begin, begin + len(span), span))
             columns = list(zip(*rows, strict=True)) or [()] * 8
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "license", "matched_words", "template_words", "coverage", "start_char", "end_char", "span"])
