@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import lgamma, tanh
+from math import tanh
 
 import numpy as np
 import pandas as pd
@@ -70,6 +70,11 @@ def informative(ranges: DataFrame) -> DataFrame:
     return ranges.groupBy("label").agg(F.array_join(F.array_sort(F.collect_set("feature_id")), ",").alias("features"), F.count("*").alias("n_ranges"))
 
 
+def informative_gini(intervals: DataFrame) -> DataFrame:
+    """(feature_id, n_intervals, mean_gini) of a feature's pure intervals."""
+    return intervals.groupBy("feature_id").agg(F.count("*").alias("n_intervals"), F.avg("gini").alias("mean_gini"))
+
+
 def rho_cutoff(n: int, pairs: int, alpha: float = 0.05) -> float:
     """Least association that stands out of ``pairs`` tests, by Fisher's z and Bonferroni."""
     from statistics import NormalDist
@@ -96,42 +101,6 @@ def remove_design(dense: DataFrame, design: DataFrame, batch: Sequence[str]) ->
     return dense.join(part, ["sample_id", "feature_id"], "left").select("sample_id", "feature_id", (V("value") - F.coalesce("_p", F.lit(0.0))).alias("value"))
 
 
-def _nb_cdf(mean: float, size: float, top: int) -> np.ndarray:
-    k = np.arange(top + 1)
-    if mean <= 0:
-        return np.ones(top + 1)
-    log = np.array([lgamma(i + size) - lgamma(size) - lgamma(i + 1) for i in k]) + size * np.log(size / (size + mean)) + k * np.log(mean / (size + mean))
-    return np.minimum(np.cumsum(np.exp(log)), 1.0)
-
-
-def quantile_batch(dense: DataFrame, obs: DataFrame, batch: str, reference: str | None = None) -> DataFrame:
-    """Counts mapped from their batch's negative binomial to the reference batch's, feature by feature; whole numbers stay whole.
-
-    Without a reference all batches are mapped to their mean: the mean of the batches' means, with their mean dispersion.
-
-    Features without a count in some batch pass unchanged.
-    """
-    tagged = dense.join(obs.select("sample_id", V(batch).alias("batch")), "sample_id")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pdf.groupby("batch")["value"]
-        mean, var = g.mean(), g.var(ddof=1).fillna(0)
-        out = pdf["value"].round()
-        if (mean > 0).all() and (reference is None or reference in mean.index):
-            size = {b: mean[b] ** 2 / max(var[b] - mean[b], mean[b] * 1e-2) for b in mean.index}
-            top = int(max(pdf["value"].max() * 3, 20))
-            goal = _nb_cdf(mean.mean(), 1 / np.mean([1 / s for s in size.values()]), top) if reference is None else _nb_cdf(mean[reference], size[reference], top)
-            for b in mean.index:
-                if b != reference:
-                    own = _nb_cdf(mean[b], size[b], top)
-                    rows = pdf["batch"] == b
-                    q = own[out[rows].astype(int)]
-                    out[rows] = np.minimum(np.searchsorted(goal, q - 1e-12), top)
-        return pdf.assign(value=out.astype(float))[["sample_id", "feature_id", "value"]]
-
-    return tagged.groupBy("feature_id").applyInPandas(run, dense.select("sample_id", "feature_id", V("value").cast("double")).schema)
-
-
 def plage(dense: DataFrame, sets: DataFrame) -> DataFrame:
     """(sample_id, set_name, score): first right singular vector of each set's standardised members, its sign that of their mean.
 

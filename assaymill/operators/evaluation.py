@@ -55,25 +55,30 @@ def misses(pred: DataFrame, scores: DataFrame, classes: Sequence[str]) -> DataFr
     return pred.where("truth <> prediction").join(wide, "sample_id")
 
 
-def curve_points(pred: DataFrame, scores: DataFrame) -> DataFrame:
-    """(class, score, tp, fp, pos, neg): cumulative counts at each distinct threshold, from the highest score."""
-    one = scores.join(pred.select("sample_id", "truth"), "sample_id").withColumn("_y", (V("truth") == V("class")).cast("long"))
-    g = one.groupBy("class", "score").agg(F.sum("_y").alias("_p"), F.count("*").alias("_c"))
-    w = Window.partitionBy("class")
+def curve_points(pred: DataFrame, scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(class, score, tp, fp, pos, neg): cumulative counts at each distinct threshold, from the highest score; ``by`` (columns of ``pred``) keeps folds or models apart."""
+    one = scores.join(pred.select("sample_id", "truth", *by), "sample_id").withColumn("_y", (V("truth") == V("class")).cast("long"))
+    g = one.groupBy(*by, "class", "score").agg(F.sum("_y").alias("_p"), F.count("*").alias("_c"))
+    w = Window.partitionBy(*by, "class")
     o = w.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return g.select("class", "score", F.sum("_p").over(o).alias("tp"), F.sum(V("_c") - V("_p")).over(o).alias("fp"), F.sum("_p").over(w).alias("pos"), F.sum(V("_c") - V("_p")).over(w).alias("neg"))
+    return g.select(*by, "class", "score", F.sum("_p").over(o).alias("tp"), F.sum(V("_c") - V("_p")).over(o).alias("fp"), F.sum("_p").over(w).alias("pos"), F.sum(V("_c") - V("_p")).over(w).alias("neg"))
 
 
 def roc_curve(points: DataFrame) -> DataFrame:
     return points.select("class", "score", F.try_divide("fp", "neg").alias("fpr"), F.try_divide("tp", "pos").alias("tpr"))
 
 
-def auroc(points: DataFrame) -> DataFrame:
+def auroc(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(class, auroc) by the trapezoid rule from (0, 0)."""
-    w = Window.partitionBy("class").orderBy(F.desc("score"))
+    w = Window.partitionBy(*by, "class").orderBy(F.desc("score"))
     lag = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0))
     area = points.withColumn("_a", (V("fp") - lag("fp")) * (V("tp") + lag("tp")) / 2)
-    return area.groupBy("class").agg(F.try_divide(F.sum("_a"), F.first("pos") * F.first("neg")).alias("auroc"))
+    return area.groupBy(*by, "class").agg(F.try_divide(F.sum("_a"), F.first("pos") * F.first("neg")).alias("auroc"))
+
+
+def auroc_spread(points: DataFrame, fold: str) -> DataFrame:
+    """(class, mean, least, largest, n) of the areas under the curves of the folds; folds without both kinds of samples have none."""
+    return auroc(points, [fold]).where("auroc IS NOT NULL").groupBy("class").agg(F.avg("auroc").alias("mean"), F.min("auroc").alias("least"), F.max("auroc").alias("largest"), F.count("*").alias("n"))
 
 
 def auroc_macro(points: DataFrame) -> DataFrame:

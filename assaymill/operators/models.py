@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assaymill.operators.evaluation import distances
+from assaymill.operators.nearest import nearest
+from assaymill.storage import materialize
 
 V = F.col
 
@@ -21,18 +23,15 @@ def label_encode(df: DataFrame, column: str) -> DataFrame:
 
 
 def vectors(cells: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(sample_id, features): sparse vectors in the order of a feature list, which the caller holds and which goes to every task."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    """(sample_id, features): vectors in the order of a feature list, which the caller holds and which goes to every task."""
+    from pyspark.ml.functions import array_to_vector
 
     spark = cells.sparkSession
     places = spark.createDataFrame([(f, i) for i, f in enumerate(features)], f"feature_id {dict(cells.dtypes)['feature_id']}, _i int")
-    filled = cells.join(F.broadcast(places), "feature_id").groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("_i", V("value").cast("double").alias("_v")))).alias("_m"))
     # A sample without any of the features has only zeros.
-    filled = cells.select("sample_id").distinct().join(filled, "sample_id", "left").withColumn("_m", F.coalesce("_m", F.create_map().cast("map<int,double>")))
-
-    n = len(features)
-    sparse = F.udf(lambda m: SparseVector(n, {i: v for i, v in m.items() if v}), VectorUDT())
-    return filled.select("sample_id", sparse("_m").alias("features"))
+    grid = cells.select("sample_id").distinct().crossJoin(places).join(cells, ["sample_id", "feature_id"], "left")
+    rows = grid.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce(V("value").cast("double"), F.lit(0.0)).alias("_v")))).alias("_m"))
+    return rows.select("sample_id", array_to_vector(V("_m")["_v"]).alias("features"))
 
 
 def classifier(kind: str, seed: int = 0, **params):
@@ -126,6 +125,27 @@ def class_medoids(dense: DataFrame, labels: DataFrame) -> DataFrame:
     return m.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def prototypes(cells: DataFrame, obs: DataFrame, label: str, radius: float, n: int = 3) -> DataFrame:
+    """(label, sample_id, rank, gain): up to n samples of each class that stand for it.
+
+    A sample covers what lies within ``radius``, itself included. Round by round each class takes the sample that newly covers most of the class, less what
+    it covers of other classes (then the smallest id), while that is above 0. Balls are inverted lists, and a round is one sum over them for all classes.
+    """
+    samples = obs.select("sample_id", V(label).alias("tag"))
+    balls = materialize(nearest(cells, samples, cells, samples, 1, itself=True, radius=radius).select("sample_id", V("tag").alias("label"), "other", (~V("tag").eqNullSafe(V("other_tag"))).alias("_foreign")), "balls")
+    price = balls.groupBy("sample_id", "label").agg(F.count_if("_foreign").alias("_price"))
+    own, chosen = balls.where("NOT _foreign").drop("_foreign"), None
+    for i in range(1, n + 1):
+        gains = own.groupBy("sample_id").agg(F.count("*").alias("_new")).join(price, "sample_id").withColumn("gain", V("_new") - V("_price")).where("gain > 0")
+        best = gains.groupBy("label").agg(F.max("gain").alias("gain"))
+        first = gains.join(best.select(V("label").alias("_l"), V("gain").alias("_g")), V("label").eqNullSafe(V("_l")) & (V("gain") == V("_g")))
+        found = materialize(first.groupBy("label").agg(F.min("sample_id").alias("sample_id"), F.first("gain").alias("gain")).select("label", "sample_id", F.lit(i).alias("rank"), "gain"), "prototypes")
+        chosen = found if chosen is None else chosen.unionByName(found)
+        covered = balls.join(found.select("sample_id"), "sample_id", "left_semi").where("NOT _foreign").select("other").distinct()
+        own = materialize(own.join(covered, "other", "left_anti"), "uncovered")
+    return chosen
+
+
 def class_scores(model, data: DataFrame, codes: DataFrame) -> DataFrame:
     """(sample_id, class, score) from a probabilistic Spark ML model and ``label_encode``'s codes."""
     from pyspark.ml.functions import vector_to_array

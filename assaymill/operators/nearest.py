@@ -98,7 +98,7 @@ def _cells(base: DataFrame, k: int) -> pd.DataFrame:
     return base.groupBy("tag", "cell").agg(F.count("*").alias("n"), F.max("near").alias("radius"), F.min("near").alias("inner")).join(least.withColumnsRenamed({"tag": "_t", "cell": "_c"}), V("tag").eqNullSafe(V("_t")) & (V("cell") == V("_c"))).drop("_t", "_c").toPandas()
 
 
-def _visits(queries: DataFrame, cells: pd.DataFrame, space: Space, k: int, same_tag: bool, probes: int | None) -> DataFrame:
+def _visits(queries: DataFrame, cells: pd.DataFrame, space: Space, k: int, same_tag: bool, probes: int | None, radius: float | None = None) -> DataFrame:
     """``queries`` with ``visit``, the rows of ``cells`` that each must look into."""
     gaps = np.sqrt(_square(space.pivots, space.pivots))
     cell, radius, inner, tags = cells["cell"].to_numpy(int), cells["radius"].to_numpy(), cells["inner"].to_numpy(), cells["tag"].to_numpy()
@@ -118,7 +118,7 @@ def _visits(queries: DataFrame, cells: pd.DataFrame, space: Space, k: int, same_
                     out.append(some[np.argsort(d[cell[some]], kind="stable")[:probes]])
                     continue
                 reach = (d[cell[allowed], None] + least[allowed]).ravel()
-                bound = np.partition(reach, k - 1)[k - 1] if len(reach) >= k else np.inf
+                bound = radius if radius is not None else np.partition(reach, k - 1)[k - 1] if len(reach) >= k else np.inf
                 low = np.maximum(d[cell] - radius, inner - d[cell])
                 with np.errstate(divide="ignore", invalid="ignore"):
                     plane = (d[cell] ** 2 - d[own] ** 2) / (2 * gaps[own, cell])
@@ -130,22 +130,24 @@ def _visits(queries: DataFrame, cells: pd.DataFrame, space: Space, k: int, same_
     return queries.mapInPandas(visit, f"sample_id {kind['sample_id']}, tag {kind['tag']}, at array<int>, x array<double>, visit array<int>")
 
 
-def nearest(queries: DataFrame, query_samples: DataFrame, base: DataFrame, base_samples: DataFrame, k: int, *, itself: bool = False, same_tag: bool = False, probes: int | None = None, farthest: bool = False, space: Space | None = None) -> DataFrame:
+def nearest(queries: DataFrame, query_samples: DataFrame, base: DataFrame, base_samples: DataFrame, k: int, *, itself: bool = False, same_tag: bool = False, probes: int | None = None, farthest: bool = False, radius: float | None = None, space: Space | None = None) -> DataFrame:
     """(sample_id, tag, other, other_tag, distance, rank): the k nearest samples of ``base`` to each of ``queries``; ties go to the smaller id.
 
     Both are cells, absent ones 0, beside tables (sample_id, tag) of all samples; a sample without cells is a point at 0. ``itself`` lets a sample
-    be its own neighbour. With ``same_tag`` neighbours share the tag. ``farthest`` turns the order round and looks into all cells.
+    be its own neighbour. With ``same_tag`` neighbours share the tag. ``farthest`` turns the order round and looks into all cells. With ``radius`` all
+    neighbours that are no farther come back, however many, and ``k`` is ignored; their rank is null.
     """
+    alone = queries is base and query_samples is base_samples
     query_samples, base_samples = (t.select("sample_id", V("tag").cast("string").alias("tag")) for t in (query_samples, base_samples))
-    space = space_of(base, base_samples, queries) if space is None else space
+    space = space_of(base, base_samples, None if alone else queries) if space is None else space
     if not len(space.pivots):
         kind = dict(query_samples.dtypes)["sample_id"]
         return query_samples.sparkSession.createDataFrame([], f"sample_id {kind}, tag string, other {kind}, other_tag string, distance double, rank int")
     numbers = space.numbers
     held = materialize(_assigned(_vectors(base, base_samples, numbers), space), "base")
-    asked = _assigned(_vectors(queries, query_samples, numbers), space)
+    asked = held if alone else _assigned(_vectors(queries, query_samples, numbers), space)
     found = _cells(held, k if itself else k + 1)
-    asked = _visits(asked, found, space, k if itself else k + 1, same_tag, len(found) if farthest else probes)
+    asked = _visits(asked, found, space, k if itself else k + 1, same_tag, len(found) if farthest else probes, radius)
     asked = materialize(asked.withColumn("_cell", F.explode("visit")).drop("visit"), "visits")
     # Blocks of a cell, and blocks of the queries that look into it.
     size, n = space.block, asked.groupBy("_cell").count().toPandas().set_index("_cell")["count"]
@@ -169,6 +171,12 @@ def nearest(queries: DataFrame, query_samples: DataFrame, base: DataFrame, base_
             for i, (name, tag) in enumerate(zip(part["sample_id"], part["tag"], strict=True)):
                 keep = np.ones(len(y), bool) if itself else names != name
                 want = min(k, int(keep.sum()))
+                if radius is not None:
+                    some = np.flatnonzero(keep & (d[i] - 1e-9 * (1 + (x[i] * x[i]).sum() + own) <= radius * radius + 4e-9 * radius))
+                    square = ((y[some] - x[i]) ** 2).sum(1)
+                    best = np.flatnonzero(np.round(np.sqrt(square), 9) <= radius)
+                    out.append(pd.DataFrame({"sample_id": name, "tag": tag, "other": names[some[best]], "other_tag": tags[some[best]], "_square": square[best]}))
+                    continue
                 if not want:
                     continue
                 # The product rounds, so what may be among the k is measured again, difference by difference.
@@ -189,6 +197,8 @@ def nearest(queries: DataFrame, query_samples: DataFrame, base: DataFrame, base_
     keys = ["_cell", "_part", "_turn"]
     near = asked.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(compare, f"sample_id {kind['sample_id']}, tag {kind['tag']}, other {kind['sample_id']}, other_tag {kind['tag']}, _square double")
     near = near.withColumn("distance", F.round(F.sqrt("_square"), 9))
+    if radius is not None:
+        return near.select("sample_id", "tag", "other", "other_tag", "distance", F.lit(None).cast("int").alias("rank"))
     w = Window.partitionBy("sample_id").orderBy(F.desc("distance") if farthest else "distance", "other")
     return near.withColumn("rank", F.row_number().over(w)).where(V("rank") <= k).select("sample_id", "tag", "other", "other_tag", "distance", "rank")
 

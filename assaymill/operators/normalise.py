@@ -90,6 +90,12 @@ def alr(cells: DataFrame, reference: str) -> DataFrame:
     return cells.where(V("feature_id") != reference).join(ref, "sample_id").select("sample_id", "feature_id", (F.ln("value") - V("_ref")).alias("value"))
 
 
+def alr_scaled(cells: DataFrame, reference: str, scale: DataFrame, gamma: float = 0.1, seed: int = 0) -> DataFrame:
+    """log2 ratio to a reference feature plus one draw per sample from N(log2 scale, gamma); ``scale`` has (sample_id, scale). Needs one positive value per sample and feature."""
+    shift = scale.select("sample_id", (normal_draw(seed, V("sample_id")) * max(gamma, 0.1) + F.log2("scale")).alias("_shift"))
+    return alr(cells, reference).join(shift, "sample_id").select("sample_id", "feature_id", (V("value") / F.ln(F.lit(2.0)) + V("_shift")).alias("value"))
+
+
 def _length(var: DataFrame, fragment: float | None) -> DataFrame:
     return var.select("feature_id", (V("length") if fragment is None else V("length") - fragment + 1).alias("_len"))
 

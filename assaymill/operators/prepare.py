@@ -152,7 +152,9 @@ def in_ranges(cells: DataFrame, ranges: DataFrame, how: str = "binary") -> DataF
     return cells.join(new, ["sample_id", "feature_id"], "left").select("sample_id", "feature_id", F.coalesce("_new", F.lit(0.0)).alias("value"))
 
 
-def mask_negative(cells: DataFrame, contributions: DataFrame) -> DataFrame:
-    """Cells whose contribution (sample_id, feature_id, contribution) is below 0 become 0; cells without one stay."""
-    out = cells.join(contributions.select("sample_id", "feature_id", F.col("contribution").alias("_c")), ["sample_id", "feature_id"], "left")
-    return out.select("sample_id", "feature_id", F.when(F.col("_c") < 0, 0.0).otherwise(F.col("value")).alias("value"))
+def mask_negative(cells: DataFrame, contributions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Cells whose contribution (sample_id, feature_id, contribution) is below 0 become 0; cells without one stay. With ``by`` (a class, a model) there is one result per value of it."""
+    grid = cells.crossJoin(contributions.select(*by).distinct()) if by else cells
+    keys = [*by, "sample_id", "feature_id"]
+    out = grid.join(contributions.select(*keys, F.col("contribution").alias("_c")), keys, "left")
+    return out.select(*keys, F.when(F.col("_c") < 0, 0.0).otherwise(F.col("value")).alias("value"))

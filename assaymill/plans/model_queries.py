@@ -11,11 +11,12 @@ from assaymill.operators import evaluation as ev
 from assaymill.operators import gram as gr
 from assaymill.operators import hierarchy as hi
 from assaymill.operators import models as mo
+from assaymill.operators import negbin as nb
 from assaymill.operators import normalise as nm
 from assaymill.operators import sampling as sp
 from assaymill.operators import selection as se
 from assaymill.operators import statistics as st
-from assaymill.plans.fixtures import Fixtures
+from assaymill.plans.fixtures import SEGMENTS, Fixtures
 from assaymill.plans.registry import query, r
 
 V = F.col
@@ -544,9 +545,9 @@ def class_report(fx: Fixtures) -> DataFrame:
     return ev.class_report(ev.confusion(fx.pred))
 
 
-@query("SELECT sample_id, truth, prediction, " + ", ".join(f"{r(f'max(score) FILTER (WHERE class = {chr(39)}{c}{chr(39)})')} AS {c}" for c in ("AUTOMOBILE", "BUILDING")) + " FROM pred JOIN scores USING (sample_id) WHERE truth <> prediction GROUP BY 1, 2, 3")
+@query("SELECT sample_id, truth, prediction, " + ", ".join(f"{r(f'max(score) FILTER (WHERE class = {chr(39)}{c}{chr(39)})')} AS {c}" for c in SEGMENTS) + " FROM pred JOIN scores USING (sample_id) WHERE truth <> prediction GROUP BY 1, 2, 3")
 def misses(fx: Fixtures) -> DataFrame:
-    return ev.misses(fx.pred.select("sample_id", "truth", "prediction"), fx.scores, ["AUTOMOBILE", "BUILDING"])
+    return ev.misses(fx.pred.select("sample_id", "truth", "prediction"), fx.scores, SEGMENTS)
 
 
 POINTS = "pts AS (SELECT class, score, sum(y) OVER o AS tp, sum(c - y) OVER o AS fp, sum(y) OVER w AS pos, sum(c - y) OVER w AS neg FROM (SELECT class, score, sum((truth = class)::INT)::DOUBLE AS y, count(*) AS c FROM scores JOIN pred USING (sample_id) GROUP BY 1, 2) WINDOW w AS (PARTITION BY class), o AS (PARTITION BY class ORDER BY score DESC ROWS UNBOUNDED PRECEDING)), auc AS (SELECT class, sum((fp - pf) * (tp + pt) / 2) / (any_value(pos) * any_value(neg)) AS a FROM (SELECT *, coalesce(lag(fp) OVER w, 0) AS pf, coalesce(lag(tp) OVER w, 0) AS pt FROM pts WINDOW w AS (PARTITION BY class ORDER BY score DESC)) GROUP BY 1)"
@@ -823,7 +824,7 @@ def rbe_design(fx: Fixtures) -> DataFrame:
 
 @query()
 def quantile_batch(fx: Fixtures) -> DataFrame:
-    return co.quantile_batch(fx.dense, fx.obs, "batch", "b0")
+    return nb.fit(fx.cells, fx.obs, "batch", "label").adjust(fx.dense)
 
 
 @query()

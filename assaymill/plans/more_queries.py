@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assaymill.operators import contrasts as co
 from assaymill.operators import evaluation as ev
 from assaymill.operators import models as mo
+from assaymill.operators import negbin as nb
 from assaymill.operators import normalise as nm
 from assaymill.operators import prepare as pr
 from assaymill.operators import sampling as sp
@@ -79,18 +80,19 @@ def cached_rounds(fx: Fixtures) -> DataFrame:
 
 # encodings and masks ---------------------------------------------------------------------------
 
-PAIRS = "prs AS (SELECT a.feature_id AS x, b.feature_id AS y FROM sets a JOIN sets b ON a.set_name = b.set_name AND a.set_name = 'PROMO' AND a.feature_id < b.feature_id)"
+PAIRS = "prs AS (SELECT DISTINCT a.feature_id AS x, b.feature_id AS y FROM sets a JOIN sets b ON a.set_name = b.set_name AND a.feature_id < b.feature_id)"
 
 
 @query("SELECT o.sample_id, x, y, (coalesce(a.value, 0) > coalesce(b.value, 0))::INT AS value FROM obs o CROSS JOIN prs LEFT JOIN cells a ON a.sample_id = o.sample_id AND a.feature_id = x LEFT JOIN cells b ON b.sample_id = o.sample_id AND b.feature_id = y", PAIRS)
 def encode_pairs(fx: Fixtures) -> DataFrame:
-    one = fx.sets.where("set_name = 'PROMO'").select(V("feature_id").alias("x"))
-    return nm.encode_pairs(fx.cells, fx.obs, one.join(one.withColumnRenamed("x", "y"), V("x") < V("y")))
+    """All pairs of features that share a set."""
+    one = fx.sets.select("set_name", V("feature_id").alias("x"))
+    return nm.encode_pairs(fx.cells, fx.obs, one.join(one.withColumnRenamed("x", "y"), "set_name").where("x < y").select("x", "y").distinct())
 
 
-@query(f"SELECT d.sample_id, d.feature_id, {r('CASE WHEN x < 0 THEN 0.0 ELSE value END')} AS value FROM dense d JOIN con USING (sample_id, feature_id) WHERE class = 'c0'", CONTRIB)
+@query(f"SELECT class, d.sample_id, d.feature_id, {r('CASE WHEN x < 0 THEN 0.0 ELSE value END')} AS value FROM dense d JOIN con USING (sample_id, feature_id)", CONTRIB)
 def mask_negative(fx: Fixtures) -> DataFrame:
-    return pr.mask_negative(fx.dense, _contrib(fx).where("class = 'c0'"))
+    return pr.mask_negative(fx.dense, _contrib(fx), ["class"])
 
 
 @query(f"SELECT sample_id, feature_id, {r('ln(value + 2)')} AS value FROM dense")
@@ -226,9 +228,9 @@ def top_l1_per_class(fx: Fixtures) -> DataFrame:
     return se.top_l1(_coefs(fx), 3, per_class=True)
 
 
-@query(f"SELECT feature_id, {r('coef')} AS importance FROM cof WHERE coef > 0 AND class = 'R'", COEFS)
+@query(f"SELECT class, feature_id, {r('coef')} AS importance FROM cof WHERE coef > 0", COEFS)
 def nonzero_importance(fx: Fixtures) -> DataFrame:
-    return se.nonzero_importance(_coefs(fx).where("class = 'R'").select("feature_id", V("coef").alias("importance")))
+    return se.nonzero_importance(_coefs(fx).withColumnRenamed("coef", "importance"))
 
 
 @query("SELECT feature_id FROM (SELECT feature_id, sum(value) AS s FROM cells WHERE feature_id IN (SELECT feature_id FROM (SELECT feature_id, round(var_pop(value), 6) AS v FROM dense GROUP BY 1) ORDER BY v DESC, feature_id LIMIT 15) GROUP BY 1) ORDER BY s DESC, feature_id LIMIT 8")
@@ -250,4 +252,10 @@ def near_candidates(fx: Fixtures) -> DataFrame:
 
 @query()
 def quantile_batch_mean(fx: Fixtures) -> DataFrame:
-    return co.quantile_batch(fx.dense, fx.obs, "batch")
+    return nb.fit(fx.cells, fx.obs, "batch", to_mean=True).adjust(fx.dense)
+
+
+@query("SELECT batch, grp, feature_id, " + r("s / n") + " AS mean FROM (SELECT batch, '' AS grp, feature_id, sum(value) AS s, count(*) AS n, min(sum(value)) OVER (PARTITION BY feature_id) AS least FROM dense JOIN obs USING (sample_id) GROUP BY 1, 2, 3) WHERE least > 0")
+def batch_means(fx: Fixtures) -> DataFrame:
+    """Fitted means without groups are the batches' own."""
+    return nb.fit(fx.cells, fx.obs, "batch").means.select("batch", "grp", "feature_id", V("mu").alias("mean"))
