@@ -1,13 +1,8 @@
 """Nearest neighbours by Euclidean distance, within one table or from one table to another: exact, or in few cells at a chosen recall.
 
-A few samples, drawn by hash, are pivots, and every sample belongs to the cell of its nearest one. What the driver keeps is one row
-per cell: its size, its radius and its k least distances to the pivot. From these and its own distances to all
-pivots a query knows a bound on its k-th neighbour's distance, and the cells that cannot hold anything
-closer (triangle inequality, and the plane halfway between two pivots). It is sent to the others: cells and queries are
-dealt to blocks of bounded size, which multiply as matrices, and only k rows per query and block come back. Nothing else is dropped,
-so the result is that of all pairs; in many dimensions the bounds exclude little, and the work is then that of all pairs in matrices.
-
-``probes`` limits a query to the cells of its nearest pivots instead; ``probes_for`` reads the number from the data.
+The exact form joins all pairs. For the other a few samples, drawn by hash, are pivots, every sample belongs to the cell of its nearest one, and
+a query looks into the cells of its nearest pivots. Cells and queries are dealt to blocks of bounded size, which
+multiply as matrices, and k rows per query and block come back. ``probes_for`` reads the number of cells from the data.
 """
 
 from __future__ import annotations
@@ -23,6 +18,7 @@ from pyspark.sql.window import Window
 
 from assaymill.functions.expressions import hash_order
 from assaymill.functions.ordering import ordered
+from assaymill.operators.normalise import densify
 from assaymill.storage import materialize
 
 V = F.col
@@ -90,71 +86,59 @@ def space_of(cells: DataFrame, samples: DataFrame, also: DataFrame | None = None
     return Space(numbers, width, np.unique(_matrix(rows["at"], rows["x"], width), axis=0) if len(rows) else np.zeros((0, width)))
 
 
-def _cells(base: DataFrame, k: int) -> pd.DataFrame:
-    """One row per (tag, cell): n, radius, and its k least distances to the pivot."""
-    part = F.pmod(F.xxhash64("sample_id"), F.lit(64))
-    few = base.withColumn("_part", part).withColumn("_r", F.row_number().over(Window.partitionBy("tag", "cell", "_part").orderBy("near"))).where(V("_r") <= k)
-    least = few.groupBy("tag", "cell").agg(F.slice(F.array_sort(F.collect_list("near")), 1, k).alias("least"))
-    return base.groupBy("tag", "cell").agg(F.count("*").alias("n"), F.max("near").alias("radius"), F.min("near").alias("inner")).join(least.withColumnsRenamed({"tag": "_t", "cell": "_c"}), V("tag").eqNullSafe(V("_t")) & (V("cell") == V("_c"))).drop("_t", "_c").toPandas()
-
-
-def _visits(queries: DataFrame, cells: pd.DataFrame, space: Space, k: int, same_tag: bool, probes: int | None, radius: float | None = None) -> DataFrame:
-    """``queries`` with ``visit``, the rows of ``cells`` that each must look into."""
-    gaps = np.sqrt(_square(space.pivots, space.pivots))
-    cell, radius, inner, tags = cells["cell"].to_numpy(int), cells["radius"].to_numpy(), cells["inner"].to_numpy(), cells["tag"].to_numpy()
-    least = np.full((len(cells), k), np.inf)
-    for i, d in enumerate(cells["least"]):
-        least[i, : len(d)] = d
-    kind, size = dict(queries.dtypes), float(np.sqrt((space.pivots**2).sum(1).max()))
+def _visits(queries: DataFrame, cells: np.ndarray, probes: int) -> DataFrame:
+    """``queries`` with ``visit``, the places in ``cells`` of those of their nearest pivots."""
+    kind = dict(queries.dtypes)
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            to = np.stack(pdf["to"].to_list()) if len(pdf) else np.zeros((0, 1))
-            out = []
-            for d, own, tag in zip(to, pdf["cell"], pdf["tag"], strict=True):
-                allowed = tags == tag if same_tag else np.ones(len(cell), bool)
-                if probes is not None:
-                    some = np.flatnonzero(allowed)
-                    out.append(some[np.argsort(d[cell[some]], kind="stable")[:probes]])
-                    continue
-                reach = (d[cell[allowed], None] + least[allowed]).ravel()
-                bound = radius if radius is not None else np.partition(reach, k - 1)[k - 1] if len(reach) >= k else np.inf
-                low = np.maximum(d[cell] - radius, inner - d[cell])
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = (d[cell] ** 2 - d[own] ** 2) / (2 * gaps[own, cell])
-                low = np.maximum(low, np.where(cell != own, plane, 0.0))
-                # distances to pivots come from products, which round by the size of the vectors
-                out.append(np.flatnonzero(allowed & (low <= bound + 1e-6 * (1 + size + d.max()))))
-            yield pdf[["sample_id", "tag", "at", "x"]].assign(visit=out)
+            yield pdf[["sample_id", "tag", "at", "x"]].assign(visit=[np.argsort(d[cells], kind="stable")[:probes] for d in pdf["to"]])
 
     return queries.mapInPandas(visit, f"sample_id {kind['sample_id']}, tag {kind['tag']}, at array<int>, x array<double>, visit array<int>")
 
 
-def nearest(queries: DataFrame, query_samples: DataFrame, base: DataFrame, base_samples: DataFrame, k: int, *, itself: bool = False, same_tag: bool = False, probes: int | None = None, farthest: bool = False, radius: float | None = None, space: Space | None = None) -> DataFrame:
+def nearest(queries: DataFrame, query_samples: DataFrame, base: DataFrame, base_samples: DataFrame, k: int, *, itself: bool = False, same_tag: bool = False, farthest: bool = False, radius: float | None = None) -> DataFrame:
     """(sample_id, tag, other, other_tag, distance, rank): the k nearest samples of ``base`` to each of ``queries``; ties go to the smaller id.
 
     Both are cells, absent ones 0, beside tables (sample_id, tag) of all samples; a sample without cells is a point at 0. ``itself`` lets a sample
-    be its own neighbour. With ``same_tag`` neighbours share the tag. ``farthest`` turns the order round and looks into all cells. With ``radius`` all
+    be its own neighbour. With ``same_tag`` neighbours share the tag. ``farthest`` turns the order round. With ``radius`` all
     neighbours that are no farther come back, however many, and ``k`` is ignored; their rank is null.
+
+    All pairs are compared, as the exact operator asks: it is meant for the samples of a study; ``probed`` looks into few cells.
     """
+    features = base.select("feature_id").union(queries.select("feature_id")).distinct()
+    tags = [t.select("sample_id", V("tag").cast("string").alias("tag")) for t in (query_samples, base_samples)]
+    a, b = (densify(c, t, features).join(t, "sample_id") for c, t in zip((queries, base), tags, strict=True))
+    a, b = a.withColumnRenamed("value", "_a"), b.select("feature_id", V("sample_id").alias("other"), V("tag").alias("other_tag"), V("value").alias("_b"))
+    pairs = a.join(b, "feature_id")
+    pairs = pairs if itself else pairs.where("sample_id <> other")
+    pairs = pairs.where(V("tag").eqNullSafe(V("other_tag"))) if same_tag else pairs
+    near = pairs.groupBy("sample_id", "tag", "other", "other_tag").agg(F.round(F.sqrt(F.sum((V("_a") - V("_b")) * (V("_a") - V("_b")))), 9).alias("distance"))
+    if radius is not None:
+        return near.where(V("distance") <= radius).withColumn("rank", F.lit(None).cast("int"))
+    w = Window.partitionBy("sample_id").orderBy(F.desc("distance") if farthest else "distance", "other")
+    return near.withColumn("rank", F.row_number().over(w)).where(V("rank") <= k).select("sample_id", "tag", "other", "other_tag", "distance", "rank")
+
+
+def probed(queries: DataFrame, query_samples: DataFrame, base: DataFrame, base_samples: DataFrame, k: int, probes: int, space: Space) -> DataFrame:
+    """``nearest``, looking only into the cells of each query's ``probes`` nearest pivots."""
     alone = queries is base and query_samples is base_samples
     query_samples, base_samples = (t.select("sample_id", V("tag").cast("string").alias("tag")) for t in (query_samples, base_samples))
-    space = space_of(base, base_samples, None if alone else queries) if space is None else space
     if not len(space.pivots):
         kind = dict(query_samples.dtypes)["sample_id"]
         return query_samples.sparkSession.createDataFrame([], f"sample_id {kind}, tag string, other {kind}, other_tag string, distance double, rank int")
     numbers = space.numbers
     held = materialize(_assigned(_vectors(base, base_samples, numbers), space), "base")
     asked = held if alone else _assigned(_vectors(queries, query_samples, numbers), space)
-    found = _cells(held, k if itself else k + 1)
-    asked = _visits(asked, found, space, k if itself else k + 1, same_tag, len(found) if farthest else probes, radius)
+    found = held.groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").toPandas()
+    asked = _visits(asked, found["cell"].to_numpy(int), probes)
     asked = materialize(asked.withColumn("_cell", F.explode("visit")).drop("visit"), "visits")
     # Blocks of a cell, and blocks of the queries that look into it.
     size, n = space.block, asked.groupBy("_cell").count().toPandas().set_index("_cell")["count"]
-    table = held.sparkSession.createDataFrame([(i, None if pd.isna(r.tag) else str(r.tag), int(r.cell), -(-int(r.n) // size), -(-int(n.get(i, 0)) // size)) for i, r in enumerate(found.itertuples())], "_cell int, tag string, cell int, _parts int, _turns int")
+    table = held.sparkSession.createDataFrame([(i, int(r.cell), -(-int(r.n) // size), -(-int(n.get(i, 0)) // size)) for i, r in enumerate(found.itertuples())], "_cell int, cell int, _parts int, _turns int")
     deal = lambda n, salt: F.pmod(F.xxhash64("sample_id", F.lit(salt)), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    stored = held.join(F.broadcast(table.where("_turns > 0").withColumnsRenamed({"tag": "_t", "cell": "_c"})), V("tag").eqNullSafe(V("_t")) & (V("cell") == V("_c")))
+    stored = held.join(F.broadcast(table.where("_turns > 0")), "cell")
     stored = stored.withColumn("_part", deal(V("_parts"), 1)).withColumn("_turn", each(V("_turns"))).select("_cell", "_part", "_turn", "sample_id", "tag", "at", "x")
     asked = asked.join(F.broadcast(table.select("_cell", "_parts", "_turns")), "_cell").withColumn("_turn", deal(V("_turns"), 2)).withColumn("_part", each(V("_parts"))).select("_cell", "_part", "_turn", "sample_id", "tag", "at", "x")
     width = space.width
@@ -169,27 +153,16 @@ def nearest(queries: DataFrame, query_samples: DataFrame, base: DataFrame, base_
             x = _matrix(part["at"], part["x"], width)
             d = _square(x, y)
             for i, (name, tag) in enumerate(zip(part["sample_id"], part["tag"], strict=True)):
-                keep = np.ones(len(y), bool) if itself else names != name
+                keep = names != name
                 want = min(k, int(keep.sum()))
-                if radius is not None:
-                    some = np.flatnonzero(keep & (d[i] - 1e-9 * (1 + (x[i] * x[i]).sum() + own) <= radius * radius + 4e-9 * radius))
-                    square = ((y[some] - x[i]) ** 2).sum(1)
-                    best = np.flatnonzero(np.round(np.sqrt(square), 9) <= radius)
-                    out.append(pd.DataFrame({"sample_id": name, "tag": tag, "other": names[some[best]], "other_tag": tags[some[best]], "_square": square[best]}))
-                    continue
                 if not want:
                     continue
                 # The product rounds, so what may be among the k is measured again, difference by difference.
                 slack = 1e-9 * (1 + (x[i] * x[i]).sum() + own)
-                if farthest:
-                    edge = np.partition((d[i] - slack)[keep], -want)[-want]
-                    some = np.flatnonzero(keep & (d[i] + slack + 4e-9 * np.sqrt(d[i]) >= edge))
-                else:
-                    edge = np.partition((d[i] + slack)[keep], want - 1)[want - 1]
-                    some = np.flatnonzero(keep & (d[i] - slack <= edge + 4e-9 * np.sqrt(edge)))
+                edge = np.partition((d[i] + slack)[keep], want - 1)[want - 1]
+                some = np.flatnonzero(keep & (d[i] - slack <= edge + 4e-9 * np.sqrt(edge)))
                 square = ((y[some] - x[i]) ** 2).sum(1)
-                far = np.round(np.sqrt(square), 9)
-                best = np.argsort(-far if farthest else far, kind="stable")[:want]
+                best = np.argsort(np.round(np.sqrt(square), 9), kind="stable")[:want]
                 out.append(pd.DataFrame({"sample_id": name, "tag": tag, "other": names[some[best]], "other_tag": tags[some[best]], "_square": square[best]}))
         return pd.concat(out)
 
@@ -197,9 +170,7 @@ def nearest(queries: DataFrame, query_samples: DataFrame, base: DataFrame, base_
     keys = ["_cell", "_part", "_turn"]
     near = asked.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(compare, f"sample_id {kind['sample_id']}, tag {kind['tag']}, other {kind['sample_id']}, other_tag {kind['tag']}, _square double")
     near = near.withColumn("distance", F.round(F.sqrt("_square"), 9))
-    if radius is not None:
-        return near.select("sample_id", "tag", "other", "other_tag", "distance", F.lit(None).cast("int").alias("rank"))
-    w = Window.partitionBy("sample_id").orderBy(F.desc("distance") if farthest else "distance", "other")
+    w = Window.partitionBy("sample_id").orderBy("distance", "other")
     return near.withColumn("rank", F.row_number().over(w)).where(V("rank") <= k).select("sample_id", "tag", "other", "other_tag", "distance", "rank")
 
 
@@ -207,7 +178,7 @@ def probes_for(cells: DataFrame, samples: DataFrame, k: int, recall: float, spac
     """How many cells a query must look into to find ``recall`` of its k neighbours: measured on the exact neighbours of at most ``most`` samples, first in hash order."""
     some = materialize(samples.withColumn("_h", hash_order("sample_id", 1)).orderBy("_h", "sample_id").limit(most).drop("_h"), "calibration")
     asked = cells.join(some.select("sample_id"), "sample_id", "left_semi")
-    true = materialize(nearest(asked, some, cells, samples, k, space=space).select("sample_id", "other"), "neighbours")
+    true = materialize(nearest(asked, some, cells, samples, k).select("sample_id", "other"), "neighbours")
     met = true.select(V("other").alias("sample_id")).distinct()
     home = _assigned(_vectors(cells.join(met, "sample_id", "left_semi"), met.withColumn("tag", F.lit("")), space.numbers), space).select(V("sample_id").alias("other"), "cell")
     seen = _assigned(_vectors(asked, some, space.numbers), space).select("sample_id", "to")

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from assaymill.functions.expressions import hash_order, hash_rank
 from assaymill.functions.ordering import ordered, same
-from assaymill.operators.nearest import nearest, probes_for, space_of
+from assaymill.operators.nearest import nearest, probed, probes_for, space_of
 from assaymill.storage import materialize
 
 V = F.col
@@ -130,7 +130,7 @@ def random_undersample(df: DataFrame, key: str, label: str, seed: int = 0) -> Da
 def neighbours(cells: DataFrame, obs: DataFrame, label: str, k: int, within: bool = False) -> DataFrame:
     """(sample_id, label, other, other_label, distance, rank): the exact k nearest by Euclidean distance, of the same label if ``within``.
 
-    Absent cells are 0. Ties go to the smaller id.
+    Absent cells are 0. Ties go to the smaller id. All pairs are compared.
     """
     samples = obs.select("sample_id", V(label).alias("tag"))
     return nearest(cells, samples, cells, samples, k, same_tag=within).withColumnsRenamed({"tag": "label", "other_tag": "other_label"})
@@ -292,7 +292,7 @@ def near_candidates(cells: DataFrame, samples: DataFrame, k: int = 5, recall: fl
     """
     tagged = samples.select("sample_id", F.lit("").alias("tag"))
     space = space_of(cells, tagged)
-    near = nearest(cells, tagged, cells, tagged, k, space=space, probes=probes_for(cells, tagged, k, recall, space))
+    near = probed(cells, tagged, cells, tagged, k, probes_for(cells, tagged, k, recall, space), space)
     return near.select(F.least("sample_id", "other").alias("sample_id"), F.greatest("sample_id", "other").alias("other")).distinct()
 
 

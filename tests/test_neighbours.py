@@ -46,9 +46,7 @@ def cloud(seed, n, name="s", whole=True):
     return points
 
 
-@pytest.mark.parametrize("cells_of_a_block", [2_000_000, 64])
-def test_exact_neighbours(spark, monkeypatch, cells_of_a_block):
-    monkeypatch.setattr(ne, "BLOCK_CELLS", cells_of_a_block)
+def test_exact_neighbours(spark):
     points = cloud(1, 120)
     labels = {s: "ab"[i % 2] for i, s in enumerate(points)}
     cells, samples = table(spark, points, labels)
@@ -66,17 +64,13 @@ def test_between_tables(spark):
     assert got(ne.nearest(a, s, b, t, 2, farthest=True)) == all_pairs(points, base, 2, far=True)
 
 
-def test_bounds_exclude_cells(spark):
-    """Well apart, most cells are never looked into."""
-    rng = random.Random(4)
-    points = {f"s{c}-{i}": [c * 1000 + rng.gauss(0, 1), rng.gauss(0, 1)] for c in range(12) for i in range(30)}
+@pytest.mark.parametrize("cells_of_a_block", [2_000_000, 64])
+def test_probing_all_cells_is_exact(spark, monkeypatch, cells_of_a_block):
+    monkeypatch.setattr(ne, "BLOCK_CELLS", cells_of_a_block)
+    points = cloud(5, 70)
     cells, samples = table(spark, points)
     space = ne.space_of(cells, samples)
-    held = ne._assigned(ne._vectors(cells, samples, space.numbers), space)
-    found = ne._cells(held, 3)
-    visits = ne._visits(held, found, space, 3, False, None).select(F.sum(F.size("visit"))).first()[0]
-    assert visits < 0.4 * len(points) * len(found)
-    assert got(ne.nearest(cells, samples, cells, samples, 2, space=space)) == all_pairs(points, points, 2)
+    assert got(ne.probed(cells, samples, cells, samples, 3, len(space.pivots), space)) == all_pairs(points, points, 3)
 
 
 def test_of_nothing(spark):
