@@ -108,12 +108,12 @@ def nearest(queries: DataFrame, query_samples: DataFrame, base: DataFrame, base_
     """
     features = base.select("feature_id").union(queries.select("feature_id")).distinct()
     tags = [t.select("sample_id", V("tag").cast("string").alias("tag")) for t in (query_samples, base_samples)]
-    a, b = (densify(c, t, features).join(t, "sample_id") for c, t in zip((queries, base), tags, strict=True))
-    a, b = a.withColumnRenamed("value", "_a"), b.select("feature_id", V("sample_id").alias("other"), V("tag").alias("other_tag"), V("value").alias("_b"))
-    pairs = a.join(b, "feature_id")
+    a, b = (densify(c, t, features) for c, t in zip((queries, base), tags, strict=True))
+    pairs = a.withColumnRenamed("value", "_a").join(b.select("feature_id", V("sample_id").alias("other"), V("value").alias("_b")), "feature_id")
     pairs = pairs if itself else pairs.where("sample_id <> other")
-    pairs = pairs.where(V("tag").eqNullSafe(V("other_tag"))) if same_tag else pairs
-    near = pairs.groupBy("sample_id", "tag", "other", "other_tag").agg(F.round(F.sqrt(F.sum((V("_a") - V("_b")) * (V("_a") - V("_b")))), 9).alias("distance"))
+    near = pairs.groupBy("sample_id", "other").agg(F.round(F.sqrt(F.sum((V("_a") - V("_b")) * (V("_a") - V("_b")))), 9).alias("distance"))
+    near = near.join(tags[0], "sample_id").join(tags[1].toDF("other", "other_tag"), "other").select("sample_id", "tag", "other", "other_tag", "distance")
+    near = near.where(V("tag").eqNullSafe(V("other_tag"))) if same_tag else near
     if radius is not None:
         return near.where(V("distance") <= radius).withColumn("rank", F.lit(None).cast("int"))
     w = Window.partitionBy("sample_id").orderBy(F.desc("distance") if farthest else "distance", "other")
