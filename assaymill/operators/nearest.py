@@ -1,6 +1,6 @@
 """Nearest neighbours by Euclidean distance, within one table or from one table to another: exact, or in few cells at a chosen recall.
 
-The exact form joins all pairs. For the other a few samples, drawn by hash, are pivots, every sample belongs to the cell of its nearest one, and
+The exact form compares all pairs, block by block. For the other a few samples, drawn by hash, are pivots, every sample belongs to the cell of its nearest one, and
 a query looks into the cells of its nearest pivots. Cells and queries are dealt to blocks of bounded size, which
 multiply as matrices, and k rows per query and block come back. ``probes_for`` reads the number of cells from the data.
 """
@@ -18,7 +18,6 @@ from pyspark.sql.window import Window
 
 from assaymill.functions.expressions import hash_order
 from assaymill.functions.ordering import ordered
-from assaymill.operators.normalise import densify
 from assaymill.storage import materialize
 
 V = F.col
@@ -38,7 +37,7 @@ class Space:
 
     @property
     def block(self) -> int:
-        return max(16, min(1024, BLOCK_CELLS // max(self.width, 1)))
+        return _block(self.width)
 
 
 def _vectors(cells: DataFrame, samples: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -60,6 +59,32 @@ def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0.0)
 
 
+#: Distances count as equal when their ninth decimal is; what is closer than this to a bound is left to that rounding.
+SLACK = 2e-9
+
+
+def _block(width: int) -> int:
+    """Samples of a block."""
+    return max(16, min(1024, BLOCK_CELLS // max(width, 1)))
+
+
+def _within(distance: np.ndarray, radius: float) -> np.ndarray:
+    return np.flatnonzero(distance <= radius + SLACK)
+
+
+def _first(square: np.ndarray, k: int, farthest: bool) -> np.ndarray:
+    """Places of all that may be among the k first by rounded distance and place; of one exact distance no more than k."""
+    want = min(k, len(square))
+    if want < 1:
+        return np.zeros(0, int)
+    d = -np.sqrt(square) if farthest else np.sqrt(square)
+    some = np.flatnonzero(d <= np.partition(d, want - 1)[want - 1] + SLACK)
+    some = some[np.argsort(d[some], kind="stable")]
+    begins = np.flatnonzero(np.r_[True, np.diff(d[some]) != 0])
+    nth = np.arange(len(some)) - np.repeat(begins, np.diff(np.r_[begins, len(some)]))
+    return some[nth < k]
+
+
 def _assigned(vectors: DataFrame, space: Space) -> DataFrame:
     """``vectors`` with their distances to all pivots, their cell and their distance to its pivot."""
     pivots, width, kind = space.pivots, space.width, dict(vectors.dtypes)
@@ -105,15 +130,40 @@ def nearest(queries: DataFrame, query_samples: DataFrame, base: DataFrame, base_
     neighbours that are no farther come back, however many, and ``k`` is ignored; their rank is null.
 
     All pairs are compared, as the exact operator asks: it is meant for the samples of a study; ``probed`` looks into few cells.
+    Blocks of either table meet once, as two small matrices, and of each query k rows (more where distances differ in the last
+    digits only) leave a block; no row holds one feature of a pair.
     """
+    query_samples, base_samples = (t.select("sample_id", V("tag").cast("string").alias("tag")) for t in (query_samples, base_samples))
     features = base.select("feature_id").union(queries.select("feature_id")).distinct()
-    tags = [t.select("sample_id", V("tag").cast("string").alias("tag")) for t in (query_samples, base_samples)]
-    a, b = (densify(c, t, features) for c, t in zip((queries, base), tags, strict=True))
-    pairs = a.withColumnRenamed("value", "_a").join(b.select("feature_id", V("sample_id").alias("other"), V("value").alias("_b")), "feature_id")
-    pairs = pairs if itself else pairs.where("sample_id <> other")
-    near = pairs.groupBy("sample_id", "other").agg(F.round(F.sqrt(F.sum((V("_a") - V("_b")) * (V("_a") - V("_b")))), 9).alias("distance"))
-    near = near.join(tags[0], "sample_id").join(tags[1].toDF("other", "other_tag"), "other").select("sample_id", "tag", "other", "other_tag", "distance")
-    near = near.where(V("tag").eqNullSafe(V("other_tag"))) if same_tag else near
+    numbers = materialize(ordered(features, ["feature_id"]).select("feature_id", (V("_nth") - 1).cast("int").alias("_at")), "features")
+    width = numbers.count()
+    size = _block(width)
+    turns, parts = (max(1, -(-t.count() // size)) for t in (query_samples, base_samples))
+    deal = lambda n, salt: F.pmod(F.xxhash64("sample_id", F.lit(salt)), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    keys, shape = ["_part", "_turn"], ["sample_id", "tag", "at", "x"]
+    asked = materialize(_vectors(queries, query_samples, numbers), "queries").withColumn("_turn", deal(turns, 2)).select(*shape, "_turn", each(parts).alias("_part"))
+    stored = materialize(_vectors(base, base_samples, numbers), "base").withColumn("_part", deal(parts, 1)).select(*shape, "_part", each(turns).alias("_turn"))
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("sample_id", kind="stable")
+        names, tags = b["sample_id"].to_numpy(), b["tag"].to_numpy()
+        x, y, untagged = _matrix(a["at"], a["x"], width), _matrix(b["at"], b["x"], width), pd.isna(tags)
+        out = [pd.DataFrame({"sample_id": a["sample_id"].iloc[:0], "tag": a["tag"].iloc[:0], "other": b["sample_id"].iloc[:0], "other_tag": b["tag"].iloc[:0], "_square": np.zeros(0)})]
+        for i, (name, tag) in enumerate(zip(a["sample_id"], a["tag"], strict=True)):
+            met = np.ones(len(b), bool) if itself else names != name
+            if same_tag:
+                met = met & (untagged if pd.isna(tag) else tags == tag)
+            met = np.flatnonzero(met)
+            square = ((y[met] - x[i]) ** 2).sum(1)
+            some = _within(np.sqrt(square), radius) if radius is not None else _first(square, k, farthest)
+            if len(some):
+                out.append(pd.DataFrame({"sample_id": name, "tag": tag, "other": names[met[some]], "other_tag": tags[met[some]], "_square": square[some]}))
+        return pd.concat(out) if len(out) > 1 else out[0]
+
+    kinds = [dict(t.dtypes)["sample_id"] for t in (query_samples, base_samples)]
+    near = asked.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(compare, f"sample_id {kinds[0]}, tag string, other {kinds[1]}, other_tag string, _square double")
+    near = near.select("sample_id", "tag", "other", "other_tag", F.round(F.sqrt("_square"), 9).alias("distance"))
     if radius is not None:
         return near.where(V("distance") <= radius).withColumn("rank", F.lit(None).cast("int"))
     w = Window.partitionBy("sample_id").orderBy(F.desc("distance") if farthest else "distance", "other")

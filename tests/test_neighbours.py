@@ -64,6 +64,26 @@ def test_between_tables(spark):
     assert got(ne.nearest(a, s, b, t, 2, farthest=True)) == all_pairs(points, base, 2, far=True)
 
 
+def test_exact_neighbours_over_many_blocks(spark, monkeypatch):
+    """Blocks of 16: copies, ties and the farthest ones lie in several; a tag may be null."""
+    monkeypatch.setattr(ne, "BLOCK_CELLS", 1)
+    points = cloud(4, 60)
+    labels = {s: ("a", "b", None)[i % 3] for i, s in enumerate(points)}
+    cells, samples = table(spark, points, labels)
+    assert got(ne.nearest(cells, samples, cells, samples, 7, itself=True)) == all_pairs(points, points, 7, itself=True)
+    assert got(ne.nearest(cells, samples, cells, samples, 4, same_tag=True, farthest=True)) == all_pairs(points, points, 4, labels, same=True, far=True)
+    every = {s: dict(x) for s, x in all_pairs(points, points, len(points)).items()}
+    near = ne.nearest(cells, samples, cells, samples, 0, radius=5.0).collect()
+    assert sorted((r["sample_id"], r["other"]) for r in near) == sorted((s, t) for s, x in every.items() for t, d in x.items() if d <= 5.0)
+    assert all(r["rank"] is None for r in near)
+
+
+def test_first_places_with_ties():
+    square = np.array([4.0, 1.0, 4.0, 4.0, 9.0, 1.0])
+    assert sorted(ne._first(square, 3, False)) == [0, 1, 2, 3, 5] and sorted(ne._first(square, 1, False)) == [1]
+    assert sorted(ne._first(square, 1, True)) == [4] and list(ne._first(square[:0], 2, False)) == []
+
+
 @pytest.mark.parametrize("cells_of_a_block", [2_000_000, 64])
 def test_probing_all_cells_is_exact(spark, monkeypatch, cells_of_a_block):
     monkeypatch.setattr(ne, "BLOCK_CELLS", cells_of_a_block)
