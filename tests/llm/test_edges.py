@@ -85,6 +85,19 @@ def test_a_very_long_text(spark):
     assert scored[1]["n_tokens"] == 2_000_006
 
 
+def test_a_very_long_text_in_the_other_operators(spark):
+    """400,000 words in one row: counted, fingerprinted, mixed and rewritten to their end."""
+    long = "alpha beta, gamma 12 " * 100_000 + "ip 10.1.2.3"
+    docs = spark.createDataFrame([(1, long, "en", "a"), (2, "short one", "en", "a")], "doc_id long, text string, lang string, source string")
+    rules = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    assert rules[1]["n_words"] == 400_002 and rules[1]["base_failed"] and rules[2]["n_words"] == 2
+    prints = {r["doc_id"]: r for r in order_minhash.edit_fingerprints(docs).collect()}
+    assert prints[1]["n_chars"] == len(long) and prints[1]["fingerprint"] != prints[2]["fingerprint"]
+    assert {r["doc_id"]: r["size"] for r in mixing.mixture(docs, weights).collect()} == {1: 400_002, 2: 2}
+    text = pseudonyms.pseudonymize(docs, "k").where("doc_id = 1").first()["text"]
+    assert text.startswith(long[:-11]) and text != long
+
+
 def test_clashing_columns_survive(spark):
     names = ("_unit", "_nth", "_copies", "_found", "size", "copies", "kept")
     docs = frame(spark).select("doc_id", "text", "lang", "source").withColumns({n: F.lit(n) for n in names})
