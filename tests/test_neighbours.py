@@ -154,3 +154,75 @@ def test_smote_then_cleaning(spark):
     one = {s: x[0][0] for s, x in all_pairs(every, every, 1).items()}
     linked = {s for s, t in one.items() if one[t] == s and tags[s] != tags[t]}
     assert {r["sample_id"] for r in sp.smote_tomek(cells, obs, "label", 3).collect()} == set(every) - linked
+
+
+def test_copies_are_compared_once(spark):
+    """Forty copies of each point: lists hold the copies by id, and few classes meet."""
+    points = {f"{s}x{i:02d}": p for s, p in cloud(7, 12).items() for i in range(40)}
+    labels = {s: "ab"[hash_of(s) % 2] for s in points}
+    cells, samples = table(spark, points, labels)
+    assert got(ne.nearest(cells, samples, cells, samples, 3)) == all_pairs(points, points, 3)
+    assert ne.sized_classes(cells, samples)[0].count() <= 2 * 13
+
+
+def hash_of(text):
+    return int(hashlib.md5(text.encode()).hexdigest(), 16)
+
+
+@pytest.fixture(scope="module")
+def crowd(spark):
+    points = cloud(8, 60, whole=False)
+    labels = {s: "abc"[i % 3] for i, s in enumerate(points)}
+    cells, samples = table(spark, points, labels)
+    far = {(s, t): float(np.sqrt(((np.array(p) - np.array(q)) ** 2).sum())) for s, p in points.items() for t, q in points.items()}
+    return points, labels, cells, samples.withColumnRenamed("tag", "label"), far
+
+
+def test_distances_of_classes_over_many_blocks(monkeypatch, crowd):
+    from assaymill.operators import evaluation as ev
+    from assaymill.operators import models as mo
+
+    monkeypatch.setattr(ne, "BLOCK_CELLS", 1)
+    points, labels, cells, obs, far = crowd
+    mean = lambda s, c: np.mean([far[s, t] for t in points if t != s and labels[t] == c])
+    got = {(r["x"], r["y"]): r["distance"] for r in mo.label_distance(cells, obs).collect()}
+    for (x, y), d in got.items():
+        assert d == pytest.approx(np.mean([far[s, t] for s in points for t in points if s != t and labels[s] == x and labels[t] == y]))
+    assert sorted(got) == [(x, y) for x in "abc" for y in "abc" if x <= y]
+    best = {c: min((round(mean(s, c), 9), s) for s in points if labels[s] == c)[1] for c in "abc"}
+    assert {r["label"]: r["sample_id"] for r in mo.class_medoids(cells, obs).collect()} == best
+    width = []
+    for s in points:
+        a, b = mean(s, labels[s]), min(mean(s, c) for c in "abc" if c != labels[s])
+        width.append((b - a) / max(a, b))
+    assert ev.silhouette(cells, obs).first()[0] == pytest.approx(np.mean(width))
+
+
+def test_pairs_of_different_vectors(monkeypatch, crowd):
+    from assaymill.operators import evaluation as ev
+
+    monkeypatch.setattr(ne, "BLOCK_CELLS", 1)
+    points, _, cells, _, far = crowd
+    held = {s: p for s, p in points.items() if any(p)}  # samples are those of the cells
+    stands = {s: min(t for t in held if list(held[t]) == list(p)) for s, p in held.items()}
+    some = sorted(set(stands.values()))
+    want = {(s, t): far[s, t] for s in some for t in some if s < t} | {(s, t): 0.0 for s, t in stands.items() if s != t}
+    rows = ev.distances(cells).collect()
+    assert len(rows) == len(want) and {(r["sample_id"], r["other"]): pytest.approx(r["distance"]) for r in rows} == want
+
+
+def test_prototypes_cover(monkeypatch, crowd):
+    from assaymill.operators import models as mo
+
+    monkeypatch.setattr(ne, "BLOCK_CELLS", 1)
+    points, labels, cells, obs, far = crowd
+    want = []
+    for c in "abc":
+        left = {s for s in points if labels[s] == c}
+        for i in (1, 2, 3):
+            gain = {s: sum(far[s, t] <= 9 for t in left) - sum(far[s, t] <= 9 and labels[t] != c for t in points) for s in points if labels[s] == c}
+            top = min(gain, key=lambda s: (-gain[s], s))
+            if gain[top] > 0:
+                want.append((c, top, i, gain[top]))
+                left -= {t for t in left if far[top, t] <= 9}
+    assert sorted(tuple(r) for r in mo.prototypes(cells, obs, "label", 9.0).collect()) == sorted(want)
