@@ -122,8 +122,8 @@ def adjust(df: DataFrame, p: str, key: str, by: Sequence[str] = ()) -> DataFrame
     rows = rows.withColumns({"_bh": V(p) * V("_rows") / V("_nth"), "_holm": V(p) * (V("_rows") - V("_nth") + 1)})
     parts = rows.groupBy(*by, "_part").agg(F.min("_bh").alias("_low"), F.max("_holm").alias("_high"))
     parts = parts.select(*by, "_part", carried(F.min("_low"), by, later=True).alias("_later"), carried(F.max("_high"), by).alias("_earlier"))
-    here = Window.partitionBy(*by, "_part").orderBy("_nth")
-    rest, done = here.rowsBetween(Window.currentRow, Window.unboundedFollowing), here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Spark computes a frame that ends at the last row anew for each row, so both frames begin at the first.
+    rest, done = (Window.partitionBy(*by, "_part").orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.desc("_nth"), F.asc("_nth")))
     out = same(rows, parts, [*by, "_part"]).withColumns({"bh": F.least(F.min("_bh").over(rest), "_later", F.lit(1.0)), "bonferroni": F.least(V(p) * V("_rows"), F.lit(1.0)), "holm": F.least(F.greatest(F.max("_holm").over(done), "_earlier"), F.lit(1.0))})
     return out.select(*df.columns, "bh", "bonferroni", "holm").unionByName(df.where(V(p).isNull()), allowMissingColumns=True)
 
