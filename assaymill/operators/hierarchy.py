@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assaymill.functions.expressions import average_rank
-from assaymill.storage import materialize
+from assaymill.storage import lookup, materialize
 
 V = F.col
 
@@ -115,8 +115,8 @@ def rank_set_score(dense: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def mean_z_score(dense: DataFrame, sets: DataFrame) -> DataFrame:
-    w = Window.partitionBy("feature_id")
-    z = dense.withColumn("_z", F.coalesce(F.try_divide(V("value") - F.avg("value").over(w), F.stddev_pop("value").over(w)), F.lit(0.0)))
+    spread = dense.groupBy("feature_id").agg(F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_sd"), F.count("*").alias("_rows"))
+    z = lookup(dense, spread, ["feature_id"], "_rows").withColumn("_z", F.coalesce(F.try_divide(V("value") - V("_mean"), V("_sd")), F.lit(0.0)))
     return z.join(sets, "feature_id").groupBy("sample_id", "set_name").agg(F.avg("_z").alias("score"))
 
 
