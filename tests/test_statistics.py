@@ -279,3 +279,36 @@ def test_logarithms_of_trimmed_means_tie_as_in_sql(spark):
     shares = [a / b for a in range(1, 60) for b in range(1, 60)]
     rows = spark.createDataFrame([(x,) for x in shares], "x double").select("x", nm._log2(F.col("x")).alias("y"), F.log2("x").alias("z")).collect()
     assert all(r["y"] == math.log2(r["x"]) for r in rows) and any(r["z"] != r["y"] for r in rows)
+
+
+def test_draws_of_a_round_are_the_first_by_hash(spark):
+    """Samples of one hash part are ordered; none or all of them may be drawn."""
+    import hashlib
+
+    samples = spark.range(9000).withColumnRenamed("id", "sample_id")
+    for n in (0, 1, 4321, 9000):
+        got = {(r["sample_id"], i) for r in pm.permuted(samples, n, 3).collect() for i in r["rounds"]}
+        want = {(s, i) for i in (1, 2, 3) for s in sorted(range(9000), key=lambda s: (hashlib.md5(f"0|{i}|{s}".encode()).hexdigest(), s))[:n]}
+        assert got == want
+
+
+def test_draws_write_no_order_of_all_rounds(spark):
+    plan = pm.permuted(spark.range(50).withColumnRenamed("id", "sample_id"), 20, 4)._jdf.queryExecution().toString()
+    assert "parquet" not in plan.lower()
+
+
+def test_plans_keep_a_feature_out_of_one_task(spark):
+    """No window over all samples of a feature, no frame that is computed anew for each row."""
+    from assaymill.operators import contrasts as co
+    from assaymill.operators import evaluation as ev
+    from assaymill.operators import hierarchy as hi
+
+    dense = spark.createDataFrame([(s, f, float(s * (f == "a") + 1)) for s in range(6) for f in "ab"], "sample_id long, feature_id string, value double")
+    sets = spark.createDataFrame([("s", "a"), ("s", "b")], "set_name string, feature_id string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan(hi.mean_z_score(dense, sets)) and "Window" not in plan(co.plage(dense, sets))
+    rows = spark.createDataFrame([(i, i / 10) for i in range(5)], "k long, p double")
+    assert "min(_bh" in plan(st.adjust(rows, "p", "k")) and "specifiedwindowframe(RowFrame, currentrow$(), unboundedfollowing$())" not in plan(st.adjust(rows, "p", "k"))
+    scores = spark.createDataFrame([(1, "x", 0.25), (1, "y", 0.5), (2, "x", 1.0)], "sample_id long, class string, score double")
+    pred = spark.createDataFrame([(1, "x", "y"), (2, "x", "x"), (3, "x", "y")], "sample_id long, truth string, prediction string")
+    assert [tuple(r) for r in ev.misses(pred, scores, ["x", "y"]).collect()] == [(1, "x", "y", 0.25, 0.5)]
