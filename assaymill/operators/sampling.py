@@ -291,6 +291,7 @@ def near_candidates(cells: DataFrame, samples: DataFrame, k: int = 5, recall: fl
     How many cells that are is read from the data, so that on a bounded sample ``recall`` of all true neighbours are found.
     """
     tagged = samples.select("sample_id", F.lit("").alias("tag"))
+    cells = materialize(cells, "cells")  # read by each step below
     space = space_of(cells, tagged)
     near = probed(cells, tagged, cells, tagged, k, probes_for(cells, tagged, k, recall, space), space)
     return near.select(F.least("sample_id", "other").alias("sample_id"), F.greatest("sample_id", "other").alias("other")).distinct()
