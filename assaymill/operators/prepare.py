@@ -140,16 +140,18 @@ def effect_class(a: Column, b: Column, t: float) -> Column:
 def in_ranges(cells: DataFrame, ranges: DataFrame, how: str = "binary") -> DataFrame:
     """Cells inside one of their feature's ranges (feature_id, lo, hi) as 1, or as the range's mean or median; others as 0.
 
-    Ranges are few per feature, so the join is on the feature with the bounds as its condition.
+    Ranges are few per feature: a feature's are one row, which its cells look through, so cells are joined by feature alone.
     """
-    hit = (cells["feature_id"] == ranges["feature_id"]) & cells["value"].between(ranges["lo"], ranges["hi"])
-    inside = cells.join(ranges, hit).select("sample_id", cells["feature_id"], "value", "lo")
     if how == "binary":
-        new = inside.groupBy("sample_id", "feature_id").agg(F.lit(1.0).alias("_new"))
+        given = ranges.select("feature_id", "lo", "hi", F.lit(1.0).alias("_new"))
     else:
-        stat = inside.groupBy("feature_id", "lo").agg((F.avg("value") if how == "mean" else F.median("value")).alias("_stat"))
-        new = inside.join(stat, ["feature_id", "lo"]).groupBy("sample_id", "feature_id").agg(F.min("_stat").alias("_new"))
-    return cells.join(new, ["sample_id", "feature_id"], "left").select("sample_id", "feature_id", F.coalesce("_new", F.lit(0.0)).alias("value"))
+        hit = (cells["feature_id"] == ranges["feature_id"]) & cells["value"].between(ranges["lo"], ranges["hi"])
+        inside = cells.join(ranges, hit).select(cells["feature_id"], "value", "lo")
+        stat = inside.groupBy("feature_id", "lo").agg((F.avg("value") if how == "mean" else F.median("value")).alias("_new"))
+        given = ranges.select("feature_id", "lo", "hi").join(stat, ["feature_id", "lo"])
+    held = given.groupBy("feature_id").agg(F.collect_list(F.struct("lo", "hi", "_new")).alias("_ranges"))
+    met = F.filter("_ranges", lambda r: F.col("value").between(r["lo"], r["hi"]))
+    return cells.join(held, "feature_id", "left").select("sample_id", "feature_id", F.coalesce(F.array_min(F.transform(met, lambda r: r["_new"])), F.lit(0.0)).alias("value"))
 
 
 def mask_negative(cells: DataFrame, contributions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
