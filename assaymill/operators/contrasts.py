@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assaymill.storage import lookup
+from assaymill.storage import lookup, materialize
 
 V = F.col
 
@@ -152,16 +152,16 @@ def clusters(dense: DataFrame, features: Sequence[str], k: int, seed: int = 0) -
 
     from assaymill.operators.models import vectors
 
-    data = vectors(dense, features)
+    data = materialize(vectors(dense, features), "vectors")  # read in every pass
     return KMeans(k=k, seed=seed).fit(data).transform(data).select("sample_id", V("prediction").alias("cluster"))
 
 
 def l1_coefficients(dense: DataFrame, labels: DataFrame, features: Sequence[str], strength: float) -> DataFrame:
     """(class, feature_id, coef) of an L1 multinomial logistic model."""
-    from assaymill.operators.models import classifier, label_encode, vectors
+    from assaymill.operators.models import classifier, label_encode, training
 
     codes = label_encode(labels, "label")
-    data = vectors(dense, features).join(labels, "sample_id").join(codes, V("label") == V("value")).select("features", V("code").cast("double").alias("label"))
+    data = training(dense, features, labels, codes)
     model = classifier("logistic", regParam=strength, elasticNetParam=1.0, family="multinomial", maxIter=50).fit(data)
     names = {r["code"]: r["value"] for r in codes.collect()}
     matrix = model.coefficientMatrix.toArray()
@@ -170,20 +170,33 @@ def l1_coefficients(dense: DataFrame, labels: DataFrame, features: Sequence[str]
 
 def forest_importances(dense: DataFrame, labels: DataFrame, features: Sequence[str], seed: int = 0) -> DataFrame:
     """(feature_id, importance) of a random forest."""
-    from assaymill.operators.models import classifier, label_encode, vectors
+    from assaymill.operators.models import label_encode, training
 
-    codes = label_encode(labels, "label")
-    data = vectors(dense, features).join(labels, "sample_id").join(codes, V("label") == V("value")).select("features", V("code").cast("double").alias("label"))
-    model = classifier("forest", seed=seed, numTrees=20, maxDepth=4).fit(data)
-    return dense.sparkSession.createDataFrame([(f, float(x)) for f, x in zip(features, model.featureImportances.toArray(), strict=True)], "feature_id string, importance double")
+    found = _importances(training(dense, features, labels, label_encode(labels, "label")), seed)
+    return dense.sparkSession.createDataFrame([(f, x) for f, x in zip(features, found, strict=True)], "feature_id string, importance double")
+
+
+def _importances(data: DataFrame, seed: int = 0) -> list[float]:
+    """Of a random forest, feature by feature of the vectors."""
+    from assaymill.operators.models import classifier
+
+    return [float(x) for x in classifier("forest", seed=seed, numTrees=20, maxDepth=4).fit(data).featureImportances.toArray()]
 
 
 def eliminate(dense: DataFrame, labels: DataFrame, features: Sequence[str], keep: int, share: float = 0.5) -> list[str]:
-    """Recursive elimination: the least important part of the features goes until ``keep`` are left."""
+    """Recursive elimination: the least important part of the features goes until ``keep`` are left. Vectors are written once, and each round takes its part of them."""
+    from pyspark.ml.feature import VectorSlicer
+
+    from assaymill.operators.models import label_encode, training
+
     left = list(features)
+    if len(left) <= keep:
+        return left
+    data, place = training(dense, left, labels, label_encode(labels, "label")), {f: i for i, f in enumerate(left)}
     while len(left) > keep:
-        ranked = forest_importances(dense, labels, left).orderBy(F.desc("importance"), "feature_id").collect()
-        left = [r["feature_id"] for r in ranked][: max(keep, int(len(left) * share))]
+        some = VectorSlicer(inputCol="_every", outputCol="features", indices=[place[f] for f in left]).transform(data.withColumnRenamed("features", "_every"))
+        ranked = sorted(zip(_importances(some.select("features", "label")), left, strict=True), key=lambda x: (-x[0], x[1]))
+        left = [f for _, f in ranked][: max(keep, int(len(left) * share))]
     return left
 
 

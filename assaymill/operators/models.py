@@ -27,10 +27,19 @@ def vectors(cells: DataFrame, features: Sequence[str]) -> DataFrame:
 
     spark = cells.sparkSession
     places = spark.createDataFrame([(f, i) for i, f in enumerate(features)], f"feature_id {dict(cells.dtypes)['feature_id']}, _i int")
-    # A sample without any of the features has only zeros.
-    grid = cells.select("sample_id").distinct().crossJoin(places).join(cells, ["sample_id", "feature_id"], "left")
-    rows = grid.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce(V("value").cast("double"), F.lit(0.0)).alias("_v")))).alias("_m"))
-    return rows.select("sample_id", array_to_vector(V("_m")["_v"]).alias("features"))
+    placed = cells.join(F.broadcast(places), "feature_id", "left")
+    pair = F.struct("_i", F.coalesce(V("value").cast("double"), F.lit(0.0)).alias("_v"))
+    rows = placed.groupBy("sample_id").agg(F.collect_list(F.when(V("_i").isNotNull(), pair)).alias("_m"))
+    # A feature that a sample lacks is 0, and a sample without any of the features has only zeros.
+    rest = F.array_except(F.sequence(F.lit(0), F.lit(len(features) - 1)) if features else F.array().cast("array<int>"), V("_m")["_i"])
+    every = F.array_sort(F.concat("_m", F.transform(rest, lambda i: F.struct(i.alias("_i"), F.lit(0.0).alias("_v")))))
+    return rows.select("sample_id", array_to_vector(every["_v"]).alias("features"))
+
+
+def training(cells: DataFrame, features: Sequence[str], labels: DataFrame, codes: DataFrame) -> DataFrame:
+    """(features, label): vectors of labelled samples, written once, since an estimator reads them in every pass."""
+    data = vectors(cells, features).join(labels, "sample_id").join(F.broadcast(codes), V("label") == V("value"))
+    return materialize(data.select("features", V("code").cast("double").alias("label")), "training")
 
 
 def classifier(kind: str, seed: int = 0, **params):
@@ -58,9 +67,8 @@ class Pipeline:
         for learn, apply in self.steps:
             self.state.append(learn(cells))
             cells = apply(cells, self.state[-1])
-        self.codes = label_encode(labels, "label")
-        data = vectors(cells, self.features).join(labels, "sample_id").join(self.codes, V("label") == V("value")).select("features", V("code").cast("double").alias("label"))
-        self.model = self.estimator.fit(data)
+        self.codes = materialize(label_encode(labels, "label"), "codes")
+        self.model = self.estimator.fit(training(cells, self.features, labels, self.codes))
         return self
 
     def predict(self, cells: DataFrame) -> DataFrame:
@@ -163,14 +171,14 @@ def alr_ensemble(train: DataFrame, test: DataFrame, labels: DataFrame, reference
     """
     from assaymill.operators.normalise import alr
 
-    codes = label_encode(labels, "label")
-    coded = labels.join(codes, V("label") == V("value")).select("sample_id", V("code").cast("double").alias("label"))
+    codes = materialize(label_encode(labels, "label"), "codes")
+    train, test = materialize(train, "train"), materialize(test, "test")  # read for each reference
     votes = []
     for ref, weight in references.items():
         if ref not in features:
             continue
         rest = [f for f in features if f != ref]
-        model = classifier(kind, **params).fit(vectors(alr(train, ref), rest).join(coded, "sample_id").select("features", "label"))
+        model = classifier(kind, **params).fit(training(alr(train, ref), rest, labels, codes))
         votes.append((class_scores(model, vectors(alr(test, ref), rest), codes), weight))
     return soft_vote(votes)
 
