@@ -1,7 +1,8 @@
 """Cross-validation in one plan: the fold is a key of every learned state, so each fold's scaler, selection, balance and model see its training samples alone.
 
-A plan of folds is ``train`` (fold, sample_id) and ``test`` (fold, sample_id). Values travel as (fold, sample_id, feature_id, value) with absent
-cells as 0; states are aggregates by fold and feature or class, joined back. No loop over folds runs on the driver.
+A plan of folds is ``train`` (fold, sample_id) and ``test`` (fold, sample_id). A sample's values and its part in
+each fold are one row, written once; (fold, sample_id, feature_id, value), absent cells as 0, are made inside the rows. States are aggregates by fold and feature
+or class, written and joined back. No loop over folds runs on the driver.
 """
 
 from __future__ import annotations
@@ -23,10 +24,28 @@ V = F.col
 
 @dataclass
 class Folded:
-    """Dense values of all folds, with ``_train`` for training rows, and the labels (fold, sample_id, label) of training samples."""
+    """One row per sample in ``rows``: ``_folds``, what it is in each fold, and ``_cells``, its dense values; and ``after``, which steps add to ``values``.
 
-    values: DataFrame
-    labels: DataFrame
+    A fold's entry is (fold, _train, _known, label): ``_known`` marks training samples with a label. Folds multiply the values inside
+    a row, after all shuffles.
+    """
+
+    rows: DataFrame
+    after: tuple[Callable[[DataFrame], DataFrame], ...] = ()
+
+    @property
+    def values(self) -> DataFrame:
+        """(fold, sample_id, feature_id, value, _train, _known, label) of all folds."""
+        each = self.rows.select("sample_id", "_cells", F.explode("_folds").alias("_f")).select("sample_id", "_f.*", F.explode("_cells").alias("_c"))
+        out = each.select("fold", "sample_id", V("_c")["feature_id"].alias("feature_id"), V("_c")["value"].alias("value"), "_train", "_known", "label")
+        for step in self.after:
+            out = step(out)
+        return out
+
+    @property
+    def labels(self) -> DataFrame:
+        """(fold, sample_id, label) of training samples."""
+        return self.rows.select("sample_id", F.explode("_folds").alias("_f")).select("_f.fold", "sample_id", "_f.label", "_f._known").where("_known").drop("_known")
 
 
 Step = Callable[[Folded], Folded]
@@ -34,21 +53,26 @@ Step = Callable[[Folded], Folded]
 
 def folded(dense: DataFrame, labels: DataFrame, folds: DataFrame, k: int) -> Folded:
     """Each sample tests its own fold (sample_id, fold of 0 to k - 1) and trains the others. ``dense`` has every feature of every sample."""
-    each = folds.select("sample_id", V("fold").cast("int").alias("_own")).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    each = each.withColumn("_train", V("fold") != V("_own")).drop("_own")
-    return Folded(dense.join(each, "sample_id"), each.where("_train").join(labels.select("sample_id", "label"), "sample_id").select("fold", "sample_id", "label"))
+    told = labels.select("sample_id", "label", F.lit(True).alias("_has"))
+    own = folds.select("sample_id", V("fold").cast("int").alias("_own")).join(told, "sample_id", "left")
+    train, known = (lambda f: f != V("_own")), F.coalesce("_has", F.lit(False))
+    entry = lambda f: F.struct(f.alias("fold"), train(f).alias("_train"), (train(f) & known).alias("_known"), F.when(train(f), V("label")).alias("label"))
+    own = own.select("sample_id", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), entry).alias("_folds"))
+    held = dense.groupBy("sample_id").agg(F.collect_list(F.struct("feature_id", "value")).alias("_cells"))
+    return Folded(materialize(held.join(own, "sample_id"), "folded"))
 
 
 def scaled(data: Folded) -> Folded:
     """Standard scores by the training samples' mean and spread; a feature without spread becomes 0."""
     state = data.values.where("_train").groupBy("fold", "feature_id").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_sd"))
     z = F.coalesce(F.try_divide(V("value") - V("_m"), V("_sd")), F.lit(0.0))
-    return Folded(data.values.join(state, ["fold", "feature_id"]).withColumn("value", z).drop("_m", "_sd"), data.labels)
+    state = materialize(state, "scaler")  # one row per fold and feature
+    return Folded(data.rows, (*data.after, lambda values: values.join(state, ["fold", "feature_id"]).withColumn("value", z).drop("_m", "_sd")))
 
 
 def f_statistics(data: Folded) -> DataFrame:
     """(fold, feature_id, f): variance between the classes of a fold's training samples over that within them; infinite where classes differ and nothing varies within."""
-    train = data.values.where("_train").join(data.labels, ["fold", "sample_id"])
+    train = data.values.where("_known")
     g = train.groupBy("fold", "feature_id", "label").agg(F.count("*").alias("_n"), F.avg("value").alias("_m"), F.var_pop("value").alias("_v"))
     w = Window.partitionBy("fold", "feature_id")
     g = g.withColumn("_grand", F.sum(V("_n") * V("_m")).over(w) / F.sum("_n").over(w))
@@ -66,7 +90,8 @@ def selected(n: int) -> Step:
     """The n features of largest F in the training samples."""
 
     def run(data: Folded) -> Folded:
-        return Folded(data.values.join(best_features(data).where(V("place") <= n).select("fold", "feature_id"), ["fold", "feature_id"]), data.labels)
+        best = materialize(best_features(data).where(V("place") <= n).select("fold", "feature_id"), "selected")
+        return Folded(data.rows, (*data.after, lambda values: values.join(best, ["fold", "feature_id"])))
 
     return run
 
@@ -78,33 +103,34 @@ def undersampled(seed: int = 0) -> Step:
         order = F.md5(F.concat_ws("|", F.lit(str(seed)), V("fold").cast("string"), V("sample_id").cast("string")))
         sizes = data.labels.groupBy("fold", "label").count().groupBy("fold").agg(F.min("count").alias("_least"))
         drawn = ordered(data.labels.withColumn("_h", order), ["_h", "sample_id"], ["fold", "label"])
-        kept = drawn.join(sizes, "fold").where(V("_nth") <= V("_least")).select("fold", "sample_id", "label")
-        values = data.values.join(kept.select("fold", "sample_id", F.lit(True).alias("_kept")), ["fold", "sample_id"], "left").where("NOT _train OR _kept").drop("_kept")
-        return Folded(values, kept)
+        kept = drawn.join(sizes, "fold").where(V("_nth") <= V("_least")).groupBy("sample_id").agg(F.collect_list("fold").alias("_kept"))
+        rows = data.rows.join(kept, "sample_id", "left")
+        stays = F.filter("_folds", lambda f: ~f["_train"] | F.coalesce(F.array_contains("_kept", f["fold"]), F.lit(False)))
+        return Folded(materialize(rows.withColumn("_folds", stays).drop("_kept"), "undersampled"), data.after)
 
     return run
 
 
 def centroid(data: Folded, by: Sequence[str] = ("fold",)) -> DataFrame:
     """(fold, sample_id, prediction): the class whose training mean is closest."""
-    mid = data.values.where("_train").join(data.labels, ["fold", "sample_id"]).groupBy(*by, V("label").alias("prediction"), "feature_id").agg(F.avg("value").alias("_c"))
-    d = data.values.where("NOT _train").join(mid, [*by, "feature_id"]).groupBy(*by, "sample_id", "prediction").agg(F.round(F.sum(F.pow(V("value") - V("_c"), 2)), 6).alias("_d"))
+    mid = data.values.where("_known").groupBy(*by, V("label").alias("prediction"), "feature_id").agg(F.avg("value").alias("_c"))
+    d = data.values.where("NOT _train").drop("label").join(materialize(mid, "centres"), [*by, "feature_id"]).groupBy(*by, "sample_id", "prediction").agg(F.round(F.sum(F.pow(V("value") - V("_c"), 2)), 6).alias("_d"))
     return _least(d, by)
 
 
 def gaussian(data: Folded, by: Sequence[str] = ("fold",), smooth: float = 1e-3) -> DataFrame:
     """(fold, sample_id, prediction): the class of largest posterior under independent normals; ``smooth`` is added to every variance."""
     keys = [*by, "prediction"]
-    train = data.values.where("_train").join(data.labels, ["fold", "sample_id"]).withColumnRenamed("label", "prediction")
+    train = data.values.where("_known").withColumnRenamed("label", "prediction")
     state = train.groupBy(*keys, "feature_id").agg(F.avg("value").alias("_c"), (F.var_pop("value") + smooth).alias("_v"), F.count("*").alias("_n"))
     cost = F.pow(V("value") - V("_c"), 2) / V("_v") + F.ln("_v")
-    d = data.values.where("NOT _train").join(state, [*by, "feature_id"]).groupBy(*by, "sample_id", "prediction").agg((F.sum(cost) - 2 * F.ln(F.max("_n"))).alias("_d"))
+    d = data.values.where("NOT _train").drop("label").join(materialize(state, "normals"), [*by, "feature_id"]).groupBy(*by, "sample_id", "prediction").agg((F.sum(cost) - 2 * F.ln(F.max("_n"))).alias("_d"))
     return _least(d.withColumn("_d", F.round("_d", 6)), by)
 
 
 def _least(d: DataFrame, by: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*by, "sample_id").orderBy("_d", "prediction")
-    return d.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*by, "sample_id", "prediction")
+    best = d.groupBy(*by, "sample_id").agg(F.min(F.struct("_d", "prediction")).alias("_b"))
+    return best.select(*by, "sample_id", V("_b")["prediction"].alias("prediction"))
 
 
 MODELS = {"centroid": centroid, "gaussian": gaussian}
@@ -123,10 +149,9 @@ def feature_curve(dense: DataFrame, labels: DataFrame, folds: DataFrame, k: int,
     data = folded(dense, labels, folds, k)
     for step in steps:
         data = step(data)
-    data = Folded(materialize(data.values, "folded"), data.labels)
     size = F.explode(F.filter(F.array(*map(F.lit, sorted(set(sizes)))), lambda n: n >= V("place")))
-    places = best_features(data).withColumn("n_features", size).select("fold", "feature_id", "n_features")
-    found = MODELS[model](Folded(data.values.join(places, ["fold", "feature_id"]), data.labels), ("n_features", "fold"))
+    places = materialize(best_features(data).withColumn("n_features", size).select("fold", "feature_id", "n_features"), "places")
+    found = MODELS[model](Folded(data.rows, (*data.after, lambda values: values.join(places, ["fold", "feature_id"]))), ("n_features", "fold"))
     scored = found.join(labels.select("sample_id", V("label").alias("truth")), "sample_id")
     return scored.groupBy("n_features", "fold").agg(F.avg((V("truth") == V("prediction")).cast("double")).alias("accuracy"))
 

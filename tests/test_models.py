@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assaymill.operators import contrasts as co
+from assaymill.operators import folds as fo
 from assaymill.operators import models as mo
 from assaymill.operators import prepare as pr
 
@@ -56,3 +57,20 @@ def test_ranges_are_met_by_feature_alone(spark, how, want):
     got = pr.in_ranges(cells, ranges, how)
     assert [r["value"] for r in got.orderBy("feature_id", "sample_id").collect()] == want
     assert "sample_id" not in "".join(x for x in plan(got).splitlines() if "hashpartitioning" in x)
+
+
+def test_folds_multiply_inside_rows(spark):
+    """No shuffle takes a row per fold, sample and feature, and copies of a table give what the table gives."""
+    n = 60
+    dense = spark.range(n).select(F.col("id").alias("sample_id"), F.explode(F.array(*map(F.lit, "abcd"))).alias("feature_id"))
+    dense = dense.withColumn("value", ((F.col("sample_id") % 3) * F.when(F.col("feature_id") == "b", 5).otherwise(0) + F.pmod(F.hash("sample_id", "feature_id"), F.lit(4))).cast("double"))
+    labels = spark.range(n - 2).select(F.col("id").alias("sample_id"), F.concat(F.lit("c"), F.col("id") % 3).alias("label"))
+    folds = spark.range(n).select(F.col("id").alias("sample_id"), F.floor(F.col("id") / 3).cast("int").alias("fold")).withColumn("fold", F.col("fold") % 4)
+    data = fo.undersampled()(fo.scaled(fo.folded(dense, labels, folds, 4)))
+    assert "Exchange hashpartitioning" not in plan(data.values)
+    counts = {(r["fold"], r["label"]): r["count"] for r in data.labels.groupBy("fold", "label").count().collect()}
+    assert all(len({c for (f, _), c in counts.items() if f == fold}) == 1 for fold in range(4)) and len(counts) == 12
+    assert data.values.where("NOT _train").count() == 4 * n
+    pred = fo.cross_validate(dense, labels, folds, 4, [fo.undersampled(), fo.scaled, fo.selected(1)])
+    rows = pred.collect()
+    assert len(rows) == n - 2 and all(r["truth"] == r["prediction"] for r in rows)
