@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from assaymill.operators import contrasts as co
 from assaymill.operators import folds as fo
 from assaymill.operators import models as mo
+from assaymill.operators import normalise as nm
 from assaymill.operators import prepare as pr
 
 
@@ -74,3 +75,14 @@ def test_folds_multiply_inside_rows(spark):
     pred = fo.cross_validate(dense, labels, folds, 4, [fo.undersampled(), fo.scaled, fo.selected(1)])
     rows = pred.collect()
     assert len(rows) == n - 2 and all(r["truth"] == r["prediction"] for r in rows)
+
+
+def test_pairs_are_read_from_one_array(spark, cells):
+    """One shuffle of cells, none of a row per sample and pair."""
+    samples = spark.createDataFrame([(1,), (2,), (4,)], "sample_id long")
+    pairs = spark.createDataFrame([("a", "c"), ("c", "b"), ("b", "none"), ("none", "c")], "x string, y string")
+    got = nm.encode_pairs(cells, samples, pairs)
+    held = {1: {"a": 2, "c": -1}, 2: {"b": 4}, 4: {}}
+    want = {(s, x, y): int(v.get(x, 0) > v.get(y, 0)) for s, v in held.items() for x, y in [("a", "c"), ("c", "b"), ("b", "none"), ("none", "c")]}
+    assert {(r["sample_id"], r["x"], r["y"]): r["value"] for r in got.collect()} == want and got.count() == 12
+    assert not any("sample_id" in line and ("x#" in line or "y#" in line) for line in plan(got).splitlines() if "hashpartitioning" in line)
