@@ -26,6 +26,8 @@ LEAST_SIZE, MOST_SIZE = 1e-3, 1e4
 CAP = -0.2
 #: Values whose distribution function is within this of 1 stay as they are.
 OUTLIER = 1e-6
+#: Distinct values that a task maps.
+TASK_VALUES = 500
 
 
 def _by(names: list[str], values: list[float], of: Column) -> Column:
@@ -116,6 +118,8 @@ class BatchModel:
             own = self.means.where(V("batch") == self.reference)
             target, size = own.groupBy("feature_id").agg(F.first("ln_a").alias("_to"), F.max("mu").alias("_most")), self.sizes[self.reference]
         rows = self.counts.join(self.means, ["feature_id", "batch", "grp"]).join(target, "feature_id").withColumn("_gamma", V("ln_a") - V("_to"))
+        # A given number is not coalesced: the work is in the halvings, not in the bytes.
+        rows = rows.repartition(max(1, min(2000, -(-self.counts.count() // TASK_VALUES))), "feature_id", "batch", "grp", "value")
         new_mu = F.greatest(V("mu") * F.exp(-V("_gamma")), F.lit(1e-12))
         new_mu = F.when(V("_gamma") < CAP, F.least(new_mu, V("_most"))).otherwise(new_mu)
         rows = rows.withColumns({"_new_mu": new_mu, "_ln_p": ln_cdf(V("value").cast("double"), V("mu"), _by(names, list(self.sizes.values()), V("batch")))})

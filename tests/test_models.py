@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from assaymill.operators import contrasts as co
 from assaymill.operators import folds as fo
 from assaymill.operators import models as mo
+from assaymill.operators import negbin as nb
 from assaymill.operators import normalise as nm
 from assaymill.operators import prepare as pr
 
@@ -86,3 +87,15 @@ def test_pairs_are_read_from_one_array(spark, cells):
     want = {(s, x, y): int(v.get(x, 0) > v.get(y, 0)) for s, v in held.items() for x, y in [("a", "c"), ("c", "b"), ("b", "none"), ("none", "c")]}
     assert {(r["sample_id"], r["x"], r["y"]): r["value"] for r in got.collect()} == want and got.count() == 12
     assert not any("sample_id" in line and ("x#" in line or "y#" in line) for line in plan(got).splitlines() if "hashpartitioning" in line)
+
+
+def test_mapping_is_dealt_to_many_tasks(spark, monkeypatch):
+    """Few bytes, but each value is halved down many times: small tables must not end in one task."""
+    monkeypatch.setattr(nb, "TASK_VALUES", 10)
+    obs = spark.range(200).select(F.col("id").alias("sample_id"), F.concat(F.lit("b"), F.col("id") % 2).alias("batch"))
+    cells = spark.range(200).select(F.col("id").alias("sample_id"), F.explode(F.array(F.lit("f"), F.lit("g"))).alias("feature_id"))
+    cells = cells.withColumn("value", (1 + F.pmod(F.hash("sample_id", "feature_id"), F.lit(30))).cast("double"))
+    model = nb.fit(cells, obs, "batch")
+    got, n = model.mapping(), model.counts.count()
+    tasks = {r["p"] for r in got.select(F.spark_partition_id().alias("p")).collect()}
+    assert n > 50 and len(tasks) > n // 20 and got.count() == n
