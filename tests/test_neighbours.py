@@ -198,17 +198,16 @@ def test_distances_of_classes_over_many_blocks(monkeypatch, crowd):
     assert ev.silhouette(cells, obs).first()[0] == pytest.approx(np.mean(width))
 
 
-def test_pairs_of_different_vectors(monkeypatch, crowd):
+def test_distances_of_all_samples_to_all_others(monkeypatch, crowd):
+    """Both ways, and those of copies."""
     from assaymill.operators import evaluation as ev
 
     monkeypatch.setattr(ne, "BLOCK_CELLS", 1)
     points, _, cells, _, far = crowd
-    held = {s: p for s, p in points.items() if any(p)}  # samples are those of the cells
-    stands = {s: min(t for t in held if list(held[t]) == list(p)) for s, p in held.items()}
-    some = sorted(set(stands.values()))
-    want = {(s, t): far[s, t] for s in some for t in some if s < t} | {(s, t): 0.0 for s, t in stands.items() if s != t}
+    held = [s for s, p in points.items() if any(p)]  # samples are those of the cells
     rows = ev.distances(cells).collect()
-    assert len(rows) == len(want) and {(r["sample_id"], r["other"]): pytest.approx(r["distance"]) for r in rows} == want
+    assert len(rows) == len(held) * (len(held) - 1)
+    assert {(r["sample_id"], r["other"]): pytest.approx(r["distance"]) for r in rows} == {(s, t): far[s, t] for s in held for t in held if s != t}
 
 
 def test_prototypes_cover(monkeypatch, crowd):
@@ -226,3 +225,64 @@ def test_prototypes_cover(monkeypatch, crowd):
                 want.append((c, top, i, gain[top]))
                 left -= {t for t in left if far[top, t] <= 9}
     assert sorted(tuple(r) for r in mo.prototypes(cells, obs, "label", 9.0).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("farthest", [False, True])
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_two_blocks_answer_for_both(farthest, shift):
+    """From the same products, the first of each row of either block: with ties, an outlier, and far from 0."""
+    rng = np.random.default_rng(9)
+    x, y = (np.round(rng.normal(0, 3, (n, 5))) + shift for n in (300, 900))
+    y[7] += 1e5
+    ahead, back = ne._near(x, y, np.arange(300), np.arange(900), 3, farthest, True)
+    for (i, j, square), a, b in ((ahead, x, y), (back, y, x)):
+        far = np.round(np.sqrt(((a[:, None] - b[None]) ** 2).sum(2)), 9) * (-1 if farthest else 1)
+        lists = {r: [] for r in range(len(a))}
+        for r, c, s in zip(i.tolist(), j.tolist(), square.tolist()):
+            lists[r].append((float(np.round(np.sqrt(s), 9)) * (-1 if farthest else 1), c))
+        assert all(sorted(v)[:3] == sorted(zip(far[r].tolist(), range(len(b))))[:3] for r, v in lists.items())
+        assert len(i) < 20 * len(a)
+
+
+def test_lower_bounds_are_lower_and_close():
+    rng = np.random.default_rng(10)
+    x, y = rng.normal(50, 30, (200, 25)), rng.normal(50, 30, (400, 25))
+    far = ((x[:, None] - y[None]) ** 2).sum(2)
+    for sign in (1, -1):
+        low = ne._Lower(x, y, sign)
+        bound = (low.left.astype("f8") @ low.right.T.astype("f8")) * low.unit
+        assert (bound <= sign * far).all() and (sign * far - bound < 1e-4 * far.max()).all()
+
+
+def test_packed_rows_hold_all():
+    """Numbers, sizes, tags and cells come back; what single precision holds is short."""
+    import pandas as pd
+
+    pdf = pd.DataFrame({"_part": [0, 0, 0], "tag": ["a", None, "a"], "_n": [3, 1, 2], "size": [1, 5, 2], "at": [[0, 2], [], [1]], "x": [[1.5, 7.0], [], [0.1]]})
+    out = next(ne._pack(3)(iter([pdf])))
+    n, size, tags, x = ne._unpack(out, 3)
+    assert list(n) == [3, 2, 1] and list(size) == [1, 2, 5] and list(tags) == ["a", "a", None]
+    assert x.tolist() == [[1.5, 0, 7], [0, 0.1, 0], [0, 0, 0]]
+    assert len(next(ne._pack(3)(iter([pdf[:2]])))["x"][0]) == 8
+
+
+def test_each_pair_of_parts_meets_once(spark, monkeypatch):
+    """A table with itself: two parts meet in one task, which answers for both."""
+    import pandas as pd
+
+    monkeypatch.setattr(ne, "BLOCK_CELLS", 1)
+    points = cloud(11, 100, whole=False)
+    classes, width = ne.sized_classes(*table(spark, points))
+    met = ne._compared(classes, classes, width, lambda a, b, both: pd.DataFrame({"n": a[0][:1], "m": b[0][:1], "both": [both]}), "n long, m long, both boolean").collect()
+    parts = len({r["n"] for r in met})
+    assert len(met) == parts * (parts + 1) // 2 and sum(r["both"] for r in met) == parts * (parts - 1) // 2
+
+
+def test_probing_writes_no_row_per_query_and_cell(spark, monkeypatch):
+    points = cloud(12, 60)
+    cells, samples = table(spark, points)
+    space, wrote = ne.space_of(cells, samples), []
+    true = ne.materialize
+    monkeypatch.setattr(ne, "materialize", lambda df, name: (wrote.append(name), true(df, name))[1])
+    every = ne.probed(cells, samples, cells, samples, 3, 2, space)
+    assert every.count() <= 3 * len(points) and "visits" not in wrote
