@@ -286,3 +286,12 @@ def test_probing_writes_no_row_per_query_and_cell(spark, monkeypatch):
     monkeypatch.setattr(ne, "materialize", lambda df, name: (wrote.append(name), true(df, name))[1])
     every = ne.probed(cells, samples, cells, samples, 3, 2, space)
     assert every.count() <= 3 * len(points) and "visits" not in wrote
+
+
+def test_nearest_of_each_tag(spark):
+    """A query is one row, not one for every tag; copies and a null tag count."""
+    points, base = cloud(13, 20, "q"), cloud(14, 60, "b")
+    tags = {t: ("a", "b", None)[i % 3] for i, t in enumerate(base)}
+    (a, s), (b, t) = table(spark, points), table(spark, base, tags)
+    want = {u for c in ("a", "b", None) for near in all_pairs(points, {v: p for v, p in base.items() if tags[v] == c}, 3).values() for u, _ in near}
+    assert sorted(r["other"] for r in ne.nearest_of_each_tag(a, s, b, t, 3).collect()) == sorted(want)
